@@ -1,0 +1,231 @@
+"""Attributes from product texts: patterns with local evidence, natively; one long ``fields`` table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import extra_key, squeeze
+
+# Units that need no context, and words that make a number a rating.
+CURRENT_WORDS = "current amperage amp rated rating consumption consume draw load nominal max maximum min minimum output input supply operating continuous inrush switching".split()
+VOLTAGE_WORDS = "voltage volt supply rated rating operating power nominal input output range dc ac".split()
+MATERIAL_WORDS = ["housing", "body", "housing material", "body material", "construction", "barrel", "casing", "case", "enclosure", "shell", "jacket", "sheath", "cover", "made of", "made from", "consists", "finish", "plated"]
+COMPOUNDS = "Nickel-plated brass|Chrome-plated brass|Stainless steel 316L|Die-cast zinc alloy|Polyamide PA66|Aluminium alloy|Aluminum alloy|Aluminum anodized|Anodized aluminium|Anodized aluminum|Zinc alloy"
+GENERIC = "Stainless steel|thermoplastic|brass|steel|aluminium|aluminum|polyamide|nylon|PVC|PTFE"
+
+VOLTAGE = r"(?i)(?:rated\s+voltage|supply\s+voltage|operating\s+voltage|voltage|rating)?[:\s]*([0-9]+(?:\.[0-9]+)?)\s*(?:(?:to|-|–|—|\.\.\.|…)\s*([0-9]+(?:\.[0-9]+)?))?\s*(VAC|VDC|Volts|Volt|mV|kV|V)(?![A-Za-z])"
+CURRENT = r"(?i)(?:current|current\s+rating|max\s+current|current\s+consume|rating)?[:\s]*([0-9]+(?:\.[0-9]+)?)\s*(mA|Amps|Amp|A)(?![A-Za-z])"
+IP_CODE = r"(?i)\b(IP[-_\s]?[0-9]{2,3}K?)\b"
+CONNECTOR = r"(?i)\b(M12|M8|RJ45|Push-Pull|DIN Rail|Terminal Block|Push Plug|Socket|A-Coded|PNP|NPN|Tubular)\b"
+TEMPERATURE = r"(?i)(?:operating\s+temp(?:erature)?|temperature|temp(?:erature)?\s+range|operating\s+range)[:\s]*([-+]?[0-9]+)\s*°?\s*[CF]?\s*(?:to|–|—|-|\.\.\.)\s*([-+]?[0-9]+)\s*°?\s*([CF]?)"
+CERTIFICATE = r"(?i)\b(CE|UL|RoHS|ATEX|CSA|IECEx)\b"
+MOUNTING = r"(?i)\b(DIN rail|Panel mount|Threaded|Tubular|Cable mount|Flush mount|Straight|Right angle)\b"
+DYNAMIC = [
+    ("Flow Rate", r"(?i)(?:flow(?:\s*rate)?)\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(L/min|LPM|GPM|mL/min)"),
+    ("Pressure", r"(?i)(?:pressure|rated\s*pressure|max(?:imum)?\s*pressure)\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(psi|bar|MPa|kPa)"),
+    ("Motor Speed", r"(?i)([0-9]{3,5})\s*(rpm)"),
+    ("Mass", r"(?i)(?:mass|weight)\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(kg|g|lbs?|oz)"),
+    ("Port Size", r"(?i)(?:port|thread(?:ed)?\s*port)\D{0,12}?([0-9]+(?:\.[0-9]+)?(?:\s*/\s*[0-9]+)?)\s*(inch|in|\"|mm)"),
+    ("Thread Size", r"(?i)\b(M[0-9]{1,2}(?:\s*x\s*[0-9.]+)?)\b()"),
+    ("Sensing Distance", r"(?i)(?:sensing\s*(?:distance|range))\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(mm|cm)"),
+    ("Switching Frequency", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(Hz|kHz)\b"),
+    ("Cable Length", r"(?i)(?:cable(?:\s*length)?)\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(m|cm|ft)\b"),
+]
+CATEGORIES = [
+    (r"(?i)(sanding belt|sanding disc|flap disc|grinding wheel|cut-?off wheel|abrasive sheet)", None, 0.95),
+    (r"(?i)(sensor|transducer|transmitter|proximity)", "Industrial Sensor", 0.90),
+    (r"(?i)(connector|plug|socket|terminal block|terminal)", "Industrial Connector", 0.92),
+    (r"(?i)\b(pump)\b", "Industrial Pump", 0.88),
+    (r"(?i)\b(valve)\b", "Industrial Valve", 0.88),
+    (r"(?i)\b(motor|actuator)\b", "Industrial Motor / Actuator", 0.88),
+    (r"(?i)\b(relay|contactor)\b", "Industrial Relay", 0.88),
+    (r"(?i)\b(switch)\b", "Industrial Switch", 0.88),
+    (r"(?i)\b(encoder)\b", "Industrial Encoder", 0.88),
+    (r"(?i)\b(controller|plc|drive)\b", "Industrial Controller / Drive", 0.88),
+    (r"(?i)\b(cable|cordset)\b", "Industrial Cable", 0.88),
+]
+LABELS = {
+    "product_name": "Product Name", "category": "Category", "voltage_rating": "Voltage Rating", "current_rating": "Current Rating", "ip_rating": "IP Rating", "connector_type": "Connector Type",
+    "operating_temperature_min": "Operating Temp Min", "operating_temperature_max": "Operating Temp Max", "material": "Material", "certifications": "Certifications", "mounting_type": "Mounting Type",
+}
+CORE = list(LABELS)
+FIELD = "struct<field_key:string,is_core:boolean,label:string,value:string,unit:string,snippet:string,confidence:double,reasoning:string>"
+
+
+def group(text: Column, pattern: str, k: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+
+
+def number(c: Column) -> Column:
+    """A number as the shortest text of its value: '24.0' and '24' are '24'."""
+    return F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
+
+
+def window(text: Column, pattern: str, before: int, after: int) -> Column:
+    """The first match with characters around it."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    start = F.greatest(at - before, F.lit(1))
+    return F.when(at > 0, F.substring(text, start, at - start + F.length(F.regexp_extract(text, pattern, 0)) + after))
+
+
+def context_word(near: Column, words: list[str]) -> Column:
+    """The first listed word that stands in the window."""
+    low = F.lower(near)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words])
+
+
+def year_like(n: Column) -> Column:
+    return (n == F.floor(n)) & n.between(1900, 2099)
+
+
+def _field(key: str, value: Column, unit: Column | None, snippet: Column, confidence: Column, reason: Column) -> Column:
+    some = value.isNotNull()
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(key).alias("field_key"), F.lit(True).alias("is_core"), F.lit(LABELS[key]).alias("label"), value.cast("string").alias("value"), F.when(some, nothing if unit is None else unit).alias("unit"),
+        F.when(some, snippet).alias("snippet"), F.when(some, confidence).otherwise(F.lit(0.0)).cast("double").alias("confidence"), reason.cast("string").alias("reasoning"),
+    ).cast(FIELD)
+
+
+def _rating(text: Column, key: str, pattern: str, words: list[str], strong: str, unit_group: int, low: float, high: float, sure: tuple[float, float, float], unit: Column, hedges: str, is_range: bool) -> Column:
+    found = group(text, pattern, 0)
+    first = group(text, pattern, 1).try_cast("double")
+    second = group(text, pattern, 2).try_cast("double") if is_range else F.lit(None).cast("double")
+    word = context_word(window(text, pattern, 45, 20), words)
+    is_strong = F.coalesce(group(text, pattern, unit_group).rlike(f"(?i)^({strong})$"), F.lit(False))
+    plausible = first.between(low, high) & F.coalesce(second.between(low, high), F.lit(True))
+    year = year_like(first) & F.coalesce(year_like(second), F.lit(True)) & ~is_strong & (word.isNull() if is_range else F.lit(True))
+    refusal = F.when(found.isNull(), "not found").when(~plausible, "outside the plausible range").when(year, "reads as a calendar year").when(word.isNull() & ~is_strong, "no context near the number")
+    shown = F.when(second.isNotNull(), F.concat(number(first), F.lit("–"), number(second))).otherwise(number(first))
+    hedged = F.lower(text).rlike(hedges)
+    confidence = F.when(hedged, sure[2]).when(word.isNotNull(), sure[0]).otherwise(sure[1])
+    reason = F.coalesce(F.concat(F.lit("rejected: "), refusal), F.concat(F.lit("pattern with context '"), word, F.lit("'")), F.lit("pattern with an unambiguous unit"))
+    return _field(key, F.when(refusal.isNull(), shown), unit, found, confidence, reason)
+
+
+def _simple(text: Column, key: str, pattern: str, confidence: float, change=lambda c: c) -> Column:
+    found = group(text, pattern, 0)
+    return _field(key, change(group(text, pattern, 1)), None, found, F.lit(confidence), F.when(found.isNull(), "not found").otherwise("pattern"))
+
+
+def _material(text: Column) -> Column:
+    compound, generic = rf"(?i)\b({COMPOUNDS})\b", rf"(?i)\b({GENERIC})\b"
+    one, other = group(text, compound, 1), group(text, generic, 1)
+    word = context_word(window(text, generic, 60, 40), MATERIAL_WORDS)
+    labelled = window(text, generic, 40, 24).rlike(rf"(?i)\b(?:housing\s+material|body\s+material|material)\s*[:=-]\s*(?:{GENERIC})(?=\s*(?:[.;,\n]|$))")
+    allowed = F.coalesce(labelled, F.lit(False)) | word.isNotNull()
+    value = F.coalesce(one, F.when(allowed, other))
+    snippet = F.coalesce(one, F.trim(window(text, generic, 60, 40)))
+    reason = F.when(one.isNotNull(), "compound named").when(other.isNull(), "not found").when(labelled, "explicit label").when(word.isNotNull(), F.concat(F.lit("context '"), word, F.lit("'"))).otherwise("rejected: generic word without construction context")
+    return _field("material", value, None, snippet, F.when(one.isNotNull(), 0.90).otherwise(0.84), reason)
+
+
+def _name(text: Column, hint: Column) -> Column:
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("---") & ~x.startswith("Fetch Error") & ~x.startswith("Sparse Content"))
+    first = F.get(lines, F.lit(0))
+    part = group(text, r"\b([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)\b", 1)
+    kind = group(text, r"(?i)\b((?:[A-Za-z-]+\s){0,2}(?:sensor|connector|switch|relay|motor|pump|valve|encoder|cable|faucet|coupling|wheel|belt))\b", 1)
+    hinted = F.nullif(F.trim(hint), F.lit(""))
+    value = F.coalesce(hinted, F.concat_ws(" ", part, kind).substr(F.lit(1), F.when(part.isNotNull() & kind.isNotNull(), 200).otherwise(0)), first)
+    value = F.coalesce(hinted, F.when(part.isNotNull() & kind.isNotNull(), F.concat_ws(" ", part, kind)), kind, part, first)
+    confidence = F.when(hinted.isNotNull(), 0.95).when(part.isNotNull() & kind.isNotNull(), 0.92).when(kind.isNotNull(), 0.86).when(part.isNotNull(), 0.85).otherwise(0.45)
+    return _field("product_name", value, None, F.coalesce(hinted, part, kind, first), confidence, F.lit("hint, part number, type phrase or first line"))
+
+
+def _category(text: Column, hint: Column) -> Column:
+    value = snippet = confidence = None
+    for pattern, label, sure in CATEGORIES:
+        hit = group(text, pattern, 1)
+        shown = F.initcap(hit) if label is None else F.lit(label)
+        value = F.when(hit.isNotNull(), shown) if value is None else value.when(hit.isNotNull(), shown)
+        snippet = F.when(hit.isNotNull(), hit) if snippet is None else snippet.when(hit.isNotNull(), hit)
+        confidence = F.when(hit.isNotNull(), sure) if confidence is None else confidence.when(hit.isNotNull(), sure)
+    hinted = F.nullif(F.trim(hint), F.lit(""))
+    return _field("category", F.coalesce(value, hinted, F.lit("Industrial Component")), None, F.coalesce(snippet, hinted, F.substring(text, 1, 30)), F.coalesce(confidence, F.when(hinted.isNotNull(), F.lit(0.95)), F.lit(0.60)), F.when(value.isNotNull(), "keyword").when(hinted.isNotNull(), "hint").otherwise("default"))
+
+
+def _dynamic(text: Column) -> list[Column]:
+    out = []
+    for label, pattern in DYNAMIC:
+        value = group(text, pattern, 1)
+        entry = F.struct(
+            extra_key(F.lit(label)).alias("field_key"), F.lit(False).alias("is_core"), F.lit(label).alias("label"), value.alias("value"), group(text, pattern, 2).alias("unit"),
+            group(text, pattern, 0).alias("snippet"), F.lit(0.82).alias("confidence"), F.lit("pattern").alias("reasoning"),
+        ).cast(FIELD)
+        out.append(F.when(value.isNotNull(), entry))
+    return out
+
+
+def spec_rows(text: Column) -> Column:
+    """ARRAY<FIELD> of 'Label: Value' lines in a specification section; a unit in the label's last brackets is the unit."""
+    lines = F.transform(F.split(text, "\n"), F.trim)
+    start = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)^(?:technical\s+)?(?:specifications?|specs)\b.{0,40}$")), True).cast("int")
+    section = F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    pattern = r"^([^:]{2,60}?)\s*(?:\(([^()]{1,12})\))?\s*:\s*(.{1,120})$"
+    rows = F.filter(section, lambda x: x.rlike(pattern) & ~x.rlike(r"(?i)^https?:"))
+    return F.transform(
+        rows,
+        lambda x: F.struct(
+            extra_key(F.regexp_extract(x, pattern, 1)).alias("field_key"), F.lit(False).alias("is_core"), F.trim(F.regexp_extract(x, pattern, 1)).alias("label"), F.trim(F.regexp_extract(x, pattern, 3)).alias("value"),
+            group(x, pattern, 2).alias("unit"), x.alias("snippet"), F.lit(0.94).alias("confidence"), F.lit("specification row").alias("reasoning"),
+        ).cast(FIELD),
+    )
+
+
+def extract(texts: DataFrame) -> DataFrame:
+    """``product_id, raw_text, name_hint, category_hint`` -> the long fields table, before validation.
+
+    Texts under 10 characters, and null ones, give their 11 core fields as ``flagged_validation_error``. Of dynamic
+    fields with one key the pattern's comes before the specification row's. There is no shuffle.
+    """
+    text = F.coalesce(F.col("raw_text"), F.lit(""))
+    low = text
+    temp_low, temp_high = group(text, TEMPERATURE, 1), group(text, TEMPERATURE, 2)
+    temp_unit = F.coalesce(group(text, TEMPERATURE, 3), F.lit("°C"))
+    certificates = F.regexp_extract_all(text, F.lit(CERTIFICATE), 1)
+    core = [
+        _name(text, F.col("name_hint")),
+        _category(text, F.col("category_hint")),
+        _rating(text, "voltage_rating", VOLTAGE, VOLTAGE_WORDS, "VAC|VDC|Volts|mV|kV", 3, 0.1, 40000.0, (0.90, 0.78, 0.50), F.lit("V"), "supposedly|around|maybe", True),
+        _rating(text, "current_rating", CURRENT, CURRENT_WORDS, "mA|Amps|Amp", 2, 0.0001, 5000.0, (0.88, 0.76, 0.55), F.when(group(text, CURRENT, 2).rlike("(?i)^mA$"), "mA").otherwise("A"), "maybe|around", False),
+        _simple(text, "ip_rating", IP_CODE, 0.94, F.upper),
+        _simple(text, "connector_type", CONNECTOR, 0.89),
+        _field("operating_temperature_min", number(temp_low), temp_unit, group(low, TEMPERATURE, 0), F.lit(0.85), F.lit("labelled range")),
+        _field("operating_temperature_max", number(temp_high), temp_unit, group(low, TEMPERATURE, 0), F.lit(0.85), F.lit("labelled range")),
+        _material(text),
+        _field("certifications", F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(certificates, F.upper))), ", "), F.lit("")), None, F.array_join(certificates, ", "), F.lit(0.92), F.lit("pattern")),
+        _simple(text, "mounting_type", MOUNTING, 0.86),
+    ]
+    dynamic = F.concat(F.array_compact(F.array(*_dynamic(text))), spec_rows(text))
+    keys = F.transform(dynamic, lambda d: d["field_key"])
+    first_of_key = F.filter(dynamic, lambda d, i: (F.array_position(keys, d["field_key"]) == i + 1) & (d["field_key"] != ""))
+    usable = F.length(F.trim(text)) >= 10
+    fields = F.when(usable, F.concat(F.array(*core), first_of_key)).otherwise(F.array(*[_field(k, F.lit(None).cast("string"), None, F.lit(None).cast("string"), F.lit(0.0), F.lit("no usable text")) for k in CORE]))
+    out = texts.select("product_id", "raw_text", usable.alias("usable"), F.posexplode(fields).alias("pos", "f")).select("product_id", "raw_text", "usable", "pos", "f.*")
+    return out.withColumns({"is_grounded": F.when(F.col("value").isNotNull(), grounded(F.col("snippet"), F.col("raw_text"))), "evidence_ok": numeric_evidence(F.col("value"), F.col("snippet")) & material_evidence(F.col("field_key"), F.col("value"), F.col("snippet"))})
+
+
+def grounded(snippet: Column, text: Column) -> Column:
+    """The snippet, white space and case aside, stands in the text, or four fifths of its tokens do."""
+    s, t = F.lower(squeeze(snippet)), F.lower(squeeze(F.coalesce(text, F.lit(""))))
+    parts = F.regexp_extract_all(s, F.lit(r"([a-z0-9°µ.\-/]+)"), 1)
+    share = F.size(F.filter(parts, lambda x: F.contains(t, x))) >= 0.8 * F.size(parts)
+    return F.coalesce((s != "") & (F.contains(t, s) | ((F.size(parts) > 0) & share)), F.lit(False))
+
+
+def _numbers(c: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?i)(?<=\d)\s+to\s+(?=\d)", " "), r"(?<=\d)\s*(?:[-–—]|\.\.\.|…)\s*(?=\d)", " ")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"([-+]?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
+
+
+def numeric_evidence(value: Column, snippet: Column) -> Column:
+    """Every number of the value stands in the snippet."""
+    claimed = _numbers(value)
+    return F.coalesce(value.isNull() | (F.size(claimed) == 0) | (F.size(F.array_except(claimed, _numbers(F.coalesce(snippet, F.lit(""))))) == 0), F.lit(True))
+
+
+def material_evidence(key: Column, value: Column, snippet: Column) -> Column:
+    """A compound material is claimed only if the snippet names the same compound."""
+    named = group(F.lower(value), f"(?i)({COMPOUNDS})", 1)
+    return (key != "material") | named.isNull() | F.contains(F.lower(squeeze(F.coalesce(snippet, F.lit("")))), named)
