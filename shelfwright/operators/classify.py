@@ -50,6 +50,12 @@ def _scored(texts: DataFrame, inverted: DataFrame) -> DataFrame:
     return top.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label", "classpath", "score"))), lambda x: x.dropFields("place")).alias("ranked"))
 
 
+def _grams(words: str, n: int) -> Column:
+    """All runs of ``n`` words; none in a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def classify(rows: DataFrame, labels: DataFrame, text: str = "Part_Desc", source: str = "fallback") -> DataFrame:
     """Adds ``item_type, classpath, confidence, method, alternatives, runner_up, needs_review, expanded_text``.
 
@@ -64,15 +70,7 @@ def classify(rows: DataFrame, labels: DataFrame, text: str = "Part_Desc", source
     words = F.split(F.trim(F.regexp_replace(F.lower("expanded_text"), r"\s+", " ")), " ")
     spans = labels.where(F.size(tokens(F.col("label"))) >= 2).withColumn("width", F.size(F.split(F.lower("label"), " ")))
     widths = [r.width for r in spans.select("width").distinct().collect()]
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) if n else F.array() for n in widths])) if widths else F.array().cast("array<string>")
-    ngrams = texts.withColumn("w", words).where(F.size("w") >= (max(widths) if widths else 1)).select("text", F.explode(F.array_distinct(grams)).alias("phrase"))
-    short = [
-        texts.withColumn("w", words).where(F.size("w").between(n, max(widths) - 1)).select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")))).alias("phrase"))
-        for n in widths
-        if n < max(widths)
-    ]
-    for part in short:
-        ngrams = ngrams.unionByName(part)
+    ngrams = texts.withColumn("w", words).select("text", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("w", n) for n in widths])))).alias("phrase")) if widths else texts.select("text", F.lit("").alias("phrase"))
     named = _sized(spans.select(F.lower("label").alias("phrase"), "label", "classpath", "ordinal"))
     first = F.max_by(F.struct("label", "classpath"), F.struct(F.length("label"), -F.col("ordinal"))).alias("phrase_hit")
     by_phrase = ngrams.join(named, "phrase").groupBy("text").agg(first)

@@ -1,3 +1,130 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL for the registered queries, written apart from the operators: other functions, other join shapes."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from ..tables import ABBREVIATIONS, AMBIGUOUS, CORPORATE_SUFFIXES, DOMAINS, ITEM_TYPES, PLACEHOLDERS, STOPWORDS, unit_rows
+from .queries import ASKED, BRANDS, CATALOG, REVIEWS, TEXTS, UNIT_ROWS, URLS
+
+
+def _rows(pairs) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quote(x) for x in row) + ")" for row in pairs)
+
+
+_SUFFIX = "|".join(CORPORATE_SUFFIXES)
+_MARKERS = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
+_EMPTY = f"(trim(coalesce({{0}}, '')) = '' OR lower(trim({{0}})) IN ({_MARKERS}))"
+_BRAND_KEY = f"trim(regexp_replace(trim(regexp_replace(lower(coalesce({{0}}, '')), '[^a-z0-9]+', ' ', 'g')), '(^| )({_SUFFIX})( ({_SUFFIX}))*$', ''))"
+_MPN_KEY = "regexp_replace(upper(regexp_replace(coalesce(Mfg_Part_Num, ''), '[^A-Za-z0-9]+', '', 'g')), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
+_FILLED = " + ".join(f"(CASE WHEN {_EMPTY.format(c)} THEN 0 ELSE 1 END)" for c in ("Mfg_Part_Num", "Part_Desc", "Part_Manuf", "E1_Brand"))
+_KEYED = f"""c AS ({CATALOG}), k AS (SELECT *, {_MPN_KEY} AS mpn_key, CASE WHEN {_EMPTY.format("Part_Manuf")} THEN '' ELSE {_BRAND_KEY.format("Part_Manuf")} END AS brand_key, {_FILLED} AS filled FROM c),
+m AS (SELECT *, mpn_key = '' OR row_number() OVER (PARTITION BY mpn_key, brand_key ORDER BY filled DESC, row_index) = 1 AS survives, count(*) OVER (PARTITION BY mpn_key, brand_key) AS n FROM k)"""
+_PCT = "round_even(100.0 * ({0}) / nullif({1}, 0), 1)"
+
+_UNIT_KEY = "replace(replace(regexp_replace(lower(trim(unit)), '[.\\s_-]+', '', 'g'), 'degrees', 'deg'), '°', 'deg')"
+_UNITS = f"""r AS ({UNIT_ROWS}), uom(variant, approved) AS (VALUES {_rows(unit_rows())}), u AS (SELECT r.*, uom.approved FROM r LEFT JOIN uom ON uom.variant = {_UNIT_KEY})"""
+_FRACTION = """CASE WHEN v::DOUBLE = floor(v::DOUBLE) THEN CAST(floor(v::DOUBLE) AS BIGINT)::VARCHAR
+ WHEN (v::DOUBLE * 64) = floor(v::DOUBLE * 64) THEN (CASE WHEN v::DOUBLE >= 1 THEN CAST(floor(v::DOUBLE) AS BIGINT)::VARCHAR || '-' ELSE '' END)
+  || (CAST((v::DOUBLE - floor(v::DOUBLE)) * 64 AS BIGINT) // gcd(CAST((v::DOUBLE - floor(v::DOUBLE)) * 64 AS BIGINT), 64))::VARCHAR || '/' || (64 // gcd(CAST((v::DOUBLE - floor(v::DOUBLE)) * 64 AS BIGINT), 64))::VARCHAR END"""
+
+_EXPANDED = f"""c AS ({CATALOG}), short(a, long) AS (VALUES {_rows(ABBREVIATIONS.items())}),
+p AS (SELECT row_index, unnest(regexp_extract_all(coalesce(Part_Desc, ''), '[A-Za-z]+|[^A-Za-z]+')) AS t, unnest(range(len(regexp_extract_all(coalesce(Part_Desc, ''), '[A-Za-z]+|[^A-Za-z]+')))) AS pos FROM c),
+x AS (SELECT c.row_index, coalesce(g.expanded, '') AS expanded FROM c LEFT JOIN (SELECT row_index, string_agg(coalesce(short.long, t), '' ORDER BY pos) AS expanded FROM p LEFT JOIN short ON short.a = lower(t) GROUP BY row_index) g USING (row_index))"""
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_TOKENS = f"[t FOR t IN [lower(y) FOR y IN regexp_extract_all({{0}}, '[A-Za-z]+')] IF len(t) > 1 AND t NOT IN ({_STOP})]"
+_DW = ", ".join(f"'{w}'" for w in AMBIGUOUS["dw"][1])
+_CLASSIFIED = f"""{_EXPANDED},
+labels AS (SELECT label, ordinal, toks FROM (SELECT label, ordinal, {_TOKENS.format("label")} AS toks FROM (VALUES {_rows((t, n) for n, t in enumerate(ITEM_TYPES))}) AS l(label, ordinal)) WHERE len(toks) > 0),
+lt AS (SELECT label, ordinal, len(toks) AS n_tokens, unnest(toks) AS tok FROM labels),
+idf AS (SELECT tok, ln(((SELECT count(*) FROM labels) + 1) / (count(DISTINCT label) + 1)) + 1 AS w FROM lt GROUP BY tok),
+tot AS (SELECT label, sum(w) AS total FROM lt JOIN idf USING (tok) GROUP BY label),
+xt AS (SELECT row_index, expanded, list_distinct({_TOKENS.format("expanded")}) AS toks FROM x),
+found2 AS (SELECT row_index, 0 AS kind, toks FROM xt UNION ALL SELECT row_index, 1, list_append(toks, 'dishwasher') FROM xt WHERE list_contains(toks, 'dw') AND list_has_any(toks, [{_DW}])),
+bt AS (SELECT row_index, kind, unnest(list_distinct(toks)) AS tok FROM found2),
+sc AS (SELECT row_index, kind, lt.label, lt.ordinal, sum(w) / any_value(total) + 0.001 * any_value(n_tokens) AS score FROM bt JOIN lt USING (tok) JOIN idf USING (tok) JOIN tot ON tot.label = lt.label GROUP BY row_index, kind, lt.label, lt.ordinal),
+rk AS (SELECT *, row_number() OVER (PARTITION BY row_index, kind ORDER BY round(score, 9) DESC, ordinal) AS place FROM sc),
+top AS (SELECT row_index, kind, max(CASE WHEN place = 1 THEN label END) AS l1, max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN label END) AS l2, max(CASE WHEN place = 2 THEN score END) AS s2 FROM rk WHERE place <= 2 GROUP BY row_index, kind),
+ph AS (SELECT xt.row_index, arg_max(label, len(label) * 1000 - ordinal) AS label FROM xt JOIN labels ON len(labels.toks) >= 2 AND contains(' ' || trim(regexp_replace(lower(expanded), '\\s+', ' ', 'g')) || ' ', ' ' || lower(label) || ' ') GROUP BY xt.row_index),
+d AS (SELECT x.row_index, ph.label AS p, a.l1 AS al, a.s1 AS sa, a.l2 AS al2, a.s2 AS sa2, b.l1 AS bl, b.s1 AS sb, b.l2 AS bl2, b.s2 AS sb2 FROM x LEFT JOIN ph USING (row_index) LEFT JOIN top a ON a.row_index = x.row_index AND a.kind = 0 LEFT JOIN top b ON b.row_index = x.row_index AND b.kind = 1),
+k AS (SELECT *, CASE WHEN p IS NOT NULL THEN 'phrase' WHEN sa >= 0.34 THEN 'strong' WHEN sb >= 0.34 THEN 'context' ELSE 'none' END AS kind FROM d),
+f AS (SELECT row_index, CASE kind WHEN 'phrase' THEN p WHEN 'strong' THEN al WHEN 'context' THEN bl END AS item_type,
+ CASE kind WHEN 'phrase' THEN 0.95 WHEN 'strong' THEN least(round_even(0.55 + 0.40 * least(sa, 1.0), 3), 0.94) WHEN 'context' THEN least(round_even(0.55 + 0.40 * least(sb, 1.0), 3), 0.69) ELSE 0.0 END::DOUBLE AS confidence,
+ CASE kind WHEN 'phrase' THEN 'fallback_phrase' WHEN 'strong' THEN 'fallback_token_overlap' WHEN 'context' THEN 'fallback_token_overlap_ambiguous_context' ELSE 'unresolved' END AS method,
+ CASE kind WHEN 'strong' THEN al2 WHEN 'context' THEN bl2 WHEN 'none' THEN al END AS runner_up,
+ CASE kind WHEN 'strong' THEN round_even(CASE WHEN sa2 > 1 THEN 1 ELSE sa2 END, 3) WHEN 'context' THEN round_even(CASE WHEN sb2 > 1 THEN 1 ELSE sb2 END, 3) WHEN 'none' THEN round_even(CASE WHEN sa > 1 THEN 1 ELSE sa END, 3) END AS runner FROM k),
+g AS (SELECT row_index, item_type, confidence, method, runner_up, item_type IS NULL OR confidence < 0.70 OR coalesce(confidence - runner < 0.12, false) AS needs_review FROM f)"""
+
+_VALUE_KEY = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_OUTCOME = f"""q AS ({ASKED}),
+p AS (SELECT *, CASE WHEN {_VALUE_KEY.format("classpath")} LIKE 'fittings coupling%' THEN 'Fittings > Coupling' WHEN {_VALUE_KEY.format("classpath")} LIKE 'valves ball valve%' THEN 'Valves > Ball Valve' END AS cp, {_VALUE_KEY.format("label")} AS lk, {_VALUE_KEY.format("value")} AS vk FROM q),
+v(cp, lk, vk, canonical) AS (VALUES ('Fittings > Coupling', 'material', 'brass', 'Brass'), ('Fittings > Coupling', 'material', 'bronze', 'Bronze'), ('Fittings > Coupling', 'material', 'stainless steel', 'Stainless Steel'),
+ ('Fittings > Coupling', 'connection type', 'threaded', 'Threaded'), ('Fittings > Coupling', 'connection type', 'sweat', 'Sweat'), ('Valves > Ball Valve', 'material', 'stainless steel', 'Stainless Steel'), ('Valves > Ball Valve', 'material', 'brass', 'Brass')),
+a(cp, lk, is_open) AS (VALUES ('Fittings > Coupling', 'material', false), ('Fittings > Coupling', 'connection type', false), ('Fittings > Coupling', 'size', true), ('Valves > Ball Valve', 'material', false), ('Valves > Ball Valve', 'size', true)),
+o AS (SELECT p.row_id, p.value, CASE WHEN trim(p.value) = '' THEN 'blank' WHEN p.cp IS NULL THEN 'no_classpath' WHEN a.is_open IS NULL THEN 'not_applicable' WHEN a.is_open THEN 'open' WHEN v.canonical IS NOT NULL THEN 'in_vocabulary' ELSE 'not_permitted' END AS outcome, v.canonical
+ FROM p LEFT JOIN a ON a.cp = p.cp AND a.lk = p.lk LEFT JOIN v ON v.cp = p.cp AND v.lk = p.lk AND v.vk = p.vk)"""
+
+_HARD = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\\s]+', '', 'g'), '\\s+', ' ', 'g'))"
+_SCORES = f"""c AS ({CATALOG}), g AS (SELECT *, {_MPN_KEY} AS mk FROM c WHERE row_index % 4 <> 3),
+t AS (SELECT * FROM (SELECT {_MPN_KEY} AS mk, CASE WHEN row_index % 3 = 0 THEN lower(Part_Desc) ELSE Part_Desc END AS Part_Desc, coalesce(E1_Brand, '') AS E1_Brand, Part_Manuf, row_number() OVER (PARTITION BY {_MPN_KEY} ORDER BY row_index) AS rn FROM c WHERE row_index < 500) WHERE rn = 1),
+l AS (SELECT 'E1_Brand' AS field, g.E1_Brand AS got, t.E1_Brand AS want FROM g JOIN t USING (mk) UNION ALL SELECT 'Part_Desc', g.Part_Desc, t.Part_Desc FROM g JOIN t USING (mk) UNION ALL SELECT 'Part_Manuf', g.Part_Manuf, t.Part_Manuf FROM g JOIN t USING (mk)),
+b AS (SELECT field, trim(coalesce(want, '')) <> '' AS populated, trim(coalesce(want, '')) <> '' AND trim(coalesce(got, '')) <> '' AS attempted, trim(coalesce(want, '')) <> '' AND trim(coalesce(got, '')) = trim(want) AS exact,
+ trim(coalesce(want, '')) <> '' AND (trim(coalesce(got, '')) = trim(want) OR ({_HARD.format("got")} = {_HARD.format("want")} AND {_HARD.format("want")} <> '')) AS alike FROM l),
+s AS (SELECT field, count(*) FILTER (populated) AS total, count(*) FILTER (exact) AS exact, count(*) FILTER (alike) AS normalised, count(*) FILTER (attempted) AS attempted FROM b GROUP BY GROUPING SETS ((field), ()))"""
+
+_LATEST = f"r AS ({REVIEWS}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, field_key ORDER BY ts DESC, action DESC, new_value DESC) AS rn FROM r) WHERE rn = 1)"
+_NOISE = ["add to cart", "your cart", "continue shopping", "free shipping", "secure checkout", "wishlist", "sale price", "regular price", "unit price", "sign in", "create account"]
+
+
+def _richness() -> str:
+    from ..operators.discover import SPEC_ROW, TECHNICAL
+
+    hits = lambda words: " + ".join(f"(contains(lower(t), '{w}'))::INT" for w in words)
+    rows = "len(regexp_extract_all(t, '" + SPEC_ROW.replace("'", "''") + "'))"
+    return f"""WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, round_even(least(len(t), 3000) / 150.0::DOUBLE + least({rows}, 15) * 5.0::DOUBLE + least({hits(TECHNICAL)}, 15) * 2.0::DOUBLE + CASE WHEN contains(lower(t), '=== extracted specification tables ===') THEN 12.0 ELSE 0.0 END::DOUBLE
+ + CASE WHEN contains(lower(t), 'specifications') OR contains(lower(t), 'technical data') THEN 6.0 ELSE 0.0 END::DOUBLE - least({hits(_NOISE)}, 10) * 1.5::DOUBLE, 3)::DOUBLE AS score FROM d"""
+
+
+_KINDS = ", ".join(f"({n}, '{kind}', '{name}')" for n, (kind, names) in enumerate(DOMAINS.items()) for name in names.split())
+_RATINGS = """SELECT concat('P', p_partkey::VARCHAR) AS product_id, field_key, value, status FROM part, LATERAL (VALUES
+ ('voltage_rating', (p_size * 10)::VARCHAR, CASE WHEN p_size * 10 > 1000 THEN 'flagged_validation_error' ELSE 'verified' END),
+ ('current_rating', (p_size * 9)::VARCHAR, CASE WHEN p_size * 9 > 20 THEN 'flagged_validation_error' ELSE 'verified' END),
+ ('ip_rating', CASE p_partkey % 3 WHEN 0 THEN 'IP67' WHEN 1 THEN 'IP-677' ELSE 'IP20' END, CASE p_partkey % 3 WHEN 0 THEN 'verified' ELSE 'flagged_validation_error' END),
+ ('operating_temperature_min', (-p_size)::VARCHAR, CASE WHEN -p_size < -60 OR -p_size > p_partkey % 300 THEN 'flagged_validation_error' ELSE 'verified' END),
+ ('operating_temperature_max', (p_partkey % 300)::VARCHAR, CASE WHEN p_partkey % 300 > 250 OR -p_size > p_partkey % 300 THEN 'flagged_validation_error' ELSE 'verified' END)) AS v(field_key, value, status)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "dedup_survivors": f"WITH {_KEYED} SELECT row_index, Mfg_Part_Num, Part_Manuf, mpn_key, brand_key FROM m WHERE survives",
+    "dedup_report": f"""WITH {_KEYED} SELECT count(*) AS total_rows, count(*) FILTER (survives) AS unique_products, count(*) FILTER (NOT survives) AS duplicate_rows_removed, count(*) FILTER (survives AND n > 1 AND mpn_key <> '') AS "groups",
+ count(*) FILTER (mpn_key = '') AS rows_without_part_number, {_PCT.format("count(*) FILTER (NOT survives)", "count(*)")}::DOUBLE AS duplicate_rate_pct FROM m""",
+    "mpn_collisions": f"""WITH {_KEYED} SELECT mpn_key, string_agg(DISTINCT brand_key, ', ' ORDER BY brand_key) FILTER (brand_key <> '') AS brands, count(DISTINCT CASE WHEN brand_key <> '' THEN brand_key END) AS n_brands, count(*) AS n_rows
+ FROM k WHERE mpn_key <> '' GROUP BY mpn_key HAVING count(DISTINCT CASE WHEN brand_key <> '' THEN brand_key END) > 1""",
+    "unit_normalise": f"WITH {_UNITS} SELECT id, unit, CASE WHEN trim(unit) <> '' THEN coalesce(approved, trim(unit)) END AS approved, {_FRACTION.replace('v::', 'value::')} AS fraction FROM u",
+    "unmapped_units": f"WITH {_UNITS} SELECT trim(unit) AS unit, count(*) AS n FROM u WHERE trim(unit) <> '' AND approved IS NULL GROUP BY 1",
+    "decimal_fraction": f"WITH r AS ({UNIT_ROWS}) SELECT id, value, {_FRACTION.replace('v::', 'value::')} AS fraction, value::DOUBLE AS back FROM r",
+    "expand_abbrev": f"WITH {_EXPANDED} SELECT row_index, expanded FROM x",
+    "classify_types": f"WITH {_CLASSIFIED} SELECT * FROM g",
+    "classify_stats": f"""WITH {_CLASSIFIED} SELECT count(*) AS n_rows, count(item_type) AS classified, count(*) - count(item_type) AS unresolved, count(*) FILTER (item_type IS NOT NULL AND needs_review) AS needs_review,
+ round_even(coalesce(avg(CASE WHEN item_type IS NOT NULL THEN confidence END), 0), 3)::DOUBLE AS mean_confidence, 0::BIGINT AS with_classpath, {_PCT.format("count(item_type)", "count(*)")}::DOUBLE AS resolution_rate_pct FROM g""",
+    "lov_validate": f"WITH {_OUTCOME} SELECT row_id, outcome, canonical FROM o",
+    "lov_compliance": f"""WITH {_OUTCOME} SELECT count(*) FILTER (outcome IN ('in_vocabulary', 'not_applicable', 'not_permitted')) AS checked, count(*) FILTER (outcome = 'in_vocabulary') AS in_vocabulary,
+ count(*) FILTER (outcome = 'in_vocabulary' AND canonical <> value) AS corrected, count(*) FILTER (outcome IN ('not_applicable', 'not_permitted', 'no_classpath')) AS violations, count(*) FILTER (outcome = 'open') AS open_skipped,
+ count(DISTINCT CASE WHEN outcome = 'no_classpath' THEN row_id END) AS rows_without_classpath, {_PCT.format("count(*) FILTER (outcome = 'in_vocabulary')", "count(*) FILTER (outcome IN ('in_vocabulary', 'not_applicable', 'not_permitted'))")}::DOUBLE AS lov_compliance_pct FROM o""",
+    "brand_exact": f"""WITH c AS ({CATALOG}), b AS ({BRANDS}), m AS (SELECT row_index, Part_Manuf, {_EMPTY.format("Part_Manuf")} AS blank, {_BRAND_KEY.format("Part_Manuf")} AS k FROM c)
+SELECT row_index, b.MANUFACTURER_NAME AS manufacturer_name, b.BRAND_NAME AS brand_name, 1.0::DOUBLE AS brand_confidence, CASE WHEN blank THEN 'placeholder' ELSE 'exact' END AS brand_method, false AS brand_review
+FROM m LEFT JOIN b ON NOT blank AND {_BRAND_KEY.format("b.MANUFACTURER_NAME")} = k""",
+    "field_accuracy": f"""WITH {_SCORES} SELECT field, total, exact, normalised, attempted, coalesce({_PCT.format("exact", "total")}, 0)::DOUBLE AS exact_pct, coalesce({_PCT.format("normalised", "total")}, 0)::DOUBLE AS normalised_pct,
+ coalesce({_PCT.format("normalised - exact", "total")}, 0)::DOUBLE AS formatting_only_pct, coalesce({_PCT.format("attempted", "total")}, 0)::DOUBLE AS coverage_pct FROM s""",
+    "weakest_fields": f"WITH {_SCORES} SELECT field, exact, total, coalesce({_PCT.format('exact', 'total')}, 0)::DOUBLE AS exact_pct FROM s WHERE field IS NOT NULL ORDER BY exact_pct, field LIMIT 2",
+    "rating_checks": _RATINGS,
+    "review_latest": f"WITH {_LATEST} SELECT product_id, field_key, action, new_value FROM l",
+    "content_richness": _richness(),
+    "source_policy": f"""WITH u AS ({URLS}), h AS (SELECT page_id, page_id % 6 AS k, lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM u),
+p AS (SELECT *, [x FOR x IN string_split(regexp_replace(host, '^www[0-9]?\\.', ''), '.') IF x <> ''] AS parts FROM h),
+r AS (SELECT *, CASE WHEN len(parts) >= 3 AND parts[-2] IN ('co', 'com', 'net', 'org', 'gov', 'edu', 'ac', 'or', 'ne') THEN parts[-3] WHEN len(parts) >= 2 THEN parts[-2] ELSE parts[1] END AS registrable FROM p),
+n(o, kind, name) AS (VALUES {_KINDS}), q AS (SELECT r.*, (SELECT arg_min(kind, o) FROM n WHERE n.name = r.registrable) AS kind FROM r)
+SELECT page_id, registrable, CASE WHEN k IN (3, 4, 5) THEN 'unfetchable' ELSE coalesce(kind, 'unknown') END AS category, k NOT IN (3, 4, 5) AND coalesce(kind, 'unknown') IN ('unknown', 'manufacturer') AS allowed,
+ NOT (k NOT IN (3, 4, 5) AND coalesce(kind, '') = 'manufacturer') AS needs_review FROM q""",
+    "url_safety": f"""WITH u AS ({URLS}) SELECT page_id, lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[a-z]+://([^/?#:]+)', 1)) AS host, page_id % 6 NOT IN (3, 4, 5) AS safe,
+ CASE page_id % 6 WHEN 3 THEN 'blocked network 10.0.0.0/8' WHEN 4 THEN 'scheme not allowed' WHEN 5 THEN 'port not allowed' END AS refusal FROM u""",
+}
