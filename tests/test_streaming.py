@@ -1,0 +1,11 @@
+from shelfwright.streaming import incremental
+
+
+def test_incremental(spark, tmp_path):
+    landing, store, checkpoint = (str(tmp_path / n) for n in ("in", "store", "check"))
+    text = "CN-M12-5P Circular Connector\nRated voltage: 250 V"
+    spark.createDataFrame([("a", text, None, None)], incremental.SCHEMA).write.parquet(landing)
+    q = incremental.start(incremental.incoming(spark, landing), store, checkpoint)
+    q.awaitTermination(120)
+    first = incremental.current(spark, store, 0)
+    assert [r.product_id for r in first.collect()] == ["a"]
