@@ -28,9 +28,10 @@ HALF = CHUNK // 2
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with each text padded to whole half chunks (an empty one too), the first half chunk of each text, its length."""
+    """Bytes with each text padded to whole half chunks (an empty one too) and two more, so that no filter sees two texts;
+    the first half chunk of each text, its length."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    halves = np.maximum(-(-lengths // HALF), 1)
+    halves = np.maximum(-(-lengths // HALF), 1) + 2
     starts = np.concatenate(([0], np.cumsum(halves)))
     data = np.zeros(starts[-1] * HALF + WIDTH + 8, np.uint8)
     for t, at in zip(texts, starts, strict=False):
@@ -71,20 +72,21 @@ class Network:
         np.maximum(out, 0, out=out)
         sizes = np.full(starts[-1], HALF, np.int64)
         real = np.maximum(lengths, 1)
-        sizes[starts[1:] - 1] = real - (np.diff(starts) - 1) * HALF
+        last = starts[1:] - 3  # of a text's own half chunks
+        sizes[last] = real - (np.diff(starts) - 3) * HALF
         tails = np.flatnonzero(sizes < HALF)
         for k in tails:
             out[k * HALF + sizes[k] : (k + 1) * HALF] = 0
         sums = out.reshape(-1, HALF, out.shape[1]).sum(1)
         inner = np.ones(starts[-1], bool)
-        inner[starts[1:] - 1] = False  # a text's last half chunk stands alone only if it is the first
+        inner[last] = inner[last + 1] = inner[last + 2] = False  # a text's last half chunk stands alone only if it is the first
         both, count = sums.copy(), sizes.copy()
         at = np.flatnonzero(inner)
         both[at] += sums[at + 1]
         count[at] += sizes[at + 1]
         mean = both / count[:, None]
-        alone = np.diff(starts) > 1
-        mean[(starts[1:] - 1)[alone]] = -1  # covered by the chunk before
+        mean[last[np.diff(starts) > 3]] = -1  # covered by the chunk before
+        mean[last + 1] = mean[last + 2] = -1  # padding
         best = np.maximum.reduceat(mean, starts[:-1], axis=0)
         return best, mean, count, starts, data, on, out, inner
 
