@@ -13,6 +13,11 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*map(F.lit, pairs.values())))
 
 
+def no_blank(c: Column) -> Column:
+    """Null for the empty string. (Spark's nullif adds a projection for each use, which makes wide plans slow to optimize.)"""
+    return F.when(c != "", c)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expand_abbreviations, squeeze
+from ..functions.text import expand_abbreviations, no_blank, squeeze
 from ..tables import CONNECTIONS, FINISHES, MATERIALS, phrases
 
 _FRACTION, _NUMBER = r"\d+\s*-\s*\d+/\d+|\d+/\d+", r"\d+\.\d+|\d+"
@@ -23,7 +23,7 @@ _AMPS = rf"(?i){_FREE}(\d{{1,4}}(?:\.\d+)?)\s*(?:a|amps?)(?![A-Za-z])"
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    return no_blank(F.regexp_extract(text, pattern, k))
 
 
 def _first(low: Column, listed: str) -> tuple[Column, Column]:
@@ -51,7 +51,7 @@ def parsed(expanded: Column) -> Column:
 
     whole = _group(text, _PAIR, 0)
     entries = [
-        entry("Size", F.when(paired, _group(text, _PAIR, 1)).otherwise(F.nullif(token, F.lit(""))), F.when(paired, "in").otherwise(unit), F.when(paired, whole).otherwise(single)),
+        entry("Size", F.when(paired, _group(text, _PAIR, 1)).otherwise(no_blank(token)), F.when(paired, "in").otherwise(unit), F.when(paired, whole).otherwise(single)),
         entry("Second Size", F.when(paired, _group(text, _PAIR, 2)), F.lit("in"), whole),
     ]
     for label, listed in (("Material", MATERIALS), ("Finish", FINISHES), ("Connection Type", CONNECTIONS)):

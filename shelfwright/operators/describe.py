@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_number, percent, squeeze, word_cut
+from ..functions.text import clean_number, no_blank, percent, squeeze, word_cut
 from ..functions.units import approved_unit, convert_decimals_in_text, decimal_to_fraction, fix_spacing_in_text
 
 INVOICE, MOBILE, TITLE, LONG, WEB = 40, (60, 80), 200, 1000, (120, 1500)
@@ -18,7 +18,7 @@ INVOICE_SHORT = [
 
 
 def joined(parts: list[Column], sep: str = " ") -> Column:
-    return squeeze(F.concat_ws(sep, *[F.nullif(F.trim(p), F.lit("")) for p in parts]))
+    return squeeze(F.concat_ws(sep, *[no_blank(F.trim(p)) for p in parts]))
 
 
 def oxford(items: Column) -> Column:
@@ -59,7 +59,7 @@ def descriptions(records: DataFrame, key: str = "product_id") -> DataFrame:
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     r = records.withColumns(
         {
-            "maker": F.coalesce(F.nullif(F.trim("brand"), F.lit("")), F.col("manufacturer")),
+            "maker": F.coalesce(no_blank(F.trim("brand")), F.col("manufacturer")),
             "features": F.filter(F.transform(F.coalesce("features", F.array().cast("array<string>")), F.trim), lambda f: f != ""),
             "a": F.transform("attributes", lambda a: F.struct(text(a["label"]).alias("label"), text(a["value"]).alias("value"), text(a["unit"]).alias("unit"), a["is_key"].alias("is_key"), approved_unit(a["unit"]).alias("approved"))),
         }
@@ -77,14 +77,14 @@ def descriptions(records: DataFrame, key: str = "product_id") -> DataFrame:
     subject, item = joined([F.col("maker"), F.col("series"), F.col("mpn")]), F.trim(F.coalesce("item_type", F.lit("")))
     r = r.withColumns({"key_shown": only("keys"), "pool": F.concat(only("keys"), only("others")), "key_phrases": F.transform("keys", phrase), "other_phrases": F.transform("others", phrase), "subject": subject, "item": item})
     base = joined([F.col("maker"), F.col("item_type"), F.col("series"), F.col("mpn")], ", ")
-    add = lambda acc, x: F.concat_ws(", ", F.nullif(acc, F.lit("")), x)
+    add = lambda acc, x: F.concat_ws(", ", no_blank(acc), x)
     first = F.when((F.col("subject") != "") & (F.col("item") != ""), F.concat(F.col("subject"), F.lit(" is a "), F.col("item"), F.lit("."))).when(F.col("subject") != "", F.concat(F.col("subject"), F.lit("."))).when(F.col("item") != "", F.concat(F.upper(F.substring("item", 1, 1)), F.substring("item", 2, 10000), F.lit(".")))
     r = r.withColumns(
         {
             "bits": F.concat(F.array(joined([F.col("item_type"), F.col("mpn")])), F.when(F.size("key_shown") > 0, F.col("key_shown")).otherwise(only("a"))),
             "mobile": F.aggregate("pool", base, lambda acc, x: F.when((F.length(acc) < MOBILE[0]) & (F.length(add(acc, x)) <= MOBILE[1]), add(acc, x)).otherwise(acc)),
             "title_tail": F.array_join(F.concat("features", "key_shown"), ", "),
-            "long_run": F.array_join(F.concat(F.array_compact(F.array(F.when(F.size("features") > 0, F.concat(F.lit("With "), F.array_join("features", ", "))), F.nullif(F.trim("series"), F.lit("")))), F.transform("a", spoken)), ", "),
+            "long_run": F.array_join(F.concat(F.array_compact(F.array(F.when(F.size("features") > 0, F.concat(F.lit("With "), F.array_join("features", ", "))), no_blank(F.trim("series")))), F.transform("a", spoken)), ", "),
             "sentences": F.array_compact(F.array(first, sentence("It is rated for", F.col("key_phrases")), sentence("Additional specifications include", F.col("other_phrases")), sentence("Features include", F.col("features")))),
         }
     )

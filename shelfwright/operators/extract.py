@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extra_key, squeeze
+from ..functions.text import extra_key, no_blank, squeeze
 
 # Units that need no context, and words that make a number a rating.
 CURRENT_WORDS = "current amperage amp rated rating consumption consume draw load nominal max maximum min minimum output input supply operating continuous inrush switching".split()
@@ -14,6 +14,8 @@ MATERIAL_WORDS = ["housing", "body", "housing material", "body material", "const
 COMPOUNDS = "Nickel-plated brass|Chrome-plated brass|Stainless steel 316L|Die-cast zinc alloy|Polyamide PA66|Aluminium alloy|Aluminum alloy|Aluminum anodized|Anodized aluminium|Anodized aluminum|Zinc alloy"
 GENERIC = "Stainless steel|thermoplastic|brass|steel|aluminium|aluminum|polyamide|nylon|PVC|PTFE"
 
+GENERIC_WORD = rf"(?i)\b({GENERIC})\b"
+MATERIAL_LABEL = rf"(?i)\b(?:housing\s+material|body\s+material|material)\s*[:=-]\s*(?:{GENERIC})(?=\s*(?:[.;,\n]|$))"
 VOLTAGE = r"(?i)(?:rated\s+voltage|supply\s+voltage|operating\s+voltage|voltage|rating)?[:\s]*([0-9]+(?:\.[0-9]+)?)\s*(?:(?:to|-|–|—|\.\.\.|…)\s*([0-9]+(?:\.[0-9]+)?))?\s*(VAC|VDC|Volts|Volt|mV|kV|V)(?![A-Za-z])"
 CURRENT = r"(?i)(?:current|current\s+rating|max\s+current|current\s+consume|rating)?[:\s]*([0-9]+(?:\.[0-9]+)?)\s*(mA|Amps|Amp|A)(?![A-Za-z])"
 IP_CODE = r"(?i)\b(IP[-_\s]?[0-9]{2,3}K?)\b"
@@ -54,7 +56,7 @@ FIELD = "struct<field_key:string,is_core:boolean,label:string,value:string,unit:
 
 
 def group(text: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    return no_blank(F.regexp_extract(text, pattern, k))
 
 
 def number(c: Column) -> Column:
@@ -71,8 +73,7 @@ def window(text: Column, pattern: str, before: int, after: int) -> Column:
 
 def context_word(near: Column, words: list[str]) -> Column:
     """The first listed word that stands in the window."""
-    low = F.lower(near)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words])
+    return let(F.lower(near), lambda low: F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(0)))
 
 
 def year_like(n: Column) -> Column:
@@ -88,61 +89,46 @@ def _field(key: str, value: Column, unit: Column | None, snippet: Column, confid
     ).cast(FIELD)
 
 
-def _rating(text: Column, key: str, pattern: str, words: list[str], strong: str, unit_group: int, low: float, high: float, sure: tuple[float, float, float], unit: Column, hedges: str, is_range: bool) -> Column:
-    found = group(text, pattern, 0)
-    first = group(text, pattern, 1).try_cast("double")
-    second = group(text, pattern, 2).try_cast("double") if is_range else F.lit(None).cast("double")
-    word = context_word(window(text, pattern, 45, 20), words)
-    is_strong = F.coalesce(group(text, pattern, unit_group).rlike(f"(?i)^({strong})$"), F.lit(False))
+def _rating(name: str, key: str, words: list[str], strong: str, unit_group: int, low: float, high: float, sure: tuple[float, float, float], unit: Column, hedges: str, is_range: bool) -> Column:
+    """From the columns ``<name>0``.. (groups of the first match) and ``<name>_near`` (its surroundings)."""
+    found = F.col(f"{name}0")
+    first = F.col(f"{name}1").try_cast("double")
+    second = F.col(f"{name}2").try_cast("double") if is_range else F.lit(None).cast("double")
+    word = F.col(f"{name}_word")
+    is_strong = F.coalesce(F.lower(F.col(f"{name}{unit_group}")).isin(*strong.lower().split("|")), F.lit(False))
     plausible = first.between(low, high) & F.coalesce(second.between(low, high), F.lit(True))
     year = year_like(first) & F.coalesce(year_like(second), F.lit(True)) & ~is_strong & (word.isNull() if is_range else F.lit(True))
     refusal = F.when(found.isNull(), "not found").when(~plausible, "outside the plausible range").when(year, "reads as a calendar year").when(word.isNull() & ~is_strong, "no context near the number")
     shown = F.when(second.isNotNull(), F.concat(number(first), F.lit("–"), number(second))).otherwise(number(first))
-    hedged = F.lower(text).rlike(hedges)
-    confidence = F.when(hedged, sure[2]).when(word.isNotNull(), sure[0]).otherwise(sure[1])
+    confidence = F.when(F.col("low_text").rlike(hedges), sure[2]).when(word.isNotNull(), sure[0]).otherwise(sure[1])
     reason = F.coalesce(F.concat(F.lit("rejected: "), refusal), F.concat(F.lit("pattern with context '"), word, F.lit("'")), F.lit("pattern with an unambiguous unit"))
     return _field(key, F.when(refusal.isNull(), shown), unit, found, confidence, reason)
 
 
-def _simple(text: Column, key: str, pattern: str, confidence: float, change=lambda c: c) -> Column:
-    found = group(text, pattern, 0)
-    return _field(key, change(group(text, pattern, 1)), None, found, F.lit(confidence), F.when(found.isNull(), "not found").otherwise("pattern"))
+def _simple(key: str, found: str, confidence: float, change=lambda c: c) -> Column:
+    c = F.col(found)
+    return _field(key, change(c), None, c, F.lit(confidence), F.when(c.isNull(), "not found").otherwise("pattern"))
 
 
-def _material(text: Column) -> Column:
-    compound, generic = rf"(?i)\b({COMPOUNDS})\b", rf"(?i)\b({GENERIC})\b"
-    one, other = group(text, compound, 1), group(text, generic, 1)
-    word = context_word(window(text, generic, 60, 40), MATERIAL_WORDS)
-    labelled = window(text, generic, 40, 24).rlike(rf"(?i)\b(?:housing\s+material|body\s+material|material)\s*[:=-]\s*(?:{GENERIC})(?=\s*(?:[.;,\n]|$))")
-    allowed = F.coalesce(labelled, F.lit(False)) | word.isNotNull()
-    value = F.coalesce(one, F.when(allowed, other))
-    snippet = F.coalesce(one, F.trim(window(text, generic, 60, 40)))
+def _material() -> Column:
+    one, other, word, labelled = (F.col(c) for c in ("m_one", "m_other", "m_word", "m_labelled"))
     reason = F.when(one.isNotNull(), "compound named").when(other.isNull(), "not found").when(labelled, "explicit label").when(word.isNotNull(), F.concat(F.lit("context '"), word, F.lit("'"))).otherwise("rejected: generic word without construction context")
-    return _field("material", value, None, snippet, F.when(one.isNotNull(), 0.90).otherwise(0.84), reason)
+    return _field("material", F.coalesce(one, F.when(labelled | word.isNotNull(), other)), None, F.coalesce(one, F.trim("m_near")), F.when(one.isNotNull(), 0.90).otherwise(0.84), reason)
 
 
-def _name(text: Column, hint: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("---") & ~x.startswith("Fetch Error") & ~x.startswith("Sparse Content"))
-    first = F.get(lines, F.lit(0))
-    part = group(text, r"\b([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)\b", 1)
-    kind = group(text, r"(?i)\b((?:[A-Za-z-]+\s){0,2}(?:sensor|connector|switch|relay|motor|pump|valve|encoder|cable|faucet|coupling|wheel|belt))\b", 1)
-    hinted = F.nullif(F.trim(hint), F.lit(""))
-    value = F.coalesce(hinted, F.concat_ws(" ", part, kind).substr(F.lit(1), F.when(part.isNotNull() & kind.isNotNull(), 200).otherwise(0)), first)
+def _name() -> Column:
+    hinted, part, kind, first = (F.col(c) for c in ("name_hinted", "n_part", "n_kind", "n_first"))
     value = F.coalesce(hinted, F.when(part.isNotNull() & kind.isNotNull(), F.concat_ws(" ", part, kind)), kind, part, first)
     confidence = F.when(hinted.isNotNull(), 0.95).when(part.isNotNull() & kind.isNotNull(), 0.92).when(kind.isNotNull(), 0.86).when(part.isNotNull(), 0.85).otherwise(0.45)
     return _field("product_name", value, None, F.coalesce(hinted, part, kind, first), confidence, F.lit("hint, part number, type phrase or first line"))
 
 
-def _category(text: Column, hint: Column) -> Column:
-    value = snippet = confidence = None
-    for pattern, label, sure in CATEGORIES:
-        hit = group(text, pattern, 1)
-        shown = F.initcap(hit) if label is None else F.lit(label)
-        value = F.when(hit.isNotNull(), shown) if value is None else value.when(hit.isNotNull(), shown)
-        snippet = F.when(hit.isNotNull(), hit) if snippet is None else snippet.when(hit.isNotNull(), hit)
-        confidence = F.when(hit.isNotNull(), sure) if confidence is None else confidence.when(hit.isNotNull(), sure)
-    hinted = F.nullif(F.trim(hint), F.lit(""))
-    return _field("category", F.coalesce(value, hinted, F.lit("Industrial Component")), None, F.coalesce(snippet, hinted, F.substring(text, 1, 30)), F.coalesce(confidence, F.when(hinted.isNotNull(), F.lit(0.95)), F.lit(0.60)), F.when(value.isNotNull(), "keyword").when(hinted.isNotNull(), "hint").otherwise("default"))
+def _category() -> Column:
+    at, hit, hinted = F.col("cat_at"), F.col("cat_hit"), F.col("category_hinted")
+    label = F.coalesce(F.get(F.array(*[F.lit(x).cast("string") for _, x, _ in CATEGORIES]), at - 1), F.initcap(hit))
+    sure = F.get(F.array(*[F.lit(x) for _, _, x in CATEGORIES]), at - 1)
+    known = at > 0
+    return _field("category", F.when(known, label).otherwise(F.coalesce(hinted, F.lit("Industrial Component"))), None, F.when(known, hit).otherwise(F.coalesce(hinted, F.substring("text", 1, 30))), F.when(known, sure).otherwise(F.when(hinted.isNotNull(), 0.95).otherwise(0.60)), F.when(known, "keyword").when(hinted.isNotNull(), "hint").otherwise("default"))
 
 
 def _dynamic(text: Column) -> list[Column]:
@@ -179,39 +165,65 @@ def extract(texts: DataFrame) -> DataFrame:
     Texts under 10 characters, and null ones, give their 11 core fields as ``flagged_validation_error``. Of dynamic
     fields with one key the pattern's comes before the specification row's. There is no shuffle.
     """
-    text = F.coalesce(F.col("raw_text"), F.lit(""))
-    low = text
-    temp_low, temp_high = group(text, TEMPERATURE, 1), group(text, TEMPERATURE, 2)
-    temp_unit = F.coalesce(group(text, TEMPERATURE, 3), F.lit("°C"))
-    certificates = F.regexp_extract_all(text, F.lit(CERTIFICATE), 1)
+    text = F.col("text")
+    t = texts.withColumn("text", F.coalesce("raw_text", F.lit("")))
+    t = t.withColumns(
+        {
+            **{f"v{k}": group(text, VOLTAGE, k) for k in range(4)}, **{f"c{k}": group(text, CURRENT, k) for k in range(3)}, **{f"t{k}": group(text, TEMPERATURE, k) for k in range(4)},
+            "v_near": window(text, VOLTAGE, 45, 20), "c_near": window(text, CURRENT, 45, 20), "low_text": F.lower("text"), "certificates": F.regexp_extract_all(text, F.lit(CERTIFICATE), 1),
+            "dynamic": F.concat(F.array_compact(F.array(*_dynamic(text))), spec_rows(text)), "usable": F.length(F.trim("text")) >= 10,
+            "name_hinted": no_blank(F.trim("name_hint")), "category_hinted": no_blank(F.trim("category_hint")), "n_part": group(text, r"\b([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)\b", 1),
+            "n_kind": group(text, r"(?i)\b((?:[A-Za-z-]+\s){0,2}(?:sensor|connector|switch|relay|motor|pump|valve|encoder|cable|faucet|coupling|wheel|belt))\b", 1),
+            "n_first": F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.rlike("^(?:---|Fetch Error|Sparse Content)")), F.lit(0)),
+            "cats": F.array(*[group(text, pattern, 1) for pattern, _, _ in CATEGORIES]), "ip": group(text, IP_CODE, 1), "plug": group(text, CONNECTOR, 1), "mount": group(text, MOUNTING, 1),
+            "m_one": group(text, rf"(?i)\b({COMPOUNDS})\b", 1), "m_other": group(text, GENERIC_WORD, 1), "m_near": window(text, GENERIC_WORD, 60, 40), "m_close": window(text, GENERIC_WORD, 40, 24),
+        }
+    )
+    t = t.withColumns({"v_word": context_word(F.col("v_near"), VOLTAGE_WORDS), "c_word": context_word(F.col("c_near"), CURRENT_WORDS), "keys": F.transform("dynamic", lambda d: d["field_key"]), "m_word": context_word(F.col("m_near"), MATERIAL_WORDS), "m_labelled": F.coalesce(F.col("m_close").rlike(MATERIAL_LABEL), F.lit(False)), "cat_at": F.array_position(F.transform("cats", lambda c: c.isNotNull()), True).cast("int")})
+    t = t.withColumn("cat_hit", F.get("cats", F.col("cat_at") - 1))
+    temp_unit = F.coalesce("t3", F.lit("°C"))
     core = [
-        _name(text, F.col("name_hint")),
-        _category(text, F.col("category_hint")),
-        _rating(text, "voltage_rating", VOLTAGE, VOLTAGE_WORDS, "VAC|VDC|Volts|mV|kV", 3, 0.1, 40000.0, (0.90, 0.78, 0.50), F.lit("V"), "supposedly|around|maybe", True),
-        _rating(text, "current_rating", CURRENT, CURRENT_WORDS, "mA|Amps|Amp", 2, 0.0001, 5000.0, (0.88, 0.76, 0.55), F.when(group(text, CURRENT, 2).rlike("(?i)^mA$"), "mA").otherwise("A"), "maybe|around", False),
-        _simple(text, "ip_rating", IP_CODE, 0.94, F.upper),
-        _simple(text, "connector_type", CONNECTOR, 0.89),
-        _field("operating_temperature_min", number(temp_low), temp_unit, group(low, TEMPERATURE, 0), F.lit(0.85), F.lit("labelled range")),
-        _field("operating_temperature_max", number(temp_high), temp_unit, group(low, TEMPERATURE, 0), F.lit(0.85), F.lit("labelled range")),
-        _material(text),
-        _field("certifications", F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(certificates, F.upper))), ", "), F.lit("")), None, F.array_join(certificates, ", "), F.lit(0.92), F.lit("pattern")),
-        _simple(text, "mounting_type", MOUNTING, 0.86),
+        _name(),
+        _category(),
+        _rating("v", "voltage_rating", VOLTAGE_WORDS, "VAC|VDC|Volts|mV|kV", 3, 0.1, 40000.0, (0.90, 0.78, 0.50), F.lit("V"), "supposedly|around|maybe", True),
+        _rating("c", "current_rating", CURRENT_WORDS, "mA|Amps|Amp", 2, 0.0001, 5000.0, (0.88, 0.76, 0.55), F.when(F.lower("c2") == "ma", "mA").otherwise("A"), "maybe|around", False),
+        _simple("ip_rating", "ip", 0.94, F.upper),
+        _simple("connector_type", "plug", 0.89),
+        _field("operating_temperature_min", number(F.col("t1")), temp_unit, F.col("t0"), F.lit(0.85), F.lit("labelled range")),
+        _field("operating_temperature_max", number(F.col("t2")), temp_unit, F.col("t0"), F.lit(0.85), F.lit("labelled range")),
+        _material(),
+        _field("certifications", no_blank(F.array_join(F.array_sort(F.array_distinct(F.transform("certificates", F.upper))), ", ")), None, F.array_join("certificates", ", "), F.lit(0.92), F.lit("pattern")),
+        _simple("mounting_type", "mount", 0.86),
     ]
-    dynamic = F.concat(F.array_compact(F.array(*_dynamic(text))), spec_rows(text))
-    keys = F.transform(dynamic, lambda d: d["field_key"])
-    first_of_key = F.filter(dynamic, lambda d, i: (F.array_position(keys, d["field_key"]) == i + 1) & (d["field_key"] != ""))
-    usable = F.length(F.trim(text)) >= 10
-    fields = F.when(usable, F.concat(F.array(*core), first_of_key)).otherwise(F.array(*[_field(k, F.lit(None).cast("string"), None, F.lit(None).cast("string"), F.lit(0.0), F.lit("no usable text")) for k in CORE]))
-    out = texts.select("product_id", "raw_text", usable.alias("usable"), F.posexplode(fields).alias("pos", "f")).select("product_id", "raw_text", "usable", "pos", "f.*")
-    return out.withColumns({"is_grounded": F.when(F.col("value").isNotNull(), grounded(F.col("snippet"), F.col("raw_text"))), "evidence_ok": numeric_evidence(F.col("value"), F.col("snippet")) & material_evidence(F.col("field_key"), F.col("value"), F.col("snippet"))})
+    first_of_key = F.filter("dynamic", lambda d, i: (F.array_position(F.col("keys"), d["field_key"]) == i + 1) & (d["field_key"] != ""))
+    nothing = F.array(*[_field(k, F.lit(None).cast("string"), None, F.lit(None).cast("string"), F.lit(0.0), F.lit("no usable text")) for k in CORE])
+    out = t.withColumn("fields", F.when(F.col("usable"), F.concat(F.array(*core), first_of_key)).otherwise(nothing)).withColumn("norm_text", _normal(F.col("raw_text")))
+    out = out.select("product_id", "raw_text", "norm_text", "usable", F.posexplode("fields").alias("pos", "f")).select("product_id", "raw_text", "norm_text", "usable", "pos", "f.*")
+    checks = {"is_grounded": F.when(F.col("value").isNotNull(), _stands(F.col("snippet"), F.col("norm_text"))), "evidence_ok": numeric_evidence(F.col("value"), F.col("snippet")) & material_evidence(F.col("field_key"), F.col("value"), F.col("snippet"))}
+    return out.withColumns(checks).drop("norm_text")
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row, also where ``use`` names it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _normal(text: Column) -> Column:
+    return F.lower(squeeze(F.coalesce(text, F.lit(""))))
+
+
+def _stands(snippet: Column, normal_text: Column) -> Column:
+    def judge(z: Column) -> Column:
+        parts = F.regexp_extract_all(z["s"], F.lit(r"([a-z0-9°µ.\-/]+)"), 1)
+        share = let(parts, lambda p: (F.size(p) > 0) & (F.size(F.filter(p, lambda x: F.contains(z["t"], x))) >= 0.8 * F.size(p)))
+        return (z["s"] != "") & (F.contains(z["t"], z["s"]) | share)
+
+    return F.coalesce(let(F.struct(F.lower(squeeze(snippet)).alias("s"), normal_text.alias("t")), judge), F.lit(False))
 
 
 def grounded(snippet: Column, text: Column) -> Column:
     """The snippet, white space and case aside, stands in the text, or four fifths of its tokens do."""
-    s, t = F.lower(squeeze(snippet)), F.lower(squeeze(F.coalesce(text, F.lit(""))))
-    parts = F.regexp_extract_all(s, F.lit(r"([a-z0-9°µ.\-/]+)"), 1)
-    share = F.size(F.filter(parts, lambda x: F.contains(t, x))) >= 0.8 * F.size(parts)
-    return F.coalesce((s != "") & (F.contains(t, s) | ((F.size(parts) > 0) & share)), F.lit(False))
+    return _stands(snippet, _normal(text))
 
 
 def _numbers(c: Column) -> Column:

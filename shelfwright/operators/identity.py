@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import brand_key, is_placeholder
+from ..functions.text import brand_key, is_placeholder, no_blank
 from .similarity import best_matches, ratio
 
 ACCEPT, SUGGEST = 0.88, 0.72
@@ -15,7 +15,7 @@ _PARTS = ["manufacturer_name", "manufacturer_code", "brand_name", "brand_code"]
 
 def brand_index(brands: DataFrame) -> DataFrame:
     """``key`` and the approved pair: manufacturers before brands, the first row of a key."""
-    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    text = lambda c: no_blank(F.trim(c))
     pair = F.struct(text("MANUFACTURER_NAME").alias("manufacturer_name"), text("MANUFACTURER_CODE").alias("manufacturer_code"), F.coalesce(text("BRAND_NAME"), text("MANUFACTURER_NAME")).alias("brand_name"), text("BRAND_CODE").alias("brand_code"))
     either = F.explode(F.array(F.struct(brand_key(F.col("MANUFACTURER_NAME")).alias("key"), F.lit(0).alias("kind")), F.struct(brand_key(F.col("BRAND_NAME")).alias("key"), F.lit(1).alias("kind"))))
     rows = brands.select(pair.alias("pair"), "ordinal", either.alias("k")).select("pair", "ordinal", "k.*").where("key <> ''")

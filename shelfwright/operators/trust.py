@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extra_key, percent
+from ..functions.text import extra_key, no_blank, percent
 
 LEAST_CONFIDENCE = 0.65
 #: Core fields in order, their public label, and whether titles carry them.
@@ -63,7 +63,7 @@ def records(gated: DataFrame, identity: DataFrame | None = None) -> DataFrame:
     own = F.array(F.lower(F.coalesce("product_name", F.lit(""))), F.lower(F.coalesce("item_type", F.lit(""))))
     kept = F.filter("entries", lambda e, i: (e["place"] < 100) | ((F.array_position(values, F.lower(F.trim(e["value"]))) == i + 1) & ~F.array_contains(own, F.lower(F.trim(e["value"])))))
     out = out.withColumn("attributes", F.transform(kept, lambda e: F.struct(e["label"].alias("label"), e["value"].alias("value"), e["unit"].alias("unit"), e["is_key"].alias("is_key"))))
-    named = F.nullif(F.regexp_extract(F.upper(F.coalesce("product_name", F.lit(""))), r"^\s*([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)", 1), F.lit(""))
+    named = no_blank(F.regexp_extract(F.upper(F.coalesce("product_name", F.lit(""))), r"^\s*([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)", 1))
     if identity is not None:
         out = out.join(identity, "product_id", "left").withColumn("mpn", F.coalesce("mpn", named))
     else:
