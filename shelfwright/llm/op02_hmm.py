@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, words_of
 
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 1_000_000
+#: Tokens that Baum-Welch holds at once.
+AT_ONCE = 200_000
 STATES, ROUNDS, TOP, SUFFIXES, SEGMENT = 8, 5, 2000, 512, 128
 SEED = 7
 END = b" end "  # holds white space, so it is no word
-_BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, wide boolean, hashes binary, counts binary, suffixes binary"
+_BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, counts binary, suffixes binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,18 +45,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> pa.RecordBatch:
         flat = np.concatenate(held_ids)
         train = np.concatenate([np.full(len(x), not d[1]) for d, x in zip(docs, held_ids, strict=True)])
-        counts = np.bincount(flat[train], minlength=len(vocabulary)).astype(np.int64)
+        counts = np.bincount(flat[train], minlength=len(vocabulary)).astype(np.int32)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in vocabulary), np.int64, len(vocabulary))
         suffixes = np.fromiter((xxhash.xxh3_64_intdigest(w[-2:]) % SUFFIXES for w in vocabulary), np.uint16, len(vocabulary))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable")
+        place = np.empty(len(order), "<u4")
         place[order] = np.arange(len(order), dtype=np.uint32)
-        wide = len(vocabulary) > 65536
+        planes = place[flat].view(np.uint8).reshape(-1, 4).T.tobytes()  # frequent words have small ids, so most high bytes are 0
         return pa.RecordBatch.from_pylist(
             [
                 {
-                    "block": part << 32 | number, "doc_ids": [d[0] for d in docs], "held": [d[1] for d in docs], "lengths": [len(x) for x in held_ids], "ids": place[flat].astype(np.uint32 if wide else np.uint16).tobytes(),
-                    "wide": wide, "hashes": hashes[order].tobytes(), "counts": counts[order].tobytes(), "suffixes": suffixes[order].tobytes(),
+                    "block": part << 32 | number, "doc_ids": [d[0] for d in docs], "held": [d[1] for d in docs], "lengths": [len(x) for x in held_ids], "ids": planes,
+                    "hashes": hashes[order].tobytes(), "counts": counts[order].tobytes(), "suffixes": suffixes[order].tobytes(),
                 }
             ],
             schema=_schema(),
@@ -86,13 +88,13 @@ def _array(row: dict, name: str, kind) -> np.ndarray:
 
 
 def _ids(row: dict) -> np.ndarray:
-    return _array(row, "ids", np.uint32 if row["wide"] else np.uint16)
+    return np.ascontiguousarray(_array(row, "ids", np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            n = _array(row, "counts", np.int64)
+            n = _array(row, "counts", np.int32).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(_array(row, "hashes", np.int64)[n > 0]), pa.array(_array(row, "suffixes", np.uint16)[n > 0].astype(np.int32)), pa.array(n[n > 0])], ["hash", "suffix", "n"])
 
 
@@ -189,8 +191,13 @@ def _baum_welch(batches: Iterator[pa.RecordBatch], model: Model, top: np.ndarray
             pieces = -(-lengths // SEGMENT)
             cut = np.full(pieces.sum(), SEGMENT)
             cut[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * SEGMENT
-            counts = expected(model, symbols, cut)
-            total = counts if total is None else total + counts
+            ends = np.cumsum(cut)
+            first = 0
+            while first < len(cut):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+                counts = expected(model, symbols[ends[first] - cut[first] : ends[last - 1]], cut[first:last])
+                total = counts if total is None else total + counts
+                first = last
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int64)), pa.array(total)], ["cell", "n"])
 
@@ -204,7 +211,8 @@ def _scored(blocks: pa.Table, known: pa.Table, model: Model, top: np.ndarray, to
     for row in blocks.to_pylist():
         hashes = _array(row, "hashes", np.int64)
         counts = np.zeros(len(hashes))
-        counts[np.searchsorted(hashes, found)] = n
+        order = np.argsort(hashes, kind="stable")
+        counts[order[np.searchsorted(hashes, found, sorter=order)]] = n
         classes = classes_of(hashes, _array(row, "suffixes", np.uint16), top)
         ids, lengths = _ids(row), np.array(row["lengths"], np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -245,7 +253,7 @@ def hmm_scores(docs: DataFrame, held_out: str | None = None, states: int = STATE
     prior = 5 * weights / weights.sum()
 
     model = Model.first(weights, states, SEED)
-    trained = blocks.select("lengths", "held", "ids", "wide", "hashes", "suffixes")
+    trained = blocks.select("lengths", "held", "ids", "hashes", "suffixes")
     for _ in range(rounds if tokens else 0):
         cells = np.zeros(states + states**2 + len(weights) * states)
         for r in trained.mapInArrow(functools.partial(_baum_welch, model=model, top=top_hashes), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
