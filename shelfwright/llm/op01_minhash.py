@@ -8,9 +8,11 @@ a class, and only classes are compared.
   ones alone, so only classes whose sketch is mostly frequent values can form one. In each value's list they are held
   against a pivot, first the most central class (whose own values are the most frequent: the origin of a family before
   its copies). A class that is not linked with the pivot and has at most OUTSIDE percent of its set in common with it
-  leaves that list: a partner at the threshold must share more than that, so shares what is not the pivot's, and
-  meets it in another list. Next, 4, 16, ... pivots come from those that are left outside the first pivot's component,
-  until none is. No list is cut, and no pair within one component is enumerated.
+  leaves that list: a partner at the threshold must share more than that, so shares what is not the pivot's. For each
+  frequent value that the class has outside the pivot, a new list holds all that met this pivot and have the value, the
+  partner too, whether it left or stayed; these lists are then worked like the first ones, without the pivot, until no
+  class leaves with such values. Next, 4, 16, ... pivots come from those that are left outside the first pivot's
+  component, until none is. No list is cut, and no pair within one component is enumerated.
 
 Candidates whose union sketch cannot belong to a pair at the threshold are dropped (six standard deviations; sketches
 that hold a whole set decide exactly). The rest are confirmed on full shingle sets, in order of need: first one partner
@@ -35,7 +37,7 @@ WIDTH = 5
 PERCENT = 75
 K = 96
 RARE = 40
-#: Of a sketch's values, so many (smallest first) enter the inverted lists of rare and of frequent values.
+#: Of a sketch's values, so many (smallest first) enter the first inverted lists of rare and of frequent values.
 FEW_RARE, FEW_FREQUENT = 24, 10
 #: A class shares this much of its set with a pivot at most, and leaves the pivot's list.
 OUTSIDE = 60
@@ -103,13 +105,14 @@ def _estimated(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked, low = [], []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+        linked, low, outside = [], [], []
+        for x, y, f in zip(batch.column("set_a"), batch.column("set_b"), batch.column("frequent"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            low.append(100 * both <= OUTSIDE * len(x))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(low, pa.bool_())], ["a", "b", "linked", "low"])
+            low.append(not linked[-1] and 100 * both <= OUTSIDE * len(x))
+            outside.append(np.setdiff1d(f.values.to_numpy(), y.view(np.int64)) if low[-1] and f.is_valid else None)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(low, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "linked", "low", "outside"])
 
 
 class _Linker:
@@ -140,25 +143,32 @@ class _Linker:
         if not rest.isEmpty():
             self._add(rest)
 
-    def _add(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, linked, low`` (a has little of its set in b) by full sets; the links are kept."""
+    def _add(self, pairs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+        """``a, b, linked, low, outside`` by full sets; the links are kept. Low: not linked, and a has little of its set in b; outside: a's frequent values that b lacks."""
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         rows = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
         sets = materialize(rows.mapInArrow(functools.partial(_sets, width=self.width), "node long, members binary"), "sets")
         a, b = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        verdicts = materialize(both.mapInArrow(functools.partial(_confirmed, percent=self.percent), "a long, b long, linked boolean, low boolean"), "verdicts")
+        both = pairs.select("a", "b").join(a, "a").join(b, "b")
+        both = both.withColumn("frequent", F.lit(None).cast("array<long>")) if frequent is None else both.join(frequent.withColumnRenamed("node", "a"), "a")
+        both = both.select("a", "b", "set_a", "set_b", "frequent")
+        verdicts = materialize(both.mapInArrow(functools.partial(_confirmed, percent=self.percent), "a long, b long, linked boolean, low boolean, outside array<long>"), "verdicts")
         links = verdicts.where("linked").select("a", "b")
         if not links.isEmpty():
             self.links = links if self.links is None else self.links.unionByName(links)
             self.labels = components(self.links)
         return verdicts
 
-    def pivot(self, entries: DataFrame) -> None:
-        """Links among the ``node, central, value`` entries of frequent values, round by round."""
-        left = materialize(entries, "frequent")
-        first, pivots = None, 1
+    def pivot(self, entries: DataFrame, frequent: DataFrame) -> None:
+        """Links among the ``node, central, value`` entries of frequent values; ``frequent`` has all of a node's (``node, frequent``)."""
+        entries = entries.withColumn("path", F.lit(0).cast("long"))
+        while entries is not None:
+            entries = self._pivoted(materialize(entries, "frequent"), frequent)
+
+    def _pivoted(self, left: DataFrame, frequent: DataFrame) -> DataFrame | None:
+        """Works ``node, central, value, path`` entries round by round; returns those of the new lists, if any. Path: the pivots that a list's members have left."""
+        first, pivots, new = None, 1, None
         while not left.isEmpty():
             left = _with_labels(left, self.labels)
             if first is None:
@@ -171,14 +181,34 @@ class _Linker:
                 if chosen.isEmpty():
                     break
                 left = left.join(chosen.select("value").distinct(), "value", "left_semi")
-            met = left.select("node", "central", "value", "component").join(chosen.select(F.col("node").alias("pivot"), F.col("component").alias("its"), "value"), "value")
+            met = left.select("node", "central", "value", "path", "component").join(chosen.select(F.col("node").alias("pivot"), F.col("component").alias("its"), "value"), "value")
             met = materialize(met, "met")
-            verdicts = self._add(met.where("component <> its").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-            out = F.max(F.col("node") == F.col("pivot")) | F.coalesce(F.max(~F.col("linked") & F.col("low")), F.lit(False))
-            judged = met.join(verdicts, (met["node"] == verdicts["a"]) & (met["pivot"] == verdicts["b"]), "left")
-            kept = judged.groupBy("node", "value").agg(F.first("central").alias("central"), out.alias("out")).where("not out")
-            left = materialize(kept.select("node", "central", "value"), "left")
+            verdicts = self._add(met.where("component <> its").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), frequent)
+            judged = met.join(verdicts.select("a", "b", "low"), (met["node"] == verdicts["a"]) & (met["pivot"] == verdicts["b"]), "left")
+            done = judged.groupBy("node", "value").agg(
+                F.first("central").alias("central"), F.first("path").alias("path"), F.max(F.col("node") == F.col("pivot")).alias("is_pivot"), F.min(F.when(F.col("low"), F.col("pivot"))).alias("by")
+            )
+            done = materialize(done, "done")
+            lists = self._regrouped(met, done.where("not is_pivot and by is not null"), verdicts, frequent)
+            if lists is not None:
+                new = lists if new is None else new.unionByName(lists)
+            left = materialize(done.where("not is_pivot and by is null").select("node", "central", "value", "path"), "left")
             pivots *= 4
+        return None if new is None else new.distinct()
+
+    def _regrouped(self, met: DataFrame, gone: DataFrame, verdicts: DataFrame, frequent: DataFrame) -> DataFrame | None:
+        """Entries of the lists for those that left by a pivot: all that met it and have a frequent value that one of them has outside it."""
+        why = verdicts.where("low").select(F.col("a").alias("node"), F.col("b").alias("by"), "outside")
+        keys = gone.select("node", "path", "by").distinct().join(why, ["node", "by"]).select("path", F.col("by").alias("pivot"), F.explode("outside").alias("u")).distinct()
+        keys = materialize(keys, "keys")
+        if keys.isEmpty():
+            return None
+        there = met.where("node <> pivot").select("node", "central", "path", "pivot").distinct().join(keys.select("path", "pivot").distinct(), ["path", "pivot"], "left_semi")
+        there = there.join(frequent, "node").select("node", "central", "path", "pivot", F.explode("frequent").alias("u")).join(keys, ["path", "pivot", "u"])
+        there = there.withColumn("path", F.xxhash64("path", "pivot")).select("node", "central", F.xxhash64("path", "u").alias("value"), "path").distinct()
+        there = materialize(there, "there")
+        shared = there.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+        return materialize(there.join(shared, "value", "left_semi"), "lists")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, rare: int = RARE) -> DataFrame:
@@ -213,7 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pairs = listed.select(F.col("node").alias("a"), "value").join(listed.select(F.col("node").alias("b"), "value"), "value").where("a > b").select("a", "b").distinct()
     linker.confirm(linker.estimated(pairs))
 
-    linker.pivot(entries.where("mostly").select("node", "central", F.explode(F.slice("frequent", 1, FEW_FREQUENT)).alias("value")))
+    mostly = entries.where("mostly").select("node", "central", "frequent")
+    linker.pivot(mostly.select("node", "central", F.explode(F.slice("frequent", 1, FEW_FREQUENT)).alias("value")), mostly.select("node", "frequent"))
     labels = linker.labels
 
     out = rows.join(classes.select("set_key", F.col("node").alias("class_id")), "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

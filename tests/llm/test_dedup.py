@@ -52,6 +52,23 @@ def test_components_match_brute_force(spark, rare):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def two_passages(seed=9):
+    rng = random.Random(seed)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = (text(40) for _ in range(4))
+    docs = [one + " " + text(5) + " " + two for one, two in ((a, c), (b, d)) for _ in range(20)]  # many hold the first and something hotter
+    docs += [f"{text(40)} {one}" for one in (c, d) for _ in range(30)]
+    return list(enumerate(docs + [f"{a} {text(6)} {b}" for _ in range(3)]))
+
+
+def test_near_copies_of_two_hot_passages(spark):
+    rows = two_passages()
+    out = op1.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rare=5).collect()
+    wanted = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == wanted
+    assert [wanted[k][1] for k, _ in rows[-3:]] == [rows[-3][0]] * 3
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (2, None, "z"), (3, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
