@@ -1,11 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: shingles that a near passage cannot lack, then exact weighted-shingle similarity at every place.
 
-Windows come in size classes (a geometric row). An item of L words is held against windows of the largest class that
-fits it with room for the stride: text windows start at every multiple of the class's stride, and the item contributes
-one fingerprint for each of its first ``stride`` offsets, so a verbatim passage always meets one window at distance 0.
-The index cuts the 64 bits in four blocks and lists, for each value of a block, the fingerprints within two bits of it:
-by the pigeonhole principle every fingerprint within RADIUS = 11 bits is found. What is found is verified on the words:
-5-word shingles weighted by their letters, 0.75 or more of the union shared with the item's length of text there.
+A text holds an item where its words, over the item's length, share 0.75 or more of the union of 5-word shingles, weighted
+by their letters. Such a place lacks at most a quarter of the item's weight, so of any shingles that together weigh more
+than a quarter it has at least one. Each item lists so many of its shingles, those that the fewest items have first (of
+equals the heaviest). Every shingle of every text is looked up, and around each hit all starts that cover it are tried,
+with sums kept up word by word. So nothing at the threshold is missed, wherever the edits or the cut ends lie.
 
 Items are taken in blocks of ITEMS, each collected (a bounded table) and held against all texts in one scan.
 """
@@ -13,6 +12,7 @@ Items are taken in blocks of ITEMS, each collected (a bounded table) and held ag
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +56,7 @@ def _prints(sums: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of one size class, found by blocks within two bits."""
+    """Fingerprints found by blocks within two bits; not used by the search, whose shingles miss nothing."""
 
     def __init__(self, prints: np.ndarray, items: np.ndarray, offsets: np.ndarray):
         self.prints, self.items, self.offsets, self.blocks = prints, items, offsets, []
@@ -91,19 +91,63 @@ def similarity(x: dict[bytes, int], y: dict[bytes, int]) -> float:
     return both / union if union else 0.0
 
 
-def build(items: list[list[bytes]]) -> dict[tuple[int, int], Index]:
-    rows: dict[tuple[int, int], list] = {}
-    for k, words in enumerate(items):
-        if words:
-            window, stride = class_of(len(words))
-            starts = np.arange(min(stride, len(words) - window + 1))
-            rows.setdefault((window, stride), []).append((_prints(_sums(words), starts, window), np.full(len(starts), k), starts))
-    return {c: Index(*(np.concatenate(x) for x in zip(*v, strict=True))) for c, v in rows.items()}
+def _shingled(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and letters (as in ``weighted``) of the shingles of exactly ``width`` words, by their first word."""
+    n = max(len(words) - width + 1, 0)
+    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+    out = np.full(n, width, np.uint64)
+    for j in range(width if n else 0):
+        out = (out ^ ids[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out, ends[width : width + n] - ends[:n] + width - 1
+
+
+def build(items: list[list[bytes]]) -> tuple[list[dict[int, int]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Each item's shingles with their letters; by shingle width the listed ones, sorted, and the items that list them."""
+    shingles = [dict(zip(*(x.tolist() for x in _shingled(w, min(WIDTH, len(w)))), strict=True)) if w else {} for w in items]
+    held = Counter(h for s in shingles for h in s)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for k, own in enumerate(shingles):
+        left = sum(own.values()) * (100 - PERCENT)
+        for h in sorted(own, key=lambda h: (held[h], -own[h], h)):
+            rows.setdefault(min(WIDTH, len(items[k])), []).append((h, k))
+            left -= 100 * own[h]
+            if left < 0:
+                break
+    return shingles, {n: (np.array([h for h, _ in v], np.uint64), np.array([k for _, k in v])) for n, v in ((n, sorted(v)) for n, v in rows.items())}
+
+
+def best_place(hashes: list[int], letters: list[int], own: dict[int, int], length: int, width: int, starts: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """(start, end) in words of the first most similar place of a text among the ranges of starts, where it reaches PERCENT."""
+    whole, top, found = sum(own.values()), (PERCENT, 100), None
+    for low, high in starts:
+        seen: dict[int, int] = {}
+        both = total = a = b = 0  # shingles a to b - 1 are in the window
+        for start in range(low, high + 1):
+            to, end = max(start, 0), min(start + length - width + 1, len(hashes))
+            while b < end or a < to:
+                grow = b < end
+                at = b if grow else a
+                h, n = hashes[at], letters[at]
+                if grow:
+                    b += 1
+                    seen[h] = seen.get(h, 0) + 1
+                    change = n if seen[h] == 1 else 0
+                elif at < b:
+                    a += 1
+                    seen[h] -= 1
+                    change = 0 if seen[h] else -n
+                total += change
+                both += change if h in own else 0
+            union = total + whole - both
+            if both * top[1] > top[0] * union or found is None and both * top[1] == top[0] * union:
+                top, found = (both, union), (to, end + width - 1)
+    return found
 
 
 def _matches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-    index = build([w for _, w in items])
-    shingles = [weighted(w) for _, w in items]
+    shingles, index = build([w for _, w in items])
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
     for batch in batches:
         out: list[dict] = []
@@ -123,22 +167,31 @@ def _matches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, list[byte
 def _search(texts: list[list[bytes]], ids: list, items: list, shingles: list, index: dict) -> list[dict]:
     lengths = np.array([len(t) for t in texts])
     first = np.concatenate(([0], np.cumsum(lengths)))
-    sums = _sums([w for t in texts for w in t])
-    spots: set[tuple[int, int, int]] = set()
-    for (window, stride), known in index.items():
-        n = np.maximum((lengths - window) // stride + 1, 0)
-        doc = np.repeat(np.arange(len(texts)), n)
-        start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
-        hit, fingerprint = known.near(_prints(sums, first[doc] + start, window))
-        spots.update(zip(doc[hit].tolist(), known.items[fingerprint].tolist(), (start[hit] - known.offsets[fingerprint]).tolist(), strict=True))
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for doc, k, start in spots:
-        item_id, item = items[k]
-        part = texts[doc][max(start, 0) : start + len(item)]
-        alike = similarity(weighted(part), shingles[k])
-        if 100 * alike >= PERCENT:
-            best[doc, k] = max(best.get((doc, k), (0.0, 1, 0)), (alike, -max(start, 0), len(part)))
-    return [{"doc_id": ids[d], "item_id": items[k][0], "start": -s, "n_words": n, "similarity": a} for (d, k), (a, s, n) in best.items()]
+    words = [w for t in texts for w in t]
+    out = []
+    for width, (known, holders) in index.items():
+        hashes, letters = _shingled(words, width)
+        low, high = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        ranges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for at in np.flatnonzero(high > low).tolist():
+            doc = int(np.searchsorted(first, at, "right")) - 1
+            at_word = at - int(first[doc])
+            if at_word + width > lengths[doc]:
+                continue  # it crosses into the next text
+            for k in holders[low[at] : high[at]].tolist():
+                spans, begin = ranges.setdefault((doc, k), []), at_word - len(items[k][1]) + width
+                if spans and begin <= spans[-1][1] + 1:
+                    spans[-1] = (spans[-1][0], at_word)
+                else:
+                    spans.append((begin, at_word))
+        for (doc, k), spans in ranges.items():
+            item_id, item = items[k]
+            here = slice(int(first[doc]), int(first[doc + 1]) - width + 1)
+            place = best_place(hashes[here].tolist(), letters[here].tolist(), shingles[k], len(item), width, spans)
+            if place is not None:
+                part = texts[doc][place[0] : place[1]]
+                out.append({"doc_id": ids[doc], "item_id": item_id, "start": place[0], "n_words": len(part), "similarity": similarity(weighted(part), weighted(item))})
+    return out
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

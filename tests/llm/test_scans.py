@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfwright.llm import op03_lines, op04_html, op06_license, op07_decontam, op09_packing, op10_balltree
@@ -82,6 +83,32 @@ def test_decontamination_finds_exact_and_near(spark):
     assert op07_decontam.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_matches_brute_force():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))).encode()
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([1, 3, 5, 12, 20, 20, 40, 40, 100, 100])]
+    texts = []
+    for k in range(150):
+        part = list(items[k % 10][1])
+        n, cut = len(part), rng.randrange(max(1, len(part) // 5))
+        at = rng.randrange(n - cut + 1)
+        part[at : at + cut] = [[word() for _ in range(cut)], [], [word() for _ in range(rng.randint(0, 3))]][k % 3]  # words replaced, dropped, or few for many
+        texts.append([word() for _ in range(rng.choice([0, 0, 30]))] + part + [word() for _ in range(rng.choice([0, 0, 30]))])
+    texts += [texts[8] + texts[18], texts[6] + texts[6], []]
+    wanted = {}
+    for d, text in enumerate(texts):
+        for k, item in items:
+            for start in range(-len(item) + 1, len(text)):
+                part = text[max(start, 0) : start + len(item)]
+                alike = op07_decontam.similarity(op07_decontam.weighted(part), op07_decontam.weighted(item))
+                if alike >= 0.75 and alike > wanted.get((d, k), (0,))[0]:
+                    wanted[d, k] = (alike, max(start, 0), len(part))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": [b" ".join(t).decode() for t in texts]})
+    found = [r for out in op07_decontam._matches(iter([batch]), items) for r in out.to_pylist()]
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"], r["n_words"]) for r in found}
+    assert len(wanted) > 60 and {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in wanted.items()}
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
