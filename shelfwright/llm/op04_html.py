@@ -1,4 +1,4 @@
-"""HTML extraction by tree scoring: paragraphs give their ancestors points, link density discounts them, the best container and its siblings stay."""
+"""HTML extraction by tree scoring: paragraphs give their ancestors points, link density discounts them, the best container and its siblings stay, link-dense ones aside."""
 
 from __future__ import annotations
 
@@ -160,26 +160,24 @@ def _blocks(node: Node, out: list[str]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the best container and of siblings that read like it, one a line; empty without any text."""
+    """The blocks of the best container (the whole article or main element that it lies in) and of its siblings, but link-dense ones without a good score, one a line; empty without any text."""
     if not page:
         return ""
     order = _score(parse(page))
     best = max((x for x in order if x.chars and x.tag not in ("a", "li", "p", "span", "b", "i", "em", "strong")), key=lambda x: x.score * (1 - _density(x)), default=None)
     if best is None:
         return ""
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
     top = best.score * (1 - _density(best))
-    keep = [best]
     if best.parent is not None:
-        keep = []
         for x in best.parent.items:
-            if x is best:
-                keep.append(x)
-            elif isinstance(x, Node) and not x.drop and x.chars:
-                if x.score * (1 - _density(x)) >= max(10, 0.2 * top) or x.tag in PARAGRAPH and x.chars > 80 and _density(x) < 0.25 or x.tag == "h1":
-                    keep.append(x)
+            if isinstance(x, Node) and x is not best and x.chars and _density(x) >= 0.25 and x.score * (1 - _density(x)) < max(10, 0.2 * top) and x.tag != "h1":
+                x.drop = True
     out: list[str] = []
-    for x in keep:
-        _blocks(x, out)
+    _blocks(best.parent or best, out)
     return "\n".join(t for t in (" ".join(b.split()) for b in out) if t)
 
 

@@ -45,6 +45,19 @@ def test_html(spark):
     assert got[1].text.count("\n") == 1 and "Links" not in got[1].text
 
 
+def test_html_keeps_the_whole_article():
+    line = lambda k: f"Sentence {k} of it, with commas, and a little more text to be long enough. " * 2
+    long, short = ("".join(f"<p>{line(k)}</p>" for k in ks) for ks in (range(40), range(40, 47)))
+    page = f"<body><article><section>{long}</section><section><h2>Further</h2>{short}<p>Short.</p><ul><li>One</ul></section></article><footer>x</footer></body>"
+    assert op04_html.main_text(page).split("\n") == [line(k).strip() for k in range(40)] + ["Further"] + [line(k).strip() for k in range(40, 47)] + ["Short.", "One"]
+
+
+def test_html_keeps_siblings_of_a_long_section():
+    line = "A sentence of it, with commas, and a little more text to be long enough. "
+    page = f"<body><div><div>{f'<p>{line * 2}</p>' * 40}</div>Bare <b>text</b>.<h2>Further</h2><div><p>{line}</p></div><ul><li><a href='/'>Link one</a></ul></div>"
+    assert op04_html.main_text(page).split("\n")[40:] == ["Bare text.", "Further", line.strip()]
+
+
 def test_license(spark):
     texts = ["Released under the MIT License.\nUnder the mit-license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC cc by nc", None, "", "under the MIT", "é mit", "This work is licensed under the GNU General Public License, version 3."]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[0])]
