@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Byte punctuation and white space that end a word are left to each operator; a word here is what bytes.split() gives.
-CACHE_LIMIT = 400_000
+#: Entries that a worker's memo holds at most; it starts afresh when full.
+CACHE_LIMIT = 150_000
+#: Bytes of text that a worker takes up at once (one longer text alone).
+PORTION = 2_000_000
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or one of our own in a local session without it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = "/tmp/checkpoints/shelfwright"
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -24,7 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize() wrote and that no later step reads."""
+    for table in tables:
+        path = _PATHS.pop(table, None) if table is not None else None
+        if path is not None:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -36,6 +58,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``most`` bytes of ``column``, so that a worker's memory does not follow the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class WordHash(dict):
     """Memo of a 64-bit hash per word (bytes); cleared when full, so a worker's memory stays bounded."""
 
@@ -48,6 +81,10 @@ class WordHash(dict):
         return value
 
 
+#: One memo a worker, whichever operator fills it.
+WORD_HASH = WordHash()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space; null counts as empty. Lone surrogates cannot occur in Spark strings."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,20 @@ def components(edges: DataFrame) -> DataFrame:
         hook = materialize(hook, "hook")
         up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         step = materialize(hook.join(up, "parent").select("node", F.col("grand").alias("component")), "labels")
+        to_a, to_b = (step.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        ahead = edges.join(to_a, "a").join(to_b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct()
+        ahead = materialize(ahead, "edges")
+        discard(hook, edges)
+        edges = ahead
         if total is None:
             total = step
         else:
             renamed = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            total = materialize(total.join(renamed, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
-        to_a, to_b = (step.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        edges = edges.join(to_a, "a").join(to_b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct()
-        edges = materialize(edges, "edges")
+            moved = materialize(total.join(renamed, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            discard(total, step)
+            total = moved
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    discard(edges)
     return total
+

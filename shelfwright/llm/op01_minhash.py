@@ -3,54 +3,52 @@
 One 64-bit hash function orders all shingles; a document's sketch is its K smallest. Documents with one shingle set form
 a class, and only classes are compared.
 
-* Rare values (retained by at most RARE classes): every pair in a value's inverted list is a candidate.
-* Frequent values (hot passages, large families of near copies): a pair that shares no rare value must share frequent
-  ones alone, so only classes whose sketch is mostly frequent values can form one. In each value's list they are held
-  against a pivot, first the most central class (whose own values are the most frequent: the origin of a family before
-  its copies). A class that is not linked with the pivot and has at most OUTSIDE percent of its set in common with it
-  leaves that list: a partner at the threshold must share more than that, so shares what is not the pivot's. For each
-  frequent value that the class has outside the pivot, a new list holds all that met this pivot and have the value, the
-  partner too, whether it left or stayed; these lists are then worked like the first ones, without the pivot, until no
-  class leaves with such values. Next, 4, 16, ... pivots come from those that are left outside the first pivot's
-  component, until none is. No list is cut, and no pair within one component is enumerated.
-
-Candidates whose union sketch cannot belong to a pair at the threshold are dropped (six standard deviations; sketches
-that hold a whole set decide exactly). The rest are confirmed on full shingle sets, in order of need: first one partner
-a class, then only pairs whose ends are still in different components.
+* Lists. Two sets at the threshold share at least ``fewest_shared`` of their retained values (a bound on the union
+  sketch, six standard deviations wide), so if each class orders its retained values from the rarest on and lists all but
+  the last ``fewest_shared`` - 1, the two meet in a list. Most classes have no listed value that another one has.
+* Short lists (RARE classes at most): every pair of classes in different components is a candidate. Those whose union
+  sketch cannot belong to a pair at the threshold are dropped; the rest are confirmed on full sets, first one partner a
+  class, then pairs whose ends are still in different components.
+* Long lists (large families of near copies, hot passages) come first and never give pairs. All classes of a list are
+  held against a pivot, the one whose own values are the most frequent. A class x that is not linked with pivot p has
+  |x & p| < c (|x| + |p|), c = PERCENT / (100 + PERCENT), and a partner y of x has |x & y| >= c (|x| + |y|). Where the
+  latter exceeds |x & p|, x and y share values outside p: they meet in a list of the next level, one for each value
+  among the KEPT smallest of x - p, in which all that met p take part. Where that is not sure enough (MISS), x stays and
+  meets further pivots, taken from those that stayed. Levels go on until no list holds two components.
+
+So no list is cut, and no pair within one component is enumerated.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from math import sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialize, words_of
+from .common import WORD_HASH, discard, materialize, portions, words_of
 from .components import components
 
 WIDTH = 5
 PERCENT = 75
 K = 96
 RARE = 40
-#: Of a sketch's values, so many (smallest first) enter the first inverted lists of rare and of frequent values.
-FEW_RARE, FEW_FREQUENT = 24, 10
-#: A class shares this much of its set with a pivot at most, and leaves the pivot's list.
-OUTSIDE = 60
-BROADCAST_IDS = 500_000
-_WORDS = WordHash()
+#: Values outside a pivot that a class is listed by, and the chance at which a pair may share values outside but none of these.
+KEPT, MISS = 128, 1e-7
+#: Pairs (16 bytes each) that may be sent to every task.
+BROADCAST_PAIRS = 500_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of ``width``-word shingles; fewer words are one shingle, none are no shingle."""
+    """Sorted distinct 63-bit hashes of ``width``-word shingles; fewer words are one shingle, none are no shingle."""
     words = words_of(text)
     if not words:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        return np.empty(0, np.int64)
+    ids = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
     n = min(width, len(ids))
     out = np.full(len(ids) - n + 1, n, np.uint64)
     for j in range(n):
@@ -58,31 +56,58 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    out >>= np.uint64(1)  # 63 bits, so that signed and unsigned order agree
+    out >>= np.uint64(1)
     out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    return out[np.concatenate(([True], out[1:] != out[:-1]))].view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for batch in batches:
-        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_key", "sketch"],
-        )
+    for batch in portions(batches):
+        sizes, keys, sketches = [], [], []
+        for text in batch.column("text"):
+            s = shingles(text.as_py(), width)
+            sizes.append(len(s))
+            keys.append(xxhash.xxh3_128_digest(s) if len(s) else None)
+            sketches.append(s[:k].copy())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(sketches)], ["doc_id", "n_shingles", "set_key", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "members"])
+    for batch in portions(batches):
+        sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n_shingles", "members"])
+
+
+def fewest_shared(n: int, k: int, percent: int) -> int:
+    """The fewest retained values that a set of ``n`` shares with any set at the threshold.
+
+    Their union has n / p members at most; of its k smallest (all, if fewer) a share p is common to both sets up to chance.
+    """
+    p, union = percent / 100, max(n, 1) * 100 / percent
+    all_of_it = -(-percent * max(n, 1) // 100)
+    if union <= k:
+        return all_of_it
+    return max(1, min(all_of_it, int(p * k - 6 * sqrt(p * (1 - p) * k * (1 - k / union)))))
+
+
+def _fewest_shared(n: Column, k: int, percent: int) -> Column:
+    """fewest_shared as a column."""
+    p = percent / 100
+    all_of_it = F.ceil(n * percent / 100)
+    union = n * (100 / percent)
+    chance = F.floor(p * k - 6 * F.sqrt(p * (1 - p) * k * F.greatest(1 - k / union, F.lit(0.0))))
+    return F.when(union <= k, all_of_it).otherwise(F.greatest(F.lit(1), F.least(all_of_it, chance)))
 
 
 def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, k: int, percent: int) -> bool:
-    """Whether union sketch and set sizes leave a pair at the threshold possible. Sketches are sorted as unsigned."""
+    """Whether union sketch and set sizes leave a pair at the threshold possible."""
     if 100 * min(nx, ny) < percent * max(nx, ny):
         return False
     union = np.union1d(x, y)
@@ -96,119 +121,193 @@ def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, k: int, percent: in
 
 def _estimated(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        xs, ys = batch.column("sketch_a"), batch.column("sketch_b")
-        nx, ny = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-        as_sets = [[c.values.to_numpy().view(np.uint64)[o[i] : o[i + 1]] for i in range(len(c))] for c in (xs, ys) for o in [c.offsets.to_numpy()]]
-        keep = [may_link(x, n, y, m, k, percent) for x, n, y, m in zip(as_sets[0], nx, as_sets[1], ny, strict=True)]
+        keep = [
+            may_link(np.frombuffer(x.as_buffer(), np.int64), n.as_py(), np.frombuffer(y.as_buffer(), np.int64), m.as_py(), k, percent)
+            for x, n, y, m in zip(*(batch.column(c) for c in ("sketch_a", "n_a", "sketch_b", "n_b")), strict=True)
+        ]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked, low, outside = [], [], []
-        for x, y, f in zip(batch.column("set_a"), batch.column("set_b"), batch.column("frequent"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+        linked = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            low.append(not linked[-1] and 100 * both <= OUTSIDE * len(x))
-            outside.append(np.setdiff1d(f.values.to_numpy(), y.view(np.int64)) if low[-1] and f.is_valid else None)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(low, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "linked", "low", "outside"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+
+def held_against(x: np.ndarray, pivot: np.ndarray, least: int, percent: int, kept: int) -> tuple[bool, bool, np.ndarray]:
+    """``linked, stays, outside`` of a set and a pivot: whether they are linked; whether a partner of x with ``least``
+    members or more may share too little with x outside the pivot; the ``kept`` smallest values of x outside the pivot."""
+    out = np.setdiff1d(x, pivot, assume_unique=True)
+    inside = len(x) - len(out)
+    if 100 * inside >= percent * (len(x) + len(pivot) - inside):
+        return True, False, out[:kept]
+    size = max(least, -(-percent * len(x) // 100))
+    shared = -(-percent * (len(x) + size) // (100 + percent))
+    beyond = shared - inside
+    if beyond < 1:
+        return False, True, out[:kept]
+    if len(out) + len(x) * (100 - percent) / percent <= kept:  # no partner has more outside than that
+        return False, False, out
+    union = max(len(out) + size - shared, beyond)
+    return False, (1 - beyond / union) ** kept > MISS, out[:kept]
+
+
+def _held(batches: Iterator[pa.RecordBatch], percent: int, kept: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [
+            held_against(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), least, percent, kept)
+            for x, y, least in zip(batch.column("set_a"), batch.column("set_b"), batch.column("least").to_pylist(), strict=True)
+        ]
+        linked, stays, outside = ([f[j] for f in found] for j in range(3))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(stays, pa.bool_()), _lists(outside)], ["a", "b", "linked", "stays", "outside"])
 
 
 class _Linker:
-    """Candidate pairs in, confirmed links out; keeps what was confirmed so far."""
+    """Works lists of classes level by level; ``labels`` has the component of each linked class so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int):
-        self.docs, self.classes, self.width, self.k, self.percent = docs, classes, width, k, percent
-        self.links: DataFrame | None = None
+    def __init__(self, sets: DataFrame, k: int, percent: int, rare: int):
+        self.sets, self.k, self.percent, self.rare = sets, k, percent, rare
         self.labels: DataFrame | None = None
 
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        a, b = (self.classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-        sized = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        return materialize(sized.mapInArrow(functools.partial(_estimated, k=self.k, percent=self.percent), "a long, b long"), "estimated")
-
-    def labelled(self, pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Pairs whose ends are not in one component."""
-        if labels is None:
-            return pairs
-        a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Confirms estimated pairs: one partner of each, then what is not in one component by then."""
-        first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        self._add(first)
-        rest = materialize(self.labelled(pairs.join(first, ["a", "b"], "left_anti"), self.labels), "rest")
-        if not rest.isEmpty():
-            self._add(rest)
-
-    def _add(self, pairs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
-        """``a, b, linked, low, outside`` by full sets; the links are kept. Low: not linked, and a has little of its set in b; outside: a's frequent values that b lacks."""
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        rows = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-        sets = materialize(rows.mapInArrow(functools.partial(_sets, width=self.width), "node long, members binary"), "sets")
-        a, b = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        both = pairs.select("a", "b").join(a, "a").join(b, "b")
-        both = both.withColumn("frequent", F.lit(None).cast("array<long>")) if frequent is None else both.join(frequent.withColumnRenamed("node", "a"), "a")
-        both = both.select("a", "b", "set_a", "set_b", "frequent")
-        verdicts = materialize(both.mapInArrow(functools.partial(_confirmed, percent=self.percent), "a long, b long, linked boolean, low boolean, outside array<long>"), "verdicts")
-        links = verdicts.where("linked").select("a", "b")
-        if not links.isEmpty():
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.labels = components(self.links)
-        return verdicts
-
-    def pivot(self, entries: DataFrame, frequent: DataFrame) -> None:
-        """Links among the ``node, central, value`` entries of frequent values; ``frequent`` has all of a node's (``node, frequent``)."""
-        entries = entries.withColumn("path", F.lit(0).cast("long"))
-        while entries is not None:
-            entries = self._pivoted(materialize(entries, "frequent"), frequent)
-
-    def _pivoted(self, left: DataFrame, frequent: DataFrame) -> DataFrame | None:
-        """Works ``node, central, value, path`` entries round by round; returns those of the new lists, if any. Path: the pivots that a list's members have left."""
-        first, pivots, new = None, 1, None
+    def work(self, entries: DataFrame) -> None:
+        """``node, n_shingles, central, value``: a class in the list of a value."""
+        while True:
+            open_ = self._open(entries)
+            deeper = self._pivoted(open_.where(F.col("size") > self.rare).drop("size", "component"))
+            short = self._open(open_.where(F.col("size") <= self.rare).drop("size", "component"))
+            self._confirm(short)
+            discard(open_, short, entries)
+            if deeper is None:
+                return
+            entries = deeper
+
+    def _labelled(self, rows: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(component, F.col(node))
+        return rows.join(self.labels.select(F.col("node").alias(node), F.col("component").alias(component)), node, "left").withColumn(component, F.coalesce(component, node))
+
+    def _open(self, entries: DataFrame) -> DataFrame:
+        """Entries of the lists that hold two components or more, with the list's size."""
+        rows = self._labelled(entries)
+        lists = rows.groupBy("value").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "size")
+        return materialize(rows.join(lists, "value"), "open")
+
+    def _link(self, links: DataFrame) -> None:
+        """Joins the components of linked classes."""
+        a, b = (F.col(c).alias(c[1:]) for c in ("ca", "cb"))
+        edges = materialize(self._labelled(self._labelled(links.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select(a, b).distinct(), "links")
+        if not edges.isEmpty():
+            step = components(edges)
+            if self.labels is None:
+                self.labels = step
+            else:
+                old = self.labels
+                moved = old.join(step.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+                self.labels = materialize(moved.unionByName(step.join(old.select("node"), "node", "left_anti").select("node", "component")), "labels")
+                discard(old, step)
+        discard(edges)
+
+    def _with_sets(self, pairs: DataFrame, what: dict[str, str]) -> DataFrame:
+        """``pairs`` with columns of both ends' sets: ``what`` maps a name (to which _a or _b is added) to an expression."""
+        a, b = (self.sets.select(F.col("node").alias(c), *[F.expr(x).alias(f"{k}_{c}") for k, x in what.items()]) for c in "ab")
+        few = pairs.count() <= BROADCAST_PAIRS
+        return a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b")
+
+    def _confirm(self, short: DataFrame) -> None:
+        """Links among the classes of short lists."""
+        ends = [short.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), "value") for c in "ab"]
+        pairs = ends[0].join(ends[1], "value").where("a > b and ca <> cb").select("a", "b").distinct()
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return discard(pairs)
+        sketches = self._with_sets(pairs, {"n": "n_shingles", "sketch": f"substring(members, 1, {8 * self.k})"})
+        near = materialize(sketches.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(functools.partial(_estimated, k=self.k, percent=self.percent), "a long, b long"), "near")
+        discard(pairs)
+        first = materialize(near.groupBy("a").agg(F.min("b").alias("b")), "first")
+        self._verify(first)
+        rest = near.join(first, ["a", "b"], "left_anti")
+        rest = materialize(self._labelled(self._labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").distinct(), "rest")
+        discard(near, first)
+        self._verify(rest)
+        discard(rest)
+
+    def _verify(self, pairs: DataFrame) -> None:
+        if pairs.isEmpty():
+            return
+        full = self._with_sets(pairs, {"set": "members"}).select("a", "b", "set_a", "set_b")
+        links = materialize(full.mapInArrow(functools.partial(_confirmed, percent=self.percent), "a long, b long"), "confirmed")
+        self._link(links)
+        discard(links)
+
+    def _pivoted(self, entries: DataFrame) -> DataFrame | None:
+        """Links of long lists' classes with pivots; the entries of the next level, or none."""
+        left = materialize(entries.withColumn("asks", F.lit(True)), "left")
+        deeper, pivots = None, 1
         while not left.isEmpty():
-            left = _with_labels(left, self.labels)
-            if first is None:
-                first = materialize(_most_central(left, 1), "first")
-                chosen = first
+            chosen = materialize(_most_central(left.where("asks"), pivots), "chosen")
+            met = materialize(left.join(chosen, "value"), "met")
+            sizes = met.groupBy(F.col("pivot").alias("b")).agg(F.min("n_shingles").alias("least"))
+            pairs = materialize(met.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(sizes, "b").select("a", "b", "least"), "pairs")
+            full = self._with_sets(pairs, {"set": "members"}).select("a", "b", "least", "set_a", "set_b")
+            verdicts = materialize(full.mapInArrow(functools.partial(_held, percent=self.percent, kept=KEPT), "a long, b long, linked boolean, stays boolean, outside array<long>"), "verdicts")
+            self._link(verdicts.where("linked"))
+            new = self._next_lists(met, verdicts)
+            if deeper is None:
+                deeper = new
             else:
-                main = _with_labels(first.select("node", "value"), self.labels).select("value", F.col("component").alias("main"))
-                left = materialize(left.join(main, "value"), "left")
-                chosen = materialize(_most_central(left.where("component <> main"), pivots), "chosen")
-                if chosen.isEmpty():
-                    break
-                left = left.join(chosen.select("value").distinct(), "value", "left_semi")
-            met = left.select("node", "central", "value", "path", "component").join(chosen.select(F.col("node").alias("pivot"), F.col("component").alias("its"), "value"), "value")
-            met = materialize(met, "met")
-            verdicts = self._add(met.where("component <> its").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), frequent)
-            judged = met.join(verdicts.select("a", "b", "low"), (met["node"] == verdicts["a"]) & (met["pivot"] == verdicts["b"]), "left")
-            done = judged.groupBy("node", "value").agg(
-                F.first("central").alias("central"), F.first("path").alias("path"), F.max(F.col("node") == F.col("pivot")).alias("is_pivot"), F.min(F.when(F.col("low"), F.col("pivot"))).alias("by")
-            )
-            done = materialize(done, "done")
-            lists = self._regrouped(met, done.where("not is_pivot and by is not null"), verdicts, frequent)
-            if lists is not None:
-                new = lists if new is None else new.unionByName(lists)
-            left = materialize(done.where("not is_pivot and by is null").select("node", "central", "value", "path"), "left")
-            pivots *= 4
-        return None if new is None else new.distinct()
-
-    def _regrouped(self, met: DataFrame, gone: DataFrame, verdicts: DataFrame, frequent: DataFrame) -> DataFrame | None:
-        """Entries of the lists for those that left by a pivot: all that met it and have a frequent value that one of them has outside it."""
-        why = verdicts.where("low").select(F.col("a").alias("node"), F.col("b").alias("by"), "outside")
-        keys = gone.select("node", "path", "by").distinct().join(why, ["node", "by"]).select("path", F.col("by").alias("pivot"), F.explode("outside").alias("u")).distinct()
-        keys = materialize(keys, "keys")
-        if keys.isEmpty():
+                both = materialize(deeper.unionByName(new).distinct(), "deeper")
+                discard(deeper, new)
+                deeper = both
+            judged = met.join(verdicts.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "stays"), ["node", "pivot"], "left")
+            asks = F.min(F.col("asks") & F.coalesce("stays", F.lit(False)))
+            after = judged.groupBy("node", "value").agg(F.first("n_shingles").alias("n_shingles"), F.first("central").alias("central"), asks.alias("asks"), F.max(F.col("node") == F.col("pivot")).alias("was"))
+            after = materialize(after.where("not was").drop("was"), "after")
+            still = after.where("asks").select("value").distinct()
+            opened = self._open(after.join(still, "value", "left_semi"))
+            again = materialize(opened.drop("size", "component"), "left")
+            discard(left, chosen, met, pairs, verdicts, after, opened)
+            left, pivots = again, pivots * 4
+        discard(left)
+        if deeper is not None and deeper.isEmpty():
+            discard(deeper)
             return None
-        there = met.where("node <> pivot").select("node", "central", "path", "pivot").distinct().join(keys.select("path", "pivot").distinct(), ["path", "pivot"], "left_semi")
-        there = there.join(frequent, "node").select("node", "central", "path", "pivot", F.explode("frequent").alias("u")).join(keys, ["path", "pivot", "u"])
-        there = there.withColumn("path", F.xxhash64("path", "pivot")).select("node", "central", F.xxhash64("path", "u").alias("value"), "path").distinct()
-        there = materialize(there, "there")
-        shared = there.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-        return materialize(there.join(shared, "value", "left_semi"), "lists")
+        return deeper
+
+    def _next_lists(self, met: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """Lists, by pivot and value outside it, of all that met the pivot, where one of them left it unlinked."""
+        rows = self._labelled(self._labelled(verdicts, "a", "ca"), "b", "cb").select("a", "b", "outside", (~F.col("linked") & ~F.col("stays") & (F.col("ca") != F.col("cb"))).alias("left"))
+        posted = rows.select("a", "b", "left", F.explode("outside").alias("u"))
+        keys = posted.groupBy("b", "u").agg(F.max("left").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("b", "u")
+        what = met.groupBy(F.col("node").alias("a")).agg(F.first("n_shingles").alias("n_shingles"), F.max("central").alias("central"))
+        lists = posted.join(keys, ["b", "u"]).select("a", F.xxhash64("b", "u").alias("value")).distinct().join(what, "a")
+        return materialize(lists.select(F.col("a").alias("node"), "n_shingles", "central", "value"), "deeper")
+
+
+def _most_central(entries: DataFrame, n: int) -> DataFrame:
+    """``value, pivot``: the ``n`` most central nodes of each value, the smaller of equals; first per salted share of a value, so no task sees a whole list."""
+    part = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("t", F.struct((-F.col("central")).alias("away"), "node"))
+    for keys in (["value", "salt"], ["value"]):
+        if n == 1:
+            part = part.groupBy(*keys).agg(F.min("t").alias("t"))
+        else:
+            part = part.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("t")), 1, n).alias("top")).select(*keys, F.explode("top").alias("t"))
+    return part.select("value", F.col("t.node").alias("pivot"))
+
+
+def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, n_shingles, central, value``: each class in the lists of its rarest retained values, as many as it needs to meet any partner."""
+    posted = classes.select("node", F.explode("sketch").alias("value"))
+    shared = posted.join(posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
+    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.sum("n").alias("central"))
+    # A class lists all but the last fewest_shared - 1 of its values; those that nobody shares come first and need no list.
+    slack = classes.groupBy("node").agg(F.max(1 - _fewest_shared(F.col("n_shingles"), k, percent)).cast("int").alias("slack"), F.min("n_shingles").alias("n_shingles"))
+    values = own.join(slack, "node").select("node", "n_shingles", "central", F.explode(F.slice("values", 1, F.greatest(F.size("values") + F.col("slack"), F.lit(0)))).alias("v"))
+    listed = values.select("node", "n_shingles", "central", F.col("v.value").alias("value"))
+    return materialize(listed, "listed")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, rare: int = RARE) -> DataFrame:
@@ -221,35 +320,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     returned with null ids, kept, and take no part. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.mapInArrow(functools.partial(_sketched, width=width, k=k), "doc_id long, n_shingles long, set_key binary, sketch array<long>")
-    rows = materialize(rows, "sketches")
-    classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    linker = _Linker(docs.where("doc_id is not null"), classes.select("node", "n_shingles", "sketch"), width, k, percent)
-
-    posted = classes.select("node", "n_shingles", F.explode("sketch").alias("value"))
-    lists = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(lists, "value")
-    entries = shared.groupBy("node", "n_shingles").agg(
-        F.sum(F.when(F.col("n") > rare, F.col("n"))).alias("central"),
-        F.array_sort(F.collect_list(F.when(F.col("n") <= rare, F.col("value")))).alias("rare"), F.array_sort(F.collect_list(F.when(F.col("n") > rare, F.col("value")))).alias("frequent")
-    )
-    p = percent / 100
-    #: The fewest values that a class shares with a partner, at worst, among the K it retains.
-    least = F.when(F.col("n_shingles") <= k, F.ceil(F.col("n_shingles") * p)).otherwise(F.lit(int(p * k - 6 * sqrt(p * (1 - p) * k))))
-    entries = materialize(entries.withColumn("mostly", F.size("frequent") >= least).withColumn("some", F.size("frequent") * 8 > F.least("n_shingles", F.lit(k)) * 3), "entries")
-
-    listed = entries.select("node", F.explode(F.when(F.col("some"), F.col("rare")).otherwise(F.slice("rare", 1, FEW_RARE))).alias("value"))
-    pairs = listed.select(F.col("node").alias("a"), "value").join(listed.select(F.col("node").alias("b"), "value"), "value").where("a > b").select("a", "b").distinct()
-    linker.confirm(linker.estimated(pairs))
-
-    mostly = entries.where("mostly").select("node", "central", "frequent")
-    linker.pivot(mostly.select("node", "central", F.explode(F.slice("frequent", 1, FEW_FREQUENT)).alias("value")), mostly.select("node", "frequent"))
-    labels = linker.labels
-
-    out = rows.join(classes.select("set_key", F.col("node").alias("class_id")), "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    full = materialize(docs.mapInArrow(functools.partial(_sketched, width=width, k=k), "doc_id long, n_shingles long, set_key binary, sketch array<long>"), "sketches")
+    rows = materialize(full.drop("sketch"), "rows")
+    known = full.where("doc_id is not null and set_key is not null")
+    classes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).drop("set_key"), "classes")
+    discard(full)
+    entries = _listed(classes, k, percent)
+    discard(classes)
+
+    met = entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    ids = materialize(entries.join(met, "value", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
+    texts = docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi")
+    sets = materialize(texts.mapInArrow(functools.partial(_sets, width=width), "node long, n_shingles long, members binary"), "sets")
+    discard(ids)
+    linker = _Linker(sets, k, percent, rare)
+    linker.work(entries)
+    discard(sets)
+
+    classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
+    out = rows.join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    if linker.labels is not None:
+        out = out.join(linker.labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id").select(
@@ -257,23 +349,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     )
 
 
-def _with_labels(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("component", F.col("node"))
-    return entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _most_central(entries: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most central nodes of each value, the smaller of equals: first per salted share of a value, so no task sees a whole list."""
-    part = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("t", F.struct((-F.col("central")).alias("away"), "node", "component"))
-    for keys in (["value", "salt"], ["value"]):
-        if n == 1:
-            part = part.groupBy(*keys).agg(F.min("t").alias("t"))
-        else:
-            part = part.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("t")), 1, n).alias("top")).select(*keys, F.explode("top").alias("t"))
-    return part.select("t.node", "t.component", "value")
-
-
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that near_duplicates keeps; of rows repeating a kept doc_id all stay. Null ids stay."""
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()

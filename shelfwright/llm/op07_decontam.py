@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialize, words_of
+from .common import WORD_HASH, materialize, words_of
 
 WIDTH, PERCENT, RADIUS, BLOCKS = 5, 75, 11, 4
 ITEMS, AT_ONCE = 2000, 20_000
-_WORDS = WordHash()
+_WORDS = WORD_HASH
 _MASKS = np.array([0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)], np.uint16)
 
 
