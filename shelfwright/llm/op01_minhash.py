@@ -9,21 +9,22 @@ a class, and only classes are compared.
 * Short lists (RARE classes at most): every pair of classes in different components is a candidate. Those whose union
   sketch cannot belong to a pair at the threshold are dropped; the rest are confirmed on full sets, first one partner a
   class, then pairs whose ends are still in different components.
-* Long lists (large families of near copies, hot passages) come first and never give pairs. All classes of a list are
-  held against a pivot, the one whose own values are the most frequent. A class x that is not linked with pivot p has
-  |x & p| < c (|x| + |p|), c = PERCENT / (100 + PERCENT), and a partner y of x has |x & y| >= c (|x| + |y|). Where the
-  latter exceeds |x & p|, x and y share values outside p: they meet in a list of the next level, one for each value
-  among the KEPT smallest of x - p, in which all that met p take part. Where that is not sure enough (MISS), x stays and
-  meets further pivots, taken from those that stayed. Levels go on until no list holds two components.
-
-So no list is cut, and no pair within one component is enumerated.
+* Long lists (large families of near copies, hot passages) come first and never give all their pairs. Their classes meet
+  in lists once more, by their whole sets: each lists the rarest quarter of its shingles. A shingle at place j of n (from
+  the rarest on) shows that a pair whose first common shingle it is shares n - j at most, and so how large a partner may
+  be; hardly any pair of a hot list is left by that. In each list all are first held against a pivot, the class whose
+  shingles are the most frequent (then against more of them, as long as that links classes); what is left in different
+  components, and still possible, is verified pair by pair.
+
+So no list is cut, and no pair within one component is enumerated. Classes that consist of hot passages in ever new
+selections are the one case in which a list may give many pairs, all of which then have to be told apart.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,6 @@ WIDTH = 5
 PERCENT = 75
 K = 96
 RARE = 40
-#: Values outside a pivot that a class is listed by, and the chance at which a pair may share values outside but none of these.
-KEPT, MISS = 128, 1e-7
 #: Pairs (16 bytes each) that may be sent to every task.
 BROADCAST_PAIRS = 500_000
 
@@ -138,68 +137,35 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def held_against(x: np.ndarray, pivot: np.ndarray, least: int, percent: int, kept: int) -> tuple[bool, bool, np.ndarray]:
-    """``linked, stays, outside`` of a set and a pivot: whether they are linked; whether a partner of x with ``least``
-    members or more may share too little with x outside the pivot; the ``kept`` smallest values of x outside the pivot."""
-    out = np.setdiff1d(x, pivot, assume_unique=True)
-    inside = len(x) - len(out)
-    if 100 * inside >= percent * (len(x) + len(pivot) - inside):
-        return True, False, out[:kept]
-    size = max(least, -(-percent * len(x) // 100))
-    shared = -(-percent * (len(x) + size) // (100 + percent))
-    beyond = shared - inside
-    if beyond < 1:
-        return False, True, out[:kept]
-    if len(out) + len(x) * (100 - percent) / percent <= kept:  # no partner has more outside than that
-        return False, False, out
-    union = max(len(out) + size - shared, beyond)
-    return False, (1 - beyond / union) ** kept > MISS, out[:kept]
-
-
-def _held(batches: Iterator[pa.RecordBatch], percent: int, kept: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [
-            held_against(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), least, percent, kept)
-            for x, y, least in zip(batch.column("set_a"), batch.column("set_b"), batch.column("least").to_pylist(), strict=True)
-        ]
-        linked, stays, outside = ([f[j] for f in found] for j in range(3))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(stays, pa.bool_()), _lists(outside)], ["a", "b", "linked", "stays", "outside"])
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for batch in portions(batches, "members"):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("members")]
+        copies = [xxhash.xxh3_64_intdigest(x) >> 1 for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(copies, pa.int64()), batch.column("n_shingles"), _lists(sets)], ["node", "copy", "n", "members"])
 
 
 class _Linker:
-    """Works lists of classes level by level; ``labels`` has the component of each linked class so far."""
+    """Confirms links between classes; ``labels`` has the component of each linked class so far."""
 
-    def __init__(self, sets: DataFrame, k: int, percent: int, rare: int):
-        self.sets, self.k, self.percent, self.rare = sets, k, percent, rare
+    def __init__(self, sets: DataFrame, k: int, percent: int):
+        self.sets, self.k, self.percent = sets, k, percent
         self.labels: DataFrame | None = None
 
-    def work(self, entries: DataFrame) -> None:
-        """``node, n_shingles, central, value``: a class in the list of a value."""
-        while True:
-            open_ = self._open(entries)
-            deeper = self._pivoted(open_.where(F.col("size") > self.rare).drop("size", "component"))
-            short = self._open(open_.where(F.col("size") <= self.rare).drop("size", "component"))
-            self._confirm(short)
-            discard(open_, short, entries)
-            if deeper is None:
-                return
-            entries = deeper
-
     def _labelled(self, rows: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
         if self.labels is None:
             return rows.withColumn(component, F.col(node))
         return rows.join(self.labels.select(F.col("node").alias(node), F.col("component").alias(component)), node, "left").withColumn(component, F.coalesce(component, node))
 
-    def _open(self, entries: DataFrame) -> DataFrame:
-        """Entries of the lists that hold two components or more, with the list's size."""
-        rows = self._labelled(entries)
-        lists = rows.groupBy("value").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "size")
-        return materialize(rows.join(lists, "value"), "open")
+    def _apart(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        return materialize(self._labelled(self._labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), name)
 
     def _link(self, links: DataFrame) -> None:
         """Joins the components of linked classes."""
-        a, b = (F.col(c).alias(c[1:]) for c in ("ca", "cb"))
-        edges = materialize(self._labelled(self._labelled(links.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select(a, b).distinct(), "links")
+        edges = self._labelled(self._labelled(links.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+        edges = materialize(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
         if not edges.isEmpty():
             step = components(edges)
             if self.labels is None:
@@ -217,97 +183,108 @@ class _Linker:
         few = pairs.count() <= BROADCAST_PAIRS
         return a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b")
 
-    def _confirm(self, short: DataFrame) -> None:
-        """Links among the classes of short lists."""
-        ends = [short.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), "value") for c in "ab"]
-        pairs = ends[0].join(ends[1], "value").where("a > b and ca <> cb").select("a", "b").distinct()
-        pairs = materialize(pairs, "pairs")
+    def _verify(self, pairs: DataFrame) -> bool:
+        """Links the pairs that full sets confirm; whether there are any."""
         if pairs.isEmpty():
-            return discard(pairs)
-        sketches = self._with_sets(pairs, {"n": "n_shingles", "sketch": f"substring(members, 1, {8 * self.k})"})
-        near = materialize(sketches.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(functools.partial(_estimated, k=self.k, percent=self.percent), "a long, b long"), "near")
-        discard(pairs)
-        first = materialize(near.groupBy("a").agg(F.min("b").alias("b")), "first")
-        self._verify(first)
-        rest = near.join(first, ["a", "b"], "left_anti")
-        rest = materialize(self._labelled(self._labelled(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").distinct(), "rest")
-        discard(near, first)
-        self._verify(rest)
-        discard(rest)
-
-    def _verify(self, pairs: DataFrame) -> None:
-        if pairs.isEmpty():
-            return
+            return False
         full = self._with_sets(pairs, {"set": "members"}).select("a", "b", "set_a", "set_b")
         links = materialize(full.mapInArrow(functools.partial(_confirmed, percent=self.percent), "a long, b long"), "confirmed")
-        self._link(links)
+        some = not links.isEmpty()
+        if some:
+            self._link(links)
         discard(links)
+        return some
 
-    def _pivoted(self, entries: DataFrame) -> DataFrame | None:
-        """Links of long lists' classes with pivots; the entries of the next level, or none."""
-        left = materialize(entries.withColumn("asks", F.lit(True)), "left")
-        deeper, pivots = None, 1
-        while not left.isEmpty():
-            chosen = materialize(_most_central(left.where("asks"), pivots), "chosen")
-            met = materialize(left.join(chosen, "value"), "met")
-            sizes = met.groupBy(F.col("pivot").alias("b")).agg(F.min("n_shingles").alias("least"))
-            pairs = materialize(met.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(sizes, "b").select("a", "b", "least"), "pairs")
-            full = self._with_sets(pairs, {"set": "members"}).select("a", "b", "least", "set_a", "set_b")
-            verdicts = materialize(full.mapInArrow(functools.partial(_held, percent=self.percent, kept=KEPT), "a long, b long, linked boolean, stays boolean, outside array<long>"), "verdicts")
-            self._link(verdicts.where("linked"))
-            new = self._next_lists(met, verdicts)
-            if deeper is None:
-                deeper = new
-            else:
-                both = materialize(deeper.unionByName(new).distinct(), "deeper")
-                discard(deeper, new)
-                deeper = both
-            judged = met.join(verdicts.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "stays"), ["node", "pivot"], "left")
-            asks = F.min(F.col("asks") & F.coalesce("stays", F.lit(False)))
-            after = judged.groupBy("node", "value").agg(F.first("n_shingles").alias("n_shingles"), F.first("central").alias("central"), asks.alias("asks"), F.max(F.col("node") == F.col("pivot")).alias("was"))
-            after = materialize(after.where("not was").drop("was"), "after")
-            still = after.where("asks").select("value").distinct()
-            opened = self._open(after.join(still, "value", "left_semi"))
-            again = materialize(opened.drop("size", "component"), "left")
-            discard(left, chosen, met, pairs, verdicts, after, opened)
-            left, pivots = again, pivots * 4
-        discard(left)
-        if deeper is not None and deeper.isEmpty():
-            discard(deeper)
-            return None
-        return deeper
-
-    def _next_lists(self, met: DataFrame, verdicts: DataFrame) -> DataFrame:
-        """Lists, by pivot and value outside it, of all that met the pivot, where one of them left it unlinked."""
-        rows = self._labelled(self._labelled(verdicts, "a", "ca"), "b", "cb").select("a", "b", "outside", (~F.col("linked") & ~F.col("stays") & (F.col("ca") != F.col("cb"))).alias("left"))
-        posted = rows.select("a", "b", "left", F.explode("outside").alias("u"))
-        keys = posted.groupBy("b", "u").agg(F.max("left").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("b", "u")
-        what = met.groupBy(F.col("node").alias("a")).agg(F.first("n_shingles").alias("n_shingles"), F.max("central").alias("central"))
-        lists = posted.join(keys, ["b", "u"]).select("a", F.xxhash64("b", "u").alias("value")).distinct().join(what, "a")
-        return materialize(lists.select(F.col("a").alias("node"), "n_shingles", "central", "value"), "deeper")
-
-
-def _most_central(entries: DataFrame, n: int) -> DataFrame:
-    """``value, pivot``: the ``n`` most central nodes of each value, the smaller of equals; first per salted share of a value, so no task sees a whole list."""
-    part = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("t", F.struct((-F.col("central")).alias("away"), "node"))
+    def _verify_apart(self, pairs: DataFrame) -> None:
+        """As _verify, first one partner a class, then what is in different components by then."""
+        first = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")), "first")
+        self._verify(first)
+        rest = self._apart(pairs.join(first, ["a", "b"], "left_anti"), "rest")
+        self._verify(rest)
+        discard(first, rest)
+
+    def short(self, entries: DataFrame) -> None:
+        """Links among ``node, value`` entries of short lists: candidates by pairs, union sketches, full sets."""
+        rows = materialize(self._labelled(entries.select("node", "value")), "short")
+        ends = [rows.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), "value") for c in "ab"]
+        pairs = materialize(ends[0].join(ends[1], "value").where("a > b and ca <> cb").select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            sketches = self._with_sets(pairs, {"n": "n_shingles", "sketch": f"substring(members, 1, {8 * self.k})"}).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+            near = materialize(sketches.mapInArrow(functools.partial(_estimated, k=self.k, percent=self.percent), "a long, b long").distinct(), "near")
+            self._verify_apart(near)
+            discard(near)
+        discard(rows, pairs)
+
+    def long(self, nodes: DataFrame) -> None:
+        """Links among the classes of long lists, ``node``, through lists of their rarest shingles."""
+        entries = self._rarest(nodes)
+        pivots = 1
+        while True:
+            open_ = self._open(entries)
+            chosen = materialize(_foremost(open_, pivots), "chosen")
+            possible = "node <> pivot and component <> its and n <= its_most and its_n <= most"
+            pairs = materialize(open_.join(chosen, "value").where(possible).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+            more = self._verify(pairs)
+            discard(chosen, pairs)
+            if not more:
+                break
+            discard(open_)
+            pivots *= 4
+        ends = [open_.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("most").alias(f"m{c}"), "value") for c in "ab"]
+        pairs = materialize(ends[0].join(ends[1], "value").where("a > b and ca <> cb and na <= mb and nb <= ma").select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            self._verify_apart(pairs)
+        discard(entries, open_, pairs)
+
+    def _rarest(self, nodes: DataFrame) -> DataFrame:
+        """``node, n, central, value, most``: each class in the lists of its rarest shingles, with the largest size that a
+        partner can have whose first common shingle this is."""
+        whole = materialize(self.sets.join(nodes, "node", "left_semi").mapInArrow(_postings, "node long, copy long, n long, members array<long>"), "whole")
+        posted = whole.select("node", "copy", "n", F.explode("members").alias("value"))
+        held = posted.join(posted.groupBy("value").agg(F.count("*").alias("f")).where("f > 1"), "value")
+        own = held.groupBy("node", "copy", "n").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v"), F.sum("f").alias("central"))
+        own = own.withColumn("alone", F.col("n") - F.size("v"))
+        listed = F.greatest(F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
+        rows = own.select("node", "n", "central", "alone", F.posexplode(F.slice("v", 1, listed)).alias("at", "e"))
+        most = F.floor((F.col("n") - F.col("alone") - F.col("at")) * (100 + self.percent) / self.percent).cast("long") - F.col("n")
+        out = materialize(rows.select("node", "n", "central", F.col("e.value").alias("value"), most.alias("most")), "rarest")
+        discard(whole)
+        return out
+
+    def _open(self, entries: DataFrame) -> DataFrame:
+        """Entries, with components, of the lists that hold two components or more, but those to which all others are too large."""
+        rows = self._labelled(entries)
+        lists = rows.groupBy("value").agg(F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "least")
+        return materialize(rows.join(lists, "value").where("most >= least").drop("least"), "open")
+
+
+def _foremost(entries: DataFrame, n: int) -> DataFrame:
+    """``value, pivot, its, its_n, its_most``: the ``n`` most central entries of each value that are in different components,
+    the smaller node of equals; first per salted share of a value, so no task sees a whole list."""
+    t = F.struct((-F.col("central")).alias("away"), "node", F.col("component").alias("its"), F.col("n").alias("its_n"), F.col("most").alias("its_most"))
+    part = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("t", t)
+    if n > 1:
+        part = part.groupBy("value", "salt", "component").agg(F.min("t").alias("t")).groupBy("value", "component").agg(F.min("t").alias("t")).withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(64)))
     for keys in (["value", "salt"], ["value"]):
         if n == 1:
             part = part.groupBy(*keys).agg(F.min("t").alias("t"))
         else:
             part = part.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("t")), 1, n).alias("top")).select(*keys, F.explode("top").alias("t"))
-    return part.select("value", F.col("t.node").alias("pivot"))
+    return part.select("value", F.col("t.node").alias("pivot"), "t.its", "t.its_n", "t.its_most")
 
 
 def _listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``node, n_shingles, central, value``: each class in the lists of its rarest retained values, as many as it needs to meet any partner."""
+    """``node, value, size``: each class in the lists of its rarest retained values, as many as it needs to meet any partner; lists of one class are left out."""
     posted = classes.select("node", F.explode("sketch").alias("value"))
     shared = posted.join(posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
-    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.sum("n").alias("central"))
+    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
     # A class lists all but the last fewest_shared - 1 of its values; those that nobody shares come first and need no list.
-    slack = classes.groupBy("node").agg(F.max(1 - _fewest_shared(F.col("n_shingles"), k, percent)).cast("int").alias("slack"), F.min("n_shingles").alias("n_shingles"))
-    values = own.join(slack, "node").select("node", "n_shingles", "central", F.explode(F.slice("values", 1, F.greatest(F.size("values") + F.col("slack"), F.lit(0)))).alias("v"))
-    listed = values.select("node", "n_shingles", "central", F.col("v.value").alias("value"))
-    return materialize(listed, "listed")
+    slack = classes.groupBy("node").agg(F.max(1 - _fewest_shared(F.col("n_shingles"), k, percent)).cast("int").alias("slack"))
+    values = own.join(slack, "node").select("node", F.explode(F.slice("values", 1, F.greatest(F.size("values") + F.col("slack"), F.lit(0)))).alias("v"))
+    listed = materialize(values.select("node", F.col("v.value").alias("value")), "listed")
+    out = materialize(listed.join(listed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "value"), "lists")
+    discard(listed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, rare: int = RARE) -> DataFrame:
@@ -328,15 +305,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     entries = _listed(classes, k, percent)
     discard(classes)
 
-    met = entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    ids = materialize(entries.join(met, "value", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "ids")
+    ids = materialize(entries.select(F.col("node").alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     texts = docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(functools.partial(_sets, width=width), "node long, n_shingles long, members binary"), "sets")
-    discard(ids)
-    linker = _Linker(sets, k, percent, rare)
-    linker.work(entries)
-    discard(sets)
+    linker = _Linker(sets, k, percent)
+    long = materialize(entries.where(F.col("size") > rare).select("node").distinct(), "long")
+    if not long.isEmpty():
+        linker.long(long)
+    linker.short(entries.where(F.col("size") <= rare))
+    discard(ids, long, sets, entries)
 
     classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     out = rows.join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
