@@ -58,6 +58,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``most`` bytes of ``column``, so that a worker's memory does not follow the batch."""
     for batch in batches:

@@ -8,6 +8,7 @@ so the sentence scores that it learns also locate what offends.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_LIMIT, fold
+from .common import CACHE_LIMIT, fold, fresh, portions
 from .op05_cnn import labelled_sample
 
 SAMPLE, STEPS, VOCABULARY, RATE, DECAY = 5000, 200, 50_000, 0.15, 3e-5
@@ -70,11 +71,15 @@ class Mil:
 def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Mil:
     """Adam over the whole sample, on words whose documents are toxic more often than chance allows (a G test that holds
     over the whole vocabulary; the VOCABULARY strongest). Without that, few documents are learnt by heart."""
-    split = [sentences(t) for t in texts]
+    known: dict[bytes, list[bytes]] = {}
     spread: dict[bytes, list[int]] = {}
-    for s, y in zip(split, labels, strict=True):
-        for w in {f for words in s for w in words for f in features(w)}:
-            spread.setdefault(w, [0, 0])[int(y)] += 1
+    n_sentences = 0
+    for text, y in zip(texts, labels, strict=True):
+        split = sentences(text)
+        n_sentences += len(split)
+        words = {w for s in split for w in s}
+        for f in {f for w in words for f in (known.get(w) or known.setdefault(w, features(w)))}:
+            spread.setdefault(f, [0, 0])[int(y)] += 1
     rate = (labels.sum() + 1) / (len(labels) + 2)
     least = 2 * np.log(max(len(spread), 1)) + 6
 
@@ -85,30 +90,34 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Mi
             return 0.0
         return 2 * (toxic * np.log(toxic / n / rate) + (clean * np.log(clean / n / (1 - rate)) if clean else 0.0))
 
-    words = sorted((w for w in spread if strength(w) >= least), key=lambda w: (-strength(w), w))[:VOCABULARY]
+    strong = {w: x for w in spread if (x := strength(w)) >= least}
+    words = sorted(strong, key=lambda w: (-strong[w], w))[:VOCABULARY]
     place = {w: k for k, w in enumerate(words)}
-    n_sentences = max(1.0, float(np.mean([len(s) for s in split]))) if split else 1.0
-    bias = float(np.log(rate / n_sentences / (1 - rate / n_sentences)))
+    mean = max(1.0, n_sentences / len(texts)) if texts else 1.0
+    bias = float(np.log(rate / mean / (1 - rate / mean)))
     if not place or labels.min() == labels.max():
         return Mil({}, bias)
-    doc, columns, rows, at = [], [], [], 0
-    for i, s in enumerate(split):
-        for sentence in s:
-            ids = sorted({k for w in set(sentence) for f in features(w) if (k := place.get(f)) is not None})
-            columns += ids
-            rows += [at] * len(ids)
+    found = {w: ids for w, fs in known.items() if (ids := [k for f in fs if (k := place.get(f)) is not None])}
+    del known, spread
+    doc, sizes, columns = array("i"), array("i"), array("i")
+    for i, text in enumerate(texts):
+        for sentence in sentences(text):
+            ids = sorted({k for w in set(sentence) for k in found.get(w, ())})
+            columns.extend(ids)
+            sizes.append(len(ids))
             doc.append(i)
-            at += 1
-    doc, columns, rows = np.array(doc), np.array(columns), np.array(rows)
+    doc, sizes, columns = (np.frombuffer(x, np.int32) for x in (doc, sizes, columns))
+    at = len(doc)
+    rows = np.repeat(np.arange(at, dtype=np.int32), sizes)
     w = np.zeros(len(place) + 1)
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = np.bincount(rows, weights=w[columns], minlength=at) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(split)))
+        none = np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
         some = np.clip(1 - none, 1e-9, 1)
-        d = np.where(labels == 1, -none / some, 1.0)[doc] * p / len(split)
+        d = np.where(labels == 1, -none / some, 1.0)[doc] * p / len(texts)
         g = np.append(np.bincount(columns, weights=d[rows], minlength=len(place)), d.sum())
         g[:-1] += DECAY * w[:-1]
         m += 0.1 * (g - m)
@@ -131,24 +140,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = S
     return Mil(weights, next((r.weight for r in rows if r.word is None), -5.0))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Mil) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _score(batches: Iterator[pa.RecordBatch], model: Mil, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches):
         scores, places, worst = [], [], []
-        for t in batch.column("text").to_pylist():
-            p = model.sentence_scores(t)
+        for t in batch.column("text"):
+            p = model.sentence_scores(t.as_py())
             scores.append(float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0)
             places.append(np.flatnonzero(p >= 0.5).astype(np.int32))
             worst.append(float(p.max()) if len(p) else None)
         added = [pa.array(scores, pa.float64()), pa.array(places, pa.list_(pa.int32())), pa.array(worst, pa.float64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__score", "__places", "__worst"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
 
-def scored(docs: DataFrame, model: Mil) -> DataFrame:
-    """All columns of ``docs`` and ``__score``, ``__places`` (sentences that offend, counted from 0), ``__worst`` (the highest sentence score)."""
+def scored(docs: DataFrame, model: Mil) -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` and three more, with their names: the score, the sentences that offend (counted from 0),
+    the highest sentence score."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__places", T.ArrayType(T.IntegerType())), T.StructField("__worst", T.DoubleType())])
-    return docs.mapInArrow(functools.partial(_score, model=model), schema)
+    names = fresh(docs, "tox_score", "tox_sentences", "tox_worst")
+    kinds = [T.DoubleType(), T.ArrayType(T.IntegerType()), T.DoubleType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+    return docs.mapInArrow(functools.partial(_score, model=model, names=names), schema), names
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -159,10 +171,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     scored; repeated rows get the same score.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = scored(docs, fit(docs, labels, **options))
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__places").alias("offending"))
+    out, (score, places, _) = scored(docs, fit(docs, labels, **options))
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"), F.col(places).alias("offending"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold."""
-    return scored(docs, fit(docs, labels, **options)).where(F.col("__score") < threshold).select(*docs.columns)
+    out, (score, _, _) = scored(docs, fit(docs, labels, **options))
+    return out.where(F.col(score) < threshold).select(*docs.columns)
