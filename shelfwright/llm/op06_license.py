@@ -1,9 +1,9 @@
 """License scans by diagonal voting, in DataFrame operations alone.
 
-Every word k-gram of every text is joined with the k-grams of the templates (a small fixed table) on its hash, and on
-its words, so a match is exact. A match votes for the diagonal (position in the text - position in the template);
-neighbouring diagonals that follow each other closely are merged into spans, and a span counts if it holds enough of
-the template's k-grams. The base phrases are templates of their own that must match whole.
+Every word k-gram of every text is joined with the k-grams of the templates (a small fixed table) on two hashes. A match
+votes for its diagonal, the position in the text less the position in the template, and votes are summed by diagonal.
+Neighbouring diagonals (words put in or left out shift a template along) merge into one span, which counts if its k-grams
+cover enough of the template's words. A base phrase must stand on one diagonal, whole.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 K = 3
 COVERAGE = 0.75
-#: Diagonals this near, and matches this close in the text, belong to one span.
-DIAGONALS, GAP = 3, 20
+#: Diagonals that differ by so much at most belong to one span.
+DIAGONALS = 3
 
 # Base phrases with their labels, then customary license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -39,42 +39,45 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """``hash, w0, w1, w2, template, at, grams, label, base``: a row per k-gram; a few hundred rows, fixed."""
+def template_rows() -> list[tuple]:
+    """``template, at, n_words, label, base, w0, w1, w2``: a row per k-gram of a base phrase or notice; a few hundred, fixed."""
     rows = []
     for number, (label, text, base) in enumerate([(v, k, True) for k, v in PHRASES.items()] + [(a, b, False) for a, b in NOTICES]):
         w = text.split()
-        rows += [(number, at, len(w) - K + 1, label, base, *w[at : at + K]) for at in range(len(w) - K + 1)]
-    table = spark.createDataFrame(rows, "template int, at int, grams int, label string, base boolean, w0 string, w1 string, w2 string")
-    return table.withColumn("hash", F.xxhash64("w0", "w1", "w2"))
+        rows += [(number, at, len(w), label, base, *w[at : at + K]) for at in range(len(w) - K + 1)]
+    return rows
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    table = spark.createDataFrame(template_rows(), "template int, at int, template_words int, label string, base boolean, w0 string, w1 string, w2 string")
+    return table.select("template", "at", "template_words", "label", "base", F.xxhash64("w0", "w1", "w2").alias("h"), F.hash("w0", "w1", "w2").alias("g"))
 
 
 def license_scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``, one row per input row.
 
     ``n_base`` counts the places of base phrases, ``first_word`` and ``last_word`` are their smallest and largest start
-    (null without any). ``score`` is the largest share of a template's k-grams in one span (0 without a match); ``labels``
-    joins labels of spans at or over ``coverage`` to the base labels; ``spans`` lists those spans (label, first word,
-    words, share). Null and empty texts have no words. Null ids pass through; rows that repeat are each returned.
+    (null without any). ``score`` is the largest share of a template's words that one span covers (0 without a match);
+    ``labels`` joins labels of spans at or over ``coverage`` to the base labels; ``spans`` lists those spans (label, first
+    word, words, share). Null and empty texts have no words. Null ids pass through; rows that repeat are each returned.
     """
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("words"))
-    grams = F.when(F.size("words") >= K, F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
-    posted = keyed.select("key", "words", F.posexplode(grams).alias("pos", "hash"))
-    t = templates(docs.sparkSession)
-    same = posted["hash"] == t["hash"]
-    for j in range(K):
-        same &= F.get(posted["words"], posted["pos"] + j) == t[f"w{j}"]
-    votes = posted.join(F.broadcast(t), same).select("key", "template", "grams", "label", "base", "pos", "at").distinct()
-
-    apart = F.col("base") & (F.col("diagonal") != F.col("before.diagonal"))
-    order = Window.partitionBy("key", "template").orderBy(F.when(F.col("base"), F.col("diagonal")), "pos", "at")
-    votes = votes.withColumn("diagonal", F.col("pos") - F.col("at")).withColumn("before", F.lag(F.struct("diagonal", "pos")).over(order))
-    new = F.col("before").isNull() | apart | (F.abs(F.col("diagonal") - F.col("before.diagonal")) > DIAGONALS) | (F.col("pos") - F.col("before.pos") > GAP)
-    votes = votes.withColumn("span", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = votes.groupBy("key", "template", "grams", "label", "base", "span").agg(F.countDistinct("at").alias("held"), F.min("pos").alias("first"), (F.max("pos") - F.min("pos") + K).alias("length"))
-    share = (F.col("held") / F.col("grams")).alias("share")
-    spans = spans.withColumn("share", share).withColumn("whole", F.col("base") & (F.col("held") == F.col("grams"))).withColumn("found", ~F.col("base") & (F.col("share") >= coverage))
-    by_doc = spans.groupBy("key").agg(
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words"))
+    gram = lambda i: (F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    grams = F.when(F.size("words") >= K, F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.struct(F.xxhash64(*gram(i)).alias("h"), F.hash(*gram(i)).alias("g"))))
+    posted = keyed.select("doc_id", "key", F.posexplode(grams).alias("pos", "gram")).select("doc_id", "key", "pos", "gram.h", "gram.g")
+    text, kind = ["doc_id", "key"], ["template", "template_words", "label", "base"]
+    votes = posted.join(F.broadcast(templates(docs.sparkSession)), ["h", "g"]).select(*text, *kind, "pos", "at").distinct()
+
+    covers = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda at: F.sequence(at, at + K - 1))))
+    by_diagonal = votes.groupBy(*text, *kind, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_list("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    order = Window.partitionBy(*text, "template").orderBy("diagonal")
+    apart = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > DIAGONALS), F.lit(True))
+    merged = by_diagonal.withColumn("apart", apart).withColumn("span", F.sum(F.col("apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = merged.groupBy(*text, *kind, "span").agg(F.size(covers(F.flatten(F.collect_list("ats")))).alias("held"), F.min("first").alias("first"), (F.max("last") - F.min("first") + K).alias("length"))
+    spans = spans.withColumn("share", F.col("held") / F.col("template_words"))
+    spans = spans.withColumn("whole", F.col("base") & (F.col("held") == F.col("template_words"))).withColumn("found", ~F.col("base") & (F.col("share") >= coverage))
+    by_doc = spans.groupBy(*text).agg(
         F.count_if("whole").alias("n_base"),
         F.min(F.when(F.col("whole"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("whole"), F.col("first"))).cast("long").alias("last_word"),
@@ -83,8 +86,36 @@ def license_scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
         F.max("share").alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("label", "first", "length", "share")))).alias("spans"),
     )
-    counted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(by_doc, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
+    counted = keyed.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.size("words").cast("long").alias("n_words"))
+    joined = counted.join(by_doc, counted["id"].eqNullSafe(by_doc["doc_id"]) & (counted["k"] == by_doc["key"]), "left")
+    none = F.array().cast("array<struct<label:string,first:int,length:int,share:double>>")
+    return joined.select(
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"),
+        F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", none).alias("spans"),
     )
+
+
+def span_digest(spans: Column) -> Column:
+    """Spans as text: label@first word+words, comma-joined in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["label"], F.lit("@"), s["first"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",")
+
+
+_TEMPLATES = ", ".join(f"({t}, {at}, {n}, '{label}', {str(base).lower()}, '{w0}', '{w1}', '{w2}')" for t, at, n, label, base, w0, w1, w2 in template_rows())
+#: DuckDB SQL for license_scan (spans as span_digest) with the production parameters.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+t(template, place, template_words, label, base, w0, w1, w2) AS (VALUES {_TEMPLATES}),
+p AS (SELECT r, w, unnest(range(len(w))) AS pos FROM d),
+g AS (SELECT r, pos, w[pos + 1] AS w0, w[pos + 2] AS w1, w[pos + 3] AS w2 FROM p),
+v AS (SELECT r, template, template_words, label, base, pos, place, pos - place AS diagonal FROM g JOIN t USING (w0, w1, w2)),
+y AS (SELECT r, template, template_words, label, base, diagonal, list(place) AS ats, min(pos) AS first, max(pos) AS last FROM v GROUP BY ALL),
+a AS (SELECT *, coalesce(base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {DIAGONALS}, true)::INT AS apart FROM y),
+m AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM a),
+c AS (SELECT r, template, template_words, label, base, span, min(first) AS first, max(last) - min(first) + {K} AS length,
+      len(list_distinct(flatten([[x, x + 1, x + 2] FOR x IN flatten(list(ats))]))) AS held FROM m GROUP BY r, template, template_words, label, base, span),
+s AS (SELECT *, held / template_words AS share, base AND held = template_words AS whole, NOT base AND held / template_words >= {COVERAGE} AS found FROM c),
+b AS (SELECT r, count(*) FILTER (whole) AS n_base, min(first) FILTER (whole) AS first_word, max(first) FILTER (whole) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR found) AS labels, max(share) AS score, string_agg(label || '@' || first || '+' || length, ',' ORDER BY label, first, length, share) FILTER (found) AS spans FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+ coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(spans, '') AS spans FROM d LEFT JOIN b USING (r)
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op03_lines, op10_balltree
+from . import op03_lines, op06_license, op10_balltree
 from .common import read
 from .op01_minhash import near_duplicates
 from .op02_hmm import hmm_scores
@@ -41,7 +42,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(read(spark, sf_dir, "documents")).withColumn("spans", op06_license.span_digest(F.col("spans")))
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("offending")
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_hmm, op3_lines, op4_html, op5_quality, op6_license, op7_decontam, op8_toxicity, op9_packing, op10_topk)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_lines": op03_lines.SQL, "op10_topk": op10_balltree.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_lines": op03_lines.SQL, "op6_license": op06_license.SQL, "op10_topk": op10_balltree.SQL}
