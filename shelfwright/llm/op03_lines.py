@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 RATIO = 0.1
-LEAST_PAGES = 5
-#: Hosts with boilerplate that may be sent to every task; more are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: What stands on one page only is no repetition, however few pages the host has.
+LEAST_PAGES = 2
+#: Bytes of boilerplate keys that may be sent to every task; more are joined by shuffle.
+BROADCAST_BYTES = 8_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -36,14 +37,16 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     without a host share one host. Null texts stay null and hold no lines, but count as pages; a text whose lines all go
     becomes empty and its row stays. An ``n_chars`` column gets the new length of a text that lost lines.
     """
-    keyed = docs.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    bad = materialize(boilerplate(keyed.select(F.col("__host").alias("host"), "text"), ratio, least_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
-    joined = keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad, "__host", "left")
+    site, bad, left = fresh(docs, "line_host", "line_bad", "line_left")
+    keyed = docs.withColumn(site, F.coalesce(F.col(host).cast("string"), F.lit("")))
+    lists = materialize(boilerplate(keyed.select(F.col(site).alias("host"), "text"), ratio, least_pages), "boilerplate").select(F.col("host").alias(site), F.col("bad").alias(bad))
+    size = lists.agg(F.coalesce(F.sum(8 * F.size(bad) + F.length(site) + 64), F.lit(0))).first()[0]
+    joined = keyed.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, site, "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("__bad", line_key(x)))
-    out = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull() & F.col("text").isNotNull(), kept))
-    lost = F.size("__kept") < F.size(lines)
-    text = F.when(lost, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(bad, line_key(x)))
+    out = joined.withColumn(left, F.when(F.col(bad).isNotNull() & F.col("text").isNotNull(), kept))
+    lost = F.size(left) < F.size(lines)
+    text = F.when(lost, F.array_join(left, "\n")).otherwise(F.col("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.withColumn("text", text).select(*docs.columns)
