@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,30 +18,44 @@ FURNITURE = set("head nav footer aside form button select option label fieldset
 BLOCK = set("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BOUNDS = ("article", "main", "body", "td", "table")
+SCOPES = ("ul", "ol", "table", "dl", "article", "main", "body", "div", "section", "blockquote")
 PARAGRAPH = set("p pre td blockquote li dd".split())
 NAMED = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Words that a name of page furniture may hold beside those of NAMED.
+AROUND = set("site page post entry article blog main global primary secondary top bottom left right upper lower inner outer wrapper wrap container box bar list item items block area section column col row panel module link links button buttons icon icons text title form content c js id div ul desktop mobile".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: For what follows a quote that never ends.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "score", "chars", "linked", "own")
+    __slots__ = ("tag", "parent", "items", "drop", "inside", "score", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
-        self.score, self.chars, self.linked, self.own = 0.0, 0, 0, ""
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.score, self.chars, self.linked = 0.0, 0, 0
+
+
+def _furniture_name(value: str, inside: bool) -> bool:
+    """One of the names in a class or id is that of page furniture, whole: 'nav-bar' is, 'share-of-market' is not."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)} - ({"header"} if inside else set())
+        if words & NAMED and words <= NAMED | AROUND:
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
     if tag in FURNITURE:
         return True
-    inside = False
-    up = parent
-    while up is not None and not inside:
-        inside = up.tag in ("article", "main")
-        up = up.parent
+    inside = parent.inside or parent.tag in ("article", "main")
     if tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
@@ -49,21 +64,55 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        words = {w.lower() for w in _NAME.findall(value)}
-        if name == "role" and words & {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}:
+        if name == "role" and {w.lower() for w in _NAME.findall(value)} & {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}:
             return True
-        if name in ("class", "id") and (words - {"header"} if inside else words) & NAMED:
+        if name in ("class", "id") and _furniture_name(value, inside):
             return True
     return False
 
 
+class _Open:
+    """The open elements, outermost first, and where each tag stands among them."""
+
+    def __init__(self):
+        self.nodes: list[Node] = [Node("#root", None, False)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags; 0 without."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags, place: int) -> int:
+        """The place of the outermost open element with one of the tags within the one at ``place``; 0 without."""
+        return min((p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, place)) < len(p)), default=0)
+
+
 def parse(page: str) -> Node:
-    """A forgiving tree: unclosed paragraphs, items and inline elements end where the next block begins or an ancestor ends."""
-    root = here = Node("#root", None, False)
-    at, n = 0, len(page)
+    """A forgiving tree: unclosed paragraphs, items and inline elements end where the next block begins or an ancestor ends.
+
+    Every character is looked at a bounded number of times: end tags and unclosed elements are found by the places of open
+    tags, not by walking up, and once a quote turns out never to end, quotes count for nothing.
+    """
+    open_ = _Open()
+    at, n, token = 0, len(page), _TOKEN
+    ends: dict[str, re.Pattern] = {}
     while at < n:
-        m = _TOKEN.search(page, at)
+        start = _START.search(page, at)
+        m = start and token.match(page, start.start())
+        if start and not m and token is _TOKEN:
+            token = _PLAIN
+            m = token.match(page, start.start())
         text = page[at : m.start() if m else n]
+        here = open_.nodes[-1]
         if text:
             here.items.append(html.unescape(text))
         if not m:
@@ -75,35 +124,25 @@ def parse(page: str) -> Node:
                 here.items.append(m[0][9:-3])
             continue
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                if up.tag in ("article", "main", "body", "td", "table") and tag not in BLOCK:
-                    break
-                up = up.parent
-            if up.tag == tag and up is not root:
-                here = up.parent
+            place = open_.last((tag,))
+            if place and (tag in BLOCK or place >= open_.last(BOUNDS)):
+                open_.cut(place)
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>?", re.I).search(page, at)
+                end = ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*[^>]*>?", re.I)).search(page, at)
                 at = end.end() if end else n
             continue
         if tag in CLOSES_P or tag in SAME:
             close = SAME.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            up, last = here, None
-            while up is not root and up.tag not in ("ul", "ol", "table", "dl", "article", "main", "body", "div", "section", "blockquote") or up.tag in close:
-                if up.tag in close:
-                    last = up
-                if up is root:
-                    break
-                up = up.parent
-            if last is not None:
-                here = last.parent
+            if place := open_.first_after(close, open_.last(SCOPES)):
+                open_.cut(place)
+        here = open_.nodes[-1]
         node = Node(tag, here, tag not in VOID and _unwanted(tag, m[3], here))
         here.items.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
-    return root
+            open_.push(node)
+    return open_.nodes[0]
 
 
 def _score(root: Node) -> list[Node]:
