@@ -8,7 +8,9 @@ sum a cell), and, for scores, a join of each block's vocabulary with the global
 The emission of a state is P(class | state) * P(word | class). The TOP most frequent training words and the end are
 classes of their own; other words fall in SUFFIXES classes by their last bytes, in which a word's probability is
 add-one-half smoothed over the class, with one place for unknown words. So the model is a distribution over texts in the
-same sense as the unigram base. Training sequences are cut into SEGMENT tokens; scores run over whole texts.
+same sense as the unigram base. Scores run over whole texts. For training, long texts are cut every SEGMENT tokens, one
+token of overlap, so that every move is counted once; a segment that is not a text's first begins with the model's
+long-run distribution of states and counts neither as a start nor its overlap as an emission.
 """
 
 from __future__ import annotations
@@ -118,6 +120,13 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
+    def usual(self) -> np.ndarray:
+        """The long-run distribution of states."""
+        p = np.full(len(self.start), 1 / len(self.start))
+        for _ in range(200):
+            p = p @ self.move
+        return p / p.sum()
+
     @classmethod
     def first(cls, weights: np.ndarray, states: int, seed: int) -> Model:
         rng = np.random.default_rng(seed)
@@ -149,8 +158,20 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return np.add.reduceat(np.log10(scale), np.concatenate(([0], np.cumsum(lengths)[:-1])))
 
 
-def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of the sequences in ``symbols``, flat: starts, moves, emissions."""
+def segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts sequences that stand one after another: the place of each segment's tokens, the segments' lengths, and which
+    are a sequence's first. Others begin with the last token of the one before."""
+    n = np.maximum(-(-(lengths - 1) // (size - 1)), 1)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    whole = np.repeat(lengths, n)
+    sizes = np.minimum(size, whole - number * (size - 1))
+    begin = np.repeat(np.cumsum(lengths) - lengths, n) + number * (size - 1)
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes, number == 0
+
+
+def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Baum-Welch counts of the sequences in ``symbols``, flat: starts, moves, emissions. ``first``: see ``segments``."""
+    first = np.ones(len(lengths), bool) if first is None else first
     states = len(model.start)
     order = np.argsort(-lengths, kind="stable")
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
@@ -158,10 +179,11 @@ def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarr
     alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
     seen = model.emit[symbols]
     ahead, scale = np.empty((len(symbols), states)), np.empty(len(symbols))
+    begin = np.where(first[order][:, None], model.start, model.usual())
     state = None
     for t, n in enumerate(alive):
         at = starts[:n] + t
-        state = (model.start if state is None else state[:n] @ model.move) * seen[at]
+        state = (begin if state is None else state[:n] @ model.move) * seen[at]
         scale[at] = total = state.sum(1)
         state /= total[:, None]
         ahead[at] = state
@@ -175,8 +197,10 @@ def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarr
         behind[:n] = later @ model.move.T
         ahead[at] *= behind[:n]
     moves *= model.move
+    begun = ahead[starts][first[order]].sum(0)
+    ahead[starts[~first[order]]] = 0
     emitted = np.stack([np.bincount(symbols, weights=ahead[:, s], minlength=len(model.emit)) for s in range(states)], 1)
-    return np.concatenate((ahead[starts].sum(0), moves.ravel(), emitted.ravel()))
+    return np.concatenate((begun, moves.ravel(), emitted.ravel()))
 
 
 def _baum_welch(batches: Iterator[pa.RecordBatch], model: Model, top: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -188,14 +212,13 @@ def _baum_welch(batches: Iterator[pa.RecordBatch], model: Model, top: np.ndarray
             symbols, lengths = symbols[np.repeat(~held, lengths)], lengths[~held]
             if not len(lengths):
                 continue
-            pieces = -(-lengths // SEGMENT)
-            cut = np.full(pieces.sum(), SEGMENT)
-            cut[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * SEGMENT
+            places, cut, begins = segments(lengths, SEGMENT)
+            symbols = symbols[places]
             ends = np.cumsum(cut)
             first = 0
             while first < len(cut):
                 last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
-                counts = expected(model, symbols[ends[first] - cut[first] : ends[last - 1]], cut[first:last])
+                counts = expected(model, symbols[ends[first] - cut[first] : ends[last - 1]], cut[first:last], begins[first:last])
                 total = counts if total is None else total + counts
                 first = last
     if total is not None:
@@ -234,11 +257,14 @@ def hmm_scores(docs: DataFrame, held_out: str | None = None, states: int = STATE
     count. Without training rows all words are unknown and the model is the untrained one. Words are told apart by a
     63-bit hash. The model (states x classes) and the ``top`` words are all that the driver sees.
     """
+    import xxhash
+
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(held_out) if held_out else fold(F.col("doc_id"), 5) == 1).alias("held_out"))
     blocks = materialize(docs.mapInArrow(_blocks, _BLOCK), "blocks")
     counts = materialize(blocks.select("hashes", "counts", "suffixes").mapInArrow(_counted, "hash long, suffix int, n long").groupBy("hash", "suffix").agg(F.sum("n").alias("n")), "counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    best = counts.orderBy(F.desc("n"), "hash").limit(top).collect()
+    end = xxhash.xxh3_64_intdigest(END) >> 1
+    best = counts.orderBy((F.col("hash") != end), F.desc("n"), "hash").limit(top).collect()  # the end is one of them whatever its count
     best = sorted(best, key=lambda r: r.hash)
     top_hashes = np.array([r.hash for r in best], np.int64)
     weights = np.zeros(len(best) + SUFFIXES)
