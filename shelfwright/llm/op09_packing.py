@@ -19,31 +19,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, portions
 
 CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
-SALTS = 256
-CACHE, TRIAL = 500_000, 300
-#: Fixed value: how byte-level BPE vocabularies of this family cut a text.
+#: Pieces of one length that one task ranks; a length that more have is split by salts.
+RANKED = 50_000
+#: Bytes of (length, salt) offsets that may be sent to every task.
+BROADCAST_BYTES = 16_000_000
+CACHE = 150_000
+#: Fixed value: how the customary byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = re.compile(r"\s\s")
 _STATE: dict = {}
 
 
 class Encoder:
-    """Ids by the tokenizer, remembered per stretch between single spaces, where this tokenizer always cuts.
+    """Ids by the tokenizer, remembered per stretch between single spaces, where the customary cut always cuts.
 
-    Texts with white space next to white space, where it may not, and with special tokens are encoded whole. New
-    stretches are encoded many at once by the same vocabulary's ranks (the ids of a byte-level BPE file, where they
-    agree with the tokenizer on TRIAL stretches; else by the tokenizer itself), split by line ends.
+    Texts with white space next to white space, where it may not, and with special tokens are encoded whole. Where
+    ``same_as_ranks`` has proved that the file's vocabulary in rank order gives the same ids, new stretches are encoded
+    many at once by it, split by line ends; else each is encoded by the tokenizer itself, and so is any text if the file
+    does not even cut in the customary way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proved: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.fast, self.tried = _ranked(path), 0
+        self.fast = _by_ranks(_file(path)) if proved else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, text: str) -> bytes:
@@ -52,7 +56,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        plain = [p for p in new if p[:1] == " " and "\n" not in p] if self.fast else []
+        plain = [p for p in new if p[:1] == " " and "\n" not in p]
         if plain:
             ids = self.fast.encode_to_numpy("\n".join(plain)).astype("<u4")
             cuts = np.flatnonzero(ids == self.line)
@@ -63,19 +67,13 @@ class Encoder:
         for p in new:
             if p not in self.known:
                 self.known[p] = self._whole(p)
-            elif self.tried < TRIAL and self.fast:
-                self.tried += 1
-                if self.known[p] != self._whole(p):
-                    self.fast = None
-                    self.known.clear()
-                    return self._learn(new)
 
     @functools.cached_property
     def line(self) -> int:
         return int(self.fast.encode_to_numpy("\n")[0])
 
     def encode(self, text: str) -> bytes:
-        if _SPACES.search(text) or text[:1].isspace() or text[-1:].isspace() or "\0" in text or any(t in text for t in self.special):
+        if not self.fast or _SPACES.search(text) or text[:1].isspace() or text[-1:].isspace() or "\0" in text or any(t in text for t in self.special):
             return self._whole(text)
         parts = text.replace(" ", "\0 ").split("\0")
         known = self.known
@@ -85,32 +83,83 @@ class Encoder:
         return b"".join(map(known.__getitem__, parts))
 
 
-def _ranked(path: str):
-    """A tiktoken encoding with the file's vocabulary, or None where it is not a byte-level BPE of the customary pattern."""
+def _file(path: str) -> dict:
     import json
 
-    import tiktoken
-
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        return json.load(f)
+
+
+def _bytes_of(tokens) -> dict[str, bytes]:
+    """Tokens of a byte-level file as bytes; those with characters that stand for no byte are left out."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(byte_of[c] for c in token): n for token, n in model["vocab"].items() if not token.startswith("<|")} if all(c in byte_of for token in model["vocab"] for c in token) else {}
-    if not all(bytes([b]) in ranks for b in range(256)):
-        return None
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {t: bytes(map(byte_of.__getitem__, t)) for t in tokens if all(c in byte_of for c in t)}
+
 
+def _by_ranks(file: dict):
+    import tiktoken
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    vocabulary = file["model"]["vocab"]
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: vocabulary[t] for t, b in _bytes_of(vocabulary.keys() - special).items()}, special_tokens={})
+
+
+@functools.cache
+def same_as_ranks(path: str) -> bool:
+    """Whether a tokenizer file provably gives the ids that merging the lowest-ranked pair of its vocabulary gives.
+
+    The file must be a plain byte-level BPE that cuts in the customary way, with all 256 bytes, and its merges must make
+    tokens in the order of their ids. Merging by rank then differs only if two neighbours join to a token by another pair
+    than the file's. Neighbours l, r that join to t came about within the bytes of t, by the same merges as when t stands
+    alone; so it is enough that each token alone is put together last from the pair that the file has for it.
+    """
+    file = _file(path)
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    usual = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if not plain or not usual or file.get("normalizer") or file.get("truncation") or file.get("padding"):
+        return False
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    vocabulary = model["vocab"]
+    as_bytes = _bytes_of(vocabulary.keys() - special)
+    if len(as_bytes) != len(vocabulary.keys() - special):
+        return False
+    rank = {b: vocabulary[t] for t, b in as_bytes.items()}
+    pairs = {}
+    last = -1
+    for merge in model["merges"]:
+        left, right = (as_bytes.get(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+        if left is None or right is None or rank.get(left + right, -1) <= last:
+            return False
+        last = rank[left + right]
+        pairs[left + right] = (left, right)
+    if not all(bytes([b]) in rank for b in range(256)) or len(pairs) + 256 != len(rank):
+        return False
+    return all(_last_pair(token, rank) == pair for token, pair in pairs.items())
+
+
+def _last_pair(token: bytes, rank: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that merging by rank joins last to the whole token; None if it never does."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        low, at = min((rank.get(parts[k] + parts[k + 1], len(rank) + 1_000_000), k) for k in range(len(parts) - 1))
+        if low > len(rank) + 999_999:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, proved: bool) -> Iterator[pa.RecordBatch]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = _STATE.get(path) or _STATE.setdefault(path, Encoder(path))
+    encoder = _STATE.get(path) or _STATE.setdefault(path, Encoder(path, proved))
     end = np.array([END], "<u4").tobytes()
-    for batch in batches:
+    for batch in portions(batches):
         columns: list[list] = [[] for _ in range(5)]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = encoder.encode(text or "") + end
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            ids = encoder.encode(text.as_py() or "") + end
             n = len(ids) // 4
             cut = n % capacity or capacity
             edges = [0, *range(cut, n + 1, capacity)]
@@ -189,12 +238,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... among the pieces of a length. Only (length, salt) counts are gathered in a window."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    shares = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = shares.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    """Adds ``rank``: 0, 1, ... among the pieces of a length. A length is split in as many salted shares of about RANKED
+    pieces as it needs; their counts are gathered in a window, the pieces never."""
+    known = pieces.columns
+    shares = pieces.groupBy("length").agg(F.ceil(F.count("*") / RANKED).alias("shares"))  # a row a length, at most the capacity
+    salted = pieces.join(F.broadcast(shares), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("shares")))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    before = materialize(before, "bases")
+    small = 24 * before.count() <= BROADCAST_BYTES
     within = salted.withColumn("within", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    return within.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within")).drop("salt", "base", "within")
+    return within.join(F.broadcast(before) if small else before, ["length", "salt"]).select(*known, (F.col("base") + F.col("within")).alias("rank"))
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -210,7 +264,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = materialize(rows.mapInArrow(functools.partial(_pieces, path=tokenizer, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = materialize(rows.mapInArrow(functools.partial(_pieces, path=tokenizer, capacity=capacity, proved=same_as_ranks(tokenizer)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs: dict[int, list[tuple]] = {}
     for length, first, n, bin_, per, offset in plan(counts, capacity):
