@@ -6,7 +6,10 @@ than a quarter it has at least one. Each item lists so many of its shingles, tho
 equals the heaviest). Every shingle of every text is looked up, and around each hit all starts that cover it are tried,
 with sums kept up word by word. So nothing at the threshold is missed, wherever the edits or the cut ends lie.
 
-Items are taken in blocks of ITEMS, each collected (a bounded table) and held against all texts in one scan.
+SimHash fingerprints of windows, the method first meant for the candidates, cannot give that: see the README for how far
+apart the fingerprints of true pairs lie.
+
+Items are taken in blocks of ITEM_BYTES, each collected (a bounded table) and held against all texts in one scan.
 """
 
 from __future__ import annotations
@@ -20,63 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_HASH, materialize, words_of
-
-WIDTH, PERCENT, RADIUS, BLOCKS = 5, 75, 11, 4
-ITEMS, AT_ONCE = 2000, 20_000
-_WORDS = WORD_HASH
-_MASKS = np.array([0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)], np.uint16)
-
-
-def classes(longest: int) -> list[tuple[int, int]]:
-    """(window, stride) by size: single words up to 7, then about half as many more words each time."""
-    out, w = [(n, 1) for n in range(1, min(longest, 7) + 1)], 8
-    while w <= longest:
-        out.append((w, max(1, w // 4)))
-        w = w + w // 2
-    return out
-
-
-def class_of(length: int) -> tuple[int, int]:
-    return max((c for c in classes(length) if c[0] + c[1] - 1 <= length), default=(length, 1))
-
-
-def _sums(words: list[bytes]) -> np.ndarray:
-    """Running sums of the words' signed bits, each word weighing its bytes (16 at most)."""
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    weights = np.minimum(np.fromiter(map(len, words), np.int32, len(words)), 16)
-    bits = np.unpackbits(ids.view(np.uint8)).reshape(-1, 64).astype(np.int32)
-    out = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum((2 * bits - 1) * weights[:, None], axis=0, out=out[1:])
-    return out
-
-
-def _prints(sums: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    return np.packbits((sums[starts + window] - sums[starts]) > 0, axis=1).view(np.uint64).ravel()
-
-
-class Index:
-    """Fingerprints found by blocks within two bits; not used by the search, whose shingles miss nothing."""
-
-    def __init__(self, prints: np.ndarray, items: np.ndarray, offsets: np.ndarray):
-        self.prints, self.items, self.offsets, self.blocks = prints, items, offsets, []
-        for b in range(BLOCKS):
-            near = (prints >> np.uint64(16 * b)).astype(np.uint16)[:, None] ^ _MASKS
-            order = np.argsort(near.ravel(), kind="stable")
-            self.blocks.append((np.searchsorted(near.ravel()[order], np.arange(65537)), order // len(_MASKS)))
+from .common import WORD_HASH, fresh, materialize, portions, words_of
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint) pairs within RADIUS, some more than once."""
-        found = []
-        for b, (first, listed) in enumerate(self.blocks):
-            value = (prints >> np.uint64(16 * b)).astype(np.uint16).astype(np.int64)
-            n = first[value + 1] - first[value]
-            window = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[value], n)
-            fingerprint = listed[at]
-            near = np.bitwise_count(prints[window] ^ self.prints[fingerprint]) <= RADIUS
-            found.append((window[near], fingerprint[near]))
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+WIDTH, PERCENT = 5, 75
+ITEM_BYTES, AT_ONCE = 8_000_000, 20_000
 
 
 def weighted(words: list[bytes]) -> dict[bytes, int]:
@@ -94,7 +44,7 @@ def similarity(x: dict[bytes, int], y: dict[bytes, int]) -> float:
 def _shingled(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and letters (as in ``weighted``) of the shingles of exactly ``width`` words, by their first word."""
     n = max(len(words) - width + 1, 0)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
     ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
     out = np.full(n, width, np.uint64)
     for j in range(width if n else 0):
@@ -149,9 +99,9 @@ def best_place(hashes: list[int], letters: list[int], own: dict[int, int], lengt
 def _matches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
     shingles, index = build([w for _, w in items])
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
-    for batch in batches:
+    for batch in portions(batches):
         out: list[dict] = []
-        texts = [words_of(t) for t in batch.column("text").to_pylist()]
+        texts = [words_of(t.as_py()) for t in batch.column("text")]
         ids = batch.column("doc_id").to_pylist()
         at = 0
         while at < len(texts):
@@ -203,7 +153,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("length(trim(text)) > 0")
-    blocks = max(1, -(-items.count() // ITEMS))
+    blocks = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] // ITEM_BYTES))
     if blocks > 1:
         items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     out = None
@@ -217,6 +167,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item. Rows without an id stay unless their text is found under no id."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    held = materialize(contaminations(keyed.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct(), "held")
-    return keyed.join(held, "__row", "left_anti").select(*docs.columns)
+    (row,) = fresh(docs, "text_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    held = materialize(contaminations(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct(), "held")
+    return keyed.join(held, row, "left_anti").select(*docs.columns)

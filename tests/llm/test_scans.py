@@ -122,18 +122,6 @@ def test_decontamination_matches_brute_force():
     assert len(wanted) > 60 and {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in wanted.items()}
 
 
-def test_hamming_index_is_complete():
-    rng = np.random.default_rng(6)
-    prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
-    index = op07_decontam.Index(prints, np.arange(50), np.zeros(50, int))
-    asked = prints.copy()
-    for k in range(50):
-        for bit in rng.choice(64, op07_decontam.RADIUS, replace=False):
-            asked[k] ^= np.uint64(1) << np.uint64(bit)
-    w, f = index.near(asked)
-    assert set(range(50)) <= {int(a) for a, b in zip(w, f, strict=True) if a == b}
-
-
 def test_packing_round_trip(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
