@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_abbreviations, no_blank, squeeze
-from ..tables import CONNECTIONS, FINISHES, MATERIALS, phrases
+from ..tables import CONNECTIONS, FINISHES, MATERIALS
+from .staging import spread, staged
 
+# How sizes, ratings and counts are written.
 _FRACTION, _NUMBER = r"\d+\s*-\s*\d+/\d+|\d+/\d+", r"\d+\.\d+|\d+"
 _ANY = f"{_FRACTION}|{_NUMBER}"
 _MARK = r"\"|''|in\b|inch(?:es)?\b|mm\b|cm\b"
@@ -22,54 +24,52 @@ _VOLTS = rf"(?i){_FREE}(\d{{1,4}}(?:\.\d+)?)\s*(?:v|volts?|vac|vdc)(?![A-Za-z])"
 _AMPS = rf"(?i){_FREE}(\d{{1,4}}(?:\.\d+)?)\s*(?:a|amps?)(?![A-Za-z])"
 
 
-def _group(text: Column, pattern: str, k: int) -> Column:
-    return no_blank(F.regexp_extract(text, pattern, k))
+def _first(low: Column, listed: dict[str, str]) -> Column:
+    """The place, from 0, of the first listed phrase that stands in the text between non-letters."""
+    at = F.lit(None).cast("int")
+    for n, phrase in reversed(list(enumerate(listed))):
+        at = F.when(F.contains(low, F.lit(phrase)) & low.rlike(f"(?<![a-z]){phrase}(?![a-z])"), n).otherwise(at)
+    return at
 
 
-def _first(low: Column, listed: str) -> tuple[Column, Column]:
-    """Shown value and phrase of the first listed phrase that stands in the text between non-letters."""
-    value = phrase = None
-    for words, shown in phrases(listed):
-        hit = low.rlike(f"(?<![a-z]){words}(?![a-z])")
-        value = F.when(hit, shown) if value is None else value.when(hit, shown)
-        phrase = F.when(hit, words) if phrase is None else phrase.when(hit, words)
-    return value, phrase
-
-
-def parsed(expanded: Column) -> Column:
-    """ARRAY<STRUCT<label, value, unit, evidence>> in a fixed order, one entry a label."""
-    text = squeeze(expanded)
-    low = F.lower(text)
-    tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    paired = text.rlike(_PAIR)
-    single = _group(text, _SIZE, 1)
-    token = tight(F.regexp_extract(single, rf"^({_ANY})", 1))
-    unit = F.when(single.rlike(r"(?i)mm$"), "mm").when(single.rlike(r"(?i)cm$"), "cm").otherwise("in")
+def with_attributes(rows: DataFrame, text: str = "Part_Desc") -> DataFrame:
+    """Adds ``attributes``, ARRAY<STRUCT<label, value, unit, evidence>> in a fixed order, one entry a label; empty for null
+    and blank texts. Each pattern is held against a text once."""
+    known = rows.columns
+    listed = {"Material": MATERIALS, "Finish": FINISHES, "Connection Type": CONNECTIONS}
+    t = staged(spread(rows), {"at_text": squeeze(expand_abbreviations(F.col(text)))})
+    whole = {"at_pair": _PAIR, "at_size": _SIZE, "at_pressure": _PRESSURE, "at_schedule": _SCHEDULE, "at_handles": _HANDLES, "at_volts": _VOLTS, "at_amps": _AMPS}
+    low = F.lower("at_text")
+    t = staged(t, {**{name: F.regexp_extract("at_text", pattern, 1 if name == "at_size" else 0) for name, pattern in whole.items()}, **{f"at_{n}": _first(low, x) for n, x in enumerate(listed.values())}})
+    part = lambda name, k: no_blank(F.regexp_extract(name, whole[name], k))
+    t = staged(
+        t,
+        {
+            "at_pair1": part("at_pair", 1), "at_pair2": part("at_pair", 2), "at_token": no_blank(F.replace(F.regexp_extract("at_size", rf"^({_ANY})", 1), F.lit(" "), F.lit(""))),
+            "at_class": F.coalesce(part("at_pressure", 1), part("at_pressure", 2)), "at_sch": F.upper(part("at_schedule", 1)), "at_hand": part("at_handles", 1), "at_v": part("at_volts", 1), "at_a": part("at_amps", 1),
+        },
+    )
+    paired = F.col("at_pair") != ""
+    size = F.col("at_size")
+    unit = F.when(size.rlike(r"(?i)mm$"), "mm").when(size.rlike(r"(?i)cm$"), "cm").otherwise("in")
 
     def entry(label: str, value: Column, unit: Column | None, evidence: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(label).alias("label"), value.alias("value"), (F.lit(None).cast("string") if unit is None else unit).alias("unit"), F.trim(evidence).alias("evidence")))
 
-    whole = _group(text, _PAIR, 0)
     entries = [
-        entry("Size", F.when(paired, _group(text, _PAIR, 1)).otherwise(no_blank(token)), F.when(paired, "in").otherwise(unit), F.when(paired, whole).otherwise(single)),
-        entry("Second Size", F.when(paired, _group(text, _PAIR, 2)), F.lit("in"), whole),
+        entry("Size", F.when(paired, F.col("at_pair1")).otherwise(F.col("at_token")), F.when(paired, "in").otherwise(unit), F.when(paired, F.col("at_pair")).otherwise(size)),
+        entry("Second Size", F.when(paired, F.col("at_pair2")), F.lit("in"), F.col("at_pair")),
     ]
-    for label, listed in (("Material", MATERIALS), ("Finish", FINISHES), ("Connection Type", CONNECTIONS)):
-        value, phrase = _first(low, listed)
-        entries.append(entry(label, value, None, phrase))
+    for n, (label, shown) in enumerate(listed.items()):
+        entries.append(entry(label, F.get(F.array(*map(F.lit, shown.values())), F.col(f"at_{n}")), None, F.get(F.array(*map(F.lit, shown)), F.col(f"at_{n}"))))
     entries += [
-        entry("Pressure Class", F.coalesce(_group(text, _PRESSURE, 1), _group(text, _PRESSURE, 2)), None, _group(text, _PRESSURE, 0)),
-        entry("Schedule", F.upper(_group(text, _SCHEDULE, 1)), None, _group(text, _SCHEDULE, 0)),
-        entry("Handle Count", _group(text, _HANDLES, 1), None, _group(text, _HANDLES, 0)),
-        entry("Voltage", _group(text, _VOLTS, 1), F.lit("volts"), _group(text, _VOLTS, 0)),
-        entry("Current", _group(text, _AMPS, 1), F.lit("amps"), _group(text, _AMPS, 0)),
+        entry("Pressure Class", F.col("at_class"), None, F.col("at_pressure")),
+        entry("Schedule", F.col("at_sch"), None, F.col("at_schedule")),
+        entry("Handle Count", F.col("at_hand"), None, F.col("at_handles")),
+        entry("Voltage", F.col("at_v"), F.lit("volts"), F.col("at_volts")),
+        entry("Current", F.col("at_a"), F.lit("amps"), F.col("at_amps")),
     ]
-    return F.array_compact(F.array(*entries))
-
-
-def with_attributes(rows: DataFrame, text: str = "Part_Desc") -> DataFrame:
-    """Adds ``attributes``; empty for null and blank texts."""
-    return rows.withColumn("attributes", parsed(expand_abbreviations(F.col(text))))
+    return t.select(*known, F.array_compact(F.array(*entries)).alias("attributes"))
 
 
 def attribute_rows(rows: DataFrame, key: str = "row_index", text: str = "Part_Desc") -> DataFrame:

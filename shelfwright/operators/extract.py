@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extra_key, no_blank, squeeze
+from ..functions.text import extra_key, literal_map, no_blank, squeeze
+from .staging import let, spread, staged
 
-# Units that need no context, and words that make a number a rating.
+# Words that make a number a rating, and the patterns of each field.
 CURRENT_WORDS = "current amperage amp rated rating consumption consume draw load nominal max maximum min minimum output input supply operating continuous inrush switching".split()
 VOLTAGE_WORDS = "voltage volt supply rated rating operating power nominal input output range dc ac".split()
 MATERIAL_WORDS = ["housing", "body", "housing material", "body material", "construction", "barrel", "casing", "case", "enclosure", "shell", "jacket", "sheath", "cover", "made of", "made from", "consists", "finish", "plated"]
@@ -34,8 +35,20 @@ DYNAMIC = [
     ("Switching Frequency", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(Hz|kHz)\b"),
     ("Cable Length", r"(?i)(?:cable(?:\s*length)?)\D{0,12}?([0-9]+(?:\.[0-9]+)?)\s*(m|cm|ft)\b"),
 ]
+# Phrases that name a category outright, in order, then keywords that suggest one.
+NAMED_CATEGORIES = [
+    (r"(?i)\b(?:detail\s+file\s+)?sanding\s+belts?\b", "Sanding Belt"),
+    (r"(?i)\bsanding\s+discs?\b", "Sanding Disc"),
+    (r"(?i)\bflap\s+discs?\b", "Flap Disc"),
+    (r"(?i)\bgrinding\s+wheels?\b", "Grinding Wheel"),
+    (r"(?i)\bcut[-\s]?off\s+wheels?\b", "Cut-Off Wheel"),
+    (r"(?i)\babrasive\s+sheets?\b", "Abrasive Sheet"),
+    (r"(?i)\bproximity\s+sensors?\b", "Industrial Sensor"),
+    (r"(?i)\bphotoelectric\s+sensors?\b", "Industrial Sensor"),
+    (r"(?i)\bcircular\s+connectors?\b", "Industrial Connector"),
+]
+PRODUCT_TYPE = r"(?im)^\s*Product\s+Type\s*:\s*[^\n]*sanding[^\n]*$"
 CATEGORIES = [
-    (r"(?i)(sanding belt|sanding disc|flap disc|grinding wheel|cut-?off wheel|abrasive sheet)", None, 0.95),
     (r"(?i)(sensor|transducer|transmitter|proximity)", "Industrial Sensor", 0.90),
     (r"(?i)(connector|plug|socket|terminal block|terminal)", "Industrial Connector", 0.92),
     (r"(?i)\b(pump)\b", "Industrial Pump", 0.88),
@@ -47,6 +60,33 @@ CATEGORIES = [
     (r"(?i)\b(controller|plc|drive)\b", "Industrial Controller / Drive", 0.88),
     (r"(?i)\b(cable|cordset)\b", "Industrial Cable", 0.88),
 ]
+# Part numbers, product-type phrases, headings that are no names, titles of no product, and site names behind titles.
+PART = r"\b([A-Z]{2,5}[-–][A-Z0-9]+(?:[-–][A-Z0-9]+)*)\b"
+TYPE_PHRASE = r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z \t]{0,45}?(?:Sensor|Pump|Connector|Transducer|Transmitter|Valve|Relay|Switch|Motor|Actuator|Cable|Plug|Encoder|Controller|Drive))"
+HEADING = r"(?i)^\s*(?:={2,}|-{2,})?\s*(?:extracted\s+specification\s+tables?|page\s+content|specifications?|description|features?)\s*(?:={2,}|-{2,})?\s*$"
+NO_TITLE = r"(?i)^(?:prism_test|untitled|document|datasheet|catalog|spec sheet)"
+NO_LINE = r"(?i)^(?:---|fetch|sparse|http|url:)"
+SITES = [
+    r"wikipedia(?:,\s*the free encyclopedia)?", r"amazon(?:\.[a-z.]+)?", "ebay", "alibaba", "indiamart", "digikey", "mouser", "rs components", "farnell", "newark", "automationdirect", "grainger", r"home\s*depot",
+    "walmart", "youtube", "linkedin", "free encyclopedia", "official site", "official website", r"home\s*page", "products?", "datasheet", "catalog(?:ue)?", "buy online", "for sale", "shop",
+]
+TITLE_SIGNS = [(r"(?i)\b(?:sku|mpn|model|part)\b", 1), (r"(?i)\b(?:belt|sensor|connector|pump|valve|motor|relay|switch|cable|actuator|controller|drive|tool)\b", 2), (r"\b[A-Z0-9]{6,}\b", 2)]
+# Specification rows that say nothing of the product, other names of a row, and units that a row's text may state.
+SKIPPED_ROWS = [
+    "description", "features", "specifications", "unit price", "price", "quantity", "add to wishlist", "secure checkout", "secure payment", "http", "https", "url", "source url", "product url",
+    "estimated arrival", "estimated arrival on", "arrival date", "availability", "available", "ship to store", "shipping",
+]
+SKIPPED_KEYS = ["http", "https", "url", "source_url", "product_url", "estimated_arrival", "estimated_arrival_on", "arrival_date", "availability", "available", "ship_to_store", "shipping"]
+SKIPPED_VALUES = ["/ per", "-", "--", "N/A", "n/a"]
+ROW_NAMES = {
+    "sku": "Manufacturer Part Number", "mpn": "Manufacturer Part Number", "manufacturer part number": "Manufacturer Part Number", "upc": "UPC", "item upc": "UPC", "brand": "Brand", "vendor": "Brand",
+    "pack quantity": "Pack Quantity", "item quantity": "Item Quantity", "item weight": "Item Weight", "country of origin": "Country of Origin", "grit": "Grit", "grit blend": "Grit Blend",
+    "grit description": "Grit Description", "backing": "Backing", "assorted pack": "Assorted Pack", "product type": "Product Type", "cutting materials": "Cutting Materials",
+}
+STATED_UNITS = [(r"(?i)(?:\b(?:inches|inch|in)\b|[\"″])", "in"), (r"(?i)\bmm\b", "mm"), (r"(?i)\bcm\b", "cm"), (r"(?i)\b(?:feet|foot|ft)\b", "ft"), (r"(?i)\bkg\b", "kg"), (r"(?i)\b(?:lb|lbs)\b", "lb")]
+# Grit and coatings, which are no body material unless a part of the body is said to be made of them.
+ABRASIVES = ["aluminum oxide", "aluminium oxide", "zirconium blend", "zirconia", "silicon carbide", "ceramic abrasive", "abrasive grain", "abrasive grit", "grit blend", "grit description", "sanding belt", "sanding disc"]
+BODY_PARTS = ["housing", "body", "barrel", "casing", "case", "enclosure", "shell", "backing"]
 LABELS = {
     "product_name": "Product Name", "category": "Category", "voltage_rating": "Voltage Rating", "current_rating": "Current Rating", "ip_rating": "IP Rating", "connector_type": "Connector Type",
     "operating_temperature_min": "Operating Temp Min", "operating_temperature_max": "Operating Temp Max", "material": "Material", "certifications": "Certifications", "mounting_type": "Mounting Type",
@@ -64,11 +104,10 @@ def number(c: Column) -> Column:
     return F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
 
 
-def window(text: Column, pattern: str, before: int, after: int) -> Column:
-    """The first match with characters around it."""
-    at = F.regexp_instr(text, F.lit(pattern))
+def window(text: Column, at: Column, found: Column, before: int, after: int) -> Column:
+    """The match that begins at ``at`` (from 1; 0: none) with characters around it."""
     start = F.greatest(at - before, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at - start + F.length(F.regexp_extract(text, pattern, 0)) + after))
+    return F.when(at > 0, F.substring(text, start, at - start + F.length(found) + after))
 
 
 def context_word(near: Column, words: list[str]) -> Column:
@@ -116,74 +155,150 @@ def _material() -> Column:
     return _field("material", F.coalesce(one, F.when(labelled | word.isNotNull(), other)), None, F.coalesce(one, F.trim("m_near")), F.when(one.isNotNull(), 0.90).otherwise(0.84), reason)
 
 
-def _name() -> Column:
-    hinted, part, kind, first = (F.col(c) for c in ("name_hinted", "n_part", "n_kind", "n_first"))
-    value = F.coalesce(hinted, F.when(part.isNotNull() & kind.isNotNull(), F.concat_ws(" ", part, kind)), kind, part, first)
-    confidence = F.when(hinted.isNotNull(), 0.95).when(part.isNotNull() & kind.isNotNull(), 0.92).when(kind.isNotNull(), 0.86).when(part.isNotNull(), 0.85).otherwise(0.45)
-    return _field("product_name", value, None, F.coalesce(hinted, part, kind, first), confidence, F.lit("hint, part number, type phrase or first line"))
+def structural(name: Column) -> Column:
+    """A section heading that stands where a name should."""
+    return F.coalesce(name.rlike(HEADING), F.lit(False))
+
+
+def without_site(title: Column) -> Column:
+    """A title without the names of sites behind it, three at most; the title itself if nothing else is left."""
+    kept = F.trim(title)
+    for _ in range(3):
+        kept = F.btrim(F.regexp_replace(kept, rf"(?i)\s*[-–—|:]\s*(?:{'|'.join(SITES)})\s*$", ""), F.lit(" -–—|:"))
+    return F.coalesce(no_blank(kept), F.trim(title))
+
+
+def title_line(lines: Column) -> Column:
+    """Of the lines with letters and digits the one with most signs of a product title, then the shortest, then the first."""
+
+    def judged(line: Column, pos: Column) -> Column:
+        score = sum((F.when(line.rlike(pattern), points).otherwise(0) for pattern, points in TITLE_SIGNS), F.lit(0))
+        fits = F.length(line).between(8, 220) & line.rlike("[A-Za-z]") & line.rlike("[0-9]") & ~structural(line) & ~line.rlike("^(?:===|---)")
+        return F.when(fits, F.struct((-score).alias("away"), F.length(line).alias("size"), pos.alias("pos"), line.alias("line")))
+
+    return F.array_min(F.transform(lines, judged))["line"]
+
+
+def _name() -> tuple[Column, Column]:
+    """The name as a struct, to be worked out once, and the field that reads it from ``name``."""
+    hint, title, part, kind, first = (F.col(c) for c in ("hint", "hint_title", "n_part", "n_kind", "n_first"))
+    hinted = F.when(~title.rlike(NO_TITLE), title)
+    phrase = F.trim(kind)
+    both = F.substring(F.when(F.contains(F.lower(part), F.lower(phrase)), part).otherwise(F.concat_ws(" ", part, phrase)), 1, 80)
+    read = F.struct(
+        F.coalesce(F.when(part.isNotNull() & kind.isNotNull(), both), F.substring(phrase, 1, 80), part, F.substring(first, 1, 70)).alias("value"), F.coalesce(part, kind, F.substring(first, 1, 70)).alias("snippet"),
+        F.when(part.isNotNull() & kind.isNotNull(), 0.92).when(kind.isNotNull(), 0.86).when(part.isNotNull(), 0.85).otherwise(0.45).alias("confidence"), F.lit("part number, product-type phrase or first line").alias("reason"),
+    )
+    given = F.struct(hinted.alias("value"), hint.alias("snippet"), F.lit(0.95).alias("confidence"), F.lit("hint").alias("reason"))
+    line = title_line(F.col("lines"))
+    recovered = F.struct(F.substring(line, 1, 160).alias("value"), line.alias("snippet"), F.lit(0.90).alias("confidence"), F.lit("title line, for a heading in the name's place").alias("reason"))
+    guessed = F.when(hinted.isNotNull(), given).otherwise(read)
+
+    def sound(n: Column) -> Column:
+        heading = F.trim(F.coalesce(n["value"], F.lit(""))).rlike("^$") | structural(n["value"])
+        return F.when(~heading, n).otherwise(let(recovered, lambda r: F.when(r["value"].isNotNull(), r).otherwise(read)))
+
+    n = F.col("name")
+    return let(guessed, sound), _field("product_name", n["value"], None, n["snippet"], n["confidence"], n["reason"])
 
 
 def _category() -> Column:
-    at, hit, hinted = F.col("cat_at"), F.col("cat_hit"), F.col("category_hinted")
-    label = F.coalesce(F.get(F.array(*[F.lit(x).cast("string") for _, x, _ in CATEGORIES]), at - 1), F.initcap(hit))
+    at, hit, named_at, named, hinted = (F.col(c) for c in ("cat_at", "cat_hit", "named_at", "named_hit", "category_hinted"))
+    label = F.get(F.array(*[F.lit(x) for _, x, _ in CATEGORIES]), at - 1)
     sure = F.get(F.array(*[F.lit(x) for _, _, x in CATEGORIES]), at - 1)
-    known = at > 0
-    return _field("category", F.when(known, label).otherwise(F.coalesce(hinted, F.lit("Industrial Component"))), None, F.when(known, hit).otherwise(F.coalesce(hinted, F.substring("text", 1, 30))), F.when(known, sure).otherwise(F.when(hinted.isNotNull(), 0.95).otherwise(0.60)), F.when(known, "keyword").when(hinted.isNotNull(), "hint").otherwise("default"))
+    outright = F.get(F.array(*[F.lit(x) for _, x in NAMED_CATEGORIES]), named_at - 1)
+    typed = F.when(F.col("product_type").isNotNull(), F.when(F.contains("low_text", F.lit("belt")), "Sanding Belt").when(F.contains("low_text", F.lit("disc")), "Sanding Disc"))
+    value = F.coalesce(outright, typed, F.when(at > 0, label), hinted, F.lit("Industrial Component"))
+    snippet = F.when(named_at > 0, named).when(typed.isNotNull(), F.col("product_type")).when(at > 0, hit).otherwise(F.coalesce(hinted, F.substring(F.coalesce("n_line", "text"), 1, 30)))
+    confidence = F.when(named_at > 0, 0.92).when(typed.isNotNull(), 0.90).when(at > 0, sure).when(hinted.isNotNull(), 0.95).otherwise(0.60)
+    reason = F.when(named_at > 0, "product-type phrase").when(typed.isNotNull(), "product type row").when(at > 0, "keyword").when(hinted.isNotNull(), "hint").otherwise("default")
+    return _field("category", value, None, snippet, confidence, reason)
+
 
+def _extra(label: Column, value: Column, unit: Column, snippet: Column, confidence: float, reason: str) -> Column:
+    return F.struct(
+        extra_key(label).alias("field_key"), F.lit(False).alias("is_core"), label.alias("label"), value.alias("value"), unit.alias("unit"), snippet.alias("snippet"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reasoning")
+    ).cast(FIELD)
 
-def _dynamic(text: Column) -> list[Column]:
-    out = []
-    for label, pattern in DYNAMIC:
-        value = group(text, pattern, 1)
-        entry = F.struct(
-            extra_key(F.lit(label)).alias("field_key"), F.lit(False).alias("is_core"), F.lit(label).alias("label"), value.alias("value"), group(text, pattern, 2).alias("unit"),
-            group(text, pattern, 0).alias("snippet"), F.lit(0.82).alias("confidence"), F.lit("pattern").alias("reasoning"),
-        ).cast(FIELD)
-        out.append(F.when(value.isNotNull(), entry))
-    return out
+
+def _dynamic() -> list[Column]:
+    """From the columns ``d<k>`` (whole match), ``d<k>_1`` and ``d<k>_2`` (its groups)."""
+    return [F.when(F.col(f"d{k}_1").isNotNull(), _extra(F.lit(label), F.col(f"d{k}_1"), F.col(f"d{k}_2"), F.col(f"d{k}"), 0.82, "pattern")) for k, (label, _) in enumerate(DYNAMIC)]
+
+
+def stated_unit(key: Column, unit: Column, snippet: Column) -> Column:
+    """The unit, but null if it repeats the key or is 'grit', and the one unit that the snippet states where that is another."""
+    stated = F.array_compact(F.array(*[F.when(snippet.rlike(pattern), name) for pattern, name in STATED_UNITS]))
+    kept = F.when((extra_key(unit) != key) & ~extra_key(unit).isin("grit", ""), F.trim(unit))
+    return F.when(kept.isNotNull(), let(stated, lambda x: F.when((F.size(x) == 1) & (F.lower(F.get(x, F.lit(0))) != F.lower(kept)), F.get(x, F.lit(0))).otherwise(kept)))
 
 
 def spec_rows(text: Column) -> Column:
-    """ARRAY<FIELD> of 'Label: Value' lines in a specification section; a unit in the label's last brackets is the unit."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    start = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)^(?:technical\s+)?(?:specifications?|specs)\b.{0,40}$")), True).cast("int")
-    section = F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    pattern = r"^([^:]{2,60}?)\s*(?:\(([^()]{1,12})\))?\s*:\s*(.{1,120})$"
-    rows = F.filter(section, lambda x: x.rlike(pattern) & ~x.rlike(r"(?i)^https?:"))
-    return F.transform(
-        rows,
-        lambda x: F.struct(
-            extra_key(F.regexp_extract(x, pattern, 1)).alias("field_key"), F.lit(False).alias("is_core"), F.trim(F.regexp_extract(x, pattern, 1)).alias("label"), F.trim(F.regexp_extract(x, pattern, 3)).alias("value"),
-            group(x, pattern, 2).alias("unit"), x.alias("snippet"), F.lit(0.94).alias("confidence"), F.lit("specification row").alias("reasoning"),
-        ).cast(FIELD),
-    )
+    """ARRAY<FIELD> of 'Label: Value' lines, of the specification section where there is one; a unit in the label's last brackets is the unit."""
+    after = F.get(F.split(text, r"(?i)=== extracted specification tables ===", 2), F.lit(1))
+    section = F.coalesce(F.get(F.split(after, r"(?i)=== page content ==="), F.lit(0)), text)
+    lines = F.filter(F.transform(F.split(section, "\n"), F.trim), lambda x: F.contains(x, F.lit(":")))
+    parts = F.transform(lines, lambda x: F.struct(squeeze(F.substring_index(x, ":", 1)).alias("label"), squeeze(F.substr(x, F.instr(x, ":") + 1)).alias("value"), x.alias("line")))
+    fit = lambda r: (r["label"] != "") & (r["value"] != "") & (F.length(r["label"]) <= 60) & (F.length(r["value"]) <= 240)
+    kept = F.filter(parts, lambda r: fit(r) & ~F.lower(r["label"]).isin(SKIPPED_ROWS) & ~r["value"].isin(SKIPPED_VALUES))
+    bracket = r"\s*\(([^()]{1,12})\)\s*$"
+    read = F.transform(kept, lambda r: F.struct(F.trim(F.regexp_replace(r["label"], bracket, "")).alias("label"), group(r["label"], bracket, 1).alias("unit"), r["value"].alias("value"), r["line"].alias("line")))
+    named = F.transform(read, lambda r: F.struct(F.coalesce(F.try_element_at(literal_map(ROW_NAMES), F.lower(r["label"])), r["label"]).alias("label"), r["unit"].alias("unit"), r["value"].alias("value"), r["line"].alias("line")))
+    made = F.transform(named, lambda r: _extra(r["label"], r["value"], stated_unit(extra_key(r["label"]), r["unit"], r["line"]), r["line"], 0.94, "specification row"))
+    return F.filter(made, lambda f: ~f["field_key"].isin(SKIPPED_KEYS))
 
 
 def extract(texts: DataFrame) -> DataFrame:
     """``product_id, raw_text, name_hint, category_hint`` -> the long fields table, before validation.
 
     Texts under 10 characters, and null ones, give their 11 core fields as ``flagged_validation_error``. Of dynamic
-    fields with one key the pattern's comes before the specification row's. There is no shuffle.
+    fields with one key the pattern's comes before the specification row's. There is no shuffle. Each pattern is held
+    against a text once; its groups are read from what it found.
     """
     text = F.col("text")
-    t = texts.withColumn("text", F.coalesce("raw_text", F.lit("")))
-    t = t.withColumns(
+    t = spread(texts).withColumn("text", F.coalesce("raw_text", F.lit("")))
+    found = lambda pattern: F.regexp_extract(text, pattern, 0)
+    t = staged(
+        t,
+        {
+            "v_at": F.regexp_instr(text, F.lit(VOLTAGE)), "c_at": F.regexp_instr(text, F.lit(CURRENT)), "m_at": F.regexp_instr(text, F.lit(GENERIC_WORD)), "t0": found(TEMPERATURE), "ip": found(IP_CODE), "plug": found(CONNECTOR),
+            "mount": found(MOUNTING), "m_one": found(rf"(?i)\b({COMPOUNDS})\b"), "n_part": found(PART), "n_kind": found(TYPE_PHRASE), "certificates": F.regexp_extract_all(text, F.lit(CERTIFICATE), 1),
+            "product_type": found(PRODUCT_TYPE), "named": F.array(*[found(p) for p, _ in NAMED_CATEGORIES]), "cats": F.array(*[found(p) for p, _, _ in CATEGORIES]), "low_text": F.lower(text), "norm_text": _normal(text),
+            "lines": F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "specs": spec_rows(text), "hint": no_blank(F.trim("name_hint")), "category_hinted": no_blank(F.trim("category_hint")),
+            **{f"d{k}": found(p) for k, (_, p) in enumerate(DYNAMIC)},
+        },
+    )
+    blanks = ["t0", "ip", "plug", "mount", "m_one", "n_part", "n_kind", "product_type", *(f"d{k}" for k in range(len(DYNAMIC)))]
+    t = t.withColumns({c: no_blank(F.col(c)) for c in blanks})
+    at = lambda name, pattern: F.when(F.col(f"{name}_at") > 0, F.regexp_extract(F.substr(text, F.col(f"{name}_at")), pattern, 0))
+    t = staged(
+        t,
+        {
+            "v0": at("v", VOLTAGE), "c0": at("c", CURRENT), "m_other": at("m", GENERIC_WORD), "hint_title": F.when(~structural(F.col("hint")), without_site(F.col("hint"))),
+            "named_at": F.array_position(F.transform("named", lambda c: c != ""), True).cast("int"), "cat_at": F.array_position(F.transform("cats", lambda c: c != ""), True).cast("int"),
+            "n_line": F.get(F.filter("lines", lambda x: ~x.rlike("^(?:---|Fetch Error|Sparse Content)")), F.lit(0)), "n_first": F.coalesce(without_site(F.get(F.filter("lines", lambda x: ~x.rlike(NO_LINE)), F.lit(0))), F.substring(text, 1, 60)),
+            **{f"t{k}": group(F.col("t0"), TEMPERATURE, k) for k in (1, 2, 3)}, **{f"d{n}_{k}": group(F.col(f"d{n}"), p, k) for n, (_, p) in enumerate(DYNAMIC) for k in (1, 2)},
+        },
+    )
+    t = staged(
+        t,
+        {
+            **{f"v{k}": F.regexp_extract("v0", VOLTAGE, k) for k in (1, 2, 3)}, **{f"c{k}": F.regexp_extract("c0", CURRENT, k) for k in (1, 2)},
+            "v_near": window(text, F.col("v_at"), F.col("v0"), 45, 20), "c_near": window(text, F.col("c_at"), F.col("c0"), 45, 20), "m_near": window(text, F.col("m_at"), F.col("m_other"), 60, 40), "m_close": window(text, F.col("m_at"), F.col("m_other"), 40, 24),
+            "named_hit": F.get("named", F.col("named_at") - 1), "cat_hit": F.get("cats", F.col("cat_at") - 1), "dynamic": F.concat(F.array_compact(F.array(*_dynamic())), F.col("specs")), "usable": F.length(F.trim(text)) >= 10,
+        },
+    )
+    name, name_field = _name()
+    t = staged(
+        t.drop("named", "cats", "specs", *(f"d{k}{x}" for k in range(len(DYNAMIC)) for x in ("", "_1", "_2"))),
         {
-            **{f"v{k}": group(text, VOLTAGE, k) for k in range(4)}, **{f"c{k}": group(text, CURRENT, k) for k in range(3)}, **{f"t{k}": group(text, TEMPERATURE, k) for k in range(4)},
-            "v_near": window(text, VOLTAGE, 45, 20), "c_near": window(text, CURRENT, 45, 20), "low_text": F.lower("text"), "certificates": F.regexp_extract_all(text, F.lit(CERTIFICATE), 1),
-            "dynamic": F.concat(F.array_compact(F.array(*_dynamic(text))), spec_rows(text)), "usable": F.length(F.trim("text")) >= 10,
-            "name_hinted": no_blank(F.trim("name_hint")), "category_hinted": no_blank(F.trim("category_hint")), "n_part": group(text, r"\b([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)\b", 1),
-            "n_kind": group(text, r"(?i)\b((?:[A-Za-z-]+\s){0,2}(?:sensor|connector|switch|relay|motor|pump|valve|encoder|cable|faucet|coupling|wheel|belt))\b", 1),
-            "n_first": F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.rlike("^(?:---|Fetch Error|Sparse Content)")), F.lit(0)),
-            "cats": F.array(*[group(text, pattern, 1) for pattern, _, _ in CATEGORIES]), "ip": group(text, IP_CODE, 1), "plug": group(text, CONNECTOR, 1), "mount": group(text, MOUNTING, 1),
-            "m_one": group(text, rf"(?i)\b({COMPOUNDS})\b", 1), "m_other": group(text, GENERIC_WORD, 1), "m_near": window(text, GENERIC_WORD, 60, 40), "m_close": window(text, GENERIC_WORD, 40, 24),
-        }
+            "v_word": context_word(F.col("v_near"), VOLTAGE_WORDS), "c_word": context_word(F.col("c_near"), CURRENT_WORDS), "m_word": context_word(F.col("m_near"), MATERIAL_WORDS),
+            "m_labelled": F.coalesce(F.col("m_close").rlike(MATERIAL_LABEL), F.lit(False)), "keys": F.transform("dynamic", lambda d: d["field_key"]), "name": name,
+        },
     )
-    t = t.withColumns({"v_word": context_word(F.col("v_near"), VOLTAGE_WORDS), "c_word": context_word(F.col("c_near"), CURRENT_WORDS), "keys": F.transform("dynamic", lambda d: d["field_key"]), "m_word": context_word(F.col("m_near"), MATERIAL_WORDS), "m_labelled": F.coalesce(F.col("m_close").rlike(MATERIAL_LABEL), F.lit(False)), "cat_at": F.array_position(F.transform("cats", lambda c: c.isNotNull()), True).cast("int")})
-    t = t.withColumn("cat_hit", F.get("cats", F.col("cat_at") - 1))
     temp_unit = F.coalesce("t3", F.lit("°C"))
     core = [
-        _name(),
+        name_field,
         _category(),
         _rating("v", "voltage_rating", VOLTAGE_WORDS, "VAC|VDC|Volts|mV|kV", 3, 0.1, 40000.0, (0.90, 0.78, 0.50), F.lit("V"), "supposedly|around|maybe", True),
         _rating("c", "current_rating", CURRENT_WORDS, "mA|Amps|Amp", 2, 0.0001, 5000.0, (0.88, 0.76, 0.55), F.when(F.lower("c2") == "ma", "mA").otherwise("A"), "maybe|around", False),
@@ -197,15 +312,13 @@ def extract(texts: DataFrame) -> DataFrame:
     ]
     first_of_key = F.filter("dynamic", lambda d, i: (F.array_position(F.col("keys"), d["field_key"]) == i + 1) & (d["field_key"] != ""))
     nothing = F.array(*[_field(k, F.lit(None).cast("string"), None, F.lit(None).cast("string"), F.lit(0.0), F.lit("no usable text")) for k in CORE])
-    out = t.withColumn("fields", F.when(F.col("usable"), F.concat(F.array(*core), first_of_key)).otherwise(nothing)).withColumn("norm_text", _normal(F.col("raw_text")))
+    out = t.withColumn("fields", F.when(F.col("usable"), F.concat(F.array(*core), first_of_key)).otherwise(nothing))
     out = out.select("product_id", "raw_text", "norm_text", "usable", F.posexplode("fields").alias("pos", "f")).select("product_id", "raw_text", "norm_text", "usable", "pos", "f.*")
-    checks = {"is_grounded": F.when(F.col("value").isNotNull(), _stands(F.col("snippet"), F.col("norm_text"))), "evidence_ok": numeric_evidence(F.col("value"), F.col("snippet")) & material_evidence(F.col("field_key"), F.col("value"), F.col("snippet"))}
-    return out.withColumns(checks).drop("norm_text")
-
-
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once a row, also where ``use`` names it in a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    grounds = {
+        "is_grounded": F.when(F.col("value").isNotNull(), _stands(F.col("snippet"), F.col("norm_text"))),
+        "evidence_ok": numeric_evidence(F.col("value"), F.col("snippet")) & material_evidence(F.col("field_key"), F.col("value"), F.col("snippet")),
+    }
+    return staged(out, grounds).drop("norm_text")
 
 
 def _normal(text: Column) -> Column:
@@ -233,11 +346,19 @@ def _numbers(c: Column) -> Column:
 
 def numeric_evidence(value: Column, snippet: Column) -> Column:
     """Every number of the value stands in the snippet."""
-    claimed = _numbers(value)
-    return F.coalesce(value.isNull() | (F.size(claimed) == 0) | (F.size(F.array_except(claimed, _numbers(F.coalesce(snippet, F.lit(""))))) == 0), F.lit(True))
+    told = F.struct(_numbers(value).alias("claimed"), _numbers(F.coalesce(snippet, F.lit(""))).alias("stated"))
+    return F.coalesce(value.isNull() | let(told, lambda t: (F.size(t["claimed"]) == 0) | (F.size(F.array_except(t["claimed"], t["stated"])) == 0)), F.lit(True))
 
 
 def material_evidence(key: Column, value: Column, snippet: Column) -> Column:
-    """A compound material is claimed only if the snippet names the same compound."""
-    named = group(F.lower(value), f"(?i)({COMPOUNDS})", 1)
-    return (key != "material") | named.isNull() | F.contains(F.lower(squeeze(F.coalesce(snippet, F.lit("")))), named)
+    """A compound material is claimed only if the snippet names the same compound, and grit only if a part of the body is made of it."""
+    shown = F.coalesce(snippet, F.lit(""))
+    named = let(group(F.lower(value), f"(?i)({COMPOUNDS})", 1), lambda n: n.isNull() | F.contains(F.lower(squeeze(shown)), n))
+    return (key != "material") | value.isNull() | (named & body_material(value, shown))
+
+
+def body_material(value: Column, snippet: Column) -> Column:
+    """False for words of grit and coating (they are no body material), unless the snippet says that a part of the body is the value."""
+    grit = let(F.lower(F.concat_ws(" ", value, snippet)), lambda text: F.exists(F.array(*map(F.lit, ABRASIVES)), lambda a: F.contains(text, a)))
+    body = F.concat(F.lit(rf"(?i)\b(?:{'|'.join(BODY_PARTS)})\s*(?:material)?\s*[:=-]?\s*\Q"), F.trim(value), F.lit(r"\E(?=\s*(?:[.;,\n]|$))"))
+    return ~grit | F.regexp_like(snippet, body)

@@ -85,7 +85,7 @@ SELECT doc_id, round_even(least(len(t), 3000) / 150.0::DOUBLE + least({rows}, 15
  + CASE WHEN contains(lower(t), 'specifications') OR contains(lower(t), 'technical data') THEN 6.0 ELSE 0.0 END::DOUBLE - least({hits(_NOISE)}, 10) * 1.5::DOUBLE, 3)::DOUBLE AS score FROM d"""
 
 
-_KINDS = ", ".join(f"({n}, '{kind}', '{name}')" for n, (kind, names) in enumerate(DOMAINS.items()) for name in names.split())
+_KINDS = ", ".join(f"({n}, '{kind}', '{name}')" for n, (kind, names) in enumerate(DOMAINS.items()) for name in names)
 _RATINGS = """SELECT concat('P', p_partkey::VARCHAR) AS product_id, field_key, value, status FROM part, LATERAL (VALUES
  ('voltage_rating', (p_size * 10)::VARCHAR, CASE WHEN p_size * 10 > 1000 THEN 'flagged_validation_error' ELSE 'verified' END),
  ('current_rating', (p_size * 9)::VARCHAR, CASE WHEN p_size * 9 > 20 THEN 'flagged_validation_error' ELSE 'verified' END),
