@@ -3,7 +3,8 @@
 Ratio is 2M / (la + lb), M the characters in matching blocks (longest block first, then left and right of it). Keys meet
 only if lengths allow the cutoff and if they share a bigram rare enough that it must be shared: a ratio r leaves at most
 (1 - r)(la + lb) unmatched characters, which can break so many bigrams; the rest must be shared. So a left key is looked
-up by its rarest bigrams, one more than can be broken. Keys too short for that bound meet by length alone.
+up by its rarest bigrams, one more than can be broken. Keys too short for that bound meet by length: one
+row for each length that the ratio allows, joined on it.
 """
 
 from __future__ import annotations
@@ -53,13 +54,14 @@ def best_matches(left: DataFrame, right: DataFrame, cutoff: float, scope: list[s
     # The shorter side's length bounds the pair: lb <= la (2 - r) / r. Broken bigrams: two per unmatched letter on the left at most.
     longest = F.floor(F.length("lk") * (2 - cutoff) / cutoff)
     broken = F.floor((1 - cutoff) * (F.length("lk") + longest)) * 2
-    own = l.withColumn("broken", broken).withColumn("gram", F.explode(_bigrams(F.col("lk")))).join(F.broadcast(spread), "gram", "left")
+    own = l.withColumn("broken", broken).withColumn("gram", F.explode(_bigrams(F.col("lk")))).join(spread, "gram", "left")
     rank = F.row_number().over(Window.partitionBy(*scope, "lk").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     looked = own.withColumn("place", rank).where(F.col("place") <= F.col("broken") + 1).where("n is not null")
     by_gram = looked.select(*scope, "lk", "gram").join(grams, [*scope, "gram"]).select(*scope, "lk", "rk").distinct()
     few = l.where(F.size(_bigrams(F.col("lk"))) <= broken)
     lengths = (F.length("rk") >= F.length("lk") * cutoff / (2 - cutoff)) & (F.length("rk") <= F.length("lk") * (2 - cutoff) / cutoff)
-    by_length = (few.join(r, scope) if scope else few.withColumn("one", F.lit(1)).join(r.withColumn("one", F.lit(1)), "one").drop("one")).select(*scope, "lk", "rk")
+    few = few.withColumn("size", F.explode(F.sequence(F.ceil(F.length("lk") * cutoff / (2 - cutoff)), F.floor(F.length("lk") * (2 - cutoff) / cutoff))))
+    by_length = few.join(r.withColumn("size", F.length("rk").cast("long")), [*scope, "size"]).select(*scope, "lk", "rk")
     pairs = by_gram.unionByName(by_length).where(lengths).distinct().where(multiset_bound(F.col("lk"), F.col("rk")) >= cutoff - 1e-9)
     scored = pairs.withColumn("ratio", ratio(F.col("rk"), F.col("lk"))).where(F.col("ratio") >= cutoff)
     best = scored.groupBy(*scope, "lk").agg(F.max(F.struct("ratio", "rk")).alias("best"))

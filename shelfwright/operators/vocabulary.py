@@ -36,13 +36,17 @@ def lov_tables(lov: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_classpaths(paths: DataFrame, attributes: DataFrame) -> DataFrame:
     """``classpath`` -> ``classpath, lov_classpath``: itself if known, else the first loaded path of which one is a prefix of the other.
 
-    Only paths that are not known meet the theta join, whose other side is the (small) list of loaded paths.
+    Prefixes meet by equality: each path that is not known is spelt out in its prefixes, and so is each loaded path.
     """
     known = attributes.select(F.col("classpath").alias("lov_classpath"), "cp_ordinal").distinct().withColumn("k", value_key(F.col("lov_classpath")))
     asked = paths.select("classpath").distinct().withColumn("target", value_key(F.col("classpath")))
     exact = asked.join(known, asked["classpath"] == known["lov_classpath"], "left").select("classpath", "target", "lov_classpath")
     open_paths = exact.where("lov_classpath is null and target <> ''").select("classpath", "target")
-    near = open_paths.join(F.broadcast(known.where("k <> ''")), F.expr("startswith(target, k) or startswith(k, target)")).groupBy("classpath").agg(F.min_by("lov_classpath", "cp_ordinal").alias("near"))
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+    some = known.where("k <> ''")
+    longer = open_paths.select("classpath", prefixes("target").alias("k")).join(some, "k").select("classpath", "lov_classpath", "cp_ordinal")
+    shorter = some.select("lov_classpath", "cp_ordinal", prefixes("k").alias("target")).join(open_paths, "target").select("classpath", "lov_classpath", "cp_ordinal")
+    near = longer.unionByName(shorter).groupBy("classpath").agg(F.min_by("lov_classpath", "cp_ordinal").alias("near"))
     return exact.join(near, "classpath", "left").select("classpath", F.coalesce("lov_classpath", "near").alias("lov_classpath"))
 
 

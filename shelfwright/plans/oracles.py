@@ -60,12 +60,12 @@ p AS (SELECT *, CASE WHEN {_VALUE_KEY.format("classpath")} LIKE 'fittings coupli
 v(cp, lk, vk, canonical) AS (VALUES ('Fittings > Coupling', 'material', 'brass', 'Brass'), ('Fittings > Coupling', 'material', 'bronze', 'Bronze'), ('Fittings > Coupling', 'material', 'stainless steel', 'Stainless Steel'),
  ('Fittings > Coupling', 'connection type', 'threaded', 'Threaded'), ('Fittings > Coupling', 'connection type', 'sweat', 'Sweat'), ('Valves > Ball Valve', 'material', 'stainless steel', 'Stainless Steel'), ('Valves > Ball Valve', 'material', 'brass', 'Brass')),
 a(cp, lk, is_open) AS (VALUES ('Fittings > Coupling', 'material', false), ('Fittings > Coupling', 'connection type', false), ('Fittings > Coupling', 'size', true), ('Valves > Ball Valve', 'material', false), ('Valves > Ball Valve', 'size', true)),
-o AS (SELECT p.row_id, p.value, CASE WHEN trim(p.value) = '' THEN 'blank' WHEN p.cp IS NULL THEN 'no_classpath' WHEN a.is_open IS NULL THEN 'not_applicable' WHEN a.is_open THEN 'open' WHEN v.canonical IS NOT NULL THEN 'in_vocabulary' ELSE 'not_permitted' END AS outcome, v.canonical
+o AS (SELECT p.row_id, p.label, p.value, p.cp, p.lk, p.vk, CASE WHEN trim(p.value) = '' THEN 'blank' WHEN p.cp IS NULL THEN 'no_classpath' WHEN a.is_open IS NULL THEN 'not_applicable' WHEN a.is_open THEN 'open' WHEN v.canonical IS NOT NULL THEN 'in_vocabulary' ELSE 'not_permitted' END AS outcome, v.canonical
  FROM p LEFT JOIN a ON a.cp = p.cp AND a.lk = p.lk LEFT JOIN v ON v.cp = p.cp AND v.lk = p.lk AND v.vk = p.vk)"""
 
 _HARD = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\\s]+', '', 'g'), '\\s+', ' ', 'g'))"
-_SCORES = f"""c AS ({CATALOG}), g AS (SELECT *, {_MPN_KEY} AS mk FROM c WHERE row_index % 4 <> 3),
-t AS (SELECT * FROM (SELECT {_MPN_KEY} AS mk, CASE WHEN row_index % 3 = 0 THEN lower(Part_Desc) ELSE Part_Desc END AS Part_Desc, coalesce(E1_Brand, '') AS E1_Brand, Part_Manuf, row_number() OVER (PARTITION BY {_MPN_KEY} ORDER BY row_index) AS rn FROM c WHERE row_index < 500) WHERE rn = 1),
+_SCORES = f"""c AS ({CATALOG}), g AS (SELECT {_MPN_KEY} AS mk, CASE WHEN row_index % 4 <> 3 THEN Part_Desc END AS Part_Desc, CASE WHEN row_index % 7 = 0 THEN 'Other' ELSE E1_Brand END AS E1_Brand, Part_Manuf FROM c),
+t AS (SELECT * FROM (SELECT {_MPN_KEY} AS mk, CASE WHEN row_index % 3 = 0 THEN lower(Part_Desc) ELSE Part_Desc END AS Part_Desc, coalesce(E1_Brand, '') AS E1_Brand, Part_Manuf, row_number() OVER (PARTITION BY {_MPN_KEY} ORDER BY row_index) AS rn FROM c) WHERE rn = 1),
 l AS (SELECT 'E1_Brand' AS field, g.E1_Brand AS got, t.E1_Brand AS want FROM g JOIN t USING (mk) UNION ALL SELECT 'Part_Desc', g.Part_Desc, t.Part_Desc FROM g JOIN t USING (mk) UNION ALL SELECT 'Part_Manuf', g.Part_Manuf, t.Part_Manuf FROM g JOIN t USING (mk)),
 b AS (SELECT field, trim(coalesce(want, '')) <> '' AS populated, trim(coalesce(want, '')) <> '' AND trim(coalesce(got, '')) <> '' AS attempted, trim(coalesce(want, '')) <> '' AND trim(coalesce(got, '')) = trim(want) AS exact,
  trim(coalesce(want, '')) <> '' AND (trim(coalesce(got, '')) = trim(want) OR ({_HARD.format("got")} = {_HARD.format("want")} AND {_HARD.format("want")} <> '')) AS alike FROM l),
@@ -86,12 +86,35 @@ SELECT doc_id, round_even(least(len(t), 3000) / 150.0::DOUBLE + least({rows}, 15
 
 
 _KINDS = ", ".join(f"({n}, '{kind}', '{name}')" for n, (kind, names) in enumerate(DOMAINS.items()) for name in names)
-_RATINGS = """SELECT concat('P', p_partkey::VARCHAR) AS product_id, field_key, value, status FROM part, LATERAL (VALUES
- ('voltage_rating', (p_size * 10)::VARCHAR, CASE WHEN p_size * 10 > 1000 THEN 'flagged_validation_error' ELSE 'verified' END),
- ('current_rating', (p_size * 9)::VARCHAR, CASE WHEN p_size * 9 > 20 THEN 'flagged_validation_error' ELSE 'verified' END),
- ('ip_rating', CASE p_partkey % 3 WHEN 0 THEN 'IP67' WHEN 1 THEN 'IP-677' ELSE 'IP20' END, CASE p_partkey % 3 WHEN 0 THEN 'verified' ELSE 'flagged_validation_error' END),
- ('operating_temperature_min', (-p_size)::VARCHAR, CASE WHEN -p_size < -60 OR -p_size > p_partkey % 300 THEN 'flagged_validation_error' ELSE 'verified' END),
- ('operating_temperature_max', (p_partkey % 300)::VARCHAR, CASE WHEN p_partkey % 300 > 250 OR -p_size > p_partkey % 300 THEN 'flagged_validation_error' ELSE 'verified' END)) AS v(field_key, value, status)"""
+#: The fields of each text of TEXTS, written out from how that text is made.
+_FIELDS = """p AS (SELECT p_partkey AS pk, p_partkey % 3 AS kind, p_size * 10 AS volts, p_size * 9 AS amps, -p_size AS cold, p_partkey % 300 AS hot FROM part),
+raw AS (SELECT concat('P', pk::VARCHAR) AS product_id, kind, v.* FROM p, LATERAL (VALUES
+ (0, 'product_name', true, concat('AX-', pk::VARCHAR), NULL, 0.85::DOUBLE, NULL), (1, 'category', true, 'Industrial Sensor', NULL, 0.90, NULL),
+ (2, 'voltage_rating', true, volts::VARCHAR, 'V', 0.90, CASE WHEN volts > 1000 THEN 'Voltage outside 0 to 1000 V.' END),
+ (3, 'current_rating', true, amps::VARCHAR, 'A', 0.88, CASE WHEN amps > 20 THEN 'More than 20 A on a compact connector.' END),
+ (4, 'ip_rating', true, CASE kind WHEN 0 THEN 'IP67' WHEN 1 THEN 'IP-677' ELSE 'IP20' END, NULL, 0.94, CASE kind WHEN 1 THEN 'Not a standard IP code.' WHEN 2 THEN 'Submersible use, but an indoor IP code.' END),
+ (5, 'connector_type', true, 'M12', NULL, 0.89, NULL),
+ (6, 'operating_temperature_min', true, cold::VARCHAR, 'C', 0.85, CASE WHEN cold < -60 THEN 'Lowest temperature outside -60 to 100 °C.' WHEN cold > hot THEN 'Lowest temperature over the highest.' END),
+ (7, 'operating_temperature_max', true, hot::VARCHAR, 'C', 0.85, CASE WHEN hot > 250 THEN 'Highest temperature outside -20 to 250 °C.' WHEN cold > hot THEN 'Lowest temperature over the highest.' END),
+ (8, 'material', true, CASE kind WHEN 2 THEN 'nickel-plated brass' END, NULL, CASE kind WHEN 2 THEN 0.90 ELSE 0.0 END, NULL), (9, 'certifications', true, 'CE, ROHS', NULL, 0.92, NULL), (10, 'mounting_type', true, NULL, NULL, 0.0, NULL),
+ (11, 'thread_size', false, 'M12', NULL, 0.82, NULL), (12, 'rated_voltage', false, concat(volts::VARCHAR, ' VDC'), NULL, 0.94, NULL), (13, 'rated_current', false, concat(amps::VARCHAR, ' A'), NULL, 0.94, NULL),
+ (14, 'housing', false, 'nickel-plated brass, IP20, submersible', NULL, 0.94, NULL), (15, 'operating_temperature', false, concat(cold::VARCHAR, ' to ', hot::VARCHAR, ' C'), NULL, 0.94, NULL))
+ AS v(pos, field_key, is_core, value, unit, confidence, error) WHERE field_key <> 'housing' OR kind = 2),
+f AS (SELECT product_id, pos, field_key, is_core, value, CASE WHEN unit = 'C' THEN '°C' ELSE unit END AS unit, confidence, error, CASE WHEN error IS NOT NULL THEN 'flagged_validation_error' WHEN value IS NULL THEN 'missing' ELSE 'verified' END AS status FROM raw)"""
+_SUMMARY = f"""{_FIELDS}, s AS (SELECT product_id, count(*) AS total_fields, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status LIKE 'flagged%') AS flagged, count(*) FILTER (status = 'missing') AS missing, 0::BIGINT AS enriched,
+ round_even(avg(confidence) FILTER (value IS NOT NULL), 2)::DOUBLE AS overall_confidence FROM f GROUP BY product_id), t AS (SELECT *, CASE WHEN flagged + missing > 0 THEN 'needs_review' ELSE 'verified' END AS overall_status FROM s)"""
+_GATED = f"""{_FIELDS}, g AS (SELECT product_id, field_key, CASE WHEN field_key = 'mounting_type' THEN 'Threaded' ELSE value END AS value,
+ CASE WHEN field_key = 'mounting_type' THEN 'inferred, not sourced' WHEN value IS NULL THEN 'no value extracted' WHEN error IS NOT NULL THEN concat('failed a rule: ', error) END AS reason FROM f)"""
+_KEPT_STATUS = "CASE WHEN l.action IN ('approve', 'override') THEN 'verified' WHEN l.action = 'reject' THEN 'missing' ELSE f.status END"
+_TERSE = f"""c AS ({CATALOG}), e AS (SELECT row_index, v.* FROM (SELECT row_index, row_index % 8 AS k, p_size, lower(p_type) AS t FROM c JOIN part ON p_partkey = row_index) x, LATERAL (VALUES
+ (0, 0, 'Size', '3/8', 'in', '3/8'), (0, 1, 'Material', 'Brass', NULL, 'brass'), (0, 2, 'Pressure Class', '150', NULL, '150#'), (1, 0, 'Size', x.p_size::VARCHAR, 'in', concat(x.p_size::VARCHAR, ' IN')),
+ (1, 1, 'Material', 'Stainless Steel', NULL, 'stainless steel'), (1, 2, 'Connection Type', 'Threaded', NULL, 'threaded'), (2, 0, 'Finish', 'Chrome', NULL, 'chrome'), (2, 1, 'Handle Count', '2', NULL, '2-handle'),
+ (3, 0, 'Size', '1-1/2', 'in', '1-1/2"'), (3, 1, 'Material', 'Malleable Iron', NULL, 'malleable iron'), (4, 0, 'Size', '2', 'in', '2"'), (4, 1, 'Material', 'PVC', NULL, 'pvc'), (4, 2, 'Schedule', '40', NULL, 'SCH 40'),
+ (5, 0, 'Voltage', '24', 'volts', '24V')) AS v(kind, pos, label, value, unit, evidence) WHERE v.kind = x.k)"""
+_PARTS = "[x FOR x IN regexp_extract_all({0}, '[a-z0-9°µ.\\-/]+') IF x <> '']"
+_FLAT = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+_STANDS = f"({{0}} <> '' AND (contains({{1}}, {{0}}) OR (len({_PARTS}) > 0 AND len([x FOR x IN {_PARTS} IF contains({{1}}, x)]) >= 0.8 * len({_PARTS}))))"
+
 
 ORACLE_SQL: dict[str, str] = {
     "dedup_survivors": f"WITH {_KEYED} SELECT row_index, Mfg_Part_Num, Part_Manuf, mpn_key, brand_key FROM m WHERE survives",
@@ -116,7 +139,32 @@ FROM m LEFT JOIN b ON NOT blank AND {_BRAND_KEY.format("b.MANUFACTURER_NAME")} =
     "field_accuracy": f"""WITH {_SCORES} SELECT field, total, exact, normalised, attempted, coalesce({_PCT.format("exact", "total")}, 0)::DOUBLE AS exact_pct, coalesce({_PCT.format("normalised", "total")}, 0)::DOUBLE AS normalised_pct,
  coalesce({_PCT.format("normalised - exact", "total")}, 0)::DOUBLE AS formatting_only_pct, coalesce({_PCT.format("attempted", "total")}, 0)::DOUBLE AS coverage_pct FROM s""",
     "weakest_fields": f"WITH {_SCORES} SELECT field, exact, total, coalesce({_PCT.format('exact', 'total')}, 0)::DOUBLE AS exact_pct FROM s WHERE field IS NOT NULL ORDER BY exact_pct, field LIMIT 2",
-    "rating_checks": _RATINGS,
+    "rating_checks": f"WITH {_FIELDS} SELECT product_id, field_key, value, status FROM f WHERE pos IN (2, 3, 4, 6, 7)",
+    "extract_fields": f"WITH {_FIELDS} SELECT product_id, field_key, value, unit, confidence, CASE WHEN value IS NOT NULL THEN true END AS is_grounded FROM raw",
+    "validate_fields": f"WITH {_FIELDS} SELECT product_id, field_key, value, unit, status FROM f",
+    "record_summary": f"WITH {_SUMMARY} SELECT * FROM t",
+    "catalog_stats": f"""WITH {_SUMMARY} SELECT count(*) AS products, count(*) FILTER (overall_status = 'verified') AS verified_products, count(*) FILTER (overall_status = 'needs_review') AS review_products, sum(total_fields)::BIGINT AS fields,
+ sum(verified)::BIGINT AS verified_fields, sum(flagged)::BIGINT AS flagged_fields, {_PCT.format("sum(verified)", "sum(total_fields)")}::DOUBLE AS verification_rate_pct, (count(*) * 0.25)::DOUBLE AS hours_saved FROM t""",
+    "trust_gate": f"WITH {_GATED} SELECT product_id, field_key, reason IS NULL AS admitted, reason FROM g",
+    "trust_totals": f"""WITH {_GATED} SELECT count(*) FILTER (reason IS NULL) AS n_admitted, count(*) FILTER (value IS NOT NULL AND reason IS NOT NULL) AS n_withheld, 0::BIGINT AS n_inferred,
+ {_PCT.format("count(*) FILTER (reason IS NULL)", "count(*) FILTER (value IS NOT NULL)")}::DOUBLE AS pass_pct FROM g""",
+    "delivery_slots": f"""WITH {_FIELDS}, o AS (SELECT *, CASE field_key WHEN 'voltage_rating' THEN 1 WHEN 'current_rating' THEN 2 WHEN 'ip_rating' THEN 3 WHEN 'connector_type' THEN 4 WHEN 'operating_temperature_min' THEN 5
+ WHEN 'operating_temperature_max' THEN 6 WHEN 'material' THEN 7 WHEN 'mounting_type' THEN 8 ELSE pos + 100 END AS place FROM f WHERE value IS NOT NULL AND field_key NOT IN ('product_name', 'category', 'certifications'))
+SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY place) AS slot, field_key, value FROM o""",
+    "review_queue": f"""WITH {_LATEST}, {_FIELDS} SELECT f.product_id, f.field_key, {_KEPT_STATUS} AS status FROM f LEFT JOIN l ON l.product_id = f.product_id AND l.field_key = f.field_key WHERE {_KEPT_STATUS} <> 'verified'""",
+    "catalog_search": f"WITH {_FIELDS} SELECT product_id AS id, value AS ip_rating FROM f WHERE field_key = 'ip_rating' AND value = 'IP67'",
+    "catalog_export": f"""WITH {_SUMMARY}, w AS (SELECT product_id, {", ".join(f"coalesce(max(CASE WHEN field_key = '{k}' THEN concat_ws(' ', value, unit) END) FILTER (value IS NOT NULL), '') AS {k}" for k in ("product_name", "category", "voltage_rating", "current_rating", "ip_rating", "connector_type", "material"))},
+ string_agg(concat(upper(field_key[1]), replace(field_key[2:], '_', ' '), ': ', value), ' | ' ORDER BY pos) FILTER (NOT is_core) AS other FROM f GROUP BY product_id)
+SELECT w.* EXCLUDE (other), replace(other, 'Thread size', 'Thread Size') AS other_specs, overall_status, concat(floor(overall_confidence * 100)::BIGINT::VARCHAR, '%') AS confidence, '' AS created_at FROM w JOIN t USING (product_id)""",
+    "terse_attributes": f"WITH {_TERSE} SELECT row_index, pos, label, value, unit, evidence FROM e",
+    "lov_suggest": f"""WITH {_OUTCOME} SELECT row_id, label, value, outcome, CASE outcome WHEN 'not_permitted' THEN 'Bronze' WHEN 'not_applicable' THEN 'Material' ELSE 'Valves > Ball Valve' END AS suggestion
+ FROM o WHERE (outcome = 'not_permitted' AND cp = 'Fittings > Coupling' AND lk = 'material' AND vk = 'bronz') OR (outcome = 'not_applicable' AND lk = 'materials') OR outcome = 'no_classpath'""",
+    "grounding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT a.doc_id, {_FLAT.format("a.text")} AS t, {_FLAT.format("substring(a.text, 11, 60)")} AS own, {_FLAT.format("substring(z.text, 11, 60)")} AS other FROM d a JOIN d z ON z.doc_id + 1 = a.doc_id)
+SELECT doc_id, {_STANDS.format("own", "t")} AS own_grounded, {_STANDS.format("other", "t")} AS foreign_grounded FROM b""",
+    "short_runs": """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM d),
+r AS (SELECT *, length(t) > 15 AS is_long, count(*) FILTER (length(t) > 15) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM x), g AS (SELECT doc_id, run, count(*) AS n, count(*) FILTER (t[1] = '[') AS n_open FROM r WHERE NOT is_long GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, r.t, r.is_long, g.n, row_number() OVER (PARTITION BY r.doc_id, r.run, r.is_long ORDER BY pos) AS place FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.run = r.run AND NOT r.is_long)
+SELECT doc_id, count(*) AS n_kept, count(*) FILTER (CASE WHEN NOT is_long AND n > 15 AND place = 4 THEN true ELSE t[1] = '[' END) AS n_marked FROM k WHERE is_long OR n <= 15 OR place <= 4 GROUP BY doc_id""",
     "review_latest": f"WITH {_LATEST} SELECT product_id, field_key, action, new_value FROM l",
     "content_richness": _richness(),
     "source_policy": f"""WITH u AS ({URLS}), h AS (SELECT page_id, page_id % 6 AS k, lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM u),

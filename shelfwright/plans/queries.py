@@ -33,9 +33,9 @@ UNIT_ROWS = """SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size * 0.25 AS STR
  CASE p_partkey % 9 WHEN 0 THEN 'Inches' WHEN 1 THEN 'in.' WHEN 2 THEN 'lbs' WHEN 3 THEN 'V_AC' WHEN 4 THEN 'furlong' WHEN 5 THEN 'degrees C' WHEN 6 THEN concat('x', CAST(p_size % 4 AS STRING)) WHEN 7 THEN '' ELSE 'G P M' END AS unit FROM part"""
 LOV = """SELECT * FROM (VALUES (1, 'Fittings > Coupling', 'Material', 'Brass|Bronze|Stainless Steel'), (2, 'Fittings > Coupling', 'Connection Type', 'Threaded;Sweat'), (3, 'Fittings > Coupling', 'Size', CAST(NULL AS STRING)),
  (4, 'Valves > Ball Valve', 'Material', 'Stainless Steel,Brass'), (5, 'Valves > Ball Valve', 'Size', CAST(NULL AS STRING))) AS t(ordinal, classpath, label, values_raw)"""
-ASKED = """SELECT CAST(p_partkey AS BIGINT) AS row_id, CASE p_partkey % 4 WHEN 0 THEN 'Fittings > Coupling' WHEN 1 THEN 'Valves > Ball Valve' WHEN 2 THEN 'fittings > coupling > reducing' ELSE 'Motors' END AS classpath,
- CASE p_partkey % 5 WHEN 0 THEN 'material' WHEN 1 THEN 'Connection  Type' WHEN 2 THEN 'Size' WHEN 3 THEN 'Colour' ELSE 'Material' END AS label,
- CASE p_partkey % 7 WHEN 0 THEN 'BRASS' WHEN 1 THEN 'Threaded' WHEN 2 THEN 'stainless-steel' WHEN 3 THEN 'Gold' WHEN 4 THEN '' WHEN 5 THEN 'sweat' ELSE 'Bronze' END AS value FROM part"""
+ASKED = """SELECT CAST(p_partkey AS BIGINT) AS row_id, CASE p_partkey % 4 WHEN 0 THEN 'Fittings > Coupling' WHEN 1 THEN 'Valves > Ball Valve' WHEN 2 THEN 'fittings > coupling > reducing' ELSE 'Valves > Bal Valve' END AS classpath,
+ CASE p_partkey % 5 WHEN 0 THEN 'material' WHEN 1 THEN 'Connection  Type' WHEN 2 THEN 'Size' WHEN 3 THEN 'Materials' ELSE 'Material' END AS label,
+ CASE p_partkey % 7 WHEN 0 THEN 'BRASS' WHEN 1 THEN 'Threaded' WHEN 2 THEN 'stainless-steel' WHEN 3 THEN 'Bronz' WHEN 4 THEN '' WHEN 5 THEN 'sweat' ELSE 'Bronze' END AS value FROM part"""
 REVIEWS = """SELECT concat('P', CAST(user_id AS STRING)) AS product_id, CASE event_id % 3 WHEN 0 THEN 'voltage_rating' WHEN 1 THEN 'ip_rating' ELSE 'material' END AS field_key,
  CASE event_type WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'override' END AS action, CAST(event_id AS STRING) AS new_value, CAST(NULL AS STRING) AS new_unit, ts FROM events"""
 URLS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('https://www.moen.com/p/', CAST(page_id AS STRING)) WHEN 2 THEN concat('smile.amazon.co.uk/dp/', CAST(page_id AS STRING)) WHEN 3 THEN concat('http://10.0.', CAST(page_id % 256 AS STRING), '.1:8080/x') WHEN 4 THEN 'ftp://files.turck.de/a' ELSE 'https://www.grainger.com:22/x' END AS url FROM pages"
@@ -151,8 +151,10 @@ def compliance_summary(spark, d):
 
 
 def _compared(spark, d):
-    made = derived(spark, d, CATALOG).where("row_index % 4 <> 3").select("Mfg_Part_Num", "Part_Desc", "E1_Brand", "Part_Manuf")
-    truth = derived(spark, d, CATALOG).where("row_index < 500").select("Mfg_Part_Num", F.when(F.col("row_index") % 3 == 0, F.lower("Part_Desc")).otherwise(F.col("Part_Desc")).alias("Part_Desc"), F.coalesce("E1_Brand", F.lit("")).alias("E1_Brand"), F.col("Part_Manuf"), F.col("row_index").alias("ordinal"))
+    """Generated rows whose brand or description went wrong here and there, held against the catalogue's own."""
+    rows = derived(spark, d, CATALOG)
+    made = rows.select("Mfg_Part_Num", F.when(F.col("row_index") % 4 != 3, F.col("Part_Desc")).alias("Part_Desc"), F.when(F.col("row_index") % 7 == 0, F.lit("Other")).otherwise(F.col("E1_Brand")).alias("E1_Brand"), "Part_Manuf")
+    truth = rows.select("Mfg_Part_Num", F.when(F.col("row_index") % 3 == 0, F.lower("Part_Desc")).otherwise(F.col("Part_Desc")).alias("Part_Desc"), F.coalesce("E1_Brand", F.lit("")).alias("E1_Brand"), F.col("Part_Manuf"), F.col("row_index").alias("ordinal"))
     return evaluate.compared(made, truth, fields=["E1_Brand", "Part_Desc", "Part_Manuf"])
 
 

@@ -42,7 +42,7 @@ def renamed(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """Columns by any of their known names (case, blanks and hyphens aside); absent ones as null text."""
     there = {c.lower().strip().replace(" ", "_").replace("-", "_"): c for c in df.columns}
     pick = lambda known: next((F.col(f"`{there[k]}`").cast("string") for k in known if k in there), F.lit(None).cast("string"))
-    return df.select(*[pick(known).alias(c) for c, known in names.items()], *([F.col("ordinal")] if "ordinal" in df.columns else []))
+    return df.select(*[pick(known).alias(c) for c, known in names.items()], *[F.col(c) for c in ("ordinal", "source_name") if c in df.columns and c not in names])
 
 
 def _with_ordinal(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def load_lov(*tables: DataFrame) -> DataFrame:
     for n, df in enumerate(tables):
         part = renamed(_with_ordinal(df), LOV_NAMES).withColumn("ordinal", F.col("ordinal") + F.lit(n) * F.lit(1 << 40))
         if "source_name" in df.columns:
-            part = part.withColumn("classpath", F.coalesce("classpath", F.lit(df.first()["source_name"] if df.head(1) else None)))
+            part = part.withColumn("classpath", F.coalesce("classpath", "source_name")).drop("source_name")
         out = part if out is None else out.unionByName(part)
     return out
 
