@@ -26,7 +26,7 @@ CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
 RANKED = 50_000
 #: Bytes of (length, salt) offsets that may be sent to every task.
 BROADCAST_BYTES = 16_000_000
-CACHE = 150_000
+CACHE = 400_000
 #: Fixed value: how the customary byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = re.compile(r"\s\s")
