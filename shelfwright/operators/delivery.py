@@ -11,20 +11,41 @@ from .trust import non_product
 
 SLOTS, FEATURES = 50, 20
 # The delivery header, in order.
-_HEAD = "MFR URL,Ref URL 1,Ref URL 2,Ref URL 3,Ref URL 4,Ref URL 5,PART_NUMBER,Dept,Class,Fine,SKU - MY_PART_NUMBER,Mfg_Part_Num,Part_Desc,E1_Brand,Unilog_Brand,DIB_Brand,Part_Manuf,MANUFACTURER_NAME,BRAND_NAME,TRADE_NAME,MANUFACTURER_PART_NUMBER,ALTERNATE_PART_NUMBER,Classpath,MOBILE_DESC,INVOICE_DESC,SHORT_DESC,LONG_DESC1,RETAIL_DESC,MARKETING_DESCRIPTION"
-_MIDDLE = "With,Standard/Approvals,Prop 65,Application,Includes,Product Name"
-_TAIL = "UPC,EAN,GTIN,UNSPSC,Warranty,List Price,Selling Qty,Selling UOM,Standard Packaging Information,LENGTH,LENGTH_UOM,HEIGHT,HEIGHT_UOM,WIDTH,WIDTH_UOM,WEIGHT,WEIGHT_UOM,VOLUME,VOLUME_UOM,Product Image,Alternate Image 1,Alternate Image 2,Alternate Image 3,Alternate Image 4,SDS,SDS_1,Warranty Information,Catalog,Specification Sheet,Instruction/Installation Manual,Service Manual,Owners/User Manual,Line Drawing,MTR,RoHS,Full Engineering Drawing,Energy Star Guide,Technical Bulletin,Submittal,Compatibility Chart,Size Chart,Product Label/Insert,Video Link,Video Link 1,Country Of Origin,Discontinued,Actual Image (Yes/No)"
-HEADERS = [*_HEAD.split(","), *(f"ITEM_FEATURES_{n}" for n in range(1, FEATURES + 1)), *_MIDDLE.split(","), *(f"ATTRIBUTE_{part} {n}" for n in range(1, SLOTS + 1) for part in ("LABEL", "VALUE", "UOM")), *_TAIL.split(",")]
+_HEAD = [
+    "MFR URL", "Ref URL 1", "Ref URL 2", "Ref URL 3", "Ref URL 4", "Ref URL 5", "PART_NUMBER", "Dept", "Class", "Fine", "SKU - MY_PART_NUMBER", "Mfg_Part_Num", "Part_Desc", "E1_Brand",
+    "Unilog_Brand", "DIB_Brand", "Part_Manuf", "MANUFACTURER_NAME", "BRAND_NAME", "TRADE_NAME", "MANUFACTURER_PART_NUMBER", "ALTERNATE_PART_NUMBER", "Classpath", "MOBILE_DESC",
+    "INVOICE_DESC", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MARKETING_DESCRIPTION",
+]
+_MIDDLE = [
+    "With", "Standard/Approvals", "Prop 65", "Application", "Includes", "Product Name",
+]
+_TAIL = [
+    "UPC", "EAN", "GTIN", "UNSPSC", "Warranty", "List Price", "Selling Qty", "Selling UOM", "Standard Packaging Information", "LENGTH", "LENGTH_UOM", "HEIGHT", "HEIGHT_UOM", "WIDTH",
+    "WIDTH_UOM", "WEIGHT", "WEIGHT_UOM", "VOLUME", "VOLUME_UOM", "Product Image", "Alternate Image 1", "Alternate Image 2", "Alternate Image 3", "Alternate Image 4", "SDS", "SDS_1",
+    "Warranty Information", "Catalog", "Specification Sheet", "Instruction/Installation Manual", "Service Manual", "Owners/User Manual", "Line Drawing", "MTR", "RoHS",
+    "Full Engineering Drawing", "Energy Star Guide", "Technical Bulletin", "Submittal", "Compatibility Chart", "Size Chart", "Product Label/Insert", "Video Link", "Video Link 1",
+    "Country Of Origin", "Discontinued", "Actual Image (Yes/No)",
+]
+HEADERS = [*_HEAD, *(f"ITEM_FEATURES_{n}" for n in range(1, FEATURES + 1)), *_MIDDLE, *(f"ATTRIBUTE_{part} {n}" for n in range(1, SLOTS + 1) for part in ("LABEL", "VALUE", "UOM")), *_TAIL]
 #: Extras that have a column of their own (white space, hyphens and underscores aside).
 LOGISTICS = {
     "weight": "WEIGHT", "mass": "WEIGHT", "netweight": "WEIGHT", "itemweight": "WEIGHT", "upc": "UPC", "itemupc": "UPC", "ean": "EAN", "ean13": "EAN", "gtin": "GTIN", "gtin12": "GTIN", "gtin13": "GTIN", "gtin14": "GTIN",
     "unspsc": "UNSPSC", "countryoforigin": "Country Of Origin", "country": "Country Of Origin", "length": "LENGTH", "width": "WIDTH", "height": "HEIGHT", "volume": "VOLUME",
 }
 WITH_UNIT = ["WEIGHT", "LENGTH", "WIDTH", "HEIGHT", "VOLUME"]
-IDENTITY = "manufacturer manufacturername mfr mfrname brand brandname mpn mfgpartnum manufacturerpartnumber manufacturerpartno partnumber modelnumber modelno".split()
+#: Extras that name the product, by what they name.
+IDENTITY_KEYS = {
+    "manufacturer": ["manufacturer", "manufacturername", "mfr", "mfrname"], "brand": ["brand", "brandname"],
+    "mpn": ["mpn", "mfgpartnum", "manufacturerpartnumber", "manufacturerpartno", "partnumber", "modelnumber", "modelno"],
+}
+IDENTITY = [key for keys in IDENTITY_KEYS.values() for key in keys]
 CORE_ORDER = ["voltage_rating", "current_rating", "ip_rating", "connector_type", "operating_temperature_min", "operating_temperature_max", "material", "mounting_type"]
+# Spellings of brands and manufacturers.
 BRANDS = {"dewalt": "DEWALT", "dewlt": "DEWALT", "blackdecker": "BLACK+DECKER", "blackanddecker": "BLACK+DECKER"}
-MAKERS = dict.fromkeys("stanleyblackdecker stanleyblackanddecker blackdeckerdewalt blackanddeckerdewalt blackdeckerdewlt blackanddeckerdewlt".split(), "Stanley Black & Decker")
+MAKERS = {
+    "stanleyblackdecker": "Stanley Black & Decker", "stanleyblackanddecker": "Stanley Black & Decker", "blackdeckerdewalt": "Stanley Black & Decker", "blackanddeckerdewalt": "Stanley Black & Decker",
+    "blackdeckerdewlt": "Stanley Black & Decker", "blackanddeckerdewlt": "Stanley Black & Decker",
+}
 
 
 def compact_key(c: Column) -> Column:
@@ -35,17 +56,66 @@ def canonical(c: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(literal_map(names), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")), F.trim(c))
 
 
+def safe_mpn(c: Column) -> Column:
+    """Whether a text can be a part number: one line of 80 characters at most that names no trade item code."""
+    return F.coalesce((F.trim(c) != "") & (F.length(F.trim(c)) <= 80) & ~F.trim(c).rlike(r"[\n\r]") & ~c.rlike(r"(?i)\b(?:UPC|EAN|GTIN)\b"), F.lit(False))
+
+
+def exportable() -> Column:
+    return ~F.col("status").isin("missing", "not_applicable") & (F.trim(F.coalesce("value", F.lit(""))) != "")
+
+
+def identified(fields: DataFrame, given: DataFrame) -> DataFrame:
+    """``given`` (``product_id``, and any of ``mpn, manufacturer, brand, manufacturer_url, source_url``) with what the
+    delivery row says of the product's identity: ``Mfg_Part_Num, MANUFACTURER_PART_NUMBER, MANUFACTURER_NAME, BRAND_NAME,
+    MFR URL, identity_warnings``.
+
+    The part number is the given one if it is safe, else the first safe extra of that meaning, else what the name begins
+    with. Manufacturer and brand are the first extra of that meaning, else as given, in their canonical spelling. The URL
+    is the given one, else the source if its site is a manufacturer's.
+    """
+    from .sourcing import policy
+
+    there = given.columns
+    of = lambda c: F.trim(F.col(c)) if c in there else F.lit(None).cast("string")
+    key, label = compact_key(F.col("field_key")), compact_key(F.col("label"))
+    extras = fields.where(exportable() & ~F.col("is_core")).withColumns({k: key.isin(names) | label.isin(names) for k, names in IDENTITY_KEYS.items()})
+    first = lambda k, more=F.lit(True): F.min_by(clean_number(F.col("value")), F.when(F.col(k) & more, F.col("pos"))).alias(f"own_{k}")
+    own = extras.groupBy("product_id").agg(first("manufacturer"), first("brand"), first("mpn", safe_mpn(F.col("value"))))
+    name = fields.where(exportable() & (F.col("field_key") == "product_name")).groupBy("product_id").agg(F.max("value").alias("own_name"))
+    out = given.join(own, "product_id", "left").join(name, "product_id", "left")
+    named = F.regexp_extract(F.upper(F.coalesce("own_name", F.lit(""))), r"^\s*([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)", 1)
+    safe = lambda c: F.when(safe_mpn(c), c)
+    out = out.withColumns({"raw_maker": F.coalesce("own_manufacturer", of("manufacturer"), F.lit("")), "raw_brand": F.coalesce("own_brand", of("brand"), F.lit("")), "the_mpn": F.coalesce(safe(of("mpn")), "own_mpn", safe(named), F.lit(""))})
+    out = out.withColumns({"MANUFACTURER_NAME": canonical(F.col("raw_maker"), MAKERS), "BRAND_NAME": canonical(F.col("raw_brand"), BRANDS), "Mfg_Part_Num": F.col("the_mpn"), "MANUFACTURER_PART_NUMBER": F.col("the_mpn")})
+    no_site = F.lit(None).cast("string")
+    if "source_url" in there:
+        sites = policy(given.where("source_url is not null").select("source_url").distinct(), url="source_url").select("source_url", F.col("category").alias("site"))
+        out, no_site = out.join(sites, "source_url", "left"), F.col("site")
+    used = F.coalesce(no_site == "manufacturer", F.lit(False))
+    told = of("manufacturer_url")
+    url = F.when(F.coalesce(told, F.lit("")) != "", told).when(used, of("source_url")).otherwise("")
+    warnings = F.array_compact(
+        F.array(
+            F.when((F.coalesce(of("mpn"), F.lit("")) != "") & ~safe_mpn(of("mpn")), F.concat(F.lit("part number rejected: "), of("mpn"))),
+            F.when(F.col("MANUFACTURER_NAME") != F.col("raw_maker"), F.concat(F.lit("manufacturer spelt "), F.col("raw_maker"))),
+            F.when(F.col("BRAND_NAME") != F.col("raw_brand"), F.concat(F.lit("brand spelt "), F.col("raw_brand"))),
+            F.when((F.coalesce(told, F.lit("")) == "") & of("source_url").isNotNull() & ~used, F.concat(F.lit("source is no manufacturer's: "), F.coalesce(no_site, F.lit("unknown")))),
+        )
+    )
+    return out.select(*[c for c in there if c not in ("MANUFACTURER_NAME", "BRAND_NAME", "Mfg_Part_Num", "MANUFACTURER_PART_NUMBER", "MFR URL")], "Mfg_Part_Num", "MANUFACTURER_PART_NUMBER", "MANUFACTURER_NAME", "BRAND_NAME", url.alias("MFR URL"), warnings.alias("identity_warnings"))
+
+
 def routed(fields: DataFrame) -> DataFrame:
     """Exportable fields with where they go: ``target`` (a logistics column, 'slot', or null) and ``slot`` (1, 2, ...).
 
     Core fields come first in fixed order, then extras as they came. The first usable extra of a logistics column takes
     it, a second one falls through to a slot. Identity, non-product and merged values go nowhere.
     """
-    some = ~F.col("status").isin("missing", "not_applicable") & (F.trim(F.coalesce("value", F.lit(""))) != "")
-    f = fields.where(some)
+    f = fields.where(exportable())
     key, label = compact_key(F.col("field_key")), compact_key(F.col("label"))
     place = F.array_position(F.array(*map(F.lit, CORE_ORDER)), F.col("field_key")).cast("int")
-    merged = F.col("value").rlike(r"(?i)\b(?:package|item|net|shipping)\s+(?:weight|dimensions?|length|width|height)\s*:")
+    merged = F.col("value").rlike(r"(?i)\b(?:package|item|product|overall)\s+(?:height|width|length|weight|depth|diameter)\b\s*[:=]?\s*[-+]?[0-9]")
     skip = (F.col("is_core") & (place == 0)) | (~F.col("is_core") & (key.isin(IDENTITY) | label.isin(IDENTITY) | non_product("field_key", "label", F.col("value")) | merged))
     aliases = literal_map(LOGISTICS)
     alias = F.when(~F.col("is_core"), F.coalesce(F.try_element_at(aliases, key), F.try_element_at(aliases, label)))

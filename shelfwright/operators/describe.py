@@ -60,7 +60,7 @@ def descriptions(records: DataFrame, key: str = "product_id") -> DataFrame:
     r = records.withColumns(
         {
             "maker": F.coalesce(no_blank(F.trim("brand")), F.col("manufacturer")),
-            "features": F.filter(F.transform(F.coalesce("features", F.array().cast("array<string>")), F.trim), lambda f: f != ""),
+            "features": F.filter(F.transform(F.coalesce("features", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda f: f != ""),
             "a": F.transform("attributes", lambda a: F.struct(text(a["label"]).alias("label"), text(a["value"]).alias("value"), text(a["unit"]).alias("unit"), a["is_key"].alias("is_key"), approved_unit(a["unit"]).alias("approved"))),
         }
     )
@@ -92,7 +92,7 @@ def descriptions(records: DataFrame, key: str = "product_id") -> DataFrame:
     r = r.withColumns(
         {
             "invoice_lines": F.transform(_prefixes("bits", " ", 1), lambda x: F.upper(squeeze(x))),
-            "mobile_parts": F.filter(F.transform(F.split("mobile", ","), F.trim), lambda p: p != ""),
+            "mobile_parts": F.filter(F.transform(F.split("mobile", ","), lambda x: F.trim(x)), lambda p: p != ""),
             "title": repaired(F.concat_ws("", head, F.when(F.col("title_tail") != "", F.concat(F.when(F.size("features") > 0, " With ").otherwise(", "), F.col("title_tail"))))),
             "long": repaired(joined([joined([F.col("maker"), F.col("item_type")]), F.col("long_run")], ", ")),
             "sentences": F.transform("sentences", repaired),

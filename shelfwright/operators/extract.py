@@ -237,7 +237,7 @@ def spec_rows(text: Column) -> Column:
     """ARRAY<FIELD> of 'Label: Value' lines, of the specification section where there is one; a unit in the label's last brackets is the unit."""
     after = F.get(F.split(text, r"(?i)=== extracted specification tables ===", 2), F.lit(1))
     section = F.coalesce(F.get(F.split(after, r"(?i)=== page content ==="), F.lit(0)), text)
-    lines = F.filter(F.transform(F.split(section, "\n"), F.trim), lambda x: F.contains(x, F.lit(":")))
+    lines = F.filter(F.transform(F.split(section, "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(":")))
     parts = F.transform(lines, lambda x: F.struct(squeeze(F.substring_index(x, ":", 1)).alias("label"), squeeze(F.substr(x, F.instr(x, ":") + 1)).alias("value"), x.alias("line")))
     fit = lambda r: (r["label"] != "") & (r["value"] != "") & (F.length(r["label"]) <= 60) & (F.length(r["value"]) <= 240)
     kept = F.filter(parts, lambda r: fit(r) & ~F.lower(r["label"]).isin(SKIPPED_ROWS) & ~r["value"].isin(SKIPPED_VALUES))
@@ -264,7 +264,7 @@ def extract(texts: DataFrame) -> DataFrame:
             "v_at": F.regexp_instr(text, F.lit(VOLTAGE)), "c_at": F.regexp_instr(text, F.lit(CURRENT)), "m_at": F.regexp_instr(text, F.lit(GENERIC_WORD)), "t0": found(TEMPERATURE), "ip": found(IP_CODE), "plug": found(CONNECTOR),
             "mount": found(MOUNTING), "m_one": found(rf"(?i)\b({COMPOUNDS})\b"), "n_part": found(PART), "n_kind": found(TYPE_PHRASE), "certificates": F.regexp_extract_all(text, F.lit(CERTIFICATE), 1),
             "product_type": found(PRODUCT_TYPE), "named": F.array(*[found(p) for p, _ in NAMED_CATEGORIES]), "cats": F.array(*[found(p) for p, _, _ in CATEGORIES]), "low_text": F.lower(text), "norm_text": _normal(text),
-            "lines": F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "specs": spec_rows(text), "hint": no_blank(F.trim("name_hint")), "category_hinted": no_blank(F.trim("category_hint")),
+            "lines": F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "specs": spec_rows(text), "hint": no_blank(F.trim("name_hint")), "category_hinted": no_blank(F.trim("category_hint")),
             **{f"d{k}": found(p) for k, (_, p) in enumerate(DYNAMIC)},
         },
     )

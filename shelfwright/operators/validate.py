@@ -61,7 +61,7 @@ def validate(fields: DataFrame) -> DataFrame:
         .when(some & key.startswith("operating_temperature") & (F.col("t_min") > F.col("t_max")), "Lowest temperature over the highest.")
     )
     not_its = F.col("consumable") & key.isin(NOT_ITS_FIELDS) & (~some | (key == "material"))
-    ungrounded = some & ~(F.coalesce("is_grounded", F.lit(True)) & F.coalesce("evidence_ok", F.lit(True)))
+    ungrounded = some & (key != "product_name") & ~(F.coalesce("is_grounded", F.lit(True)) & F.coalesce("evidence_ok", F.lit(True)))
     status = (
         F.when(~F.coalesce("usable", F.lit(True)), "flagged_validation_error").when(not_its, "not_applicable").when(error.isNotNull(), "flagged_validation_error").when(~some | (F.trim(value) == ""), "missing")
         .when(ungrounded, "flagged_ungrounded").when(F.col("confidence") < THRESHOLD, "flagged_low_confidence").otherwise("verified")

@@ -19,7 +19,7 @@ def records_of(fields: DataFrame, include_enriched: bool = False, known: DataFra
     return trust.records(trust.gate(fields, include_enriched), known)
 
 
-def catalog_content(rows: DataFrame, labels: DataFrame, brands: DataFrame, lov: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+def catalog_content(rows: DataFrame, labels: DataFrame, brands: DataFrame, lov: tuple[DataFrame, DataFrame] | None = None, suggest: bool = True) -> dict[str, DataFrame]:
     """Catalogue rows -> the survivors' content: ``survivors, classified, attributes, validated, resolved, descriptions``.
 
     Order: dedup first, then each distinct description is classified once and each distinct brand string resolved once.
@@ -30,7 +30,7 @@ def catalog_content(rows: DataFrame, labels: DataFrame, brands: DataFrame, lov:
     validated = None
     if lov is not None:
         long = attrs.join(classified.select("row_index", "classpath"), "row_index").select(F.col("row_index").alias("row_id"), "classpath", "label", "value")
-        validated = vocabulary.validate(long, *lov)
+        validated = vocabulary.validate(long, *lov, suggest=suggest)
         attrs = attrs.join(validated.select(F.col("row_id").alias("row_index"), "label", "canonical"), ["row_index", "label"], "left").withColumn("value", F.coalesce("canonical", "value")).drop("canonical")
     brand_columns = [c for c in ("Unilog_Brand", "E1_Brand", "DIB_Brand", "Part_Manuf") if c in rows.columns]
     named = classified.withColumn("brand_input", F.coalesce(*[meaningful(F.col(c)) for c in brand_columns]))
@@ -53,9 +53,51 @@ def scored_content(content: dict[str, DataFrame], truth: DataFrame) -> DataFrame
     return evaluate.accuracy(evaluate.compared(made, truth))
 
 
-def commerce_report(texts: DataFrame, include_enriched: bool = False) -> DataFrame:
-    """One row over a catalogue of texts: trust totals, description compliance, field summary."""
-    fields = process_texts(texts)
+def newest(products: DataFrame, n: int, order: str = "created_at", key: str = "product_id") -> DataFrame:
+    """The ``n`` newest products (one at least), ties by key: a report over the latest part of a store."""
+    return products.orderBy(F.desc(order), key).limit(max(1, n))
+
+
+def _named(fields: DataFrame) -> DataFrame:
+    """``product_id, name, category, part_text``: what a product is classified by."""
+    of = lambda key: F.coalesce(F.max(F.when(F.col("field_key") == key, F.col("value"))), F.lit(""))
+    wide = fields.groupBy("product_id").agg(of("product_name").alias("name"), of("category").alias("category"))
+    return wide.withColumn("part_text", F.trim(F.concat_ws(" ", "name", "category")))
+
+
+def product_view(fields: DataFrame, product_id: str, labels: DataFrame, include_enriched: bool = False) -> DataFrame:
+    """One product: a row per description format, with its trust totals and its classification beside it."""
+    mine = fields.where(F.col("product_id") == product_id)
+    gated = trust.gate(mine, include_enriched)
+    kind = classify.classify(_named(mine), labels, text="part_text").select("product_id", F.coalesce("item_type", F.when(F.col("category") != "", F.col("category"))).alias("item_type"), "classpath", F.round("confidence", 3).alias("confidence"), "method", "needs_review")
+    records = trust.records(gated).drop("item_type").join(kind.select("product_id", "item_type"), "product_id")
+    return describe.descriptions(records).join(trust.totals(gated, "product_id"), "product_id").join(kind, "product_id")
+
+
+def commerce_report(texts: DataFrame, labels: DataFrame, lov: tuple[DataFrame, DataFrame] | None = None, limit: int | None = None, include_enriched: bool = False, approved: DataFrame | None = None) -> DataFrame:
+    """One row over a catalogue of texts (of its ``limit`` newest by ``created_at``, if asked): trust totals, description
+    compliance, field summary, classification, vocabulary totals, duplicates, and the sourcing policy that holds.
+
+    Fields are worked out once and written; each of the totals reads them.
+    """
+    fields = process_texts(texts if limit is None else newest(texts, limit)).persist()
     gated = trust.gate(fields, include_enriched)
-    made = describe.descriptions(trust.records(gated))
-    return trust.totals(gated).crossJoin(describe.compliance(made)).crossJoin(validate.catalog_stats(validate.summarize(fields)))
+    kinds = classify.classify(_named(fields), labels, text="part_text", source="lov" if lov else "fallback")
+    types = kinds.select("product_id", F.coalesce("item_type", F.when(F.col("category") != "", F.col("category"))).alias("kind"))
+    records = trust.records(gated).join(types, "product_id", "left").withColumn("item_type", F.col("kind")).drop("kind")
+    made = describe.descriptions(records)
+    stats = classify.classification_stats(kinds)
+    stats = stats.select(*[F.col(c).alias(f"types_{c}") for c in stats.columns])
+    rows = records.join(kinds.select("product_id", "name"), "product_id").select(
+        F.xxhash64("product_id").alias("row_index"), F.coalesce("mpn", "product_id").alias("Mfg_Part_Num"), F.coalesce("brand", F.lit("")).alias("Part_Manuf"), F.col("name").alias("Part_Desc")
+    )
+    copies = dedup.dedup_report(rows)
+    copies = copies.select(*[F.col(c).alias(f"dedup_{c}") for c in copies.columns])
+    out = trust.totals(gated).crossJoin(describe.compliance(made).drop("failing")).crossJoin(validate.catalog_stats(validate.summarize(fields))).crossJoin(stats).crossJoin(copies)
+    if lov is not None:
+        public = F.create_map(*[F.lit(x) for k, label, _ in trust.ATTRIBUTES for x in (k, label)])
+        asked = fields.where("value is not null").withColumn("label", F.try_element_at(public, F.col("field_key"))).where("label is not null")
+        asked = asked.join(kinds.where("classpath is not null").select("product_id", "classpath"), "product_id").select(F.col("product_id").alias("row_id"), "classpath", "label", "value")
+        held = vocabulary.compliance(vocabulary.validate(asked, *lov, suggest=False))
+        out = out.crossJoin(held.select(*[F.col(c).alias(f"lov_{c}") for c in held.columns]))
+    return out.withColumns({"policy": F.lit("manufacturer_only"), "approved_list": F.lit(approved is not None)})

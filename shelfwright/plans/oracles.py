@@ -106,11 +106,25 @@ _SUMMARY = f"""{_FIELDS}, s AS (SELECT product_id, count(*) AS total_fields, cou
 _GATED = f"""{_FIELDS}, g AS (SELECT product_id, field_key, CASE WHEN field_key = 'mounting_type' THEN 'Threaded' ELSE value END AS value,
  CASE WHEN field_key = 'mounting_type' THEN 'inferred, not sourced' WHEN value IS NULL THEN 'no value extracted' WHEN error IS NOT NULL THEN concat('failed a rule: ', error) END AS reason FROM f)"""
 _KEPT_STATUS = "CASE WHEN l.action IN ('approve', 'override') THEN 'verified' WHEN l.action = 'reject' THEN 'missing' ELSE f.status END"
-_TERSE = f"""c AS ({CATALOG}), e AS (SELECT row_index, v.* FROM (SELECT row_index, row_index % 8 AS k, p_size, lower(p_type) AS t FROM c JOIN part ON p_partkey = row_index) x, LATERAL (VALUES
+_TERSE = """e AS (SELECT row_index, v.* FROM (SELECT row_index, row_index % 8 AS k, p_size, lower(p_type) AS t FROM c JOIN part ON p_partkey = row_index) x, LATERAL (VALUES
  (0, 0, 'Size', '3/8', 'in', '3/8'), (0, 1, 'Material', 'Brass', NULL, 'brass'), (0, 2, 'Pressure Class', '150', NULL, '150#'), (1, 0, 'Size', x.p_size::VARCHAR, 'in', concat(x.p_size::VARCHAR, ' IN')),
  (1, 1, 'Material', 'Stainless Steel', NULL, 'stainless steel'), (1, 2, 'Connection Type', 'Threaded', NULL, 'threaded'), (2, 0, 'Finish', 'Chrome', NULL, 'chrome'), (2, 1, 'Handle Count', '2', NULL, '2-handle'),
  (3, 0, 'Size', '1-1/2', 'in', '1-1/2"'), (3, 1, 'Material', 'Malleable Iron', NULL, 'malleable iron'), (4, 0, 'Size', '2', 'in', '2"'), (4, 1, 'Material', 'PVC', NULL, 'pvc'), (4, 2, 'Schedule', '40', NULL, 'SCH 40'),
  (5, 0, 'Voltage', '24', 'volts', '24V')) AS v(kind, pos, label, value, unit, evidence) WHERE v.kind = x.k)"""
+#: The fields of each text of LISTINGS, likewise.
+_LISTED = """p AS (SELECT p_partkey AS pk, p_partkey % 4 AS kind, p_size AS s, p_brand AS brand FROM part),
+n AS (SELECT *, CASE WHEN pk % 7 = 0 THEN concat('Belt ', pk::VARCHAR) WHEN kind = 0 THEN 'Sanding belt DCB518ASTS06G of aluminum' WHEN kind = 2 THEN 'Proximity Sensor' ELSE concat('SKU: DCB', pk::VARCHAR, CASE WHEN pk % 5 = 0 THEN ' UPC 12' ELSE '' END) END AS name,
+ CASE WHEN pk % 7 = 0 THEN 0.95 WHEN kind = 2 THEN 0.86 ELSE 0.90 END AS sure FROM p),
+f AS (SELECT concat('L', pk::VARCHAR) AS product_id, v.* FROM n, LATERAL (VALUES ('product_name', name, NULL, sure::DOUBLE, 'verified'),
+ ('category', CASE kind WHEN 0 THEN 'Sanding Belt' WHEN 1 THEN 'Grinding Wheel' WHEN 2 THEN 'Industrial Sensor' ELSE 'Industrial Component' END, NULL, CASE kind WHEN 3 THEN 0.60 ELSE 0.92 END, CASE kind WHEN 3 THEN 'flagged_low_confidence' ELSE 'verified' END),
+ ('material', CASE kind WHEN 2 THEN 'nylon' END, NULL, CASE kind WHEN 2 THEN 0.84 ELSE 0.0 END, CASE kind WHEN 2 THEN 'verified' WHEN 3 THEN 'missing' ELSE 'not_applicable' END),
+ ('voltage_rating', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END), ('current_rating', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END),
+ ('ip_rating', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END), ('connector_type', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END),
+ ('operating_temperature_min', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END), ('operating_temperature_max', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END),
+ ('certifications', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END), ('mounting_type', NULL, NULL, 0.0, CASE WHEN kind < 2 THEN 'not_applicable' ELSE 'missing' END),
+ ('mass', regexp_replace(round_even(s * 0.0283495::DOUBLE, 3)::VARCHAR, '\\.0$', ''), 'kg', 0.82, 'verified'), ('manufacturer_part_number', concat('DCB', pk::VARCHAR, CASE WHEN pk % 5 = 0 THEN ' UPC 12' ELSE '' END), NULL, 0.94, 'verified'),
+ ('brand', CASE pk % 3 WHEN 0 THEN 'DeWalt' WHEN 1 THEN 'black & decker' ELSE brand END, NULL, 0.94, 'verified'), ('manufacturer', CASE WHEN pk % 2 = 0 THEN 'Stanley Black and Decker' ELSE concat('Maker ', brand) END, NULL, 0.94, 'verified'),
+ ('grit', s::VARCHAR, NULL, 0.94, 'verified'), ('item_weight', concat(s::VARCHAR, ' oz total 2 lb'), 'lb', 0.94, 'verified')) AS v(field_key, value, unit, confidence, status))"""
 _PARTS = "[x FOR x IN regexp_extract_all({0}, '[a-z0-9°µ.\\-/]+') IF x <> '']"
 _FLAT = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 _STANDS = f"({{0}} <> '' AND (contains({{1}}, {{0}}) OR (len({_PARTS}) > 0 AND len([x FOR x IN {_PARTS} IF contains({{1}}, x)]) >= 0.8 * len({_PARTS}))))"
@@ -156,7 +170,15 @@ SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY place) AS
     "catalog_export": f"""WITH {_SUMMARY}, w AS (SELECT product_id, {", ".join(f"coalesce(max(CASE WHEN field_key = '{k}' THEN concat_ws(' ', value, unit) END) FILTER (value IS NOT NULL), '') AS {k}" for k in ("product_name", "category", "voltage_rating", "current_rating", "ip_rating", "connector_type", "material"))},
  string_agg(concat(upper(field_key[1]), replace(field_key[2:], '_', ' '), ': ', value), ' | ' ORDER BY pos) FILTER (NOT is_core) AS other FROM f GROUP BY product_id)
 SELECT w.* EXCLUDE (other), replace(other, 'Thread size', 'Thread Size') AS other_specs, overall_status, concat(floor(overall_confidence * 100)::BIGINT::VARCHAR, '%') AS confidence, '' AS created_at FROM w JOIN t USING (product_id)""",
-    "terse_attributes": f"WITH {_TERSE} SELECT row_index, pos, label, value, unit, evidence FROM e",
+    "terse_attributes": f"WITH c AS ({CATALOG}), {_TERSE} SELECT row_index, pos, label, value, unit, evidence FROM e",
+    "listing_fields": f"WITH {_LISTED} SELECT product_id, field_key, value, unit, confidence, status FROM f",
+    "identity_columns": """SELECT concat('L', p_partkey::VARCHAR) AS product_id, CASE WHEN p_partkey % 4 = 0 THEN concat('MX-', p_partkey::VARCHAR) WHEN p_partkey % 5 <> 0 THEN concat('DCB', p_partkey::VARCHAR) ELSE '' END AS mpn,
+ CASE WHEN p_partkey % 2 = 0 THEN 'Stanley Black & Decker' ELSE concat('Maker ', p_brand) END AS manufacturer, CASE p_partkey % 3 WHEN 0 THEN 'DEWALT' WHEN 1 THEN 'BLACK+DECKER' ELSE p_brand END AS brand,
+ CASE p_partkey % 3 WHEN 0 THEN 'https://www.moen.com/p' ELSE '' END AS url,
+ ((p_partkey % 4 = 1)::INT + (p_partkey % 2 = 0)::INT + (p_partkey % 3 < 2)::INT + (p_partkey % 3 = 1)::INT)::INTEGER AS n_warnings FROM part""",
+    "newest_products": "SELECT o_orderkey AS product_id, o_orderdate::VARCHAR AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
+    "catalog_validated": f"""WITH {_KEYED}, {_TERSE} SELECT e.row_index AS row_id, label, value, CASE WHEN kind > 1 THEN 'no_classpath' WHEN label = 'Size' THEN 'open' WHEN label = 'Material' THEN 'in_vocabulary' ELSE 'not_applicable' END AS outcome,
+ CASE WHEN kind <= 1 AND label = 'Material' THEN value END AS canonical FROM e JOIN m ON m.row_index = e.row_index WHERE m.survives""",
     "lov_suggest": f"""WITH {_OUTCOME} SELECT row_id, label, value, outcome, CASE outcome WHEN 'not_permitted' THEN 'Bronze' WHEN 'not_applicable' THEN 'Material' ELSE 'Valves > Ball Valve' END AS suggestion
  FROM o WHERE (outcome = 'not_permitted' AND cp = 'Fittings > Coupling' AND lk = 'material' AND vk = 'bronz') OR (outcome = 'not_applicable' AND lk = 'materials') OR outcome = 'no_classpath'""",
     "grounding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT a.doc_id, {_FLAT.format("a.text")} AS t, {_FLAT.format("substring(a.text, 11, 60)")} AS own, {_FLAT.format("substring(z.text, 11, 60)")} AS other FROM d a JOIN d z ON z.doc_id + 1 = a.doc_id)

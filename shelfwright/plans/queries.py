@@ -29,6 +29,11 @@ TEXTS = """SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id,
   CASE WHEN p_partkey % 3 = 0 THEN 'Protection IP67' WHEN p_partkey % 3 = 1 THEN 'Protection IP-677' ELSE 'Housing: nickel-plated brass, IP20, submersible' END, chr(10),
   'Operating temperature: -', CAST(p_size AS STRING), ' to ', CAST(p_partkey % 300 AS STRING), ' C', chr(10), 'Connector M12, CE, RoHS') AS raw_text,
  CAST(NULL AS STRING) AS name_hint, CASE WHEN p_partkey % 4 = 0 THEN 'Sensors' ELSE NULL END AS category_hint FROM part"""
+LISTINGS = """SELECT concat('L', CAST(p_partkey AS STRING)) AS product_id, concat('=== EXTRACTED SPECIFICATION TABLES ===', chr(10), 'SKU: DCB', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 5 = 0 THEN ' UPC 12' ELSE '' END, chr(10),
+ 'Vendor: ', CASE p_partkey % 3 WHEN 0 THEN 'DeWalt' WHEN 1 THEN 'black & decker' ELSE p_brand END, chr(10), 'Manufacturer: ', CASE WHEN p_partkey % 2 = 0 THEN 'Stanley Black and Decker' ELSE concat('Maker ', p_brand) END, chr(10),
+ 'Price: 9.99', chr(10), 'Grit (grit): ', CAST(p_size AS STRING), chr(10), 'Item Weight (lb): ', CAST(p_size AS STRING), ' oz total 2 lb', chr(10), '=== PAGE CONTENT ===', chr(10),
+ CASE p_partkey % 4 WHEN 0 THEN 'Sanding belt DCB518ASTS06G of aluminum' WHEN 1 THEN 'Grinding wheel, aluminum oxide' WHEN 2 THEN 'Proximity Sensor for rails, body: nylon' ELSE 'A page' END, chr(10), 'Note: not a row of the table') AS raw_text,
+ CASE p_partkey % 7 WHEN 0 THEN concat('Belt ', CAST(p_partkey AS STRING), ' - Amazon.com | Official Site') WHEN 1 THEN 'Specifications' ELSE NULL END AS name_hint, CAST(NULL AS STRING) AS category_hint FROM part"""
 UNIT_ROWS = """SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size * 0.25 AS STRING) AS value,
  CASE p_partkey % 9 WHEN 0 THEN 'Inches' WHEN 1 THEN 'in.' WHEN 2 THEN 'lbs' WHEN 3 THEN 'V_AC' WHEN 4 THEN 'furlong' WHEN 5 THEN 'degrees C' WHEN 6 THEN concat('x', CAST(p_size % 4 AS STRING)) WHEN 7 THEN '' ELSE 'G P M' END AS unit FROM part"""
 LOV = """SELECT * FROM (VALUES (1, 'Fittings > Coupling', 'Material', 'Brass|Bronze|Stainless Steel'), (2, 'Fittings > Coupling', 'Connection Type', 'Threaded;Sweat'), (3, 'Fittings > Coupling', 'Size', CAST(NULL AS STRING)),
@@ -267,8 +272,49 @@ def catalog_search(spark, d):
     return enrich.search(wide.withColumn("origin", F.lit("text")), "ip67").select("id", "ip_rating")
 
 
+def _lov(spark, d):
+    from ..sources.tables import load_lov
+
+    return vocabulary.lov_tables(load_lov(derived(spark, d, LOV)))
+
+
 def commerce_report(spark, d):
-    return flows.commerce_report(_texts(spark, d))
+    return flows.commerce_report(_texts(spark, d), classify.candidates(spark), _lov(spark, d))
+
+
+def product_views(spark, d):
+    """The formats of one product, the one with the greatest key."""
+    texts = _texts(spark, d)
+    last = texts.agg(F.max("product_id").alias("last"))
+    fields = validate.validate(extract.extract(texts.join(F.broadcast(last), F.col("product_id") == F.col("last"), "left_semi")))
+    return flows.product_view(fields, last.first()[0], classify.candidates(spark)).select("product_id", "format", "text", "compliant", "n_admitted", "n_withheld", "item_type", "method")
+
+
+def newest_products(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_orderdate").alias("created_at"))
+    return flows.newest(orders, 100).select("product_id", F.col("created_at").cast("string").alias("created_at"))
+
+
+def _listings(spark, d):
+    return validate.validate(extract.extract(derived(spark, d, LISTINGS)))
+
+
+def listing_fields(spark, d):
+    """Names, categories, materials and specification rows of shop pages."""
+    return _listings(spark, d).select("product_id", "field_key", "value", "unit", "confidence", "status")
+
+
+def identity_columns(spark, d):
+    given = derived(spark, d, "SELECT concat('L', CAST(p_partkey AS STRING)) AS product_id, CASE p_partkey % 4 WHEN 0 THEN concat('MX-', CAST(p_partkey AS STRING)) WHEN 1 THEN 'X1 UPC 5' ELSE NULL END AS mpn, CASE p_partkey % 3 WHEN 0 THEN 'https://www.moen.com/p' WHEN 1 THEN 'https://www.grainger.com/p' ELSE NULL END AS source_url FROM part")
+    out = delivery.identified(_listings(spark, d), given)
+    return out.select("product_id", F.col("Mfg_Part_Num").alias("mpn"), F.col("MANUFACTURER_NAME").alias("manufacturer"), F.col("BRAND_NAME").alias("brand"), F.col("MFR URL").alias("url"), F.size("identity_warnings").alias("n_warnings"))
+
+
+def catalog_validated(spark, d):
+    """The catalogue flow with its vocabulary stage: outcomes of the attributes of classified rows."""
+    lov = _lov(spark, d)
+    out = flows.catalog_content(derived(spark, d, CATALOG), classify.candidates(spark, lov[0]), derived(spark, d, BRANDS), lov, suggest=False)
+    return out["validated"].select("row_id", "label", "value", "outcome", "canonical")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -276,6 +322,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dedup_survivors, dedup_report, mpn_collisions, unit_normalise, unmapped_units, decimal_fraction, expand_abbrev, classify_types, classify_stats, terse_attributes, lov_validate, lov_suggest, lov_compliance,
         brand_exact, brand_fuzzy, catalog_descriptions, compliance_summary, field_accuracy, weakest_fields, extract_fields, validate_fields, rating_checks, record_summary, catalog_stats, grounding, trust_gate, trust_totals,
-        source_policy, url_safety, page_clean, short_runs, content_richness, discover_best_source, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report,
+        source_policy, url_safety, page_clean, short_runs, content_richness, discover_best_source, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
     )
 }
