@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy, max-pooled over overlapping chunks of the whole text.
 
 Input of a position: its byte and the WIDTH - 1 bytes after it, and one repeat channel that is on where the next eight
-bytes equal those some 2 to LAGS bytes before. FILTERS learned filters are rectified, averaged over chunks of CHUNK
+bytes equal those some 2 to LAGS bytes before (what a filter of bytes cannot compare; its weight in each filter is learned
+like the others). FILTERS learned filters are rectified, averaged over chunks of CHUNK
 positions that overlap by half and cover the text, max-pooled over the chunks, and combined by a logistic unit.
 The gradient of a document goes through one chunk a filter, so training is cheap; it sees SAMPLE labelled rows at most,
 chosen by a hash of their id.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, materialize, portions
 
 WIDTH, FILTERS, CHUNK, LAGS = 3, 8, 64, 32
 SAMPLE, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 3000, 5, 300, 32, 0.02, 11
@@ -90,8 +91,37 @@ class Network:
         best = np.maximum.reduceat(mean, starts[:-1], axis=0)
         return best, mean, count, starts, data, on, out, inner
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = self.pooled(texts)[0].astype(np.float64) @ self.weights + self.offset
+    def pooled_long(self, text: bytes, at_once: int) -> np.ndarray:
+        """What ``pooled`` gives for one text, worked out ``at_once`` bytes at a time: each piece has the half chunk before
+        it and a little after it in sight, so that no chunk's mean differs."""
+        halves, per, best = max(-(-len(text) // HALF), 1), max(at_once // HALF, 1), None
+        for first in range(0, max(halves - 1, 1), per):
+            last = min(first + per, max(halves - 1, 1))  # chunks first to last - 1
+            begin, low, end = first * HALF, max(first - 1, 0) * HALF, min(len(text), (last + 1) * HALF)
+            seen = text[low : end + WIDTH + 8]
+            data = np.zeros(end - low + WIDTH + 8, np.uint8)
+            data[: len(seen)] = np.frombuffer(seen, np.uint8)
+            n = end - low
+            out = repeats(data, n)[:, None] * self.repeat + self.bias
+            for j in range(WIDTH):
+                out += self.tables[j].take(data[j : j + n], axis=0)
+            out = np.maximum(out, 0)[begin - low :]
+            starts = np.arange(0, max(len(out), 1), HALF)
+            sums = np.add.reduceat(out, starts, axis=0) if len(out) else np.zeros((1, len(self.bias)), np.float32)
+            sizes = np.diff(np.append(starts, max(len(out), 1)))
+            mean = (sums[:-1] + sums[1:]) / (sizes[:-1] + sizes[1:])[:, None] if len(sums) > 1 else sums / sizes[:, None]
+            best = mean.max(0) if best is None else np.maximum(best, mean.max(0))
+        return best
+
+    def scores(self, texts: list[bytes], at_once: int = AT_ONCE) -> np.ndarray:
+        short = [t for t in texts if len(t) <= at_once]
+        best = np.empty((len(texts), len(self.bias)), np.float32)
+        if short:
+            best[[len(t) <= at_once for t in texts]] = self.pooled(short)[0]
+        for i, t in enumerate(texts):
+            if len(t) > at_once:
+                best[i] = self.pooled_long(t, at_once)
+        z = best.astype(np.float64) @ self.weights + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -150,8 +180,8 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBa
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    for batch in portions(batches):
+        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
         scores, at = [], 0
         while at < len(texts):
             end, size = at, 0

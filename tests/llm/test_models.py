@@ -50,6 +50,33 @@ def test_forward_against_all_paths():
     assert abs(counts[:3].sum() - 3) < 1e-9 and abs(counts[3:12].sum() - 6) < 1e-9 and abs(counts[12:].sum() - 9) < 1e-9
 
 
+def test_moves_are_counted_once_across_segments():
+    lengths = np.array([1, 2, 5, 9, 16])
+    places, sizes, first = op02_hmm.segments(lengths, 4)
+    assert sizes.max() <= 4 and first.sum() == len(lengths) and (sizes - 1).sum() == (lengths - 1).sum()
+    ends = np.cumsum(sizes)
+    moves = [(int(a), int(b)) for e, n in zip(ends, sizes, strict=True) for a, b in zip(places[e - n : e], places[e - n + 1 : e], strict=False)]
+    begins = np.cumsum(lengths) - lengths
+    assert sorted(moves) == [(int(b) + t, int(b) + t + 1) for b, n in zip(begins, lengths, strict=True) for t in range(n - 1)]
+    rng = np.random.default_rng(3)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    model = op02_hmm.Model(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 5))).T.copy())
+    counts = op02_hmm.expected(model, rng.integers(0, 5, lengths.sum())[places], sizes, first)
+    assert abs(counts[:3].sum() - len(lengths)) < 1e-9 and abs(counts[3:12].sum() - (lengths - 1).sum()) < 1e-9 and abs(counts[12:].sum() - lengths.sum()) < 1e-9
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(k, f"some words {k}. grubly ones", "s", 0.5, 1) for k in range(30)] + [(3, "some words 3. grubly ones", "s", 0.5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tox_score string, score double, held_out int")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, toxic int, quality int")
+    assert op08_toxic.without_toxic(docs, labels, threshold=2.0).columns == docs.columns
+    for out in (op08_toxic.toxicity_scores(docs, labels), op05_cnn.quality_scores(docs, labels), op02_hmm.hmm_scores(docs)):
+        got = [r.score for r in out.where("doc_id = 3").collect()]
+        assert len(got) == 2 and got[0] == got[1] and out.count() == 31
+    for empty in (op08_toxic.toxicity_scores(docs.limit(0), labels), op05_cnn.quality_scores(docs.limit(0), labels)):
+        assert empty.count() == 0
+
+
 def sentences(rng, n):
     return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(n))
 
@@ -79,6 +106,14 @@ def test_chunks_cover_the_whole_text():
     assert not np.allclose(net.scores([b"a" * 990 + b"!" * 64]), net.scores([b"a" * 1054]), atol=1e-6)
 
 
+def test_long_texts_in_pieces_score_alike():
+    net = op05_cnn.Network.first(6, 0.5, 2)
+    rng = np.random.default_rng(5)
+    for n in (65, 96, 97, 200, 1000, 1031):
+        text = bytes(rng.choice(np.frombuffer(b"abc de", np.uint8), n)) + b"word word word " * 9
+        assert np.allclose(net.scores([text]), net.scores([text], at_once=64), atol=1e-6)
+
+
 def test_toxicity_on_held_out_rows_and_places(spark):
     rng = np.random.default_rng(4)
     rows, labels = [], []
