@@ -69,6 +69,52 @@ def test_near_copies_of_two_hot_passages(spark):
     assert [wanted[k][1] for k, _ in rows[-3:]] == [rows[-3][0]] * 3
 
 
+def shared_passage(seed=21):
+    """Two families of near copies that share a passage of over half of each text; one is smaller and less central."""
+    rng = random.Random(seed)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage, docs = text(120), []
+    for size, n in ((86, 90), (86, 60), (70, 30)):
+        own = text(size)
+        for _ in range(n):
+            copy = passage + own
+            for _ in range(2):
+                copy[rng.randrange(len(passage), len(copy))] = rng.choice(own)
+            docs.append(" ".join(copy))
+    docs += [" ".join((passage + text(86))[rng.randrange(20) :]) for _ in range(30)]  # the passage alone, no copies
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("rare", [40, 5])
+def test_families_that_share_a_passage(spark, rare):
+    rows = shared_passage()
+    out = op1.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
+
+
+def truncations(seed=22):
+    rng = random.Random(seed)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    base = text(300)
+    docs = [" ".join(base[: rng.randrange(90, 301)]) for _ in range(40)] + [" ".join(base[rng.randrange(60) :]) for _ in range(20)]
+    docs += [" ".join(base[:150] + text(rng.randrange(20, 80))) for _ in range(40)]
+    return list(enumerate(docs))
+
+
+def test_truncated_copies(spark):
+    rows = truncations()
+    out = op1.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rare=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
+
+
+def test_fewest_shared_as_number_and_column(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [*range(1, 200), 1000, 10**6]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", op1._fewest_shared(F.col("n"), 96, 75).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {n: op1.fewest_shared(n, 96, 75) for n in sizes}
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (2, None, "z"), (3, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")

@@ -73,6 +73,117 @@ def test_license(spark):
     assert by[0].base_labels == by[0].labels == "mit" and by[7].labels == "gpl-3" and by[7].base_labels == "" and by[5].labels == ""
 
 
+def license_brute(text):
+    """Labels and score by the definition: per template, votes by diagonal, runs of near diagonals, covered words."""
+    w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+    labels, score = set(), 0.0
+    for label, phrase, base in [(v, k, True) for k, v in op06_license.PHRASES.items()] + [(a, b, False) for a, b in op06_license.NOTICES]:
+        t = phrase.split()
+        votes = {}
+        for pos in range(len(w) - 2):
+            for at in range(len(t) - 2):
+                if w[pos : pos + 3] == t[at : at + 3]:
+                    votes.setdefault(pos - at, []).append(at)
+        runs = []
+        for d in sorted(votes):
+            if runs and not base and d - runs[-1][-1] <= op06_license.DIAGONALS:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            share = len({at + j for d in run for at in votes[d] for j in range(3)}) / len(t)
+            score = max(score, share)
+            if share >= (1 if base else op06_license.COVERAGE):
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_votes_by_diagonal(spark):
+    rng = random.Random(12)
+    notice = dict(op06_license.NOTICES)["mit"].split()
+    texts = [" ".join(notice)]
+    for at in ([3, 8, 13, 18, 24], [5, 10, 15, 20, 25]):  # five words put in
+        words = list(notice)
+        for k in reversed(at):
+            words.insert(k, "indeed")
+        texts.append(" ".join(words))
+    texts.append(" ".join(notice[:14] + notice[2:5] + notice[14:] + notice[2:5]))  # stray repeats
+    texts.append(" ".join(notice[:10]))
+    pool = [x for _, t in op06_license.NOTICES for x in t.split()]
+    texts += [" ".join(rng.choice(pool) if rng.random() < 0.3 else x for x in rng.choice(op06_license.NOTICES)[1].split() * 2) for _ in range(60)]
+    rows = [(k, t, "x", "y", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS + ", labels string, key string, h int")
+    out = {r.doc_id: r for r in op06_license.license_scan(docs).collect()}
+    assert {k: (r.labels, round(r.score, 9)) for k, r in out.items()} == {k: (a, round(b, 9)) for k, t in enumerate(texts) for a, b in [license_brute(t)]}
+    assert all(out[k].labels == "mit" and out[k].spans[0].label == "mit" for k in range(4)) and out[4].labels == ""
+    assert op06_license.license_scan(docs.limit(0)).count() == 0
+
+
+def test_html_in_linear_time():
+    import time
+
+    line = "A sentence of it, with commas, and a little more text to be long enough."
+    pages = ["<div class='a'><p>" + line + "</p>", '<a "', "<b>", "<p><b>", "<i>", "<li>x", "</i></b>", "<!--", "<script>"]
+    for part in pages:
+        times = []
+        for n in (20_000, 80_000):
+            page = (part * (n // len(part) + 1))[:n] + line
+            began = time.perf_counter()
+            op04_html.main_text(page)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 12 * max(times[0], 0.02), part
+    deep = "<div><p>" + line + "</p>"
+    assert op04_html.main_text(deep * 12_000).count("\n") == 11_999  # about a million characters, nested
+
+
+def test_html_furniture_by_whole_names():
+    line = "A sentence of it, with commas, and a little more text to be long enough."
+    body = "".join(f'<div class="{c}"><p>{c.replace(" ", "").upper()} {line}</p></div>' for c in ("share-of-market", "article-tags", "notice of intent", "nav-bar", "site-footer", "cookie-banner", "noticeable"))
+    text = op04_html.main_text(f"<body><article>{body}</article></body>")
+    assert [t.split(" ")[0] for t in text.split("\n")] == ["SHARE-OF-MARKET", "NOTICEABLE"]
+
+
+def test_html_edges(spark):
+    pages = spark.createDataFrame([(1, None, "<p>x", "t"), (1, None, "<p>x", "t"), (None, "u", None, "t")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text) for r in op04_html.main_texts(pages).collect()) == [(0, ""), (1, "x"), (1, "x")]
+    assert op04_html.main_texts(pages.limit(0)).count() == 0
+
+
+def test_clashing_names_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a\nMenu", "s", "x", "y", "z", "w"), (2, "b\nMenu", "s", "x", "y", "z", "w"), (3, None, None, None, None, None, None)], DOCS + ", source string, line_host string, line_bad string, line_left string, text_row string")
+    kept = op03_lines.dedup_lines(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == {1: "a", 2: "b", 3: None}
+    bench = spark.createDataFrame([(1, "a menu")], "item_id long, text string")
+    clean = op07_decontam.decontaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3]
+    assert op07_decontam.decontaminated(docs.limit(0), bench).count() == 0 and op09_packing.packed(docs.limit(0)).count() == 0
+    assert op09_packing.packed(docs.withColumnsRenamed({"source": "salt", "line_host": "rank", "line_bad": "shares"})).count() == 3
+
+
+def test_ranks_are_proved_from_the_file(tmp_path):
+    import json
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path(op09_packing.TOKENIZER)
+    assert op09_packing.same_as_ranks(path)
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    for change in (lambda m: m["model"]["merges"].reverse(), lambda m: m.update(normalizer={"type": "NFC"}), lambda m: m["pre_tokenizer"].update(add_prefix_space=True), lambda m: m["model"]["merges"].pop()):
+        other = json.loads(json.dumps(file))
+        change(other)
+        (tmp_path / "other.json").write_text(json.dumps(other))
+        assert not op09_packing.same_as_ranks.__wrapped__(str(tmp_path / "other.json"))
+
+
+def test_ranks_in_salted_shares(spark, monkeypatch):
+    monkeypatch.setattr(op09_packing, "RANKED", 7)
+    rows = [(k % 40, 0, 0, 5 + (k % 3 == 0), k) for k in range(100)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = op09_packing.ranked(pieces).toPandas()
+    for n, group in out.groupby("length"):
+        assert sorted(group["rank"]) == list(range(len(group))), n
+
+
 def test_decontamination_finds_exact_and_near(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
