@@ -34,13 +34,21 @@ END = b" end "  # holds white space, so it is no word
 _BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, counts binary, suffixes binary"
 
 
+class _Vocabulary(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
     from pyspark import TaskContext
 
     part, number = TaskContext.get().partitionId(), 0
     docs: list[tuple] = []
-    vocabulary: dict[bytes, int] = {END: 0}
+    vocabulary = _Vocabulary({END: 0})
     held_ids: list[np.ndarray] = []
     size = 0
 
@@ -68,14 +76,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, is_held in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
             words = words_of(text)
             words.append(END)
-            for w in set(words).difference(vocabulary):
-                vocabulary[w] = len(vocabulary)
             docs.append((doc_id, is_held))
             held_ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
             size += len(words)
             if size >= BLOCK_TOKENS:
                 yield row()
-                docs, held_ids, vocabulary, size, number = [], [], {END: 0}, 0, number + 1
+                docs, held_ids, vocabulary, size, number = [], [], _Vocabulary({END: 0}), 0, number + 1
     if docs:
         yield row()
 
