@@ -1,25 +1,27 @@
-"""Exact top-k inner products: a ball tree per shard, branch and bound with shared k-th scores.
-
-Vectors are dealt over shards of bounded size by a hash of their id, queries in blocks of bounded size. A first pass
-scores each query against one small share of the rows; its k-th score is a lower bound that every shard starts from.
-In a shard, nodes are visited for all queries of a block at once, the more promising child first; a query leaves where
-a node's bound (q . centre + |q| radius) is below its k-th score so far. A shard returns k rows a query at most, and the
-final ranking is a top-k over (shards x k) rows a query.
+"""Exact top-k inner products: a ball tree per shard, branch and bound with k-th scores shared between waves of shards.
+
+Vectors are dealt to cells by their nearest centre (a bounded sample of the rows), and a cell to shards of bounded size by
+a hash of the id. Each shard is a ball, so q . centre + |q| radius bounds every score in it. First each query visits the
+one shard with the highest bound; the k-th score it finds there, or among the sample if that is higher, is its bar from
+then on, and only (query, shard) pairs whose bound reaches the bar meet in a second wave. Neither all vectors nor all
+queries are sent everywhere. In a shard, nodes are visited for a block of queries at once, the more promising child first;
+a query leaves where a node's bound is below its k-th score so far. The final ranking is over what both waves return.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 K, MODULUS, SCALE = 20, 20, 64
-SHARDS, SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE = 24, 16_384, 8_192, 64, 2_000
+CELLS, SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE = 24, 16_384, 8_192, 64, 2_000
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -114,27 +116,95 @@ def _floors(batches, sample: list[tuple[int, list[int]]], k: int):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.float64())], [*batch.schema.names, "bar"])
 
 
-def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
+def _by_dim(rows: list[tuple]) -> dict[int, tuple[list, np.ndarray]]:
+    """Rows ``(key, v)`` by the dimension of v."""
+    out: dict[int, tuple[list, list]] = {}
+    for key, v in rows:
+        keys, vectors = out.setdefault(len(v), ([], []))
+        keys.append(key)
+        vectors.append(v)
+    return {d: (keys, np.array(vectors, np.float64)) for d, (keys, vectors) in out.items()}
+
+
+def _cells(batches: Iterator[pa.RecordBatch], centres: list[tuple[int, list[int]]]) -> Iterator[pa.RecordBatch]:
+    """Adds ``cell``, the nearest centre of the row's dimension (else -1), and ``away``, the distance to it."""
+    known = _by_dim(centres)
+    for batch in batches:
+        cells, aways = [], []
+        for v in batch.column("v").to_pylist():
+            keys, points = known.get(len(v), ([-1], None))
+            square = np.zeros(1) if points is None else ((points - np.array(v, np.float64)) ** 2).sum(1)
+            best = int(square.argmin())
+            cells.append(keys[best])
+            aways.append(float(np.sqrt(square[best])) if points is not None else float(np.sqrt((np.array(v, np.float64) ** 2).sum())))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64()), pa.array(aways, pa.float64())], [*batch.schema.names, "cell", "away"])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], centres: list[tuple[int, list[int]]], balls: list[tuple[int, int, float, int]]) -> Iterator[pa.RecordBatch]:
+    """``query_id, dim, shards``: each query's shards of its dimension with their bounds, the highest first."""
+    points = {key: np.array(v, np.float64) for key, v in centres}
+    by_dim: dict[int, list[tuple[int, int, float]]] = {}
+    for cell, dim, radius, shards in balls:
+        by_dim.setdefault(dim, []).append((cell, shards, radius))
+    kind = pa.list_(pa.struct([("cell", pa.int64()), ("salt", pa.int64()), ("bound", pa.float64())]))
+    for batch in batches:
+        out = []
+        for v in batch.column("v").to_pylist():
+            q = np.array(v, np.float64)
+            norm = float(np.sqrt((q**2).sum()))
+            mine = by_dim.get(len(v), [])
+            bounds = [(float(q @ points[c]) if c in points else 0.0) + norm * r for c, _, r in mine]
+            pairs = [{"cell": c, "salt": s, "bound": b + 1e-9 * abs(b) + 1e-6} for (c, n, _), b in zip(mine, bounds, strict=True) for s in range(n)]
+            out.append(sorted(pairs, key=lambda p: (-p["bound"], p["cell"], p["salt"])))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "shards"])
+
+
+def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF, cells: int = CELLS) -> DataFrame:
     """``vec_id, embedding`` -> ``query_id, rank, vec_id, score``: each query row's ``k`` best other rows by integer inner product.
 
     ``is_query`` picks the queries (default: ids divisible by 20). Null vectors, those with null or non-finite components,
     and rows without an id take no part; vectors meet only those of their own dimension. Of rows that repeat an id one is
-    kept (the smallest vector). Ties go to the smaller id. Scores are exact up to 2^53.
+    kept (the smallest vector). Ties go to the smaller id. Scores are exact up to 2^53. ``cells`` (at least; one for each
+    ``shard_rows`` rows) is how many centres there are, SAMPLE at most.
     """
-    rows = quantized(vectors).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    rows = materialize(rows, "vectors")
-    n = rows.count()
-    queries = rows.where(F.col("vec_id") % MODULUS == 0 if is_query is None else is_query).withColumnRenamed("vec_id", "query_id")
-    blocks = max(1, -(-queries.count() // block_rows))
-    shards = max(SHARDS, -(-n // shard_rows))
+    rows = materialize(quantized(vectors).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
     sample = [(r.vec_id, r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    floors = queries.mapInArrow(functools.partial(_floors, sample=sample, k=k), "query_id long, v array<long>, dim int, bar double")
-    floors = floors.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["shard", "block", "dim"]
-    found = dealt.groupBy(*keys).cogroup(floors.groupBy(*keys)).applyInArrow(lambda x, y: _shard(x, y, k, leaf), "query_id long, vec_id long, score long")
+    centres = sample[: min(SAMPLE, max(cells, -(-rows.count() // shard_rows)))]
+    dealt = rows.mapInArrow(functools.partial(_cells, centres=centres), "vec_id long, v array<long>, dim int, cell long, away double")
+    dealt = materialize(dealt, "cells")
+    discard(rows)
+    sizes = dealt.groupBy("cell", "dim").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / shard_rows).alias("shards"))
+    balls = [(r.cell, r.dim, r.radius, r.shards) for r in sizes.collect()]  # a row for each of SAMPLE centres and dimension at most
+    shards = {(c, d): n for c, d, _, n in balls}
+    salts = dealt.sparkSession.createDataFrame([(c, d, n) for (c, d), n in shards.items()], "cell long, dim int, salts long")
+    placed = dealt.join(F.broadcast(salts), ["cell", "dim"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("salts"))).select("vec_id", "v", "dim", "cell", "salt")
+
+    queries = dealt.where(F.col("vec_id") % MODULUS == 0 if is_query is None else is_query).select(F.col("vec_id").alias("query_id"), "v", "dim")
+    queries = queries.mapInArrow(functools.partial(_floors, sample=sample, k=k), "query_id long, v array<long>, dim int, bar double")
+    queries = queries.mapInArrow(functools.partial(_bounded, centres=centres, balls=balls), "query_id long, v array<long>, dim int, bar double, shards array<struct<cell:long,salt:long,bound:double>>")
+    queries = materialize(queries, "queries")
+
+    keys = ["cell", "salt", "dim", "block"]
+
+    def wave(asked: DataFrame, name: str) -> DataFrame:
+        """``asked`` (query_id, v, dim, bar, cell, salt) against the vectors of its shards, in blocks of queries."""
+        asked = materialize(asked, "asked")
+        counts = asked.groupBy("cell", "salt", "dim").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        mine = asked.join(counts, ["cell", "salt", "dim"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
+        theirs = placed.join(counts, ["cell", "salt", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        found = theirs.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInArrow(lambda x, y: _shard(x, y, k, leaf), "query_id long, vec_id long, score long")
+        out = materialize(found, name)
+        discard(asked)
+        return out
+
+    top = F.get("shards", F.lit(0))
+    first = wave(queries.where(F.size("shards") > 0).select("query_id", "v", "dim", "bar", top["cell"].alias("cell"), top["salt"].alias("salt")), "first_wave")
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+    rest = queries.join(kth, "query_id", "left").withColumn("bar", F.greatest("bar", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))))
+    rest = rest.select("query_id", "v", "dim", "bar", F.explode(F.slice("shards", 2, F.greatest(F.size("shards") - 1, F.lit(0)))).alias("s")).where(F.col("s.bound") >= F.col("bar"))
+    second = wave(rest.select("query_id", "v", "dim", "bar", "s.cell", "s.salt"), "second_wave")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for top_k with the production parameters.

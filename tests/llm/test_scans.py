@@ -276,14 +276,15 @@ def test_plan(seed):
     assert len(bins) <= 1.25 * (sum(k * v for k, v in counts.items()) / 1024) + 60 + sum(v for k, v in counts.items() if k > 512)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("options", [{}, {"cells": 3, "shard_rows": 40, "block_rows": 5}])
+def test_top_k(spark, options):
     rng = np.random.default_rng(8)
     base = rng.normal(0, 0.3, (300, 6))
     base[50:120] = base[50]
     rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(base)] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1020, [1.0, 2.0]), (1040, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in op10_balltree.top_k(df, k=7, leaf=8).orderBy("query_id", "rank").collect():
+    for r in op10_balltree.top_k(df, k=7, leaf=8, **options).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     usable = {k: np.floor(64 * np.array(v)) for k, v in rows if v is not None and None not in v and np.isfinite(v).all()}
     wanted = {}
