@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..tables import unit_rows
 from .text import clean_number, literal_map
 
+# Units that may stand right behind a number.
 _GLUED = (
     "inches|inch|milliamps|milliamp|amperes|ampere|amps|amp|volts|volt|kilograms|kilogram|pounds|pound|ounces|ounce|grams|gram|kilowatt|watts|watt|hertz|khz|mhz|hz|"
     "psig|psi|bar|kpa|mpa|gpm|lpm|cfm|rpm|dba|db|btu|gal|lbs|lb|oz|kg|mm|cm|ft|in|vac|vdc|kw|ma|hp|kv|mv|[wvalm]"

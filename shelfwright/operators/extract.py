@@ -277,9 +277,10 @@ def extract(texts: DataFrame) -> DataFrame:
             "v0": at("v", VOLTAGE), "c0": at("c", CURRENT), "m_other": at("m", GENERIC_WORD), "hint_title": F.when(~structural(F.col("hint")), without_site(F.col("hint"))),
             "named_at": F.array_position(F.transform("named", lambda c: c != ""), True).cast("int"), "cat_at": F.array_position(F.transform("cats", lambda c: c != ""), True).cast("int"),
             "n_line": F.get(F.filter("lines", lambda x: ~x.rlike("^(?:---|Fetch Error|Sparse Content)")), F.lit(0)), "n_first": F.coalesce(without_site(F.get(F.filter("lines", lambda x: ~x.rlike(NO_LINE)), F.lit(0))), F.substring(text, 1, 60)),
-            **{f"t{k}": group(F.col("t0"), TEMPERATURE, k) for k in (1, 2, 3)}, **{f"d{n}_{k}": group(F.col(f"d{n}"), p, k) for n, (_, p) in enumerate(DYNAMIC) for k in (1, 2)},
+            **{f"t{k}": F.regexp_extract("t0", TEMPERATURE, k) for k in (1, 2, 3)}, **{f"d{n}_{k}": F.regexp_extract(f"d{n}", p, k) for n, (_, p) in enumerate(DYNAMIC) for k in (1, 2)},
         },
     )
+    t = t.withColumns({c: no_blank(F.col(c)) for c in ["t1", "t2", "t3", *(f"d{n}_{k}" for n in range(len(DYNAMIC)) for k in (1, 2))]})
     t = staged(
         t,
         {

@@ -87,3 +87,49 @@ def test_delivery(spark):
     claims = spark.createDataFrame([("p", 0, "Runs 23 hours at 2 Ah"), ("p", 1, "Runs 24 hours at 2 Ah"), ("p", 2, "Brushless")], "product_id string, pos int, text string")
     texts = spark.createDataFrame([("p", "Runs 23 hours at 2 Ah Runs 24 hours at 2 Ah Brushless")], "product_id string, raw_text string")
     assert delivery.usable_features(claims, texts).first().item_features == ["Brushless"]
+
+
+def test_each_pattern_is_worked_out_once(spark):
+    df = spark.createDataFrame([("p", BLOCK, None, None)], TEXT)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    plan = extract.extract(df)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("(?:rated\\s+voltage") == 5 and plan.count("flow(?:\\s*rate)") == 3 and plan.count("sanding\\s+belts?") == 1  # the match, then its groups
+    assert plan.count("regexp_extract(") < 120
+
+
+def test_names(spark):
+    texts = [
+        ("=== EXTRACTED SPECIFICATION TABLES ===\nSKU: DCB518ASTS06G\nGrit: 80\n=== PAGE CONTENT ===\nDCB518ASTS06G detail file sanding belt", "Specifications"),
+        ("A valve made for water", "Acme Valve 12 - Wikipedia | Shop"),
+        ("CN-M12-5P Circular Connector", "document.pdf"),
+        ("https://x\nAn editorial page | Amazon.com\nmore", None),
+        ("PRX-M18-30 and no more", None),
+    ]
+    df = spark.createDataFrame([(f"p{k}", t, h, None) for k, (t, h) in enumerate(texts)], TEXT)
+    names = {r.product_id: (r.value, r.confidence) for r in extract.extract(df).where("field_key = 'product_name'").collect()}
+    assert names == {"p0": ("DCB518ASTS06G detail file sanding belt", 0.9), "p1": ("Acme Valve 12", 0.95), "p2": ("CN-M12-5P Circular Connector", 0.92), "p3": ("An editorial page", 0.45), "p4": ("PRX-M18-30", 0.85)}
+
+
+def test_specification_rows(spark):
+    text = "=== EXTRACTED SPECIFICATION TABLES ===\nVendor: Dewalt\nGrit (grit): 80\nItem Weight (oz): 2 lb\nPrice: 9\nQuantity: -\nBacking: Cloth\nBacking: Paper\nURL: x\nUPC: 123\n=== PAGE CONTENT ===\nNot: a row"
+    got = {r.label: (r.value, r.unit, r.confidence) for r in extract.extract(spark.createDataFrame([("p", text, None, None)], TEXT)).where("not is_core").collect()}
+    assert got == {"Brand": ("Dewalt", None, 0.94), "Grit": ("80", None, 0.94), "Item Weight": ("2 lb", "lb", 0.94), "Backing": ("Cloth", None, 0.94), "UPC": ("123", None, 0.94), "Mass": ("2", "lb", 0.82)}
+
+
+def test_grit_is_no_body_material(spark):
+    cases = [("Aluminum oxide", "Material: Aluminum oxide", False), ("aluminum", "blend of aluminum oxide grit", False), ("aluminum", "Housing: aluminum, with aluminum oxide", True), ("brass", "Body brass", True), (None, None, True)]
+    df = spark.createDataFrame([(k, v, s) for k, (v, s, _) in enumerate(cases)], "k int, v string, s string")
+    assert [r.y for r in df.select("k", extract.material_evidence(F.lit("material"), F.col("v"), F.col("s")).alias("y")).orderBy("k").collect()] == [c[2] for c in cases]
+
+
+def test_identity_of_a_delivery_row(spark):
+    f = fields(spark, "=== EXTRACTED SPECIFICATION TABLES ===\nSKU: UPC 123\nModel Number: DW-12\nVendor: dewlt\nManufacturer: Stanley Black and Decker\n=== PAGE CONTENT ===\nA tool", "PRX-M18-30 Sensor")
+    given = spark.createDataFrame([("p0", None, "https://moen.com/p", None), ("p1", "12 GTIN", "https://www.grainger.com/p", None), ("p2", "A1", None, "https://own.example/x")], "product_id string, mpn string, source_url string, manufacturer_url string")
+    rows = {r.product_id: r for r in delivery.identified(f, given).collect()}
+    assert [(rows[p].Mfg_Part_Num, rows[p].MANUFACTURER_NAME, rows[p].BRAND_NAME, rows[p]["MFR URL"]) for p in ("p0", "p1", "p2")] == [
+        ("DW-12", "Stanley Black & Decker", "DEWALT", "https://moen.com/p"), ("PRX-M18-30", "", "", ""), ("A1", "", "", "https://own.example/x"),
+    ]
+    assert [len(rows[p].identity_warnings) for p in ("p0", "p1", "p2")] == [2, 2, 0]
+    out = delivery.delivery(f, delivery.identified(f, given)).where("product_id = 'p0'").first()
+    assert out["Mfg_Part_Num"] == "DW-12" and out["BRAND_NAME"] == "DEWALT"
