@@ -15,8 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: A side of so many rows may be sent to every task.
 BROADCAST_ROWS = 200_000
+FIRST = 4
 
 
 def _ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -62,7 +65,15 @@ def best_matches(left: DataFrame, right: DataFrame, cutoff: float, scope: list[s
     lengths = (F.length("rk") >= F.length("lk") * cutoff / (2 - cutoff)) & (F.length("rk") <= F.length("lk") * (2 - cutoff) / cutoff)
     few = few.withColumn("size", F.explode(F.sequence(F.ceil(F.length("lk") * cutoff / (2 - cutoff)), F.floor(F.length("lk") * (2 - cutoff) / cutoff))))
     by_length = few.join(r.withColumn("size", F.length("rk").cast("long")), [*scope, "size"]).select(*scope, "lk", "rk")
-    pairs = by_gram.unionByName(by_length).where(lengths).distinct().where(multiset_bound(F.col("lk"), F.col("rk")) >= cutoff - 1e-9)
-    scored = pairs.withColumn("ratio", ratio(F.col("rk"), F.col("lk"))).where(F.col("ratio") >= cutoff)
+    # Pairs are few bytes and much work: as many tasks as the session shuffles by, which adaptive execution leaves alone.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = by_gram.unionByName(by_length).where(lengths).distinct().repartition(tasks, *scope, "lk")
+    pairs = staged(pairs, {"bound": multiset_bound(F.col("lk"), F.col("rk"))}).where(F.col("bound") >= cutoff - 1e-9)
+    # The FIRST pairs of a left key with the highest bounds are worked out; others only where their bound reaches the best of these.
+    order = Window.partitionBy(*scope, "lk").orderBy(F.desc("bound"), "rk")
+    first = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).drop("place").withColumn("ratio", ratio(F.col("rk"), F.col("lk")))
+    reached = first.groupBy(*scope, "lk").agg(F.max("ratio").alias("reached"))
+    scored = pairs.join(reached, [*scope, "lk"]).where(F.col("bound") >= F.greatest(F.col("reached"), F.lit(cutoff)) - 1e-9)
+    scored = scored.withColumn("ratio", ratio(F.col("rk"), F.col("lk"))).where(F.col("ratio") >= cutoff)
     best = scored.groupBy(*scope, "lk").agg(F.max(F.struct("ratio", "rk")).alias("best"))
     return best.select(*scope, F.col("lk").alias("key"), F.col("best.rk").alias("match"), F.col("best.ratio").alias("ratio"))
