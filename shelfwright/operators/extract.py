@@ -64,7 +64,7 @@ CATEGORIES = [
 PART = r"\b([A-Z]{2,5}[-–][A-Z0-9]+(?:[-–][A-Z0-9]+)*)\b"
 TYPE_PHRASE = r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z \t]{0,45}?(?:Sensor|Pump|Connector|Transducer|Transmitter|Valve|Relay|Switch|Motor|Actuator|Cable|Plug|Encoder|Controller|Drive))"
 HEADING = r"(?i)^\s*(?:={2,}|-{2,})?\s*(?:extracted\s+specification\s+tables?|page\s+content|specifications?|description|features?)\s*(?:={2,}|-{2,})?\s*$"
-NO_TITLE = r"(?i)^(?:prism_test|untitled|document|datasheet|catalog|spec sheet)"
+NO_TITLE = r"(?i)^(?:untitled|document|datasheet|catalog|spec sheet)"
 NO_LINE = r"(?i)^(?:---|fetch|sparse|http|url:)"
 SITES = [
     r"wikipedia(?:,\s*the free encyclopedia)?", r"amazon(?:\.[a-z.]+)?", "ebay", "alibaba", "indiamart", "digikey", "mouser", "rs components", "farnell", "newark", "automationdirect", "grainger", r"home\s*depot",
