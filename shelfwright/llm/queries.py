@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op03_lines, op06_license, op10_balltree
+from . import op11_laesa as laesa
+from . import op12_nsbounds as nsbounds
 from .common import read
 from .op01_minhash import near_duplicates
 from .op02_hmm import hmm_scores
@@ -19,6 +21,9 @@ from .op07_decontam import contaminations
 from .op08_toxic import toxicity_scores
 from .op09_packing import packed
 from .op10_balltree import top_k
+from .op11_laesa import code_report
+from .op12_nsbounds import cluster_report
+from .op13_concat import concatenated
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +66,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_nsbounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenated(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_hmm, op3_lines, op4_html, op5_quality, op6_license, op7_decontam, op8_toxicity, op9_packing, op10_topk)
+    f.__name__: f
+    for f in (op1_minhash, op2_hmm, op3_lines, op4_html, op5_quality, op6_license, op7_decontam, op8_toxicity, op9_packing, op10_topk, op11_laesa, op12_nsbounds, op13_concat)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_lines": op03_lines.SQL, "op6_license": op06_license.SQL, "op10_topk": op10_balltree.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_lines": op03_lines.SQL, "op6_license": op06_license.SQL, "op10_topk": op10_balltree.SQL, "op11_laesa": laesa.SQL, "op12_nsbounds": nsbounds.SQL}
