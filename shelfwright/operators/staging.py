@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +17,29 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of a table, from its files and plan; nothing runs for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than the cluster has cores, dealt over all of them; larger tables and streams as they are."""
+    """Rows of a table that is too small to fill the cluster's cores with splits, dealt over all of them; larger tables and streams as they are."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    split = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if expected_bytes(df) < cores * split else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``most`` bytes of ``column`` (one longer value alone), so that a worker's memory does not follow the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def let(value: Column, use) -> Column:

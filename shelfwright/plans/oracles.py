@@ -130,6 +130,10 @@ _FLAT = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 _STANDS = f"({{0}} <> '' AND (contains({{1}}, {{0}}) OR (len({_PARTS}) > 0 AND len([x FOR x IN {_PARTS} IF contains({{1}}, x)]) >= 0.8 * len({_PARTS}))))"
 
 
+#: Documents in pages of 300 characters, joined again.
+_JOINED = """d AS (SELECT doc_id, text FROM documents WHERE text <> ''), g AS (SELECT doc_id, text, unnest(range((len(text) - 1) // 300 + 1)) AS page_no FROM d),
+j AS (SELECT doc_id, string_agg(concat('--- [Page ', page_no::VARCHAR, '] ---', chr(10), substring(text, page_no * 300 + 1, 300)), chr(10) || chr(10) ORDER BY page_no) FILTER (trim(substring(text, page_no * 300 + 1, 300)) <> '') AS text FROM g GROUP BY doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "dedup_survivors": f"WITH {_KEYED} SELECT row_index, Mfg_Part_Num, Part_Manuf, mpn_key, brand_key FROM m WHERE survives",
     "dedup_report": f"""WITH {_KEYED} SELECT count(*) AS total_rows, count(*) FILTER (survives) AS unique_products, count(*) FILTER (NOT survives) AS duplicate_rows_removed, count(*) FILTER (survives AND n > 1 AND mpn_key <> '') AS "groups",
@@ -183,10 +187,15 @@ SELECT w.* EXCLUDE (other), replace(other, 'Thread size', 'Thread Size') AS othe
  FROM o WHERE (outcome = 'not_permitted' AND cp = 'Fittings > Coupling' AND lk = 'material' AND vk = 'bronz') OR (outcome = 'not_applicable' AND lk = 'materials') OR outcome = 'no_classpath'""",
     "grounding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT a.doc_id, {_FLAT.format("a.text")} AS t, {_FLAT.format("substring(a.text, 11, 60)")} AS own, {_FLAT.format("substring(z.text, 11, 60)")} AS other FROM d a JOIN d z ON z.doc_id + 1 = a.doc_id)
 SELECT doc_id, {_STANDS.format("own", "t")} AS own_grounded, {_STANDS.format("other", "t")} AS foreign_grounded FROM b""",
-    "short_runs": """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM d),
-r AS (SELECT *, length(t) > 15 AS is_long, count(*) FILTER (length(t) > 15) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM x), g AS (SELECT doc_id, run, count(*) AS n, count(*) FILTER (t[1] = '[') AS n_open FROM r WHERE NOT is_long GROUP BY doc_id, run),
-k AS (SELECT r.doc_id, r.t, r.is_long, g.n, row_number() OVER (PARTITION BY r.doc_id, r.run, r.is_long ORDER BY pos) AS place FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.run = r.run AND NOT r.is_long)
-SELECT doc_id, count(*) AS n_kept, count(*) FILTER (CASE WHEN NOT is_long AND n > 15 AND place = 4 THEN true ELSE t[1] = '[' END) AS n_marked FROM k WHERE is_long OR n <= 15 OR place <= 4 GROUP BY doc_id""",
+    "short_runs": """WITH d AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(coalesce(text, ''), '[.,\\n]')] IF x <> ''] AS c FROM documents), x AS (SELECT doc_id, unnest(c) AS t, unnest(range(len(c))) AS pos FROM d),
+s AS (SELECT *, len(t) <= 25 AND len(string_split(t, ' ')) <= 4 AS short FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, short ORDER BY pos) AS island FROM s),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, short, island) AS n, row_number() OVER (PARTITION BY doc_id, short, island ORDER BY pos) AS place FROM r),
+k AS (SELECT doc_id, CASE WHEN short AND n > 15 AND place = 4 THEN '[...omitted repetitive list content...]' ELSE t END AS t FROM g WHERE NOT short OR n <= 15 OR place <= 4)
+SELECT doc_id, count(*) AS n_kept, count(*) FILTER (t = '[...omitted repetitive list content...]') AS n_marked, sum(len(t))::BIGINT AS n_chars FROM k GROUP BY doc_id""",
+    "joined_pages": f"WITH {_JOINED} SELECT doc_id, md5(text) AS digest, len(text)::INTEGER AS n_chars FROM j",
+    "snippet_pages": f"""WITH {_JOINED}, s AS (SELECT doc_id, v.* FROM d, LATERAL (VALUES ('head', substring(d.text, 1, 12)), ('middle', substring(d.text, len(d.text) // 2 + 1, 9)), ('last', right(d.text, 15)), ('none', chr(1))) AS v(field_key, snippet)),
+a AS (SELECT s.doc_id, field_key, strpos(lower(j.text), lower(snippet)) AS place, j.text FROM s JOIN j USING (doc_id))
+SELECT doc_id, field_key, CASE WHEN place = 0 THEN -1 ELSE list_max([x::INTEGER FOR x IN regexp_extract_all(substring(text, 1, place + 22), '--- \\[Page ([0-9]+)\\] ---', 1)]) END::INTEGER AS page_no FROM a""",
     "review_latest": f"WITH {_LATEST} SELECT product_id, field_key, action, new_value FROM l",
     "content_richness": _richness(),
     "source_policy": f"""WITH u AS ({URLS}), h AS (SELECT page_id, page_id % 6 AS k, lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM u),

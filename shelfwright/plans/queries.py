@@ -221,8 +221,30 @@ def page_clean(spark, d):
 
 
 def short_runs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
-    return pages.collapse_runs(docs, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("text").startswith("[")).alias("n_marked"))
+    """Clauses of each document as chunks."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.,\n]")).alias("pos", "text"))
+    kept = pages.collapse_runs(docs.withColumn("text", F.trim("text")).where("text <> ''"), ["doc_id"])
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("text") == pages.OMITTED).alias("n_marked"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _doc_pages(spark, d):
+    """Documents as pages of 300 characters."""
+    docs = table(spark, d, "documents").where("text <> ''")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 300).cast("int")), lambda k: F.substr(F.col("text"), k * 300 + 1, F.lit(300)))
+    return docs.select("doc_id", F.posexplode(cut).alias("page_no", "text"))
+
+
+def joined_pages(spark, d):
+    return pages.joined_pages(_doc_pages(spark, d)).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+
+
+def snippet_pages(spark, d):
+    """The page on which a text's beginning, middle and last words stand, and a snippet that is on none."""
+    paged = _doc_pages(spark, d)
+    docs = table(spark, d, "documents").where("text <> ''")
+    snippets = F.array(*[F.struct(F.lit(k).alias("field_key"), s.alias("snippet")) for k, s in (("head", F.substring("text", 1, 12)), ("middle", F.expr("substring(text, length(text) div 2 + 1, 9)")), ("last", F.expr("right(text, 15)")), ("none", F.lit("\x01")))])
+    fields = docs.select("doc_id", F.inline(snippets))
+    return pages.evidence_pages(pages.snippet_offsets(fields, pages.joined_pages(paged)), paged).select("doc_id", "field_key", F.coalesce("page_no", F.lit(-1)).alias("page_no"))
 
 
 def content_richness(spark, d):
@@ -322,6 +344,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dedup_survivors, dedup_report, mpn_collisions, unit_normalise, unmapped_units, decimal_fraction, expand_abbrev, classify_types, classify_stats, terse_attributes, lov_validate, lov_suggest, lov_compliance,
         brand_exact, brand_fuzzy, catalog_descriptions, compliance_summary, field_accuracy, weakest_fields, extract_fields, validate_fields, rating_checks, record_summary, catalog_stats, grounding, trust_gate, trust_totals,
-        source_policy, url_safety, page_clean, short_runs, content_richness, discover_best_source, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
+        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
     )
 }
