@@ -2,8 +2,9 @@
 
 A few entries of each part's first codebook, far from each other, are its pivots for good. The distance of every part to
 every pivot is worked out once and written next to the vectors. In each round only the distances of pivots to entries are
-new; their difference to the stored ones is a lower bound of a part's distance to an entry. Entries are evaluated, in exact
-integers, in the order of that bound, until it is above the best distance so far. Tasks return sums per entry, of which
+new; their difference to the stored ones is a lower bound of a part's distance to an entry. The entries with the lowest
+bounds are evaluated first, in that order and in exact integers, and then those of the others whose bound is not above the
+best distance so far, which each evaluation may lower. Tasks return sums per entry, of which
 the driver sees one row for each entry; the codebooks are all that is sent to tasks.
 """
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .vectors import LIMIT, add_up, floors, lists, matrix, squared, usable, with_total
 
-SCALE, PARTS, ENTRIES, ROUNDS, PIVOTS = 1024, 4, 256, 4, 8
-#: Rows taken up at once, and how many entries are evaluated between two looks at the bounds.
-BLOCK, STEPS = 2_048, (1, 7, 24)
+SCALE, PARTS, ENTRIES, ROUNDS, PIVOTS = 1024, 4, 256, 4, 16
+#: Rows taken up at once, and how many entries a row evaluates one by one, by their bounds, before it meets the others.
+BLOCK, FIRST = 2_048, 8
 
 
 def pivots_of(book: np.ndarray, n: int) -> np.ndarray:
@@ -46,29 +47,31 @@ def nearest(x: np.ndarray, from_pivots: np.ndarray, book: np.ndarray, book_pivot
     ``from_pivots`` and ``book_pivots`` are distances of rows and of entries to the pivots. An entry is left out only if
     its lower bound is above the best distance by more than rounding can be. ``evaluated`` gets the number of evaluations.
     """
-    low = np.zeros((len(x), len(book)))
+    low = np.zeros((len(book), len(x)))
     for k in range(book_pivots.shape[1]):
-        np.maximum(low, np.abs(from_pivots[:, k, None] - book_pivots[None, :, k]), out=low)
-    order = np.argsort(low, axis=1, kind="stable")
-    bound = np.take_along_axis(low, order, 1)
-    bound -= 1e-9 * (1 + bound + from_pivots.max(1, keepdims=True, initial=0))
-    best, found = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), len(book))
-    at = 0
-    for step in (*STEPS, len(book)):
-        end = min(at + step, len(book))
-        rows, places = np.nonzero(bound[:, at:end] <= np.sqrt(best.astype(np.float64))[:, None])
+        np.maximum(low, np.abs(from_pivots[:, k] - book_pivots[:, k, None]), out=low)
+    low -= 1e-9 * (1 + low + from_pivots.max(1, initial=0))
+    best, found, root = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), len(book)), np.full(len(x), np.inf)
+
+    def evaluate(rows: np.ndarray, entries: np.ndarray | int) -> None:
+        distance = squared(x[rows], book[entries])
+        if evaluated is not None:
+            evaluated.append(len(rows))
+        better = (distance < best[rows]) | ((distance == best[rows]) & (entries < found[rows]))
+        rows, distance = rows[better], distance[better]
+        best[rows], found[rows], root[rows] = distance, entries[better] if isinstance(entries, np.ndarray) else entries, np.sqrt(distance.astype(np.float64))
+
+    n = min(FIRST, len(book))
+    first = np.argpartition(low, n - 1, axis=0)[:n] if len(x) else np.zeros((0, 0), np.int64)
+    first = np.take_along_axis(first, np.argsort(np.take_along_axis(low, first, 0), axis=0, kind="stable"), 0) if len(x) else first
+    for entries in first:
+        rows = np.flatnonzero(low[entries, np.arange(len(x))] <= root)
+        evaluate(rows, entries[rows])
+        low[entries, np.arange(len(x))] = np.inf
+    for entry in range(len(book)):
+        rows = np.flatnonzero(low[entry] <= root)
         if len(rows):
-            entries = order[rows, places + at]
-            distance = squared(x[rows], book[entries])
-            if evaluated is not None:
-                evaluated.append(len(rows))
-            first = np.lexsort((entries, distance, rows))
-            rows, entries, distance = rows[first], entries[first], distance[first]
-            top = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            rows, entries, distance = rows[top], entries[top], distance[top]
-            better = (distance < best[rows]) | ((distance == best[rows]) & (entries < found[rows]))
-            best[rows[better]], found[rows[better]] = distance[better], entries[better]
-        at = end
+            evaluate(rows, entry)
     return found, best
 
 
