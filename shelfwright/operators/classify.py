@@ -17,7 +17,7 @@ def candidates(spark: SparkSession, lov_attributes: DataFrame | None = None, ext
     """``label, classpath, ordinal``: the leaves of the vocabulary's classpaths (the first path of a leaf), or the built-in types; then extra ones (``label``)."""
     if lov_attributes is not None:
         paths = lov_attributes.where("classpath is not null").groupBy("classpath").agg(F.min("cp_ordinal").alias("ordinal"))
-        base = paths.select(F.trim(F.element_at(F.split("classpath", r"\s*>\s*"), -1)).alias("label"), "classpath", F.col("ordinal").cast("long"))
+        base = paths.select(F.trim(F.element_at(F.split("classpath", r"\s*>\s*"), -1)).alias("label"), "classpath", (F.row_number().over(Window.orderBy("ordinal", "classpath")) - 1).cast("long").alias("ordinal"))  # leaves of a vocabulary, a few thousand
     else:
         base = spark.createDataFrame([(label, None, k) for k, label in enumerate(ITEM_TYPES)], "label string, classpath string, ordinal long")
     if extra_types is not None:

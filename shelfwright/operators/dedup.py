@@ -24,11 +24,11 @@ def keyed(rows: DataFrame, mpn: str = "Mfg_Part_Num", brand: str = "Part_Manuf",
 def mark_duplicates(rows: DataFrame, mpn: str = "Mfg_Part_Num", brand: str = "Part_Manuf", index: str = "row_index") -> DataFrame:
     """Adds ``survivor_index`` (of the row's group) and ``survives``; rows without a part number all survive.
 
-    The survivor is the most complete row, the earliest of equals. It is found by a max per group, pre-aggregated before
+    The survivor is the most complete row, the earliest of equals; ``index`` may be a number or the ``ordinal`` of a reader. It is found by a max per group, pre-aggregated before
     the shuffle, so a group with very many rows is no one's burden; a salted window is not needed.
     """
     k = keyed(rows, mpn, brand, index)
-    best = F.max_by(F.col(index), F.struct(F.col("completeness"), (-F.col(index)).alias("early")))
+    best = F.min_by(F.col(index), F.struct((-F.col("completeness")).alias("gaps"), F.col(index).alias("place")))
     groups = k.where("mpn_key <> ''").groupBy("mpn_key", "brand_key").agg(best.alias("survivor_index"), F.count("*").alias("group_rows"))
     joined = k.join(groups, ["mpn_key", "brand_key"], "left")
     return joined.withColumn("survives", F.coalesce(F.col("survivor_index") == F.col(index), F.lit(True)))

@@ -19,7 +19,7 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def expected_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects of a table, from its files and plan; nothing runs for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:

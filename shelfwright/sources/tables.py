@@ -17,25 +17,39 @@ LOV_NAMES = {
 }
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Parquet, or CSV/TSV with a header and every column as text."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
-
+def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet", placed: bool = False) -> DataFrame:
+    """Parquet, or CSV/TSV with a header and every column as text; one file, a folder, or many of them.
 
-def load_items(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Catalogue rows: blanks as null, rows without any value dropped, unnamed columns as ``col_<n>``."""
-    df = read_table(spark, path, fmt)
-    names = [c if c and not c.startswith("_c") else f"col_{n}" for n, c in enumerate(df.columns)]
-    df = df.toDF(*names)
+    ``placed`` adds where each row comes from: ``source_name`` (the file's name without its ending) and ``ordinal``, which
+    orders rows by file path, then by place in the file. It does not depend on how Spark splits or packs the files: a
+    Parquet row has its index, a text row the start of its block and then its place in the order of reading within it.
+    """
+    if fmt == "parquet":
+        df = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    else:
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+    if not placed:
+        return df
+    block, row = (F.lit(0).cast("long"), F.col("_metadata.row_index")) if fmt == "parquet" else (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    ordinal = F.struct(F.lit(0).alias("table"), F.col("_metadata.file_path").alias("path"), block.alias("block"), row.cast("long").alias("row"))
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.select("*", F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "").alias("source_name"), ordinal.alias("ordinal"))
+
+
+def load_items(spark: SparkSession, path: str | list[str], fmt: str = "csv", placed: bool = False) -> DataFrame:
+    """Catalogue rows: blanks as null, rows without any value dropped, unnamed columns as ``col_<n>``; ``ordinal`` if ``placed``."""
+    df = read_table(spark, path, fmt, placed)
+    place = ["ordinal"] if placed else []
+    given = [c for c in df.columns if not placed or c not in ("source_name", "ordinal")]
+    names = [c if c and not c.startswith("_c") else f"col_{n}" for n, c in enumerate(given)]
+    df = df.select(*given, *place).toDF(*names, *place)
     blank = [F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.col(f"`{c}`")).alias(c) for c in names]
-    return df.select(*blank).na.drop("all")
+    return df.select(*blank, *place).na.drop("all", subset=names)
 
 
 def load_pair(spark: SparkSession, given: str, truth: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
-    """Input rows and the rows that they should become."""
-    return load_items(spark, given, fmt), load_items(spark, truth, fmt)
+    """Input rows and the rows that they should become; of truth rows with one key the first in the file counts, by ``ordinal``."""
+    return load_items(spark, given, fmt), load_items(spark, truth, fmt, placed=True)
 
 
 def renamed(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
@@ -45,27 +59,41 @@ def renamed(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     return df.select(*[pick(known).alias(c) for c, known in names.items()], *[F.col(c) for c in ("ordinal", "source_name") if c in df.columns and c not in names])
 
 
-def _with_ordinal(df: DataFrame) -> DataFrame:
-    """Rows in file order, where the table brings no ordinal: file name, then the position that Spark reads it at."""
-    return df if "ordinal" in df.columns else df.withColumn("ordinal", F.monotonically_increasing_id())
+def _ordered(df: DataFrame, table: int = 0) -> DataFrame:
+    """``ordinal`` as the structure that ``read_table`` gives, led by the number of the table; a table without one has no
+    order of its own, and its rows are ordered by their values."""
+    kind = dict(df.dtypes).get("ordinal", "")
+    if kind.startswith("struct"):
+        ordinal = F.col("ordinal").withField("table", F.lit(table))
+    else:
+        row = F.col("ordinal").cast("long") if kind else F.lit(0).cast("long")
+        path = F.lit("") if kind else F.to_json(F.struct(*df.columns)) if df.columns else F.lit("")
+        ordinal = F.struct(F.lit(table).alias("table"), path.alias("path"), F.lit(0).cast("long").alias("block"), row.alias("row"))
+    return df.withColumn("ordinal", ordinal)
 
 
 def load_brands(df: DataFrame) -> DataFrame:
-    out = renamed(_with_ordinal(df), BRAND_NAMES)
+    out = renamed(_ordered(df), BRAND_NAMES)
     return out.where("trim(coalesce(MANUFACTURER_NAME, '')) <> '' or trim(coalesce(BRAND_NAME, '')) <> ''")
 
 
 def load_lov(*tables: DataFrame) -> DataFrame:
-    """Vocabulary rows of one or more files, in order; a file without a classpath column lends its ``source_name``."""
+    """Vocabulary rows of one or more tables, in order. Rows without a classpath belong to that of their ``source_name``,
+    the file that ``read_table(placed=True)`` has read them from."""
     out = None
     for n, df in enumerate(tables):
-        part = renamed(_with_ordinal(df), LOV_NAMES).withColumn("ordinal", F.col("ordinal") + F.lit(n) * F.lit(1 << 40))
+        part = renamed(_ordered(df, n), LOV_NAMES)
         if "source_name" in df.columns:
-            part = part.withColumn("classpath", F.coalesce("classpath", "source_name")).drop("source_name")
+            part = part.withColumn("classpath", F.coalesce(F.when(F.trim("classpath") != "", F.col("classpath")), F.col("source_name"))).drop("source_name")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def load_vocabulary(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
+    """Vocabulary rows of many files at once, as ``load_lov`` gives them: a file without classpaths is one of its own."""
+    return load_lov(read_table(spark, path, fmt, placed=True))
+
+
 def load_units(seed: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """``variant, approved``: the file's forms over the seed's, each approved form also standing for itself."""
     from ..functions.units import unit_key

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.validate import summarize
 from ..plans.flows import process_texts
-from ..sources.tables import upsert
+from ..sources import store as stored
 
 SCHEMA = "product_id string, raw_text string, name_hint string, category_hint string"
 
@@ -16,19 +16,17 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).parquet(folder)
 
 
-def start(texts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's summaries go into ``<store>/v=<batch>``; the latest version is the store.
+def start(texts: DataFrame, store: str, checkpoint: str, buckets: int = stored.BUCKETS) -> StreamingQuery:
+    """Each micro-batch's summaries become the store's next version, of which only the buckets of its products are written.
 
-    A batch that runs again after a failure writes the same version again, so nothing is applied twice.
+    A batch that runs again after a failure works the same version out again from the one before, so nothing is applied twice.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        new = summarize(process_texts(batch))
-        before = current(batch.sparkSession, store, number - 1)
-        (new if before is None else upsert(before, new, "product_id")).write.mode("overwrite").parquet(f"{store}/v={number}")
+        stored.upsert_store(summarize(process_texts(batch)), store, number, "product_id", buckets=buckets)
 
     return texts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, store: str, number: int) -> DataFrame | None:
-    return None if number < 0 else spark.read.parquet(f"{store}/v={number}")
+def current(spark: SparkSession, store: str, number: int | None = None) -> DataFrame | None:
+    return stored.read_store(spark, store, number)

@@ -62,7 +62,7 @@ def test_pages(spark):
     assert rows[1].title == "Belt" and "Weight: 0.13 lb" in rows[1].text and "Grit: 80" in rows[1].text and "Home" not in rows[1].text and rows[1].ready
     assert rows[2].text == "" and rows[2].is_sparse and rows[3].is_sparse
     runs = spark.createDataFrame([(1, k, "ab") for k in range(20)] + [(1, 20, "x" * 30)], "doc long, pos int, text string")
-    assert [r.text for r in pages.collapse_runs(runs, ["doc"]).orderBy("pos").collect()] == ["ab"] * 3 + ["[17 short items omitted]", "x" * 30]
+    assert [r.text for r in pages.collapse_runs(runs, ["doc"]).orderBy("pos").collect()] == ["ab"] * 3 + [pages.OMITTED, "x" * 30]
     docs = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, " ")], "doc_id string, page_no int, text string")
     assert pages.joined_pages(docs).first().text == "--- [Page 1] ---\na\n\n--- [Page 2] ---\nb"
 
