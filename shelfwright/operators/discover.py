@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import company_tokens, meaningful
-from .pages import READY
+from .pages import READY, SPARSE
 from .sourcing import policy
 
-MOST_CANDIDATES = 10
+MOST_CANDIDATES, PREFIX = 10, 3
+#: White space and punctuation that may part the characters of a part number, inside a character class.
+SEPARATORS = r"\s\p{Z}\x{85}\x{1c}-\x{1f}._/\-–—"
 # Words of a technical page and of a shop page.
 TECHNICAL = ["specifications", "technical data", "technical specifications", "manufacturer part number", "model", "sku", "upc", "gtin", "weight", "dimensions", "dimension", "length", "width", "height", "diameter", "size", "material", "backing", "grit", "pack quantity", "country of origin", "voltage", "current", "pressure", "flow", "temperature", "capacity", "thread", "connection", "rating", "certification", "certifications"]
 SHOP = ["add to cart", "your cart", "continue shopping", "free shipping", "secure checkout", "wishlist", "sale price", "regular price", "unit price", "sign in", "create account"]
@@ -35,16 +37,50 @@ def search_query(requests: DataFrame) -> DataFrame:
     return requests.withColumn("query", F.concat_ws(" ", F.when(part.isNotNull(), F.concat(F.lit('"'), part, F.lit('"'))), meaningful(F.col("manufacturer")), meaningful(F.col("brand")), F.substring(words, 1, 100)))
 
 
+def compact_number(mpn: Column) -> Column:
+    """Letters and digits of a part number, upper case; '' if there are none. No zeros are dropped here."""
+    return F.upper(F.regexp_replace(F.coalesce(mpn, F.lit("")), "[^A-Za-z0-9]+", ""))
+
+
 def mpn_pattern(mpn: Column) -> Column:
     """A pattern for the part number with any punctuation between its characters and no letter or digit next to it."""
-    letters = F.filter(F.split(F.upper(mpn), ""), lambda c: c.rlike("[A-Z0-9]"))
-    return F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.array_join(letters, r"[\s._/\-–—]*"), F.lit("(?![A-Za-z0-9])"))
+    letters = F.filter(F.split(compact_number(mpn), ""), lambda c: c != "")
+    return F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.array_join(letters, f"[{SEPARATORS}]*"), F.lit("(?![A-Za-z0-9])"))
 
 
 def mpn_on_page(mpn: Column, text: Column) -> Column:
+    """Whether the number stands on the page: one pattern a row, for few pairs. ``numbers_on_pages`` is for many."""
     return F.coalesce(mpn.rlike("[A-Za-z0-9]") & F.regexp_like(text, mpn_pattern(mpn)), F.lit(False))
 
 
+def page_grams(pages: DataFrame, longest: int, key: str = "url", text: str = "text") -> DataFrame:
+    """``key, gram``: every run of whole words of a page that only separators part, joined without them, in upper case, up
+    to ``longest`` characters. A number can only stand on a page as one of these: it starts and ends with a word."""
+    chain = F.explode(F.split(text, rf"[^A-Za-z0-9{SEPARATORS}]+")).alias("chain")
+    words = F.filter(F.split(F.upper("chain"), f"[{SEPARATORS}]+"), lambda w: w != "")
+    chains = pages.select(key, chain).select(key, words.alias("words")).where("size(words) > 0")
+    tails = chains.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.slice("words", k, longest))).alias("tail")).where(F.length(F.get("tail", F.lit(0))) <= longest)
+    start = F.struct(F.lit("").alias("run"), F.array().cast("array<string>").alias("runs"))
+    added = lambda acc, w: F.concat(acc["run"], w)  # noqa: E731  once it is too long it stays so
+    grown = F.aggregate("tail", start, lambda acc, w: F.struct(added(acc, w).alias("run"), F.when(F.length(added(acc, w)) <= longest, F.array_append(acc["runs"], added(acc, w))).otherwise(acc["runs"]).alias("runs")), lambda acc: acc["runs"])
+    return tails.select(key, F.explode(grown).alias("gram"))
+
+
+def numbers_on_pages(numbers: DataFrame, pages: DataFrame, number: str = "mfg_part_num", key: str = "url", text: str = "text") -> DataFrame:
+    """``key, number_key``: which part numbers stand on which pages, many against many without naming candidates.
+
+    Runs of words of the pages meet the numbers by equality. Runs with the first PREFIX characters of no number fall out
+    before that by a table of such beginnings, of which there are 36 to the power of PREFIX at most.
+    """
+    asked = numbers.select(compact_number(F.col(number)).alias("number_key")).where("number_key <> ''").distinct()
+    longest = asked.agg(F.max(F.length("number_key"))).first()[0] or 0
+    if not longest:
+        return pages.select(key, F.lit("").alias("number_key")).where("false")
+    begins = asked.select(F.substring("number_key", 1, PREFIX).alias("begin")).distinct()
+    grams = page_grams(pages, longest, key, text).join(F.broadcast(begins), F.substring("gram", 1, PREFIX) == F.col("begin"), "left_semi")
+    return grams.distinct().join(asked, F.col("gram") == F.col("number_key")).select(key, "number_key")
+
+
 def corroborated(manufacturer: Column, brand: Column, text: Column, title: Column, host: Column) -> Column:
     """A word of the manufacturer's or brand's name stands in text, title or host; true if there is no usable name."""
     wanted = F.array_distinct(F.concat(company_tokens(manufacturer), company_tokens(brand)))
@@ -63,16 +99,19 @@ def candidate_urls(found: DataFrame) -> DataFrame:
 def judge_candidates(requests: DataFrame, candidates: DataFrame, pages: DataFrame, chosen_policy: str = "manufacturer_only") -> DataFrame:
     """Every candidate with its outcome: ``request_id, url, category, stage`` (null where it passes) ``, score, rank``.
 
-    Stages in order: sourcing, fetch (no such page), content (sparse), identity (part number, then maker). ``pages`` is
-    ``url, title, text``. The first of a request by score, then site kind, then position has rank 1 among those that pass.
+    Stages in order: sourcing, fetch (no such page), identity (part number, then maker), content (sparse). ``pages`` is
+    ``url, title, text``. Part numbers meet pages by equality of word runs. The first of a request by score, then site
+    kind, then position has rank 1 among those that pass.
     """
     urls = policy(candidate_urls(candidates).select("url").distinct(), chosen_policy)
-    c = candidate_urls(candidates).join(urls, "url").join(requests, "request_id").join(pages, "url", "left")
+    c = candidate_urls(candidates).join(urls, "url").join(requests, "request_id").join(pages, "url", "left").withColumn("number_key", compact_number(F.col("mfg_part_num")))
+    held = numbers_on_pages(requests, pages.join(candidates.select("url").distinct(), "url", "left_semi")).withColumn("held", F.lit(True))
+    c = c.join(held, ["url", "number_key"], "left")
     kind = F.when(F.col("category") == "manufacturer", 0).when(F.col("category") == "unknown", 1).when(F.col("category") == "distributor", 2).otherwise(3)
     text = F.coalesce("text", F.lit(""))
     stage = (
-        F.when(~F.col("allowed"), "sourcing").when(F.col("text").isNull(), "fetch").when(F.length(text) < READY, "content")
-        .when(~mpn_on_page(F.col("mfg_part_num"), F.concat_ws(" ", "title", "text")), "identity: part number").when(~corroborated(F.col("manufacturer"), F.col("brand"), text, F.col("title"), F.col("host")), "identity: maker")
+        F.when(~F.col("allowed"), "sourcing").when(F.col("text").isNull(), "fetch").when(F.col("held").isNull(), "identity: part number")
+        .when(~corroborated(F.col("manufacturer"), F.col("brand"), text, F.col("title"), F.col("host")), "identity: maker").when(F.length(text) < READY, "content")
     )
     judged = c.withColumns({"stage": stage, "score": richness(text), "kind": kind})
     order = Window.partitionBy("request_id", F.col("stage").isNull()).orderBy(F.desc("score"), "kind", "position")
@@ -81,3 +120,19 @@ def judge_candidates(requests: DataFrame, candidates: DataFrame, pages: DataFram
 
 def best_sources(judged: DataFrame) -> DataFrame:
     return judged.where("rank = 1").select("request_id", "url", "category", "score")
+
+
+def batch_outcomes(batch: DataFrame, pages: DataFrame, chosen_policy: str = "manufacturer_only") -> DataFrame:
+    """A batch of addresses, each with what becomes of it: ``url, title, text, stage, reason``, one row per distinct address.
+
+    ``stage`` is null where a page can be processed, else where it failed, with the reason: sourcing (policy), fetch (no
+    such page), content (no text at all). A sparse page is processed; its reason says so. Addresses meet pages by a left
+    join, so that none is lost; blank ones fail as sourcing.
+    """
+    urls = policy(batch.select("url").distinct(), chosen_policy)
+    found = pages.groupBy("url").agg(F.max_by(F.struct("title", "text"), F.length(F.coalesce("text", F.lit("")))).alias("page"))
+    joined = urls.join(found, "url", "left")
+    text = F.trim(F.coalesce("page.text", F.lit("")))
+    stage = F.when(~F.col("allowed"), "sourcing").when(F.col("page").isNull(), "fetch").when(text == "", "content")
+    why = F.when(~F.col("allowed"), F.col("reason")).when(F.col("page").isNull(), "no such page").when(text == "", "empty page").when(F.length(text) < SPARSE, "sparse page")
+    return joined.select("url", "page.title", "page.text", stage.alias("stage"), why.alias("reason"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import meaningful
-from ..operators import attributes, classify, dedup, describe, enrich, evaluate, extract, identity, trust, validate, vocabulary
+from ..operators import attributes, classify, dedup, describe, discover, enrich, evaluate, extract, identity, trust, validate, vocabulary
+from ..sources import store as stored
 
 
 def process_texts(texts: DataFrame, inferred: bool = True) -> DataFrame:
@@ -15,6 +16,29 @@ def process_texts(texts: DataFrame, inferred: bool = True) -> DataFrame:
     return enrich.enrich(fields) if inferred else fields
 
 
+def process_batch(batch: DataFrame, pages: DataFrame, chosen_policy: str = "manufacturer_only", inferred: bool = True) -> tuple[DataFrame, DataFrame, Observation]:
+    """Addresses -> fields of their pages, dead letters ``url, stage, reason``, and counts of both: one failure stops nothing.
+
+    A product's id is its address. The counts (``asked, processed, sparse`` and one a stage) are observed while the outcomes
+    of whichever of the two tables is written first pass by, so they cost no pass of their own.
+    """
+    counts = Observation("batch")
+    of = lambda stage: F.count_if(F.col("stage") == stage).alias(stage)
+    outcomes = discover.batch_outcomes(batch, pages, chosen_policy).observe(
+        counts, F.count(F.lit(1)).alias("asked"), F.count_if(F.col("stage").isNull()).alias("processed"), F.count_if(F.col("stage").isNull() & (F.col("reason") == "sparse page")).alias("sparse"), *[of(s) for s in ("sourcing", "fetch", "content")]
+    )
+    texts = outcomes.where("stage is null").select(F.col("url").alias("product_id"), F.col("text").alias("raw_text"), F.col("title").alias("name_hint"), F.lit(None).cast("string").alias("category_hint"))
+    return process_texts(texts, inferred), outcomes.where("stage is not null").select("url", "stage", "reason"), counts
+
+
+def save_batch(batch: DataFrame, pages: DataFrame, store: str, letters: str, version: int, buckets: int = stored.BUCKETS, chosen_policy: str = "manufacturer_only") -> dict[str, int]:
+    """Summaries of a batch into the store, its failures into ``<letters>/version=<n>``, and the counts. Run again, it gives the same."""
+    fields, dead, counts = process_batch(batch, pages, chosen_policy)
+    dead.write.mode("overwrite").parquet(f"{letters}/version={version}")
+    stored.upsert_store(validate.summarize(fields), store, version, "product_id", buckets=buckets)
+    return counts.get
+
+
 def records_of(fields: DataFrame, include_enriched: bool = False, known: DataFrame | None = None) -> DataFrame:
     return trust.records(trust.gate(fields, include_enriched), known)
 

@@ -133,6 +133,12 @@ _STANDS = f"({{0}} <> '' AND (contains({{1}}, {{0}}) OR (len({_PARTS}) > 0 AND l
 #: Documents in pages of 300 characters, joined again.
 _JOINED = """d AS (SELECT doc_id, text FROM documents WHERE text <> ''), g AS (SELECT doc_id, text, unnest(range((len(text) - 1) // 300 + 1)) AS page_no FROM d),
 j AS (SELECT doc_id, string_agg(concat('--- [Page ', page_no::VARCHAR, '] ---', chr(10), substring(text, page_no * 300 + 1, 300)), chr(10) || chr(10) ORDER BY page_no) FILTER (trim(substring(text, page_no * 300 + 1, 300)) <> '') AS text FROM g GROUP BY doc_id)"""
+#: Documents under addresses of five kinds, and what becomes of each.
+_BATCH = """d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 5 AS k FROM documents),
+b AS (SELECT concat(CASE k WHEN 0 THEN 'https://www.moen.com/p/' WHEN 1 THEN 'https://shop.example/p/' WHEN 2 THEN 'https://www.amazon.com/dp/' WHEN 3 THEN 'http://192.168.0.1/' ELSE 'https://gone.example/' END, doc_id::VARCHAR) AS url,
+ CASE WHEN k = 4 THEN -1 ELSE len(text) END::INTEGER AS n_chars, CASE WHEN k IN (2, 3) THEN 'sourcing' WHEN k = 4 THEN 'fetch' WHEN trim(text) = '' THEN 'content' END AS stage,
+ CASE WHEN k = 2 THEN 'marketplace not permitted' WHEN k = 3 THEN 'not fetchable: blocked network 192.168.0.0/16' WHEN k = 4 THEN 'no such page' WHEN trim(text) = '' THEN 'empty page' WHEN len(trim(text)) < 200 THEN 'sparse page' END AS reason FROM d)"""
+_BETWEEN = "[\\s\\x0b\\p{Z}\\x{85}\\x1c-\\x1f._/\\-–—]*"
 
 ORACLE_SQL: dict[str, str] = {
     "dedup_survivors": f"WITH {_KEYED} SELECT row_index, Mfg_Part_Num, Part_Manuf, mpn_key, brand_key FROM m WHERE survives",
@@ -196,6 +202,12 @@ SELECT doc_id, count(*) AS n_kept, count(*) FILTER (t = '[...omitted repetitive
     "snippet_pages": f"""WITH {_JOINED}, s AS (SELECT doc_id, v.* FROM d, LATERAL (VALUES ('head', substring(d.text, 1, 12)), ('middle', substring(d.text, len(d.text) // 2 + 1, 9)), ('last', right(d.text, 15)), ('none', chr(1))) AS v(field_key, snippet)),
 a AS (SELECT s.doc_id, field_key, strpos(lower(j.text), lower(snippet)) AS place, j.text FROM s JOIN j USING (doc_id))
 SELECT doc_id, field_key, CASE WHEN place = 0 THEN -1 ELSE list_max([x::INTEGER FOR x IN regexp_extract_all(substring(text, 1, place + 22), '--- \\[Page ([0-9]+)\\] ---', 1)]) END::INTEGER AS page_no FROM a""",
+    "page_numbers": f"""WITH n AS (SELECT DISTINCT upper(regexp_replace(regexp_extract(text, '^\\s*([A-Za-z]+\\s+[A-Za-z]+)', 1), '[^A-Za-z0-9]+', '', 'g')) AS number_key FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)),
+p AS (SELECT number_key, '(?i)(^|[^A-Za-z0-9])' || array_to_string(string_split(number_key, ''), '{_BETWEEN}') || '($|[^A-Za-z0-9])' AS pattern FROM n WHERE number_key <> ''),
+c AS (SELECT doc_id, text, upper(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS compact FROM documents), m AS MATERIALIZED (SELECT doc_id, text, number_key, pattern FROM c JOIN p ON contains(compact, number_key))
+SELECT doc_id, number_key FROM m WHERE regexp_matches(text, pattern)""",
+    "batch_outcomes": f"WITH {_BATCH} SELECT url, n_chars, stage, reason FROM b",
+    "batch_totals": f"WITH {_BATCH} SELECT coalesce(stage, 'processed') AS stage, coalesce(reason, '') AS reason, count(*) AS n FROM b GROUP BY ALL",
     "review_latest": f"WITH {_LATEST} SELECT product_id, field_key, action, new_value FROM l",
     "content_richness": _richness(),
     "source_policy": f"""WITH u AS ({URLS}), h AS (SELECT page_id, page_id % 6 AS k, lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM u),

@@ -252,16 +252,40 @@ def content_richness(spark, d):
 
 
 def discover_best_source(spark, d):
-    """Each page's first linked word is asked for as a part number; the page itself and two neighbours are candidates."""
+    """Each page's first longer word is asked for as a part number; the page itself and two neighbours are candidates."""
     parsed = pages.clean_pages(table(spark, d, "pages"))
-    words = F.regexp_extract(F.regexp_replace("text", "=== Page content ===", ""), r"([A-Za-z]{6,})", 1)
-    requests = parsed.select(F.col("page_id").alias("request_id"), words.alias("mfg_part_num"), F.lit(None).cast("string").alias("part_desc"), F.lit(None).cast("string").alias("manufacturer"), F.lit(None).cast("string").alias("brand"))
+    body = F.element_at(F.split("text", pages.CONTENT), -1)
+    requests = parsed.select(F.col("page_id").alias("request_id"), F.regexp_extract(body, r"([A-Za-z]{6,})", 1).alias("mfg_part_num"), F.lit(None).cast("string").alias("part_desc"), F.lit(None).cast("string").alias("manufacturer"), F.lit(None).cast("string").alias("brand"))
     own = parsed.select("page_id", "url")
     near = own.select(F.explode(F.array(*[F.struct((F.col("page_id") + k).alias("request_id"), F.lit(abs(k)).alias("position")) for k in (-1, 0, 1)])).alias("r"), "url").select("r.*", "url")
     judged = discover.judge_candidates(requests, near, parsed.groupBy("url").agg(F.max("title").alias("title"), F.max("text").alias("text")), "allow_all")
     return discover.best_sources(judged)
 
 
+def page_numbers(spark, d):
+    """Which of the benchmark's and documents' opening words, taken as part numbers, stand on which documents."""
+    number = lambda name: table(spark, d, name).select(F.regexp_extract("text", r"^\s*([A-Za-z]+\s+[A-Za-z]+)", 1).alias("mfg_part_num"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return discover.numbers_on_pages(number("benchmark").unionByName(number("documents")), docs, key="doc_id").distinct()
+
+
+def _batch(spark, d):
+    """Documents as pages under addresses of every kind; some addresses have no page."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    site = F.when(F.col("doc_id") % 5 == 0, "https://www.moen.com/p/").when(F.col("doc_id") % 5 == 1, "https://shop.example/p/").when(F.col("doc_id") % 5 == 2, "https://www.amazon.com/dp/").when(F.col("doc_id") % 5 == 3, "http://192.168.0.1/").otherwise("https://gone.example/")
+    rows = docs.withColumn("url", F.concat(site, F.col("doc_id").cast("string")))
+    return rows.select("url"), rows.where("doc_id % 5 <> 4").select("url", F.lit(None).cast("string").alias("title"), "text")
+
+
+def batch_outcomes(spark, d):
+    return discover.batch_outcomes(*_batch(spark, d)).select("url", F.coalesce(F.length("text"), F.lit(-1)).alias("n_chars"), "stage", "reason")
+
+
+def batch_totals(spark, d):
+    out = discover.batch_outcomes(*_batch(spark, d))
+    return out.groupBy(F.coalesce("stage", F.lit("processed")).alias("stage"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def delivery_slots(spark, d):
     made = delivery.routed(_fields(spark, d))
     return made.where("slot is not null").select("product_id", "slot", "field_key", "value")
@@ -344,6 +368,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dedup_survivors, dedup_report, mpn_collisions, unit_normalise, unmapped_units, decimal_fraction, expand_abbrev, classify_types, classify_stats, terse_attributes, lov_validate, lov_suggest, lov_compliance,
         brand_exact, brand_fuzzy, catalog_descriptions, compliance_summary, field_accuracy, weakest_fields, extract_fields, validate_fields, rating_checks, record_summary, catalog_stats, grounding, trust_gate, trust_totals,
-        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
+        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, page_numbers, batch_outcomes, batch_totals, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
     )
 }

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-FAST = ["dedup_survivors", "dedup_report", "mpn_collisions", "unit_normalise", "unmapped_units", "decimal_fraction", "lov_validate", "field_accuracy", "review_latest", "source_policy", "url_safety", "terse_attributes", "grounding", "short_runs", "newest_products", "extract_fields", "trust_gate"]
+FAST = ["dedup_survivors", "dedup_report", "mpn_collisions", "unit_normalise", "unmapped_units", "decimal_fraction", "lov_validate", "field_accuracy", "review_latest", "source_policy", "url_safety", "terse_attributes", "grounding", "short_runs", "newest_products", "extract_fields", "trust_gate", "joined_pages", "snippet_pages", "page_numbers", "batch_outcomes", "batch_totals"]
 
 
 def test_names():
@@ -15,7 +15,7 @@ def test_names():
 @pytest.mark.parametrize("name", FAST)
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("part", "events", "pages", "documents", "orders"):
+    for t in ("part", "events", "pages", "documents", "orders", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     ours, theirs = entry.queries()[name](spark, SMALL).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     columns = sorted(ours.columns)
