@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extra_key, no_blank, percent
@@ -37,13 +37,23 @@ def non_product(key: str, label: str, value: str):
     return extra_key(F.col(key)).isin(NOT_CONTENT) | extra_key(F.col(label)).isin(NOT_CONTENT) | F.trim(F.coalesce(value, F.lit(""))).rlike("(?i)^https?://")
 
 
-def totals(gated: DataFrame, *keys: str) -> DataFrame:
-    """Admitted and withheld (fields without a value count in neither), pass percentage, inferred ones admitted."""
+TOTALS = ("n_admitted", "n_withheld", "n_inferred")
+
+
+def total_counts() -> list[Column]:
+    """Admitted and withheld (fields without a value count in neither), and inferred ones admitted, over gated fields."""
     some = F.trim(F.coalesce("value", F.lit(""))) != ""
-    out = gated.groupBy(*keys).agg(
-        F.count_if(some & F.col("admitted")).alias("n_admitted"), F.count_if(some & ~F.col("admitted")).alias("n_withheld"), F.count_if(F.col("admitted") & (F.col("status") == "ai_enriched")).alias("n_inferred")
-    )
-    return out.withColumn("pass_pct", F.coalesce(percent(F.col("n_admitted"), F.col("n_admitted") + F.col("n_withheld")), F.lit(0.0)))
+    counted = (some & F.col("admitted"), some & ~F.col("admitted"), F.col("admitted") & (F.col("status") == "ai_enriched"))
+    return [F.count_if(c).alias(name) for c, name in zip(counted, TOTALS, strict=True)]
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("pass_pct", F.coalesce(percent(F.col("n_admitted"), F.col("n_admitted") + F.col("n_withheld")), F.lit(0.0)))
+
+
+def totals(gated: DataFrame, *keys: str) -> DataFrame:
+    """``total_counts`` (per ``keys`` if given) and the pass percentage."""
+    return with_share(gated.groupBy(*keys).agg(*total_counts()))
 
 
 def records(gated: DataFrame, identity: DataFrame | None = None) -> DataFrame:

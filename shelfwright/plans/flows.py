@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import meaningful
 from ..operators import attributes, classify, dedup, describe, discover, enrich, evaluate, extract, identity, trust, validate, vocabulary
@@ -102,26 +104,36 @@ def commerce_report(texts: DataFrame, labels: DataFrame, lov: tuple[DataFrame, D
     """One row over a catalogue of texts (of its ``limit`` newest by ``created_at``, if asked): trust totals, description
     compliance, field summary, classification, vocabulary totals, duplicates, and the sourcing policy that holds.
 
-    Fields are worked out once and written; each of the totals reads them.
+    Fields are worked out once: trust totals are observed as they pass by into storage, which each other section reads as
+    one aggregate. The row is ready when this returns, and the stored fields are gone; nothing but totals reaches the driver.
     """
-    fields = process_texts(texts if limit is None else newest(texts, limit)).persist()
-    gated = trust.gate(fields, include_enriched)
+    spark = texts.sparkSession
+    observed = Observation("trust")
+    gated = trust.gate(process_texts(texts if limit is None else newest(texts, limit)), include_enriched)
+    gated = gated.observe(observed, *trust.total_counts()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        gated.write.format("noop").mode("overwrite").save()
+        sections = _sections(gated, labels, lov)
+        rows = [spark.createDataFrame([tuple(observed.get[c] for c in trust.TOTALS)], ", ".join(f"{c} long" for c in trust.TOTALS)).transform(trust.with_share), *sections]
+        kinds = [f for df in rows for f in df.schema.fields]
+        values = [v for df in rows for v in df.first()]
+    finally:
+        gated.unpersist()
+    return spark.createDataFrame([tuple(values)], StructType([StructField(f.name, f.dataType) for f in kinds])).withColumns({"policy": F.lit("manufacturer_only"), "approved_list": F.lit(approved is not None)})
+
+
+def _sections(gated: DataFrame, labels: DataFrame, lov: tuple[DataFrame, DataFrame] | None) -> list[DataFrame]:
+    """One row each: description compliance, field summary, classification, duplicates, and vocabulary totals if there is one."""
+    fields = gated.drop("admitted", "reason")
     kinds = classify.classify(_named(fields), labels, text="part_text", source="lov" if lov else "fallback")
-    types = kinds.select("product_id", F.coalesce("item_type", F.when(F.col("category") != "", F.col("category"))).alias("kind"))
+    types = kinds.select("product_id", "name", F.coalesce("item_type", F.when(F.col("category") != "", F.col("category"))).alias("kind"))
     records = trust.records(gated).join(types, "product_id", "left").withColumn("item_type", F.col("kind")).drop("kind")
-    made = describe.descriptions(records)
-    stats = classify.classification_stats(kinds)
-    stats = stats.select(*[F.col(c).alias(f"types_{c}") for c in stats.columns])
-    rows = records.join(kinds.select("product_id", "name"), "product_id").select(
-        F.xxhash64("product_id").alias("row_index"), F.coalesce("mpn", "product_id").alias("Mfg_Part_Num"), F.coalesce("brand", F.lit("")).alias("Part_Manuf"), F.col("name").alias("Part_Desc")
-    )
-    copies = dedup.dedup_report(rows)
-    copies = copies.select(*[F.col(c).alias(f"dedup_{c}") for c in copies.columns])
-    out = trust.totals(gated).crossJoin(describe.compliance(made).drop("failing")).crossJoin(validate.catalog_stats(validate.summarize(fields))).crossJoin(stats).crossJoin(copies)
+    prefixed = lambda df, prefix: df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+    rows = records.select(F.xxhash64("product_id").alias("row_index"), F.coalesce("mpn", "product_id").alias("Mfg_Part_Num"), F.coalesce("brand", F.lit("")).alias("Part_Manuf"), F.col("name").alias("Part_Desc"))
+    out = [describe.compliance(describe.descriptions(records.drop("name"))).drop("failing"), validate.catalog_stats(validate.summarize(fields)), prefixed(classify.classification_stats(kinds), "types"), prefixed(dedup.dedup_report(rows), "dedup")]
     if lov is not None:
         public = F.create_map(*[F.lit(x) for k, label, _ in trust.ATTRIBUTES for x in (k, label)])
         asked = fields.where("value is not null").withColumn("label", F.try_element_at(public, F.col("field_key"))).where("label is not null")
         asked = asked.join(kinds.where("classpath is not null").select("product_id", "classpath"), "product_id").select(F.col("product_id").alias("row_id"), "classpath", "label", "value")
-        held = vocabulary.compliance(vocabulary.validate(asked, *lov, suggest=False))
-        out = out.crossJoin(held.select(*[F.col(c).alias(f"lov_{c}") for c in held.columns]))
-    return out.withColumns({"policy": F.lit("manufacturer_only"), "approved_list": F.lit(approved is not None)})
+        out.append(prefixed(vocabulary.compliance(vocabulary.validate(asked, *lov, suggest=False)), "lov"))
+    return out
