@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if expected_bytes(df) < cores * split else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that all executors share: what many branches read is worked out, and planned, once.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a local session without one gets its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``most`` bytes of ``column`` (one longer value alone), so that a worker's memory does not follow the batch."""
     for batch in batches:

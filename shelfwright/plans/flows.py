@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import meaningful
-from ..operators import attributes, classify, dedup, describe, discover, enrich, evaluate, extract, identity, trust, validate, vocabulary
+from ..operators import attributes, classify, dedup, delivery, describe, discover, enrich, evaluate, extract, identity, trust, validate, vocabulary
+from ..operators.staging import settled
 from ..sources import store as stored
 
 
@@ -100,6 +101,33 @@ def product_view(fields: DataFrame, product_id: str, labels: DataFrame, include_
     return describe.descriptions(records).join(trust.totals(gated, "product_id"), "product_id").join(kind, "product_id")
 
 
+def delivery_rows(fields: DataFrame, given: DataFrame, lov: tuple[DataFrame, DataFrame] | None = None, features: DataFrame | None = None, include_enriched: bool = False) -> DataFrame:
+    """The whole delivery table: ``given`` (see ``delivery.identified``) with identity, classification and descriptions.
+
+    Products are classified among the vocabulary's leaves, or the built-in types, and their own categories. A classpath
+    gives Classpath, Dept, Class and Fine; without one the type stands in Classpath and Class, with a warning.
+    Descriptions name the resolved maker, brand and part number. ``warnings`` holds those of all parts.
+    """
+    fields = settled(fields)
+    spark = fields.sparkSession
+    who = settled(delivery.identified(fields, given))
+    shown = fields.where(delivery.exportable())
+    own_types = shown.where("field_key = 'category'").select(F.col("value").alias("label")).distinct()
+    labels = classify.candidates(spark, lov[0] if lov else None, own_types)
+    kinds = classify.classify(_named(shown), labels, text="part_text", source="lov" if lov else "fallback")
+    kinds = settled(kinds.select("product_id", "classpath", F.coalesce("item_type", F.when(F.col("category") != "", F.col("category"))).alias("kind")))
+    out = who.join(kinds, "product_id", "left").withColumn("levels", F.filter(F.transform(F.split("classpath", ">"), lambda x: F.trim(x)), lambda x: x != ""))
+    flat = F.col("classpath").isNull() & F.col("kind").isNotNull()
+    level = lambda n: F.coalesce(F.try_element_at("levels", F.lit(n)), F.lit(""))
+    said = F.concat("identity_warnings", F.array_compact(F.array(F.when(flat, "no taxonomy: the item type stands for the classpath"))))
+    out = out.withColumns({"Classpath": F.coalesce("classpath", "kind", F.lit("")), "Dept": level(1), "Class": F.when(flat, F.col("kind")).otherwise(level(2)), "Fine": level(3), "said": said}).drop("levels", "identity_warnings")
+    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    known = who.select("product_id", blank("BRAND_NAME").alias("brand"), blank("MANUFACTURER_NAME").alias("manufacturer"), F.lit(None).cast("string").alias("series"), blank("Mfg_Part_Num").alias("mpn"))
+    records = records_of(fields, include_enriched, known).drop("item_type").join(kinds.select("product_id", F.col("kind").alias("item_type")), "product_id", "left")
+    made = delivery.delivery(fields, out.drop("kind", "said"), describe.descriptions(records), features)
+    return made.join(out.select("product_id", "said"), "product_id").withColumn("warnings", F.concat("said", "warnings")).drop("said")
+
+
 def commerce_report(texts: DataFrame, labels: DataFrame, lov: tuple[DataFrame, DataFrame] | None = None, limit: int | None = None, include_enriched: bool = False, approved: DataFrame | None = None) -> DataFrame:
     """One row over a catalogue of texts (of its ``limit`` newest by ``created_at``, if asked): trust totals, description
     compliance, field summary, classification, vocabulary totals, duplicates, and the sourcing policy that holds.

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.delivery import HEADERS
 from ..operators.describe import INVOICE_SHORT
 from ..tables import ABBREVIATIONS, AMBIGUOUS, CORPORATE_SUFFIXES, DOMAINS, ITEM_TYPES, PLACEHOLDERS, STOPWORDS, unit_rows
-from .queries import ASKED, BRANDS, CATALOG, REVIEWS, TEXTS, UNIT_ROWS, URLS
+from .queries import ASKED, BRANDS, CATALOG, REVIEWS, UNIT_ROWS, URLS, header_name
 
 
 def _rows(pairs) -> str:
@@ -164,11 +165,14 @@ FROM (WITH {_KEYED} SELECT row_index, Mfg_Part_Num FROM m WHERE survives) s JOIN
 JOIN (WITH {_CLASSIFIED} SELECT row_index, item_type FROM g) t ON t.row_index = s.row_index
 LEFT JOIN (WITH c AS ({CATALOG}), {_TERSE} SELECT row_index, list(struct_pack(label := label, shown := concat_ws(' ', value, CASE unit WHEN 'volts' THEN 'V' ELSE unit END), measure := unit IS NOT NULL OR try_cast(value AS DOUBLE) IS NOT NULL, is_key := true) ORDER BY pos) AS a FROM e GROUP BY row_index) l ON l.row_index = s.row_index"""
 #: Admitted fields of TEXTS as records: those that broke no rule, under public labels; a thread size only repeats the connector.
-_TEXT_RECORDS = f"""WITH {_FIELDS}, o AS (SELECT product_id, v.place, v.label, concat_ws(' ', value, CASE unit WHEN '°C' THEN 'C' ELSE unit END) AS shown, unit IS NOT NULL AS measure, v.is_key FROM f JOIN (VALUES ('voltage_rating', 0, 'Voltage', true), ('current_rating', 1, 'Current', true),
+def _text_records(item: str = "Sensor", maker: str = "NULL::VARCHAR", mpn: str = "concat('AX-', product_id[2:])") -> str:
+    return f"""WITH {_FIELDS}, o AS (SELECT product_id, v.place, v.label, concat_ws(' ', value, CASE unit WHEN '°C' THEN 'C' ELSE unit END) AS shown, unit IS NOT NULL AS measure, v.is_key FROM f JOIN (VALUES ('voltage_rating', 0, 'Voltage', true), ('current_rating', 1, 'Current', true),
  ('ip_rating', 2, 'Enclosure Rating', true), ('connector_type', 3, 'Connector Type', true), ('material', 4, 'Material', true), ('certifications', 6, 'Certifications', false), ('operating_temperature_min', 7, 'Min Operating Temperature', false),
  ('operating_temperature_max', 8, 'Max Operating Temperature', false), ('rated_voltage', 20, 'Rated Voltage', false), ('rated_current', 21, 'Rated Current', false), ('housing', 22, 'Housing', false), ('operating_temperature', 23, 'Operating Temperature', false)) AS v(field_key, place, label, is_key)
  ON v.field_key = f.field_key WHERE status = 'verified')
-SELECT product_id, NULL::VARCHAR AS maker, concat('AX-', product_id[2:]) AS mpn, 'Sensor' AS item, list(struct_pack(label := label, shown := shown, measure := measure, is_key := is_key) ORDER BY place) AS a FROM o GROUP BY product_id"""
+SELECT product_id, {maker} AS maker, {mpn} AS mpn, '{item}' AS item, list(struct_pack(label := label, shown := shown, measure := measure, is_key := is_key) ORDER BY place) AS a FROM o GROUP BY product_id"""
+
+
 #: Documents in pages of 300 characters, joined again.
 _JOINED = """d AS (SELECT doc_id, text FROM documents WHERE text <> ''), g AS (SELECT doc_id, text, unnest(range((len(text) - 1) // 300 + 1)) AS page_no FROM d),
 j AS (SELECT doc_id, string_agg(concat('--- [Page ', page_no::VARCHAR, '] ---', chr(10), substring(text, page_no * 300 + 1, 300)), chr(10) || chr(10) ORDER BY page_no) FILTER (trim(substring(text, page_no * 300 + 1, 300)) <> '') AS text FROM g GROUP BY doc_id)"""
@@ -179,6 +183,27 @@ b AS (SELECT concat(CASE k WHEN 0 THEN 'https://www.moen.com/p/' WHEN 1 THEN 'ht
  CASE WHEN k = 2 THEN 'marketplace not permitted' WHEN k = 3 THEN 'not fetchable: blocked network 192.168.0.0/16' WHEN k = 4 THEN 'no such page' WHEN trim(text) = '' THEN 'empty page' WHEN len(trim(text)) < 200 THEN 'sparse page' END AS reason FROM d)"""
 _BETWEEN = "[\\s\\x0b\\p{Z}\\x{85}\\x1c-\\x1f._/\\-–—]*"
 
+
+def _delivery() -> str:
+    """Every column of the delivery table over TEXTS: what is filled, and '' for the rest."""
+    pk, given = "product_id[2:]::BIGINT", "CASE WHEN product_id[2:]::BIGINT % 4 = 0 THEN concat('MX-', product_id[2:]) ELSE concat('AX-', product_id[2:]) END"
+    brand = f"(SELECT CASE WHEN p_partkey % 2 = 0 THEN p_brand END FROM part WHERE p_partkey = {pk})"
+    filled = {
+        "MFR URL": f"CASE WHEN {pk} % 3 = 0 THEN 'https://www.moen.com/p' ELSE '' END", "Mfg_Part_Num": given, "MANUFACTURER_PART_NUMBER": given, "BRAND_NAME": "coalesce(b.brand, '')", "Classpath": "'Industrial Sensor'", "Class": "'Industrial Sensor'",
+        "Product Name": "concat('AX-', product_id[2:])", "Standard/Approvals": "'CE, ROHS'", "MOBILE_DESC": "mobile", "INVOICE_DESC": "invoice", "SHORT_DESC": "title", "LONG_DESC1": "long", "MARKETING_DESCRIPTION": "web",
+    }
+    for n in range(1, 51):
+        filled |= {f"ATTRIBUTE_{kind} {n}": f"coalesce(slots[{n}].{field}, '')" for kind, field in (("LABEL", "label"), ("VALUE", "value"), ("UOM", "uom"))}
+    columns = ", ".join(f"{filled.get(h, chr(39) * 2)} AS \"{header_name(h)}\"" for h in HEADERS)
+    labels = {"voltage_rating": "Voltage Rating", "current_rating": "Current Rating", "ip_rating": "IP Rating", "connector_type": "Connector Type", "operating_temperature_min": "Operating Temp Min", "operating_temperature_max": "Operating Temp Max", "material": "Material", "thread_size": "Thread Size", "rated_voltage": "Rated voltage", "rated_current": "Rated current", "housing": "Housing", "operating_temperature": "Operating temperature"}
+    return f"""WITH w AS (WITH {_descriptions(_text_records("Industrial Sensor", brand, given))} SELECT product_id, {", ".join(f"max(text) FILTER (format = '{f}') AS {f}" for f in ("invoice", "mobile", "title", "long", "web"))} FROM texts GROUP BY product_id),
+l(place, field_key, label) AS (VALUES {_rows((n, k, v) for n, (k, v) in enumerate(labels.items()))}),
+s AS (WITH {_FIELDS} SELECT product_id, list(struct_pack(label := l.label, value := f.value, uom := CASE unit WHEN '°C' THEN 'C' ELSE coalesce(unit, '') END) ORDER BY place) AS slots FROM f JOIN l ON l.field_key = f.field_key WHERE value IS NOT NULL GROUP BY product_id),
+b AS (SELECT concat('P', p_partkey::VARCHAR) AS product_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand FROM part)
+SELECT product_id, {columns}, len(slots)::INTEGER AS slots_used, array_to_string([x FOR x IN [CASE WHEN {pk} % 4 = 1 THEN 'part number rejected: X1 UPC 5' END, CASE WHEN {pk} % 3 = 1 THEN 'source is no manufacturer''s: distributor' END, 'no taxonomy: the item type stands for the classpath'] IF x IS NOT NULL], '; ') AS warnings
+FROM w JOIN s USING (product_id) JOIN b USING (product_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "dedup_survivors": f"WITH {_KEYED} SELECT row_index, Mfg_Part_Num, Part_Manuf, mpn_key, brand_key FROM m WHERE survives",
     "dedup_report": f"""WITH {_KEYED} SELECT count(*) AS total_rows, count(*) FILTER (survives) AS unique_products, count(*) FILTER (NOT survives) AS duplicate_rows_removed, count(*) FILTER (survives AND n > 1 AND mpn_key <> '') AS "groups",
@@ -210,8 +235,11 @@ FROM m LEFT JOIN b ON NOT blank AND {_BRAND_KEY.format("b.MANUFACTURER_NAME")} =
  sum(verified)::BIGINT AS verified_fields, sum(flagged)::BIGINT AS flagged_fields, {_PCT.format("sum(verified)", "sum(total_fields)")}::DOUBLE AS verification_rate_pct, (count(*) * 0.25)::DOUBLE AS hours_saved FROM t""",
     "catalog_descriptions": f"""WITH {_descriptions(_CATALOG_RECORDS)} SELECT product_id, format, text, length, "limit", compliant FROM texts""",
     "compliance_summary": f"""WITH {_descriptions(_CATALOG_RECORDS)} SELECT format, count(*) AS built, count(*) FILTER (compliant) AS compliant, CASE WHEN bool_and(compliant) THEN '' ELSE format END AS failing, {_PCT.format("count(*) FILTER (compliant)", "count(*)")}::DOUBLE AS compliance_pct FROM texts GROUP BY format""",
+    "delivery_table": _delivery(),
+    "product_views": f"""WITH {_descriptions(_text_records())}, c AS (WITH {_FIELDS} SELECT product_id, count(*) FILTER (status = 'verified') AS n_admitted, count(*) FILTER (value IS NOT NULL AND status <> 'verified') AS n_withheld FROM f GROUP BY product_id)
+SELECT product_id, format, text, compliant, n_admitted, n_withheld, 'Sensor' AS item_type, 'fallback_token_overlap' AS method FROM texts JOIN c USING (product_id) WHERE product_id = (SELECT max(product_id) FROM texts)""",
     "commerce_report": f"""WITH t AS (WITH {_GATED} SELECT count(*) FILTER (reason IS NULL) AS n_admitted, count(*) FILTER (value IS NOT NULL AND reason IS NOT NULL) AS n_withheld, count(*) FILTER (value IS NOT NULL) AS n FROM g),
-d AS (WITH {_descriptions(_TEXT_RECORDS)} SELECT count(*) AS built, count(*) FILTER (compliant) AS compliant FROM texts),
+d AS (WITH {_descriptions(_text_records())} SELECT count(*) AS built, count(*) FILTER (compliant) AS compliant FROM texts),
 s AS (WITH {_SUMMARY} SELECT count(*) AS products, count(*) FILTER (overall_status = 'verified') AS verified_products, count(*) FILTER (overall_status = 'needs_review') AS review_products, sum(total_fields)::BIGINT AS fields, sum(verified)::BIGINT AS verified_fields, sum(flagged)::BIGINT AS flagged_fields FROM t)
 SELECT n_admitted, n_withheld, 0::BIGINT AS n_inferred, {_PCT.format("n_admitted", "n")}::DOUBLE AS pass_pct, built, compliant, {_PCT.format("compliant", "built")}::DOUBLE AS compliance_pct, products, verified_products, review_products, fields, verified_fields, flagged_fields,
  {_PCT.format("verified_fields", "fields")}::DOUBLE AS verification_rate_pct, (products * 0.25)::DOUBLE AS hours_saved, products AS types_n_rows, products AS types_classified, 0::BIGINT AS types_unresolved, 0::BIGINT AS types_needs_review, 0.94::DOUBLE AS types_mean_confidence, 0::BIGINT AS types_with_classpath,

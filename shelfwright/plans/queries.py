@@ -291,11 +291,19 @@ def delivery_slots(spark, d):
     return made.where("slot is not null").select("product_id", "slot", "field_key", "value")
 
 
+GIVEN = """SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, CASE p_partkey % 4 WHEN 0 THEN concat('MX-', CAST(p_partkey AS STRING)) WHEN 1 THEN 'X1 UPC 5' ELSE NULL END AS mpn,
+ CASE p_partkey % 3 WHEN 0 THEN 'https://www.moen.com/p' WHEN 1 THEN 'https://www.grainger.com/p' ELSE NULL END AS source_url, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE NULL END AS brand FROM part"""
+
+
+def header_name(header: str) -> str:
+    """A column name without the characters that SQL names would have to quote."""
+    return header.replace(" ", "_").replace("/", "_").replace("(", "").replace(")", "")
+
+
 def delivery_table(spark, d):
-    fields = _fields(spark, d)
-    records = flows.records_of(fields)
-    out = delivery.delivery(fields, _texts(spark, d).select("product_id"), describe.descriptions(records))
-    return out.select("product_id", *[F.col(f"`{h}`").alias(h.replace(" ", "_").replace("/", "_").replace("(", "").replace(")", "")) for h in delivery.HEADERS], "slots_used", F.size("warnings").alias("n_warnings"))
+    """All columns of the delivery table, with identity, classification and descriptions."""
+    out = flows.delivery_rows(_fields(spark, d), derived(spark, d, GIVEN))
+    return out.select("product_id", *[F.col(f"`{h}`").alias(header_name(h)) for h in delivery.HEADERS], "slots_used", F.array_join("warnings", "; ").alias("warnings"))
 
 
 def catalog_export(spark, d):

@@ -133,3 +133,18 @@ def test_identity_of_a_delivery_row(spark):
     assert [len(rows[p].identity_warnings) for p in ("p0", "p1", "p2")] == [2, 2, 0]
     out = delivery.delivery(f, delivery.identified(f, given)).where("product_id = 'p0'").first()
     assert out["Mfg_Part_Num"] == "DW-12" and out["BRAND_NAME"] == "DEWALT"
+
+
+def test_delivery_rows_with_a_taxonomy(spark):
+    from shelfwright.operators import vocabulary
+    from shelfwright.plans import flows
+    from shelfwright.sources.tables import load_lov
+
+    f = fields(spark, "=== EXTRACTED SPECIFICATION TABLES ===\nModel Number: DW-12\nVendor: dewlt\n=== PAGE CONTENT ===\nSanding belt for metal, 80 grit aluminum oxide", BLOCK)
+    given = spark.createDataFrame([("p0", None, "https://www.grainger.com/p"), ("p1", "MX-7", None)], "product_id string, mpn string, source_url string")
+    flat = {r.product_id: r for r in flows.delivery_rows(f, given).collect()}
+    assert flat["p0"].Class == flat["p0"].Classpath != "" and flat["p0"].Dept == "" and flat["p0"]["BRAND_NAME"] == "DEWALT" and "DEWALT" in flat["p0"]["SHORT_DESC"]
+    assert [len(flat[p].warnings) for p in ("p0", "p1")] == [3, 1] and flat["p1"]["Mfg_Part_Num"] == "MX-7" and flat["p1"]["SHORT_DESC"].startswith("MX-7")
+    lov = vocabulary.lov_tables(load_lov(spark.createDataFrame([(1, "Tools > Abrasives > Sanding Belt", "Grit", "80")], "ordinal int, classpath string, label string, values string")))
+    row = next(r for r in flows.delivery_rows(f, given, lov).collect() if r.product_id == "p0")
+    assert (row.Dept, row.Class, row.Fine, row.Classpath) == ("Tools", "Abrasives", "Sanding Belt", "Tools > Abrasives > Sanding Belt") and len(row.warnings) == 2
