@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learned from document labels.
 
 A sentence's probability is a logistic unit over its words and their first 4, 5 and 6 bytes (families of words share a
-beginning), and a document is toxic if any sentence is: P = 1 - prod(1 - p). Training maximises the likelihood of document labels (SAMPLE labelled rows at most, whole texts),
-so the sentence scores that it learns also locate what offends.
+beginning), and a document is toxic if any sentence is: P = 1 - (1 - leak) prod(1 - p). Only sentences with words that speak
+for toxicity take part; what they do not explain is the leak, one for each document whatever its length. Training maximises
+the likelihood of document labels (SAMPLE labelled rows at most, whole texts), so the sentence scores that it learns also
+locate what offends. A document's score is the noisy-or of its sentences at LEAST or more, without the leak: text that
+offends nowhere adds nothing to it, however long, and a document over the threshold has a sentence that offends.
 """
 
 from __future__ import annotations
@@ -21,7 +24,11 @@ from .op05_cnn import labelled_sample
 
 SAMPLE, STEPS, VOCABULARY, RATE, DECAY = 5000, 200, 50_000, 0.15, 3e-5
 THRESHOLD = 0.7
+#: Sentences below this score are clean.
+LEAST = 0.25
 PREFIXES = (4, 5, 6)
+#: Where training starts: a sentence with one neutral word at 1 in 400, a leak of 1 in 100.
+FIRST_BIAS, FIRST_LEAK = -6.0, -4.6
 #: Bytes: A-Z to lower case; all ASCII but letters, digits and sentence ends to spaces; sentence ends to new lines.
 _CLEAN = bytes(b"\n"[0] if chr(c) in ".!?\n" else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -60,12 +67,16 @@ class Mil:
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
         get = self.memo.__getitem__
-        z = np.array([sum(map(get, set(s))) for s in sentences(text)]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        z = np.array([sum(map(get, set(s))) for s in sentences(text)])
+        p = 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
+        return np.where((z > 0) & (p >= LEAST), p, 0.0)
 
     def score(self, text: str | None) -> float:
-        p = self.sentence_scores(text)
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return noisy_or(self.sentence_scores(text))
+
+
+def noisy_or(p: np.ndarray) -> float:
+    return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Mil:
@@ -73,11 +84,8 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Mi
     over the whole vocabulary; the VOCABULARY strongest). Without that, few documents are learnt by heart."""
     known: dict[bytes, list[bytes]] = {}
     spread: dict[bytes, list[int]] = {}
-    n_sentences = 0
     for text, y in zip(texts, labels, strict=True):
-        split = sentences(text)
-        n_sentences += len(split)
-        words = {w for s in split for w in s}
+        words = {w for s in sentences(text) for w in s}
         for f in {f for w in words for f in (known.get(w) or known.setdefault(w, features(w)))}:
             spread.setdefault(f, [0, 0])[int(y)] += 1
     rate = (labels.sum() + 1) / (len(labels) + 2)
@@ -93,37 +101,36 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Mi
     strong = {w: x for w in spread if (x := strength(w)) >= least}
     words = sorted(strong, key=lambda w: (-strong[w], w))[:VOCABULARY]
     place = {w: k for k, w in enumerate(words)}
-    mean = max(1.0, n_sentences / len(texts)) if texts else 1.0
-    bias = float(np.log(rate / mean / (1 - rate / mean)))
     if not place or labels.min() == labels.max():
-        return Mil({}, bias)
+        return Mil({}, FIRST_BIAS)
     found = {w: ids for w, fs in known.items() if (ids := [k for f in fs if (k := place.get(f)) is not None])}
     del known, spread
     doc, sizes, columns = array("i"), array("i"), array("i")
     for i, text in enumerate(texts):
         for sentence in sentences(text):
-            ids = sorted({k for w in set(sentence) for k in found.get(w, ())})
-            columns.extend(ids)
-            sizes.append(len(ids))
-            doc.append(i)
+            if ids := sorted({k for w in set(sentence) for k in found.get(w, ())}):
+                columns.extend(ids)
+                sizes.append(len(ids))
+                doc.append(i)
     doc, sizes, columns = (np.frombuffer(x, np.int32) for x in (doc, sizes, columns))
     at = len(doc)
     rows = np.repeat(np.arange(at, dtype=np.int32), sizes)
-    w = np.zeros(len(place) + 1)
-    w[-1] = bias
+    w = np.zeros(len(place) + 2)  # then the bias, and the leak as log(exp(-log(1 - leak)) - 1)
+    w[-2:] = FIRST_BIAS, FIRST_LEAK
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        z = np.bincount(rows, weights=w[columns], minlength=at) + w[-1]
+        z = np.bincount(rows, weights=w[columns], minlength=at) + w[-2]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
+        none = np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)) - np.log1p(np.exp(w[-1])))
         some = np.clip(1 - none, 1e-9, 1)
-        d = np.where(labels == 1, -none / some, 1.0)[doc] * p / len(texts)
-        g = np.append(np.bincount(columns, weights=d[rows], minlength=len(place)), d.sum())
-        g[:-1] += DECAY * w[:-1]
+        each = np.where(labels == 1, -none / some, 1.0) / len(texts)
+        d = each[doc] * p
+        g = np.concatenate((np.bincount(columns, weights=d[rows], minlength=len(place)), [d.sum(), each.sum() / (1 + np.exp(-w[-1]))]))
+        g[:-2] += DECAY * w[:-2]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-    return Mil({word: float(x) for word, x in zip(words, w, strict=False) if abs(x) > 1e-6}, float(w[-1]))
+    return Mil({word: float(x) for word, x in zip(words, w, strict=False) if abs(x) > 1e-6}, float(w[-2]))
 
 
 def _fit(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = S
     """Learns from labelled rows whose crc32(doc_id as text) mod 3 is not 1; the model has VOCABULARY words at most."""
     rows = labelled_sample(docs, labels, "toxic", 3, 1, sample).repartition(1).mapInArrow(functools.partial(_fit, steps=steps), "word binary, weight double").collect()
     weights = {bytes(r.word): r.weight for r in rows if r.word is not None}
-    return Mil(weights, next((r.weight for r in rows if r.word is None), -5.0))
+    return Mil(weights, next((r.weight for r in rows if r.word is None), FIRST_BIAS))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Mil, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +152,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Mil, names: list[str]) -> I
         scores, places, worst = [], [], []
         for t in batch.column("text"):
             p = model.sentence_scores(t.as_py())
-            scores.append(float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0)
-            places.append(np.flatnonzero(p >= 0.5).astype(np.int32))
+            scores.append(noisy_or(p))
+            places.append(np.flatnonzero(p).astype(np.int32))
             worst.append(float(p.max()) if len(p) else None)
         added = [pa.array(scores, pa.float64()), pa.array(places, pa.list_(pa.int32())), pa.array(worst, pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
@@ -166,8 +173,9 @@ def scored(docs: DataFrame, model: Mil) -> tuple[DataFrame, list[str]]:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``doc_id, text`` and ``doc_id, toxic`` -> ``doc_id, held_out, score, predicted, offending``, one row per document row.
 
-    Rows whose crc32(doc_id as text) mod 3 is 1 are held out; ``offending`` lists the sentences that score 0.5 or more.
-    A text without words (null, empty) scores 0. Without labels of both kinds all sentences score the same. Null ids are
+    Rows whose crc32(doc_id as text) mod 3 is 1 are held out; ``offending`` lists the sentences that score LEAST or more,
+    of which a document predicted as toxic has one at least. A text without words (null, empty) scores 0, and so does
+    every text without labels of both kinds. Null ids are
     scored; repeated rows get the same score.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

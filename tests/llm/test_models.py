@@ -140,3 +140,39 @@ def test_models_without_labels(spark):
     assert op05_cnn.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 2
     assert op08_toxic.toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 2
     assert op02_hmm.hmm_scores(docs.limit(0)).count() == 0
+
+
+def test_clean_text_of_any_length_is_clean():
+    rng = np.random.default_rng(9)
+    texts, labels = [], []
+    for k in range(400):
+        parts = [sentences(rng, 8) for _ in range(6)]
+        if k % 3 == 0:
+            parts[k % 6] += " vexid"
+        texts.append(". ".join(parts) + ".")
+        labels.append(float(k % 3 == 0))
+    model = op08_toxic.train(texts, np.array(labels))
+    clean = [t for t, y in zip(texts, labels, strict=True) if not y]
+    for long in ("zq zr. " * 20_000, " ".join(clean), " ".join(clean) * 20):
+        assert model.score(long) < op08_toxic.THRESHOLD and not model.sentence_scores(long).any()
+    for text, y in zip(texts, labels, strict=True):
+        alone, padded = model.score(text), model.score(text + " zq zr. " * 5_000 + clean[0])
+        assert abs(alone - padded) < 1e-9 and (alone >= op08_toxic.THRESHOLD) == bool(y)
+        assert alone < op08_toxic.THRESHOLD or model.sentence_scores(text).max() >= op08_toxic.LEAST
+
+
+def test_score_is_the_noisy_or_of_its_sentences():
+    weights = {b"bad": 4.0, b"^wors": 1.5, b"worse": 1.0, b"nice": -2.0}
+    model, bias = op08_toxic.Mil(weights, -2.0), -2.0
+
+    def by_hand(text):
+        none = 1.0
+        for sentence in text.lower().replace("!", ".").split("."):
+            words = {w.strip(",") for w in sentence.split()}
+            z = sum(weights.get(w.encode(), 0) + sum(weights.get(b"^" + w.encode()[:n], 0) for n in (4, 5, 6) if len(w) >= n) for w in words)
+            p = 1 / (1 + np.exp(-(z + bias)))
+            none *= 1 - p if z > 0 and p >= op08_toxic.LEAST else 1
+        return 1 - none
+
+    for text in ("", "fine", "bad. bad bad! nice bad", "worse, worse. worst", "Bad nice nice. x", "nice. nice"):
+        assert abs(model.score(text) - by_hand(text)) < 1e-9, text
