@@ -1,11 +1,12 @@
 """Exact top-k inner products: a ball tree per shard, branch and bound with k-th scores shared between waves of shards.
 
 Vectors are dealt to cells by their nearest centre (a bounded sample of the rows), and a cell to shards of bounded size by
-a hash of the id. Each shard is a ball, so q . centre + |q| radius bounds every score in it. First each query visits the
-one shard with the highest bound; the k-th score it finds there, or among the sample if that is higher, is its bar from
-then on, and only (query, shard) pairs whose bound reaches the bar meet in a second wave. Neither all vectors nor all
-queries are sent everywhere. In a shard, nodes are visited for a block of queries at once, the more promising child first;
-a query leaves where a node's bound is below its k-th score so far. The final ranking is over what both waves return.
+a hash of the id. Each shard is a ball, so q . centre + |q| radius bounds every score in it. A query's bar is its k-th score
+among the sample at first; shards below it are never written down for the query. It visits the shard with the highest bound
+first, then the next three, then the others; after each wave its bar rises to the k-th score that it has found, and only
+(query, shard) pairs whose bound reaches the bar meet. Neither all vectors nor all queries are sent everywhere. In a shard,
+nodes are visited for a block of queries at once, the more promising child first; a query leaves where a node's bound is
+below its k-th score so far. The final ranking is over what all waves return.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
+from .vectors import matrix
 
 K, MODULUS, SCALE = 20, 20, 64
 CELLS, SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE = 24, 16_384, 8_192, 64, 2_000
+#: Shards that a query visits in each wave, in the order of their bounds; 0 is the rest.
+WAVES = (1, 3, 0)
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -75,7 +79,7 @@ def search(tree: Tree, ids: list[np.ndarray], queries: np.ndarray, own: np.ndarr
             for i, q in enumerate(who):
                 good = np.flatnonzero(scores[i] >= bar[q])
                 if len(good):
-                    new = [(int(scores[i, j]), int(v)) for j in good for v in ids[rows[j]][: k + 1] if v != own[q]]
+                    new = [(int(scores[i, j]), int(v)) for j in good for v in _others(ids[rows[j]], own[q], k)]
                     best[q] = sorted(best[q] + new, key=lambda x: (-x[0], x[1]))[:k]
                     if len(best[q]) == k:
                         bar[q] = max(bar[q], best[q][-1][0])
@@ -85,16 +89,26 @@ def search(tree: Tree, ids: list[np.ndarray], queries: np.ndarray, own: np.ndarr
     return best
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return matrix(rows.column("v").combine_chunks(), rows.column("dim")[0].as_py()).astype(np.float64)
+
+
+def _others(ids: np.ndarray, own: int, k: int) -> np.ndarray:
+    """The ``k`` smallest of the sorted ids of a point that are not the query's own."""
+    left, right = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    return np.concatenate((ids[: min(left, k)], ids[right : right + k]))[:k]
+
+
 def _shard(rows: pa.Table, queries: pa.Table, k: int, leaf: int) -> pa.Table:
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     if not rows.num_rows or not queries.num_rows:
         return schema.empty_table()
-    points = np.array(rows.column("v").to_pylist(), np.float64)
+    points = _matrix(rows)
     ids = rows.column("vec_id").to_numpy()
     distinct, group = np.unique(points, axis=0, return_inverse=True)
     order = np.lexsort((ids, group.ravel()))
     listed = np.split(ids[order], np.flatnonzero(np.diff(group.ravel()[order])) + 1)
-    q = np.array(queries.column("v").to_pylist(), np.float64)
+    q = _matrix(queries)
     own, floor = queries.column("query_id").to_numpy(), queries.column("bar").to_numpy()
     best = search(Tree(distinct, leaf), listed, q, own, floor, k)
     flat = [(int(own[i]), v, s) for i, x in enumerate(best) for s, v in x]
@@ -141,7 +155,7 @@ def _cells(batches: Iterator[pa.RecordBatch], centres: list[tuple[int, list[int]
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], centres: list[tuple[int, list[int]]], balls: list[tuple[int, int, float, int]]) -> Iterator[pa.RecordBatch]:
-    """``query_id, dim, shards``: each query's shards of its dimension with their bounds, the highest first."""
+    """Adds ``shards``: each query's shards of its dimension whose bound reaches its bar, with their bounds, the highest first."""
     points = {key: np.array(v, np.float64) for key, v in centres}
     by_dim: dict[int, list[tuple[int, int, float]]] = {}
     for cell, dim, radius, shards in balls:
@@ -149,12 +163,12 @@ def _bounded(batches: Iterator[pa.RecordBatch], centres: list[tuple[int, list[in
     kind = pa.list_(pa.struct([("cell", pa.int64()), ("salt", pa.int64()), ("bound", pa.float64())]))
     for batch in batches:
         out = []
-        for v in batch.column("v").to_pylist():
+        for v, bar in zip(batch.column("v").to_pylist(), batch.column("bar").to_pylist(), strict=True):
             q = np.array(v, np.float64)
             norm = float(np.sqrt((q**2).sum()))
             mine = by_dim.get(len(v), [])
             bounds = [(float(q @ points[c]) if c in points else 0.0) + norm * r for c, _, r in mine]
-            pairs = [{"cell": c, "salt": s, "bound": b + 1e-9 * abs(b) + 1e-6} for (c, n, _), b in zip(mine, bounds, strict=True) for s in range(n)]
+            pairs = [{"cell": c, "salt": s, "bound": top} for (c, n, _), b in zip(mine, bounds, strict=True) if (top := b + 1e-9 * abs(b) + 1e-6) >= bar for s in range(n)]
             out.append(sorted(pairs, key=lambda p: (-p["bound"], p["cell"], p["salt"])))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "shards"])
 
@@ -163,13 +177,13 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = K, shard_
     """``vec_id, embedding`` -> ``query_id, rank, vec_id, score``: each query row's ``k`` best other rows by integer inner product.
 
     ``is_query`` picks the queries (default: ids divisible by 20). Null vectors, those with null or non-finite components,
-    and rows without an id take no part; vectors meet only those of their own dimension. Of rows that repeat an id one is
-    kept (the smallest vector). Ties go to the smaller id. Scores are exact up to 2^53. ``cells`` (at least; one for each
+    and rows without an id take no part; vectors meet only those of their own dimension. Of rows that repeat an id each is a
+    candidate, and a query, of its own; their results share the id's ranks. Ties go to the smaller id. Scores are exact up to 2^53. ``cells`` (at least; one for each
     ``shard_rows`` rows) is how many centres there are, SAMPLE at most.
     """
-    rows = materialize(quantized(vectors).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
-    sample = [(r.vec_id, r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    centres = sample[: min(SAMPLE, max(cells, -(-rows.count() // shard_rows)))]
+    rows = materialize(quantized(vectors).withColumn("dim", F.size("v")), "vectors")
+    sample = [(r.vec_id, r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()]
+    centres = [(n, v) for n, (_, v) in enumerate(sample[: min(SAMPLE, max(cells, -(-rows.count() // shard_rows)))])]
     dealt = rows.mapInArrow(functools.partial(_cells, centres=centres), "vec_id long, v array<long>, dim int, cell long, away double")
     dealt = materialize(dealt, "cells")
     discard(rows)
@@ -197,14 +211,19 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = K, shard_
         discard(asked)
         return out
 
-    top = F.get("shards", F.lit(0))
-    first = wave(queries.where(F.size("shards") > 0).select("query_id", "v", "dim", "bar", top["cell"].alias("cell"), top["salt"].alias("salt")), "first_wave")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
-    rest = queries.join(kth, "query_id", "left").withColumn("bar", F.greatest("bar", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))))
-    rest = rest.select("query_id", "v", "dim", "bar", F.explode(F.slice("shards", 2, F.greatest(F.size("shards") - 1, F.lit(0)))).alias("s")).where(F.col("s.bound") >= F.col("bar"))
-    second = wave(rest.select("query_id", "v", "dim", "bar", "s.cell", "s.salt"), "second_wave")
+    found, at = None, 0
+    for n in WAVES:
+        mine = queries
+        if found is not None:
+            scores = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # WAVES times k at most
+            mine = queries.join(scores.select("query_id", F.get("s", F.lit(k - 1)).cast("double").alias("kth")), "query_id", "left").withColumn("bar", F.greatest("bar", F.coalesce("kth", F.lit(float("-inf")))))
+        turn = F.slice("shards", at + 1, n) if n else F.slice("shards", at + 1, F.greatest(F.size("shards"), F.lit(1)))
+        asked = mine.select("query_id", "v", "dim", "bar", F.explode(turn).alias("s")).where(F.col("s.bound") >= F.col("bar"))
+        hits = wave(asked.select("query_id", "v", "dim", "bar", "s.cell", "s.salt"), f"wave_{at}")
+        found, at = hits if found is None else found.unionByName(hits), at + n
+    discard(queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for top_k with the production parameters.

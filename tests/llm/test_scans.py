@@ -294,3 +294,16 @@ def test_top_k(spark, options):
             wanted[q] = [(k, -s) for s, k in near]
     assert got == {q: x for q, x in wanted.items() if x}
     assert op10_balltree.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"cells": 5, "shard_rows": 30, "block_rows": 7}])
+def test_top_k_with_repeated_ids(spark, options):
+    """Each row of a repeated id is a candidate and a query of its own, as in SQL."""
+    rng = np.random.default_rng(12)
+    rows = [(int(k % 90), [float(x) for x in rng.normal(0, 0.3, 5)]) for k in range(240)] + [(20, [0.5] * 5)] * 30 + [(7, [0.5] * 5)] * 3
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, cell string, bar int")
+    embeddings = df.select("vec_id", "embedding").toArrow()  # noqa: F841  DuckDB reads it by name
+    theirs = duckdb.sql(op10_balltree.SQL).df()
+    ours = op10_balltree.top_k(df, leaf=8, **options).toPandas()
+    key = lambda df: sorted(map(tuple, df[["query_id", "rank", "vec_id", "score"]].values.tolist()))
+    assert key(ours) == key(theirs) and len(ours) == 100
