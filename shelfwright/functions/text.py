@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..tables import ABBREVIATIONS, AMBIGUOUS, CORPORATE_SUFFIXES, PLACEHOLDERS, STOPWORDS
+from ..tables import ABBREVIATIONS, AMBIGUOUS, COMPANY_ENDINGS, CORPORATE_SUFFIXES, PLACEHOLDERS, STOPWORDS
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -89,7 +89,9 @@ def ambiguous_extra(found: Column) -> Column:
 
 
 def company_tokens(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda t: (F.length(t) > 1) & ~t.isin(CORPORATE_SUFFIXES))
+    """Words that name a company: no endings such as Inc, three letters at least unless there is a digit; none of a placeholder."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(meaningful(c), F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    return F.filter(words, lambda t: ~t.isin(COMPANY_ENDINGS) & ((F.length(t) >= 3) | t.rlike("[0-9]")))
 
 
 def percent(part: Column, whole: Column, places: int = 1) -> Column:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ambiguous_extra, expand_abbreviations, percent, tokens
 from ..tables import ITEM_TYPES
+from .staging import sent_if_small
 
 MIN_SCORE, REVIEW_MARGIN, REVIEW_CONFIDENCE = 0.34, 0.12, 0.70
-#: Candidate tables up to so many rows are sent to every task; larger ones (big vocabularies) are joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def candidates(spark: SparkSession, lov_attributes: DataFrame | None = None, extra_types: DataFrame | None = None) -> DataFrame:
@@ -36,10 +35,6 @@ def index(labels: DataFrame) -> DataFrame:
     return weighted.groupBy("token", "label", "classpath", "ordinal", "n_tokens").agg(F.sum("idf").alias("weight")).join(totals, "label")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _scored(texts: DataFrame, inverted: DataFrame) -> DataFrame:
     """``text, ranked``: the four best candidates ``(label, classpath, score)`` by score, then ordinal; scores agree to nine places before ties are broken."""
     hits = texts.select("text", F.explode("found").alias("token")).join(inverted, "token")
@@ -65,13 +60,13 @@ def classify(rows: DataFrame, labels: DataFrame, text: str = "Part_Desc", source
     """
     texts = rows.select(F.col(text).alias("text")).where("trim(text) <> ''").distinct().withColumn("expanded_text", expand_abbreviations(F.col("text")))
     texts = texts.withColumn("found", F.array_distinct(tokens(F.col("expanded_text")))).withColumn("extra", ambiguous_extra(F.col("found")))
-    inverted = _sized(index(labels))
+    inverted = sent_if_small(index(labels))
 
     words = F.split(F.trim(F.regexp_replace(F.lower("expanded_text"), r"\s+", " ")), " ")
     spans = labels.where(F.size(tokens(F.col("label"))) >= 2).withColumn("width", F.size(F.split(F.lower("label"), " ")))
     widths = [r.width for r in spans.select("width").distinct().collect()]
     ngrams = texts.withColumn("w", words).select("text", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("w", n) for n in widths])))).alias("phrase")) if widths else texts.select("text", F.lit("").alias("phrase"))
-    named = _sized(spans.select(F.lower("label").alias("phrase"), "label", "classpath", "ordinal"))
+    named = sent_if_small(spans.select(F.lower("label").alias("phrase"), "label", "classpath", "ordinal"))
     first = F.max_by(F.struct("label", "classpath"), F.struct(F.length("label"), -F.col("ordinal"))).alias("phrase_hit")
     by_phrase = ngrams.join(named, "phrase").groupBy("text").agg(first)
 

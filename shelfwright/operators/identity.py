@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import brand_key, is_placeholder, no_blank
 from .similarity import best_matches, ratio
+from .staging import sent_if_small
 
 ACCEPT, SUGGEST = 0.88, 0.72
-BROADCAST_ROWS = 200_000
 _PARTS = ["manufacturer_name", "manufacturer_code", "brand_name", "brand_code"]
 
 
@@ -29,7 +29,7 @@ def resolve_brands(rows: DataFrame, brands: DataFrame, column: str) -> DataFrame
     suggestion that asks for review; others stay unresolved.
     """
     index = brand_index(brands)
-    index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
+    index = sent_if_small(index)
     names = rows.select(F.col(column).alias("name")).where(~is_placeholder(F.col("name"))).distinct().withColumn("key", brand_key(F.col("name")))
     exact = names.join(index, "key", "left")
     open_keys = exact.where("brand_name is null and manufacturer_name is null").select("key")

@@ -15,10 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import sent_if_small, staged
 
-#: A side of so many rows may be sent to every task.
-BROADCAST_ROWS = 200_000
 FIRST = 4
 
 
@@ -51,7 +49,6 @@ def best_matches(left: DataFrame, right: DataFrame, cutoff: float, scope: list[s
     scope = scope or []
     l = left.select(*scope, F.col("key").alias("lk")).where("lk <> ''").distinct()  # noqa: E741
     r = right.select(*scope, F.col("key").alias("rk")).where("rk <> ''").distinct()
-    r = F.broadcast(r) if r.count() <= BROADCAST_ROWS else r
     grams = r.select(*scope, "rk", F.explode(_bigrams(F.col("rk"))).alias("gram"))
     spread = grams.groupBy("gram").agg(F.count("*").alias("n"))
     # The shorter side's length bounds the pair: lb <= la (2 - r) / r. Broken bigrams: two per unmatched letter on the left at most.
@@ -60,11 +57,11 @@ def best_matches(left: DataFrame, right: DataFrame, cutoff: float, scope: list[s
     own = l.withColumn("broken", broken).withColumn("gram", F.explode(_bigrams(F.col("lk")))).join(spread, "gram", "left")
     rank = F.row_number().over(Window.partitionBy(*scope, "lk").orderBy(F.coalesce("n", F.lit(0)), "gram"))
     looked = own.withColumn("place", rank).where(F.col("place") <= F.col("broken") + 1).where("n is not null")
-    by_gram = looked.select(*scope, "lk", "gram").join(grams, [*scope, "gram"]).select(*scope, "lk", "rk").distinct()
+    by_gram = looked.select(*scope, "lk", "gram").join(sent_if_small(grams), [*scope, "gram"]).select(*scope, "lk", "rk").distinct()
     few = l.where(F.size(_bigrams(F.col("lk"))) <= broken)
     lengths = (F.length("rk") >= F.length("lk") * cutoff / (2 - cutoff)) & (F.length("rk") <= F.length("lk") * (2 - cutoff) / cutoff)
     few = few.withColumn("size", F.explode(F.sequence(F.ceil(F.length("lk") * cutoff / (2 - cutoff)), F.floor(F.length("lk") * (2 - cutoff) / cutoff))))
-    by_length = few.join(r.withColumn("size", F.length("rk").cast("long")), [*scope, "size"]).select(*scope, "lk", "rk")
+    by_length = few.join(sent_if_small(r).withColumn("size", F.length("rk").cast("long")), [*scope, "size"]).select(*scope, "lk", "rk")
     # Pairs are few bytes and much work: as many tasks as the session shuffles by, which adaptive execution leaves alone.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = by_gram.unionByName(by_length).where(lengths).distinct().repartition(tasks, *scope, "lk")

@@ -32,6 +32,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if expected_bytes(df) < cores * split else df
 
 
+#: Bytes that may be sent to every task.
+BROADCAST_BYTES = 16_000_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a table of numbers and texts, counted."""
+    size = lambda f: F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if f.dataType.typeName() == "string" else F.lit(16)
+    return df.agg(F.coalesce(F.sum(sum((size(f) for f in df.schema.fields), F.lit(0))), F.lit(0))).first()[0]
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with the hint to send it to every task, if its bytes allow that."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that all executors share: what many branches read is worked out, and planned, once.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.delivery import HEADERS
 from ..operators.describe import INVOICE_SHORT
 from ..tables import ABBREVIATIONS, AMBIGUOUS, CORPORATE_SUFFIXES, DOMAINS, ITEM_TYPES, PLACEHOLDERS, STOPWORDS, unit_rows
-from .queries import ASKED, BRANDS, CATALOG, REVIEWS, UNIT_ROWS, URLS, header_name
+from .queries import ASKED, BRANDS, CATALOG, GLUED, MORE_UNITS, RECORDS, REVIEWS, UNIT_ROWS, URLS, header_name
 
 
 def _rows(pairs) -> str:
@@ -278,6 +278,17 @@ SELECT doc_id, count(*) AS n_kept, count(*) FILTER (t = '[...omitted repetitive
     "snippet_pages": f"""WITH {_JOINED}, s AS (SELECT doc_id, v.* FROM d, LATERAL (VALUES ('head', substring(d.text, 1, 12)), ('middle', substring(d.text, len(d.text) // 2 + 1, 9)), ('last', right(d.text, 15)), ('none', chr(1))) AS v(field_key, snippet)),
 a AS (SELECT s.doc_id, field_key, strpos(lower(j.text), lower(snippet)) AS place, j.text FROM s JOIN j USING (doc_id))
 SELECT doc_id, field_key, CASE WHEN place = 0 THEN -1 ELSE list_max([x::INTEGER FOR x IN regexp_extract_all(substring(text, 1, place + 22), '--- \\[Page ([0-9]+)\\] ---', 1)]) END::INTEGER AS page_no FROM a""",
+    "product_listing": f"""WITH r AS ({RECORDS}) SELECT id, created_at::VARCHAR AS created_at, json_extract_string(data_json, '$.status') AS status, json_extract_string(data_json, '$.clerk') AS clerk FROM r WHERE json_valid(data_json)""",
+    "approved_list": """WITH h AS (SELECT lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages), p AS (SELECT [x FOR x IN string_split(regexp_replace(host, '^www[0-9]?\\.', ''), '.') IF x <> ''] AS parts FROM h)
+SELECT DISTINCT CASE WHEN len(parts) >= 3 AND parts[-2] IN ('co', 'com', 'net', 'org', 'gov', 'edu', 'ac', 'or', 'ne') THEN parts[-3] WHEN len(parts) >= 2 THEN parts[-2] ELSE parts[1] END AS registrable FROM p WHERE len(parts) > 0""",
+    "unit_table": f"""WITH x AS ({MORE_UNITS}), a(unit, approved, rank) AS (SELECT variant, approved, 0 FROM x UNION ALL SELECT approved, approved, 0 FROM x UNION ALL SELECT * FROM (VALUES {_rows((*r, 1) for r in unit_rows())}) AS s(v, a, n)),
+k AS (SELECT {_UNIT_KEY} AS variant, approved, rank FROM a) SELECT variant, arg_min(approved, concat(rank::VARCHAR, approved)) AS approved FROM k GROUP BY variant""",
+    "repaired_text": f"""WITH g AS ({GLUED}), s AS (SELECT p_partkey AS id, p_size::VARCHAR AS n, (p_size * 0.25)::VARCHAR AS v, p_name FROM part), f AS (SELECT *, {_FRACTION} AS fraction FROM s)
+SELECT f.id, CASE f.id % 5 WHEN 0 THEN concat('Pipe of ', fraction, ' in by ', n, 'mm') ELSE g.text END AS as_fractions,
+ CASE f.id % 5 WHEN 0 THEN concat('Pipe of ', v, ' in by ', n, ' mm') WHEN 1 THEN concat(n, ' in cover, ', n, ' V') WHEN 2 THEN concat('weighs ', n, ' lb') WHEN 3 THEN concat('model ', n, 'G of ', n, '-1/4 in') ELSE g.text END AS spaced FROM f JOIN g ON g.id = f.id""",
+    "search_queries": f"""WITH c AS ({CATALOG}), m AS (SELECT row_index, {", ".join(f"CASE WHEN lower({x}) NOT IN ('', 'unbranded', 'no brand', 'n/a', 'none', 'null', 'unknown') THEN {x} END AS {n}" for n, x in ((n, f"trim(regexp_replace({n}, '\\s+', ' ', 'g'), ' -')") for n in ("Mfg_Part_Num", "Part_Manuf", "E1_Brand", "Part_Desc")))} FROM c)
+SELECT row_index, concat_ws(' ', '"' || Mfg_Part_Num || '"', Part_Manuf, E1_Brand, substring(array_to_string(string_split(Part_Desc, ' ')[1:10], ' '), 1, 100)) AS query FROM m""",
+    "usable_features": """SELECT concat('P', p_partkey::VARCHAR) AS product_id, concat(CASE WHEN p_partkey % 2 = 0 THEN concat('Runs ', p_size::VARCHAR, ' hours at 2 Ah | Runs ', p_size::VARCHAR, ' hours at 2 Ah pack | ') ELSE '' END, 'Brushless | ', p_name) AS features FROM part""",
     "page_numbers": f"""WITH n AS (SELECT DISTINCT upper(regexp_replace(regexp_extract(text, '^\\s*([A-Za-z]+\\s+[A-Za-z]+)', 1), '[^A-Za-z0-9]+', '', 'g')) AS number_key FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)),
 p AS (SELECT number_key, '(?i)(^|[^A-Za-z0-9])' || array_to_string(string_split(number_key, ''), '{_BETWEEN}') || '($|[^A-Za-z0-9])' AS pattern FROM n WHERE number_key <> ''),
 c AS (SELECT doc_id, text, upper(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS compact FROM documents), m AS MATERIALIZED (SELECT doc_id, text, number_key, pattern FROM c JOIN p ON contains(compact, number_key))

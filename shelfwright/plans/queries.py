@@ -371,11 +371,60 @@ def catalog_validated(spark, d):
     return out["validated"].select("row_id", "label", "value", "outcome", "canonical")
 
 
+RECORDS = """SELECT CAST(o_orderkey AS STRING) AS id, o_orderdate AS created_at, CASE o_orderkey % 7 WHEN 3 THEN concat(chr(123), '"status": "', o_orderstatus) WHEN 5 THEN CAST(NULL AS STRING)
+ ELSE concat(chr(123), '"status": "', o_orderstatus, '", "clerk": "', o_orderpriority, '"', chr(125)) END AS data_json FROM orders"""
+MORE_UNITS = "SELECT CASE p_partkey % 4 WHEN 0 THEN 'Inches' WHEN 1 THEN concat('Box of ', CAST(p_size AS STRING)) WHEN 2 THEN ' LBS. ' ELSE concat('Pk', CAST(p_size % 3 AS STRING)) END AS variant, CASE p_partkey % 4 WHEN 0 THEN 'INCH' WHEN 1 THEN 'bx' WHEN 2 THEN CASE WHEN p_size < 10 THEN 'LB' ELSE 'pound' END ELSE 'pk' END AS approved FROM part"
+GLUED = """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 5 WHEN 0 THEN concat('Pipe of ', CAST(p_size * 0.25 AS STRING), ' in by ', CAST(p_size AS STRING), 'mm') WHEN 1 THEN concat(CAST(p_size AS STRING), 'IN cover, ', CAST(p_size AS STRING), 'V')
+ WHEN 2 THEN concat('weighs ', CAST(p_size AS STRING), 'lbs') WHEN 3 THEN concat('model ', CAST(p_size AS STRING), 'G of ', CAST(p_size AS STRING), '-1/4IN') ELSE concat('no number here ', p_name) END AS text FROM part"""
+CLAIMS = """SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, CAST(p_size AS STRING) AS hours, CAST(p_size + p_partkey % 2 AS STRING) AS others, p_name FROM part"""
+
+
+def product_listing(spark, d):
+    """Stored records that can be read, of a store in which some cannot."""
+    from ..sources.tables import listing
+
+    rows = spark.sql(RECORDS.replace("FROM orders", "FROM {t}"), t=table(spark, d, "orders"))
+    return listing(rows, "status string, clerk string").select("id", F.col("created_at").cast("string").alias("created_at"), "record.status", "record.clerk")
+
+
+def approved_list(spark, d):
+    """Sites of an allow-list made of the pages' addresses, some with remarks."""
+    lines = table(spark, d, "pages").select(F.concat("url", F.when(F.col("page_id") % 3 == 0, " # checked").otherwise("")).alias("value"))
+    return sourcing.approved_domains(lines)
+
+
+def unit_table(spark, d):
+    """The seed of unit variants with a file's own over them."""
+    from ..sources.tables import load_units
+
+    return load_units(spark.createDataFrame(unit_rows(), "variant string, approved string"), derived(spark, d, MORE_UNITS))
+
+
+def repaired_text(spark, d):
+    rows = derived(spark, d, GLUED)
+    return rows.select("id", fu.convert_decimals_in_text(F.col("text")).alias("as_fractions"), fu.fix_spacing_in_text(F.col("text")).alias("spaced"))
+
+
+def search_queries(spark, d):
+    rows = derived(spark, d, CATALOG).select("row_index", F.col("Mfg_Part_Num").alias("mfg_part_num"), F.col("Part_Manuf").alias("manufacturer"), F.col("E1_Brand").alias("brand"), F.col("Part_Desc").alias("part_desc"))
+    return discover.search_query(rows).select("row_index", "query")
+
+
+def usable_features(spark, d):
+    """Features that stand in the text and agree on runtimes."""
+    rows = derived(spark, d, CLAIMS)
+    first, second = (F.concat(F.lit("Runs "), h, F.lit(" hours at 2 Ah"), F.lit(end)) for h, end in ((F.col("hours"), ""), (F.col("others"), " pack")))
+    listed = F.array(first, second, F.lit(" Brushless "), F.lit("Not in the text"), F.lit(" "), F.col("p_name"))
+    texts = rows.select("product_id", F.concat_ws(". ", first, second, F.lit("Brushless motor"), "p_name").alias("raw_text"))
+    out = delivery.usable_features(rows.select("product_id", F.posexplode(listed).alias("pos", "text")), texts)
+    return out.select("product_id", F.array_join("item_features", " | ").alias("features"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dedup_survivors, dedup_report, mpn_collisions, unit_normalise, unmapped_units, decimal_fraction, expand_abbrev, classify_types, classify_stats, terse_attributes, lov_validate, lov_suggest, lov_compliance,
         brand_exact, brand_fuzzy, catalog_descriptions, compliance_summary, field_accuracy, weakest_fields, extract_fields, validate_fields, rating_checks, record_summary, catalog_stats, grounding, trust_gate, trust_totals,
-        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, page_numbers, batch_outcomes, batch_totals, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
+        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, page_numbers, batch_outcomes, batch_totals, product_listing, approved_list, unit_table, repaired_text, search_queries, usable_features, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
     )
 }

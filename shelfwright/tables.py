@@ -66,6 +66,9 @@ CORPORATE_SUFFIXES = [
     "international", "industries", "industrial", "manufacturing", "mfg", "products", "brands",
 ]
 
+# Endings of company names that say nothing of who a company is, when a page is to name it.
+COMPANY_ENDINGS = ["inc", "incorporated", "ltd", "limited", "llc", "corp", "corporation", "company", "co", "plc", "gmbh", "ag", "sa", "srl", "pvt", "private"]
+
 # Unit variants (see functions.units.unit_key) by approved form.
 UNITS = {
     "in": ["in", "inch", "inches", '"', "''"], "ft": ["ft", "foot", "feet", "'"], "mm": ["mm", "millimeter", "millimetre", "millimeters"], "cm": ["cm", "centimeter", "centimetre", "centimeters"],

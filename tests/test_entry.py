@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-FAST = ["dedup_survivors", "dedup_report", "mpn_collisions", "unit_normalise", "unmapped_units", "decimal_fraction", "lov_validate", "field_accuracy", "review_latest", "source_policy", "url_safety", "terse_attributes", "grounding", "short_runs", "newest_products", "extract_fields", "trust_gate", "joined_pages", "snippet_pages", "page_numbers", "batch_outcomes", "batch_totals"]
+FAST = ["dedup_survivors", "dedup_report", "mpn_collisions", "unit_normalise", "unmapped_units", "decimal_fraction", "lov_validate", "field_accuracy", "review_latest", "source_policy", "url_safety", "terse_attributes", "grounding", "short_runs", "newest_products", "extract_fields", "trust_gate", "joined_pages", "snippet_pages", "page_numbers", "batch_outcomes", "batch_totals", "product_listing", "approved_list", "unit_table", "repaired_text", "search_queries", "usable_features", "compliance_summary"]
 
 
 def test_names():
