@@ -77,8 +77,9 @@ def license_brute(text):
     """Labels and score by the definition: per template, votes by diagonal, runs of near diagonals, covered words."""
     w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
     labels, score = set(), 0.0
-    for label, phrase, base in [(v, k, True) for k, v in op06_license.PHRASES.items()] + [(a, b, False) for a, b in op06_license.NOTICES]:
+    for label, phrase, base, least in op06_license.template_list():
         t = phrase.split()
+        gap = max(op06_license.DIAGONALS, len(t) // 2)
         votes = {}
         for pos in range(len(w) - 2):
             for at in range(len(t) - 2):
@@ -86,21 +87,21 @@ def license_brute(text):
                     votes.setdefault(pos - at, []).append(at)
         runs = []
         for d in sorted(votes):
-            if runs and not base and d - runs[-1][-1] <= op06_license.DIAGONALS:
+            if runs and not base and d - runs[-1][-1] <= gap:
                 runs[-1].append(d)
             else:
                 runs.append([d])
         for run in runs:
             share = len({at + j for d in run for at in votes[d] for j in range(3)}) / len(t)
             score = max(score, share)
-            if share >= (1 if base else op06_license.COVERAGE):
+            if share >= least:
                 labels.add(label)
     return ",".join(sorted(labels)), score
 
 
 def test_license_votes_by_diagonal(spark):
     rng = random.Random(12)
-    notice = dict(op06_license.NOTICES)["mit"].split()
+    notice = op06_license.NOTICES[0][1].split()
     texts = [" ".join(notice)]
     for at in ([3, 8, 13, 18, 24], [5, 10, 15, 20, 25]):  # five words put in
         words = list(notice)
@@ -119,6 +120,17 @@ def test_license_votes_by_diagonal(spark):
     assert op06_license.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_with_words_put_in(spark):
+    """Up to ten words at one place of a notice, whole notices of every kind, and names that differ in one word."""
+    notices = [(label, text) for label, text in op06_license.NOTICES if len(text.split()) >= 20]
+    texts = [(label, " ".join(text.split()[:at] + ["indeed"] * n + text.split()[at:])) for label, text in notices for n in (0, 1, 4, 8, 10) for at in (6, len(text.split()) // 2)]
+    names = [("lgpl-2.1", "GNU Lesser General Public License v2.1"), ("mit", "// SPDX-License-Identifier: MIT"), ("bsd-3", "BSD 3-Clause License"), ("gpl-2", "SPDX-License-Identifier: GPL-2.0-only"), ("", "GNU General Public License"), ("", "SPDX-License-Identifier: Zlib"), ("", "BSD 4-Clause License")]
+    rows = [(k, t) for k, (_, t) in enumerate(texts + names)]
+    out = {r.doc_id: r.labels for r in op06_license.license_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(label in out[k].split(",") for k, (label, _) in enumerate(texts))
+    assert [out[len(texts) + k] for k in range(len(names))] == [label for label, _ in names]
+
+
 def test_html_in_linear_time():
     import time
 
