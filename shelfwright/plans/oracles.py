@@ -278,6 +278,10 @@ SELECT doc_id, count(*) AS n_kept, count(*) FILTER (t = '[...omitted repetitive
     "snippet_pages": f"""WITH {_JOINED}, s AS (SELECT doc_id, v.* FROM d, LATERAL (VALUES ('head', substring(d.text, 1, 12)), ('middle', substring(d.text, len(d.text) // 2 + 1, 9)), ('last', right(d.text, 15)), ('none', chr(1))) AS v(field_key, snippet)),
 a AS (SELECT s.doc_id, field_key, strpos(lower(j.text), lower(snippet)) AS place, j.text FROM s JOIN j USING (doc_id))
 SELECT doc_id, field_key, CASE WHEN place = 0 THEN -1 ELSE list_max([x::INTEGER FOR x IN regexp_extract_all(substring(text, 1, place + 22), '--- \\[Page ([0-9]+)\\] ---', 1)]) END::INTEGER AS page_no FROM a""",
+    "enriched_fields": """SELECT concat('E', p_partkey::VARCHAR) AS product_id, v.field_key, v.value, v.confidence, v.status FROM part, LATERAL (VALUES
+ ('mounting_type', CASE p_partkey % 5 WHEN 0 THEN 'Threaded' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 0.82 ELSE 0.0 END::DOUBLE, CASE p_partkey % 5 WHEN 0 THEN 'ai_enriched' ELSE 'missing' END),
+ ('voltage_rating', CASE p_partkey % 5 WHEN 1 THEN '30' ELSE '' END, CASE p_partkey % 5 WHEN 1 THEN 0.7 ELSE 0.0 END, CASE p_partkey % 5 WHEN 1 THEN 'ai_enriched' ELSE 'missing' END),
+ ('material', CASE p_partkey % 5 WHEN 2 THEN 'nickel-plated brass' ELSE '' END, CASE p_partkey % 5 WHEN 2 THEN 0.9 ELSE 0.0 END, CASE p_partkey % 5 WHEN 2 THEN 'verified' WHEN 3 THEN 'needs_review' ELSE 'missing' END)) AS v(field_key, value, confidence, status)""",
     "product_listing": f"""WITH r AS ({RECORDS}) SELECT id, created_at::VARCHAR AS created_at, json_extract_string(data_json, '$.status') AS status, json_extract_string(data_json, '$.clerk') AS clerk FROM r WHERE json_valid(data_json)""",
     "approved_list": """WITH h AS (SELECT lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages), p AS (SELECT [x FOR x IN string_split(regexp_replace(host, '^www[0-9]?\\.', ''), '.') IF x <> ''] AS parts FROM h)
 SELECT DISTINCT CASE WHEN len(parts) >= 3 AND parts[-2] IN ('co', 'com', 'net', 'org', 'gov', 'edu', 'ac', 'or', 'ne') THEN parts[-3] WHEN len(parts) >= 2 THEN parts[-2] ELSE parts[1] END AS registrable FROM p WHERE len(parts) > 0""",

@@ -379,6 +379,17 @@ GLUED = """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 5 WHEN 0 THE
 CLAIMS = """SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, CAST(p_size AS STRING) AS hours, CAST(p_size + p_partkey % 2 AS STRING) AS others, p_name FROM part"""
 
 
+SPARSE_TEXTS = """SELECT concat('E', CAST(p_partkey AS STRING)) AS product_id, CASE p_partkey % 5 WHEN 0 THEN concat('Inductive unit with plug M12, number ', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('Supply of 10-30 dc for unit ', CAST(p_partkey AS STRING))
+ WHEN 2 THEN concat('A part of nickel-plated brass, unit ', CAST(p_partkey AS STRING)) WHEN 3 THEN concat('A part of some metal alloy, unit ', CAST(p_partkey AS STRING)) ELSE concat('Nothing is known of unit ', CAST(p_partkey AS STRING)) END AS raw_text,
+ CAST(NULL AS STRING) AS name_hint, CAST(NULL AS STRING) AS category_hint FROM part"""
+
+
+def enriched_fields(spark, d):
+    """What can be inferred from texts that say little."""
+    fields = enrich.enrich(validate.validate(extract.extract(derived(spark, d, SPARSE_TEXTS))))
+    return fields.where(F.col("field_key").isin("mounting_type", "material", "voltage_rating")).select("product_id", "field_key", F.coalesce("value", F.lit("")).alias("value"), "confidence", "status")
+
+
 def product_listing(spark, d):
     """Stored records that can be read, of a store in which some cannot."""
     from ..sources.tables import listing
@@ -425,6 +436,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dedup_survivors, dedup_report, mpn_collisions, unit_normalise, unmapped_units, decimal_fraction, expand_abbrev, classify_types, classify_stats, terse_attributes, lov_validate, lov_suggest, lov_compliance,
         brand_exact, brand_fuzzy, catalog_descriptions, compliance_summary, field_accuracy, weakest_fields, extract_fields, validate_fields, rating_checks, record_summary, catalog_stats, grounding, trust_gate, trust_totals,
-        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, page_numbers, batch_outcomes, batch_totals, product_listing, approved_list, unit_table, repaired_text, search_queries, usable_features, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
+        source_policy, url_safety, page_clean, short_runs, joined_pages, snippet_pages, content_richness, discover_best_source, page_numbers, batch_outcomes, batch_totals, enriched_fields, product_listing, approved_list, unit_table, repaired_text, search_queries, usable_features, delivery_slots, delivery_table, catalog_export, review_latest, review_queue, catalog_search, commerce_report, product_views, newest_products, listing_fields, identity_columns, catalog_validated,
     )
 }
