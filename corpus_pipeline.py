@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm.common import materialize, read
+from shelfwright.llm.common import discard, materialize, read
 from shelfwright.llm.op01_minhash import deduplicated
 from shelfwright.llm.op03_lines import dedup_lines
 from shelfwright.llm.op07_decontam import decontaminated as without_benchmark
@@ -47,7 +47,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table is deleted once the next one's is written; the last stage writes its pieces
+    before it returns, so what it returns does not read the table before it either."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
