@@ -267,7 +267,7 @@ SELECT w.* EXCLUDE (other), replace(other, 'Thread size', 'Thread Size') AS othe
  CASE WHEN kind <= 1 AND label = 'Material' THEN value END AS canonical FROM e JOIN m ON m.row_index = e.row_index WHERE m.survives""",
     "lov_suggest": f"""WITH {_OUTCOME} SELECT row_id, label, value, outcome, CASE outcome WHEN 'not_permitted' THEN 'Bronze' WHEN 'not_applicable' THEN 'Material' ELSE 'Valves > Ball Valve' END AS suggestion
  FROM o WHERE (outcome = 'not_permitted' AND cp = 'Fittings > Coupling' AND lk = 'material' AND vk = 'bronz') OR (outcome = 'not_applicable' AND lk = 'materials') OR outcome = 'no_classpath'""",
-    "grounding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT a.doc_id, {_FLAT.format("a.text")} AS t, {_FLAT.format("substring(a.text, 11, 60)")} AS own, {_FLAT.format("substring(z.text, 11, 60)")} AS other FROM d a JOIN d z ON z.doc_id + 1 = a.doc_id)
+    "grounding": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS (SELECT a.doc_id, {_FLAT.format("a.text")} AS t, {_FLAT.format("substring(a.text, 11, 60)")} AS own, {_FLAT.format("coalesce(substring(z.text, 11, 60), '')")} AS other FROM d a LEFT JOIN d z ON z.doc_id + 1 = a.doc_id)
 SELECT doc_id, {_STANDS.format("own", "t")} AS own_grounded, {_STANDS.format("other", "t")} AS foreign_grounded FROM b""",
     "short_runs": """WITH d AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(coalesce(text, ''), '[.,\\n]')] IF x <> ''] AS c FROM documents), x AS (SELECT doc_id, unnest(c) AS t, unnest(range(len(c))) AS pos FROM d),
 s AS (SELECT *, len(t) <= 25 AND len(string_split(t, ' ')) <= 4 AS short FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, short ORDER BY pos) AS island FROM s),

@@ -193,11 +193,11 @@ def catalog_stats(spark, d):
 
 
 def grounding(spark, d):
-    """A snippet of each document is held against its own text and against the next document's."""
+    """A snippet of each document is held against its own text, and one of the document before it, if there is one."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.substring("text", 11, 60).alias("foreign"))
-    both = docs.withColumn("own", F.substring("text", 11, 60)).join(other, "doc_id")
-    return both.select("doc_id", extract.grounded(F.col("own"), F.col("text")).alias("own_grounded"), extract.grounded(F.col("foreign"), F.col("text")).alias("foreign_grounded"))
+    both = docs.withColumn("own", F.substring("text", 11, 60)).join(other, "doc_id", "left").withColumn("foreign", F.coalesce("foreign", F.lit("")))
+    return both.select("doc_id", extract.grounded(F.col("own"), F.col("text")).alias("own_grounded"), F.coalesce(extract.grounded(F.col("foreign"), F.col("text")), F.lit(False)).alias("foreign_grounded"))
 
 
 def trust_gate(spark, d):
