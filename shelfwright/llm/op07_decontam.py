@@ -9,7 +9,8 @@ with sums kept up word by word. So nothing at the threshold is missed, wherever
 SimHash fingerprints of windows, the method first meant for the candidates, cannot give that: see the README for how far
 apart the fingerprints of true pairs lie.
 
-Items are taken in blocks of ITEM_BYTES, each collected (a bounded table) and held against all texts in one scan.
+Items are taken in blocks of ITEM_BYTES, each collected (a bounded table), held against all texts in one scan and its matches
+written before the next: the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_HASH, fresh, materialize, portions, words_of
+from .common import WORD_HASH, discard, fresh, materialize, portions, words_of
 
 WIDTH, PERCENT = 5, 75
 ITEM_BYTES, AT_ONCE = 8_000_000, 20_000
@@ -161,7 +162,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = items.where(F.col("block") == b) if blocks > 1 else items
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x))
         found = docs.mapInArrow(functools.partial(_matches, items=[(k, words_of(t)) for k, t in rows]), "doc_id long, item_id long, start long, n_words long, similarity double")
+        found = materialize(found, "matches") if blocks > 1 else found  # before the next block is taken up
         out = found if out is None else out.unionByName(found)
+    if blocks > 1:
+        discard(items)
     return out
 
 

@@ -319,3 +319,14 @@ def test_top_k_with_repeated_ids(spark, options):
     ours = op10_balltree.top_k(df, leaf=8, **options).toPandas()
     key = lambda df: sorted(map(tuple, df[["query_id", "rank", "vec_id", "score"]].values.tolist()))
     assert key(ours) == key(theirs) and len(ours) == 100
+
+
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    items = [(k, " ".join(word() for _ in range(12))) for k in range(20)]
+    rows = [(k, " ".join([word(), word(), items[k % 20][1], word()])) for k in range(30)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in op07_decontam.contaminations(docs, bench).collect()}
+    monkeypatch.setattr(op07_decontam, "ITEM_BYTES", 1_000)
+    assert {tuple(r) for r in op07_decontam.contaminations(docs, bench).collect()} == whole and len(whole) == 30
