@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import company_tokens, meaningful
 from .pages import READY, SPARSE
 from .sourcing import policy
+from .staging import sent_if_small, slices, spread
 
 MOST_CANDIDATES, PREFIX = 10, 3
 #: White space and punctuation that may part the characters of a part number, inside a character class.
 SEPARATORS = r"\s\p{Z}\x{85}\x{1c}-\x{1f}._/\-–—"
+#: What parts the chains of a page, as Python writes it: its white space is that of SEPARATORS.
+NO_SEPARATOR = r"[^A-Za-z0-9\s._/\-–—]+"
+#: Bytes of part numbers that may be sent to every task.
+NUMBER_BYTES = 64_000_000
 # Words of a technical page and of a shop page.
 TECHNICAL = ["specifications", "technical data", "technical specifications", "manufacturer part number", "model", "sku", "upc", "gtin", "weight", "dimensions", "dimension", "length", "width", "height", "diameter", "size", "material", "backing", "grit", "pack quantity", "country of origin", "voltage", "current", "pressure", "flow", "temperature", "capacity", "thread", "connection", "rating", "certification", "certifications"]
 SHOP = ["add to cart", "your cart", "continue shopping", "free shipping", "secure checkout", "wishlist", "sale price", "regular price", "unit price", "sign in", "create account"]
@@ -53,32 +63,54 @@ def mpn_on_page(mpn: Column, text: Column) -> Column:
     return F.coalesce(mpn.rlike("[A-Za-z0-9]") & F.regexp_like(text, mpn_pattern(mpn)), F.lit(False))
 
 
-def page_grams(pages: DataFrame, longest: int, key: str = "url", text: str = "text") -> DataFrame:
+def page_grams(pages: DataFrame, longest: int, begins: Collection[str], key: str = "url", text: str = "text") -> DataFrame:
     """``key, gram``: every run of whole words of a page that only separators part, joined without them, in upper case, up
-    to ``longest`` characters. A number can only stand on a page as one of these: it starts and ends with a word."""
-    chain = F.explode(F.split(text, rf"[^A-Za-z0-9{SEPARATORS}]+")).alias("chain")
-    words = F.filter(F.split(F.upper("chain"), f"[{SEPARATORS}]+"), lambda w: w != "")
-    chains = pages.select(key, chain).select(key, words.alias("words")).where("size(words) > 0")
-    tails = chains.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.slice("words", k, longest))).alias("tail")).where(F.length(F.get("tail", F.lit(0))) <= longest)
-    start = F.struct(F.lit("").alias("run"), F.array().cast("array<string>").alias("runs"))
-    added = lambda acc, w: F.concat(acc["run"], w)  # noqa: E731  once it is too long it stays so
-    grown = F.aggregate("tail", start, lambda acc, w: F.struct(added(acc, w).alias("run"), F.when(F.length(added(acc, w)) <= longest, F.array_append(acc["runs"], added(acc, w))).otherwise(acc["runs"]).alias("runs")), lambda acc: acc["runs"])
-    return tails.select(key, F.explode(grown).alias("gram"))
+    to ``longest`` characters, that begins with one of ``begins`` (of PREFIX characters; shorter ones are whole runs), once
+    a page. A number can only stand on a page as one of these: it starts and ends with a word.
+
+    Runs grow from each word until they are too long, so a page takes time in line with its length.
+    """
+    schema = T.StructType([pages.schema[key], T.StructField("gram", T.StringType())])
+    begins = frozenset(begins)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, word = re.compile(NO_SEPARATOR), re.compile("[A-Za-z0-9]+")
+        for batch in slices(batches, text, 500_000):
+            at, grams = [], []
+            for row, page in enumerate(batch.column(text).to_pylist()):
+                found = set()
+                for chain in parts.split(page or ""):
+                    words = [w.upper() for w in word.findall(chain)]
+                    for first in range(len(words)):
+                        run = ""
+                        for k in range(first, len(words)):
+                            run += words[k]
+                            if len(run) > longest:
+                                break
+                            if run[:PREFIX] in begins:
+                                found.add(run)
+                            elif len(run) >= PREFIX:
+                                break
+                at += [row] * len(found)
+                grams += found
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(grams, pa.string())], names=[key, "gram"])
+
+    return spread(pages.select(key, text)).mapInArrow(grow, schema)
 
 
 def numbers_on_pages(numbers: DataFrame, pages: DataFrame, number: str = "mfg_part_num", key: str = "url", text: str = "text") -> DataFrame:
     """``key, number_key``: which part numbers stand on which pages, many against many without naming candidates.
 
-    Runs of words of the pages meet the numbers by equality. Runs with the first PREFIX characters of no number fall out
-    before that by a table of such beginnings, of which there are 36 to the power of PREFIX at most.
+    Runs of words of the pages meet the numbers by equality: where the numbers are few bytes, each task has them and only
+    what was found is shuffled. Runs with the first PREFIX characters of no number fall out before that by a table of such
+    beginnings, of which there are 36 to the power of PREFIX at most.
     """
     asked = numbers.select(compact_number(F.col(number)).alias("number_key")).where("number_key <> ''").distinct()
-    longest = asked.agg(F.max(F.length("number_key"))).first()[0] or 0
-    if not longest:
+    begins = {row["begin"]: row["longest"] for row in asked.groupBy(F.substring("number_key", 1, PREFIX).alias("begin")).agg(F.max(F.length("number_key")).alias("longest")).collect()}
+    if not begins:
         return pages.select(key, F.lit("").alias("number_key")).where("false")
-    begins = asked.select(F.substring("number_key", 1, PREFIX).alias("begin")).distinct()
-    grams = page_grams(pages, longest, key, text).join(F.broadcast(begins), F.substring("gram", 1, PREFIX) == F.col("begin"), "left_semi")
-    return grams.distinct().join(asked, F.col("gram") == F.col("number_key")).select(key, "number_key")
+    grams = page_grams(pages, max(begins.values()), begins, key, text)
+    return grams.join(sent_if_small(asked, NUMBER_BYTES), F.col("gram") == F.col("number_key")).select(key, "number_key").distinct()
 
 
 def corroborated(manufacturer: Column, brand: Column, text: Column, title: Column, host: Column) -> Column:

@@ -70,3 +70,17 @@ def test_batch_keeps_failures(spark, tmp_path):
         assert counts == {"asked": 8, "processed": 2, "sparse": 1, "sourcing": 4, "fetch": 1, "content": 1}
         assert {r.product_id for r in store.read_store(spark, path).collect()} == {"https://moen.com/a", "https://moen.com/s"}
         assert spark.read.parquet(letters).count() == 6
+
+
+def test_runs_of_a_table_of_one_split_are_grown_by_all_cores(spark, tmp_path):
+    made = spark.createDataFrame([("a", "the ab-12 C d, x"), ("b", None), ("c", "AB 12 cd AB/12 " * 50), ("c", "ab12—cd"), ("d", "ab,12 cd é ab12é")], "url string, text string")
+    made.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    grams = discover.page_grams(pages, 6, {"AB", "AB1"})
+    assert grams.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = [tuple(r) for r in grams.collect()]
+    assert sorted(set(rows)) == [("a", "AB"), ("a", "AB12"), ("a", "AB12C"), ("a", "AB12CD"), ("c", "AB"), ("c", "AB12"), ("c", "AB12AB"), ("c", "AB12CD"), ("d", "AB"), ("d", "AB12")]
+    assert rows.count(("c", "AB12")) == 1  # once a page, however often it stands there
+    numbers = spark.createDataFrame([("AB-12",), ("ab 12 cd",), ("",), (None,)], "mfg_part_num string")
+    found = {tuple(r) for r in discover.numbers_on_pages(numbers, pages).collect()}
+    assert found == {("a", "AB12"), ("a", "AB12CD"), ("c", "AB12"), ("c", "AB12CD"), ("d", "AB12")}
