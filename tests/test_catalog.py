@@ -103,3 +103,27 @@ def test_accuracy(spark):
     assert [r.Mfg_Part_Num for r in evaluate.unmatched(made, truth).collect()] == ["Z"]
     assert evaluate.examples(evaluate.compared(made, truth)).count() == 2
     assert F is not None
+
+
+def test_nearest_first_matches_all_pairs(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    from shelfwright.operators import similarity
+
+    monkeypatch.setattr(similarity, "FEW", 20)
+    rng = random.Random(3)
+    right = [f"supplier 0000{n:05d}" for n in range(400)] + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 30))).strip() or "a" for _ in range(60)]
+    left = [f"suplier 0000{rng.randint(0, 3999):05d}" for _ in range(60)] + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 30))).strip() or "b" for _ in range(60)] + right[:3]
+    seen = []
+    score = similarity._best
+    monkeypatch.setattr(similarity, "_best", lambda pairs, *a: seen.append(pairs.filter("lk like 'suplier%'").distinct().count()) or score(pairs, *a))
+    df = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    found = {r.key: (r.match, r.ratio) for r in similarity.best_matches(df(left), df(right), 0.72).collect()}
+    wanted = {}
+    for a in set(left):
+        best = max((SequenceMatcher(None, b, a).ratio(), b) for b in set(right))
+        if best[0] >= 0.72:
+            wanted[a] = (best[1], best[0])
+    assert found == wanted
+    assert sum(seen) < len(set(left[:60])) * 400 / 2  # not all of the pairs over the cutoff are formed
