@@ -79,11 +79,12 @@ def identified(fields: DataFrame, given: DataFrame) -> DataFrame:
     there = given.columns
     of = lambda c: F.trim(F.col(c)) if c in there else F.lit(None).cast("string")
     key, label = compact_key(F.col("field_key")), compact_key(F.col("label"))
-    extras = fields.where(exportable() & ~F.col("is_core")).withColumns({k: key.isin(names) | label.isin(names) for k, names in IDENTITY_KEYS.items()})
+    extras = fields.where(exportable() & (~F.col("is_core") | (F.col("field_key") == "product_name")))
+    extras = extras.withColumns({k: ~F.col("is_core") & (key.isin(names) | label.isin(names)) for k, names in IDENTITY_KEYS.items()})
     first = lambda k, more=F.lit(True): F.min_by(clean_number(F.col("value")), F.when(F.col(k) & more, F.col("pos"))).alias(f"own_{k}")
-    own = extras.groupBy("product_id").agg(first("manufacturer"), first("brand"), first("mpn", safe_mpn(F.col("value"))))
-    name = fields.where(exportable() & (F.col("field_key") == "product_name")).groupBy("product_id").agg(F.max("value").alias("own_name"))
-    out = given.join(own, "product_id", "left").join(name, "product_id", "left")
+    name = F.max(F.when(F.col("field_key") == "product_name", F.col("value"))).alias("own_name")
+    own = extras.groupBy("product_id").agg(first("manufacturer"), first("brand"), first("mpn", safe_mpn(F.col("value"))), name)
+    out = given.join(own, "product_id", "left")
     named = F.regexp_extract(F.upper(F.coalesce("own_name", F.lit(""))), r"^\s*([A-Z0-9]{2,}(?:[-/][A-Z0-9]+)+)", 1)
     safe = lambda c: F.when(safe_mpn(c), c)
     out = out.withColumns({"raw_maker": F.coalesce("own_manufacturer", of("manufacturer"), F.lit("")), "raw_brand": F.coalesce("own_brand", of("brand"), F.lit("")), "the_mpn": F.coalesce(safe(of("mpn")), "own_mpn", safe(named), F.lit(""))})
