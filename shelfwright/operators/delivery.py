@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_number, extra_key, literal_map
 from ..functions.units import normalized_unit
 from .trust import non_product
+from .validate import summary_counts, with_status
 
 SLOTS, FEATURES = 50, 20
 # The delivery header, in order.
@@ -180,13 +181,22 @@ def delivery(fields: DataFrame, identity: DataFrame, texts: DataFrame | None = N
     return out.select("product_id", *[value(h) for h in HEADERS], F.least(n, F.lit(SLOTS)).alias("slots_used"), F.array_compact(F.array(warning)).alias("warnings"))
 
 
-def catalog_csv(fields: DataFrame, products: DataFrame) -> DataFrame:
-    """The flat catalogue, 12 text columns; dynamic specifications joined, confidence as whole percent (K13: blanks stay blank)."""
+def catalog_csv(fields: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The flat catalogue, 12 text columns; dynamic specifications joined, confidence as whole percent (K13: blanks stay blank).
+
+    Without ``products`` (``product_id, overall_status, overall_confidence, created_at``) they are summed up in the same
+    aggregate, so that fields are worked out once, and have no ``created_at``.
+    """
     keys = ["product_name", "category", "voltage_rating", "current_rating", "ip_rating", "connector_type", "material"]
+    some = F.col("value").isNotNull()
     shown = F.concat_ws(" ", F.concat(F.col("label"), F.lit(":")), "value", "unit")
-    wide = fields.where("value is not null").groupBy("product_id").agg(
-        *[F.max(F.when(F.col("field_key") == k, F.concat_ws(" ", "value", "unit"))).alias(k) for k in keys],
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_core"), F.struct("pos", shown.alias("s"))))), lambda x: x["s"]), " | ").alias("other_specs"),
-    )
-    out = products.select("product_id", "overall_status", F.concat(F.floor(F.col("overall_confidence") * 100).cast("string"), F.lit("%")).alias("confidence"), F.col("created_at").cast("string").alias("created_at")).join(wide, "product_id", "left")
+    columns = [
+        *[F.max(F.when(some & (F.col("field_key") == k), F.concat_ws(" ", "value", "unit"))).alias(k) for k in keys],
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(some & ~F.col("is_core"), F.struct("pos", shown.alias("s"))))), lambda x: x["s"]), " | ").alias("other_specs"),
+    ]
+    if products is None:
+        out = with_status(fields.groupBy("product_id").agg(*summary_counts(), *columns).where("total_fields > 0")).withColumn("created_at", F.lit(None).cast("timestamp"))
+    else:
+        out = products.join(fields.where(some).groupBy("product_id").agg(*columns), "product_id", "left")
+    out = out.withColumns({"confidence": F.concat(F.floor(F.col("overall_confidence") * 100).cast("string"), F.lit("%")), "created_at": F.col("created_at").cast("string")})
     return out.select("product_id", *[F.coalesce(c, F.lit("")).alias(c) for c in [*keys, "other_specs", "overall_status", "confidence", "created_at"]])

@@ -127,3 +127,11 @@ def test_nearest_first_matches_all_pairs(spark, monkeypatch):
             wanted[a] = (best[1], best[0])
     assert found == wanted
     assert sum(seen) < len(set(left[:60])) * 400 / 2  # not all of the pairs over the cutoff are formed
+
+
+def test_export_and_identity_work_out_fields_once(spark):
+    from shelfwright.plans import queries
+
+    for query in (queries.catalog_export, queries.identity_columns):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate posexplode(") == 1, query.__name__
