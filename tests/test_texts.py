@@ -148,3 +148,24 @@ def test_delivery_rows_with_a_taxonomy(spark):
     lov = vocabulary.lov_tables(load_lov(spark.createDataFrame([(1, "Tools > Abrasives > Sanding Belt", "Grit", "80")], "ordinal int, classpath string, label string, values string")))
     row = next(r for r in flows.delivery_rows(f, given, lov).collect() if r.product_id == "p0")
     assert (row.Dept, row.Class, row.Fine, row.Classpath) == ("Tools", "Abrasives", "Sanding Belt", "Tools > Abrasives > Sanding Belt") and len(row.warnings) == 2
+
+
+def test_fields_are_not_shuffled_for_validation(spark):
+    from shelfwright.plans import flows
+
+    texts = [BLOCK, "Sensor protection IP-677 operating temperature: 90 to 10 C", "Submersible sensor IP20", "M12 connector rated current 150 A\nOperating Temperature Max (F): 5", "Sanding belt 80 grit aluminum oxide", None, "inductive sensor M12, 10-30 dc"]
+    df = spark.createDataFrame([(f"p{k % 6}", t, None, None) for k, t in enumerate(texts)], TEXT)  # p0 has two texts
+    wanted = validate.validate(extract.extract(df))
+    for got, same in ((validate.validated(df), wanted), (flows.process_texts(df), enrich.enrich(wanted))):
+        assert got.columns == same.columns and got.exceptAll(same).isEmpty() and same.exceptAll(got).isEmpty()
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        planned = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and planned.count("Exchange") == 1 and planned.rindex("Generate") < planned.index("Exchange")
+
+
+def test_patterns_wait_for_their_words(spark):
+    words = [(w, p) for w, (_, p) in zip(extract.DYNAMIC_WORDS, extract.DYNAMIC, strict=True)]
+    texts = ["FLOW rate 5 L/min", "Rated Pressure 3 bar", "1500 RPM", "Weight: 2 kg", "Port 1/4 inch", "M8", "Sensing range 8 mm", "50 kHz", "Cable 2 m"]
+    df = spark.createDataFrame([(t, t.lower()) for t in texts], "text string, low_text string")
+    row = df.select(*[extract.told(w, F.regexp_extract("text", p, 0) != "").alias(f"d{k}") for k, (w, p) in enumerate(words)]).collect()
+    assert all(row[k][f"d{k}"] for k in range(len(words))) and row[0]["d1"] is None
