@@ -132,21 +132,22 @@ def judge_candidates(requests: DataFrame, candidates: DataFrame, pages: DataFram
     """Every candidate with its outcome: ``request_id, url, category, stage`` (null where it passes) ``, score, rank``.
 
     Stages in order: sourcing, fetch (no such page), identity (part number, then maker), content (sparse). ``pages`` is
-    ``url, title, text``. Part numbers meet pages by equality of word runs. The first of a request by score, then site
-    kind, then position has rank 1 among those that pass.
+    ``url, title, text``. Part numbers meet pages by equality of word runs. Pages are scored once each and joined last, so
+    that a text is shuffled once, not once a candidate. The first of a request by score, then site
+    kind, then position, then address has rank 1 among those that pass.
     """
     urls = policy(candidate_urls(candidates).select("url").distinct(), chosen_policy)
-    c = candidate_urls(candidates).join(urls, "url").join(requests, "request_id").join(pages, "url", "left").withColumn("number_key", compact_number(F.col("mfg_part_num")))
+    c = candidate_urls(candidates).join(urls, "url").join(requests, "request_id").withColumn("number_key", compact_number(F.col("mfg_part_num")))
     held = numbers_on_pages(requests, pages.join(candidates.select("url").distinct(), "url", "left_semi")).withColumn("held", F.lit(True))
-    c = c.join(held, ["url", "number_key"], "left")
+    c = c.join(held, ["url", "number_key"], "left").join(pages.withColumn("points", richness(F.col("text"))), "url", "left")
     kind = F.when(F.col("category") == "manufacturer", 0).when(F.col("category") == "unknown", 1).when(F.col("category") == "distributor", 2).otherwise(3)
     text = F.coalesce("text", F.lit(""))
     stage = (
         F.when(~F.col("allowed"), "sourcing").when(F.col("text").isNull(), "fetch").when(F.col("held").isNull(), "identity: part number")
         .when(~corroborated(F.col("manufacturer"), F.col("brand"), text, F.col("title"), F.col("host")), "identity: maker").when(F.length(text) < READY, "content")
     )
-    judged = c.withColumns({"stage": stage, "score": richness(text), "kind": kind})
-    order = Window.partitionBy("request_id", F.col("stage").isNull()).orderBy(F.desc("score"), "kind", "position")
+    judged = c.withColumns({"stage": stage, "score": F.coalesce("points", richness(F.lit(""))), "kind": kind})
+    order = Window.partitionBy("request_id", F.col("stage").isNull()).orderBy(F.desc("score"), "kind", "position", "url")
     return judged.withColumn("rank", F.when(F.col("stage").isNull(), F.row_number().over(order))).select("request_id", "url", "category", "position", "stage", "score", "rank")
 
 

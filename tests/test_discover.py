@@ -84,3 +84,16 @@ def test_runs_of_a_table_of_one_split_are_grown_by_all_cores(spark, tmp_path):
     numbers = spark.createDataFrame([("AB-12",), ("ab 12 cd",), ("",), (None,)], "mfg_part_num string")
     found = {tuple(r) for r in discover.numbers_on_pages(numbers, pages).collect()}
     assert found == {("a", "AB12"), ("a", "AB12CD"), ("c", "AB12"), ("c", "AB12CD"), ("d", "AB12")}
+
+
+def test_each_page_is_parsed_once_and_ties_go_by_address(spark):
+    from shelfwright.plans import queries
+
+    plan = queries.discover_best_source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1 and "html" not in plan  # the runs of words; pages lie ready
+    text = "Part AB-12 of brass. " * 40
+    pages = spark.createDataFrame([(u, "t", text) for u in ("https://b.example/x", "https://a.example/x", "https://c.example/x")], "url string, title string, text string")
+    requests = spark.createDataFrame([(1, "AB12", None, None, None)], "request_id long, mfg_part_num string, part_desc string, manufacturer string, brand string")
+    found = pages.select(F.lit(1).cast("long").alias("request_id"), F.lit(0).alias("position"), "url").union(spark.createDataFrame([(1, 1, "https://none.example/x")], "request_id long, position int, url string"))
+    rows = {r.url: (r.stage, r.score, r["rank"]) for r in discover.judge_candidates(requests, found, pages, "allow_all").collect()}
+    assert [rows[f"https://{k}.example/x"][2] for k in "abc"] == [1, 2, 3] and rows["https://none.example/x"] == ("fetch", 0.0, None)
