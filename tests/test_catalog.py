@@ -135,3 +135,10 @@ def test_export_and_identity_work_out_fields_once(spark):
     for query in (queries.catalog_export, queries.identity_columns):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate posexplode(") == 1, query.__name__
+
+
+def test_survivors_are_worked_out_once(spark):
+    from shelfwright.plans import queries
+
+    plan = queries.compliance_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "PROX SNSR" not in plan  # the catalogue's own expressions
