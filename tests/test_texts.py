@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from shelfwright.functions.text import NUMBER_LIKE, to_double
 from shelfwright.operators import delivery, discover, enrich, extract, pages, sourcing, trust, validate
 
 TEXT = "product_id string, raw_text string, name_hint string, category_hint string"
@@ -169,3 +170,20 @@ def test_patterns_wait_for_their_words(spark):
     df = spark.createDataFrame([(t, t.lower()) for t in texts], "text string, low_text string")
     row = df.select(*[extract.told(w, F.regexp_extract("text", p, 0) != "").alias(f"d{k}") for k, (w, p) in enumerate(words)]).collect()
     assert all(row[k][f"d{k}"] for k in range(len(words))) and row[0]["d1"] is None
+
+
+def test_rules_are_worked_out_once_for_every_reader(spark):
+    df = spark.createDataFrame([("p", BLOCK, None, None)], TEXT)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    plans = [read(validate.validated(df))._jdf.queryExecution().optimizedPlan().toString() for read in (validate.summarize, delivery.routed)]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [p.count("M8|M12") for p in plans] == [2, 2]  # status and message
+    assert not [line for p in plans for line in p.split("\n") if "Filter" in line and "M8|M12" in line]
+
+
+def test_what_may_be_a_number(spark):
+    texts = ["1", " -2.5e3 ", "+.5", "1d", "2F", "NaN", "-Infinity", "inf", "0x1p3", "\t7\n", "", " ", "IP67", "250 VDC", "4 A", "-5 to 100 C", "10–30", "1,5", "infinite", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = df.select("t", to_double(F.col("t")).alias("got"), F.col("t").try_cast("double").alias("wanted"), F.col("t").rlike(NUMBER_LIKE).alias("tried")).collect()
+    assert all(str(r.got) == str(r.wanted) for r in rows)
+    assert not [r.t for r in rows if r.tried and r.t in ("IP67", "250 VDC", "4 A", "-5 to 100 C")]
