@@ -187,3 +187,25 @@ def test_what_may_be_a_number(spark):
     rows = df.select("t", to_double(F.col("t")).alias("got"), F.col("t").try_cast("double").alias("wanted"), F.col("t").rlike(NUMBER_LIKE).alias("tried")).collect()
     assert all(str(r.got) == str(r.wanted) for r in rows)
     assert not [r.t for r in rows if r.tried and r.t in ("IP67", "250 VDC", "4 A", "-5 to 100 C")]
+
+
+def test_grounds_are_worked_out_only_where_read(spark):
+    df = spark.createDataFrame([("p", BLOCK, None, None)], TEXT)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    plans = [extract.extract(df).select("product_id", "value", *c)._jdf.queryExecution().optimizedPlan().toString() for c in ([], ["is_grounded"], ["evidence_ok"])]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert ["[-+]?\\d+" in p for p in plans] == [False, False, True]  # numbers of value and snippet
+    assert ["[a-z0-9°µ.\\-/]+" in p for p in plans] == [False, True, False]  # words of the snippet
+
+
+def test_verbatim_snippets_are_grounded(spark):
+    cases = [("a  B\tc", "x a  B\tc y"), (" \t ", "a \t b"), ("", "a"), ("ΟΣ", "ΟΣΑ"), ("Ab", "xAbx"), ("a b", "a\n b"), ("İ q", "z İ q"), ("a", ""), (None, "a")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, s string, t string")
+    rows = df.select(F.coalesce(extract.verbatim(F.col("s"), F.col("t")), F.lit(False)).alias("fast"), extract.grounded(F.col("s"), F.col("t")).alias("whole")).collect()
+    assert [r.fast for r in rows] == [True, False, False, False, True, False, True, False, False] and all(r.whole for r in rows if r.fast)
+
+
+def test_uneven_specification_rows(spark):
+    text = "=== EXTRACTED SPECIFICATION TABLES ===\nItem  Weight\t(oz) :  2\t lb\x0bnet\nBacking:\tCloth\nGrit :80\n=== PAGE CONTENT ===\nSensor"
+    got = {r.label: (r.value, r.snippet) for r in extract.extract(spark.createDataFrame([("p", text, None, None)], TEXT)).where("reasoning = 'specification row'").collect()}
+    assert got == {"Item Weight": ("2 lb net", "Item  Weight\t(oz) :  2\t lb\x0bnet"), "Backing": ("Cloth", "Backing:\tCloth"), "Grit": ("80", "Grit :80")}
