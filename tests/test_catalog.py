@@ -129,6 +129,23 @@ def test_nearest_first_matches_all_pairs(spark, monkeypatch):
     assert sum(seen) < len(set(left[:60])) * 400 / 2  # not all of the pairs over the cutoff are formed
 
 
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    from shelfwright.operators import similarity, staging
+
+    monkeypatch.setattr(similarity, "FEW", 20)
+    monkeypatch.setattr(staging, "bytes_of", lambda df: staging.BROADCAST_BYTES + 1)
+    plans = []
+    score = similarity._best
+    monkeypatch.setattr(similarity, "_best", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or score(pairs, *a))
+    df = lambda keys: spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))  # noqa: E731  expected to be small
+    right = [f"supplier 0000{n:05d}" for n in range(40)] + ["a key of more than twenty-four letters", "ab"]
+    found = similarity.best_matches(df(["suplier 000000007", "a key of more then twenty-four letters", "zz"]), df(right), 0.72).collect()
+    assert {r.key: r.match for r in found} == {"suplier 000000007": right[7], "a key of more then twenty-four letters": right[40]}
+    joined = [line for plan in plans for line in plan.split("\n") if "Join" in line and any(f"{c}#" in line for c in ("rest", "gram", "size"))]
+    assert len(plans) == 3 and len(joined) >= 4  # by what is left, twice; by bigram; by length
+    assert not [line for line in joined if "BroadcastHashJoin" in line and "LeftOuter" not in line]  # counts of bigrams may be sent
+
+
 def test_export_and_identity_work_out_fields_once(spark):
     from shelfwright.plans import queries
 
