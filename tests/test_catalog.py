@@ -129,6 +129,21 @@ def test_nearest_first_matches_all_pairs(spark, monkeypatch):
     assert sum(seen) < len(set(left[:60])) * 400 / 2  # not all of the pairs over the cutoff are formed
 
 
+def test_letters_shared():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from shelfwright.operators.similarity import letters_shared
+
+    left, right = ["suplier 000012345", "", "привет мир", "x\U0001f600y", "aab"], ["supplier 000054321", "q", "мир", "\U0001f600", "ba"]
+    wanted = [sum((Counter(a) & Counter(b)).values()) for a, b in zip(left, right, strict=True)]
+    assert letters_shared(pa.array(left), pa.array(right)).tolist() == wanted
+    assert letters_shared(pa.array(left)[2:], pa.array(right)[2:]).tolist() == wanted[2:]
+    assert letters_shared(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
+    assert letters_shared(pa.array(["a"]), pa.array([chr(97 + 128)])).tolist() == [1]  # more, never less
+
+
 def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
     from shelfwright.operators import similarity, staging
 
